@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, toxicity
+from . import quality_crf, quality_rules, secrets_scan, toxicity
 from .common import read, remainder
 
 
@@ -17,6 +17,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).withColumn("held_out", remainder("doc_id", 4) == 2)
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = quality_crf.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return quality_crf.score(docs, field).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.score(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
@@ -24,6 +34,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_crf": op2_quality_crf,
+    "op3_secrets": op3_secrets,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE: dict[str, str] = {}
