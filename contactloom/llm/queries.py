@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_crf, quality_rules, secrets_scan, substring, toxicity
+from . import bagminhash, quality_crf, quality_rules, secrets_scan, substring, toxicity
 from .common import read, remainder
 
 
@@ -27,6 +27,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_crf": op2_quality_crf,
     "op3_secrets": op3_secrets,
+    "op6_bagminhash": op6_bagminhash,
     "op7_substring": op7_substring,
     "op8_quality_rules": op8_quality_rules,
 }
