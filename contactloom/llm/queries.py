@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, quality_crf, quality_rules, secrets_scan, substring, toxicity
-from .common import read, remainder
+from . import bagminhash, media, mixing, packing, quality_crf, quality_rules, secrets_scan, substring, token_rollup, toxicity
+from .common import materialise, read, remainder, shared_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,23 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert every document, revise its count by the end id, withdraw documents under five words, replay the revision."""
+    counts = materialise(token_rollup.count_tokens(read(spark, sf_dir, "documents")).withColumn("n_closed", F.col("n_tokens") + 1), "token-counts")
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    versions = [("words-1", "n_words"), ("word_bpe_49k", "n_tokens")]
+    revised = token_rollup.revisions(counts, "word_bpe_49k", "n_tokens", "n_closed")
+    rollup.commit("0001-insert", token_rollup.inserts(counts, versions))
+    rollup.commit("0002-revise", revised)
+    rollup.commit("0003-delete", token_rollup.deletes(counts.where("n_words < 5"), [("words-1", "n_words"), ("word_bpe_49k", "n_closed")]))
+    rollup.commit("0002-revise", revised)
+    return rollup.totals()
+
+
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(read(spark, sf_dir, "documents"))
 
@@ -40,12 +58,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_crf": op2_quality_crf,
     "op3_secrets": op3_secrets,
+    "op4_mixing": op4_mixing,
+    "op5_token_rollup": op5_token_rollup,
     "op6_bagminhash": op6_bagminhash,
     "op7_substring": op7_substring,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_media": op10_media,
 }
 ORACLE: dict[str, str] = {}
