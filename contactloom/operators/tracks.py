@@ -79,7 +79,7 @@ def accuracy(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "matched": sum(c[2] for c in greedy(cells)), "total": total, "accuracy": sum(c[2] for c in greedy(cells)) / total if total else None}])
 
     schema = "".join(f"{k} {table.schema[k].dataType.simpleString()}, " for k in keys) + "matched long, total long, accuracy double"
-    grouped = table.groupBy(*keys) if keys else table.groupBy(F.lit(0))
+    grouped = table.groupBy(*keys) if keys else table.withColumn("_all", F.lit(0)).groupBy("_all")
     return grouped.applyInPandas(one, schema)
 
 

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import prepare
+
 #: Bin width of the derived relations.
 RESOLUTION = 1_000_000
 
@@ -32,7 +34,7 @@ def _chroms(n: int, length: int) -> str:
 _BED = (
     "SELECT l_orderkey * 10 + l_linenumber AS line_no, CONCAT(CASE WHEN l_linenumber = 7 THEN 'x' ELSE 'chr' END, l_partkey % 5 + 1, chr(9), FLOOR(l_partkey / 4) % 60 * 1000000, chr(9), "
     "FLOOR(l_partkey / 4) % 60 * 1000000 + 1500000, chr(9), CASE WHEN l_linenumber = 3 THEN 'na' WHEN l_linenumber % 2 = 0 THEN CONCAT('a', l_suppkey % 5) ELSE CONCAT('A', l_suppkey % 5) END, "
-    "CASE WHEN l_linenumber = 5 THEN '' ELSE CONCAT(chr(9), '9') END) AS value FROM (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_partkey AS INT) AS l_partkey, CAST(l_suppkey AS INT) AS l_suppkey FROM lineitem) t"
+    "CASE WHEN l_linenumber = 5 THEN '' ELSE CONCAT(chr(9), '9') END) AS value FROM (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(MIN(l_partkey) AS INT) AS l_partkey, CAST(MIN(l_suppkey) AS INT) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) t"
 )
 
 #: Common SQL of the relations.
@@ -56,7 +58,7 @@ DUCK = SHARED | {"matrix": "SELECT CAST(vec_id AS BIGINT) AS row_id, CAST(j - 1
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation over the Parquet tables of a folder."""
     sql = re.sub(r"FROM (lineitem|customer|orders|embeddings)\b", lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", SPARK[name])
-    return spark.sql(sql)
+    return prepare(spark).sql(sql)
 
 
 def oracle(body: str, *names: str, **more: str) -> str:

@@ -1,10 +1,354 @@
-"""Registered queries of the library's own operators, each with the same relation as SQL."""
+"""Registered queries of the library's own operators, each with the same relation as SQL.
+
+A query applies one operator to the derived relations of fixtures.py.  Whole numbers
+come out as long, fractions as double rounded to six places, on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import colours, scalars, vectors
+from ..operators import contacts as C
+from ..operators import intervals as I
+from ..operators import matrix as M
+from ..operators import metrics as D
+from ..operators import scoring as S
+from ..operators import tracks as T
+from ..sources import bed, tables
+from .fixtures import DUCK, RESOLUTION, oracle, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+class Relations:
+    """Derived relations by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return relation(self.spark, self.sf_dir, name)
+
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        return self.spark.sql(text, **frames)
+
+
+def _columns(spec: str) -> list[tuple[str, str]]:
+    """"a b|c|d": whole numbers, fractions, strings."""
+    return [(c, kind) for part, kind in zip((spec + "||").split("|"), ("long", "double", "string"), strict=False) for c in part.split()]
+
+
+def add(name: str, spec: str, build: Callable[[Relations], DataFrame], body: str | None = None, *names: str, **more: str) -> None:
+    columns = _columns(spec)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = build(Relations(spark, sf_dir))
+        return out.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if k == "double" else F.col(c).cast(k).alias(c) for c, k in columns])
+
+    QUERIES[name] = query
+    if body is not None:
+        picked = ", ".join(f'ROUND(CAST("{c}" AS DOUBLE), 6) AS "{c}"' if k == "double" else f'CAST("{c}" AS {"BIGINT" if k == "long" else "VARCHAR"}) AS "{c}"' for c, k in columns)
+        ORACLE[name] = oracle(f"SELECT {picked} FROM ({body}) result", *names, **more)
+
+
+R = RESOLUTION
+CELL = "chr1 bin1 chr2 bin2|cnt"
+ROW = "chr_idx x1 x2 cluster_id"
+
+# -- pieces of SQL that several oracles share -------------------------------------------------------------------
+LAST = "(SELECT chr_idx, x1, arg_max(cluster_id, CAST(x2 AS BIGINT) * 1000 + cluster_id) AS cluster_id FROM {t} GROUP BY chr_idx, x1)"
+TABLE = f"SELECT a.cluster_id AS id1, b.cluster_id AS id2, COUNT(*) AS n FROM {LAST.format(t='track_a')} a JOIN {LAST.format(t='track_b')} b USING (chr_idx, x1) WHERE a.cluster_id >= 0 AND b.cluster_id >= 0 GROUP BY 1, 2"
+TABLE_CHR = TABLE.replace("SELECT a", "SELECT chr_idx, a", 1).replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
+INTRA = "SELECT chr1 AS chr_idx, bin1, bin2, ABS(bin1 - bin2) AS dist, cnt FROM contacts_intra WHERE chr1 = chr2"
+STATS = "SELECT chr_idx, dist, COUNT(*) AS n, AVG(cnt) AS mean, STDDEV_SAMP(cnt) AS sd FROM intra GROUP BY 1, 2"
+VALID = "SELECT chr_idx, arg_min(lo, lo) + 1 AS first, arg_min(hi, lo) - 1 AS last FROM (SELECT chr_idx, i, MIN(dist) AS lo, MAX(dist) AS hi FROM (SELECT chr_idx, dist, dist - ROW_NUMBER() OVER (PARTITION BY chr_idx ORDER BY dist) AS i FROM stats WHERE n >= 50) GROUP BY 1, 2) GROUP BY 1"
+ZROWS = "SELECT i.*, (cnt - mean) / NULLIF(sd, 0) AS z FROM intra i JOIN stats USING (chr_idx, dist) JOIN valid USING (chr_idx) WHERE dist BETWEEN first AND last"
+BAD = "SELECT v.chr_idx, v.bin FROM norm_vec v JOIN (SELECT chr_idx, AVG(CASE WHEN value > 0 THEN LN(CASE WHEN value > 0 THEN value END) END) AS m, STDDEV_SAMP(CASE WHEN value > 0 THEN LN(CASE WHEN value > 0 THEN value END) END) AS s FROM norm_vec GROUP BY 1) USING (chr_idx) WHERE NOT (value > 0) OR (LN(CASE WHEN value > 0 THEN value END) - m) / s < -3 OR (LN(CASE WHEN value > 0 THEN value END) - m) / s > 5"
+LABELS = f"SELECT chr_idx, bin, arg_max(cluster_id, x1) AS cluster_id FROM (SELECT chr_idx, x1, cluster_id, UNNEST(range(x1 // {R}, x2 // {R})) AS bin FROM track_a) GROUP BY 1, 2"
+BOTH = "SELECT c.*, a.cluster_id AS id1, b.cluster_id AS id2 FROM contacts c JOIN labels a ON a.chr_idx = chr1 AND a.bin = bin1 JOIN labels b ON b.chr_idx = chr2 AND b.bin = bin2"
+AREA = "SELECT a.chr_idx AS chr1, b.chr_idx AS chr2, a.cluster_id AS id1, b.cluster_id AS id2, COUNT(*) AS area FROM labels a JOIN labels b ON a.chr_idx < b.chr_idx GROUP BY 1, 2, 3, 4"
+DENSITY = "SELECT chr1, chr2, id1, id2, COALESCE(s, 0) / area AS density FROM area LEFT JOIN (SELECT chr1, chr2, id1, id2, SUM(LN(1 + cnt)) AS s FROM pairs WHERE cnt > 0 AND chr1 < chr2 GROUP BY 1, 2, 3, 4) USING (chr1, chr2, id1, id2)"
+CV = "SELECT id1, id2, STDDEV_SAMP(density) / AVG(density) AS cv FROM density WHERE density > 0 GROUP BY 1, 2 HAVING COUNT(*) > 3"
+BINMAP = "SELECT chr_idx, bin, cluster_id + (DENSE_RANK() OVER (ORDER BY chr_idx) - 1) * (SELECT MAX(cluster_id) + 1 FROM labels) AS proto, ROW_NUMBER() OVER (ORDER BY chr_idx, bin) - 1 AS row_id FROM labels"
+ENDS = "SELECT a.row_id, b.proto AS col_id, cnt AS v FROM contacts JOIN bin_map a ON a.chr_idx = chr1 AND a.bin = bin1 JOIN bin_map b ON b.chr_idx = chr2 AND b.bin = bin2 WHERE cnt > 0 AND chr1 <> chr2 UNION ALL SELECT b.row_id, a.proto, cnt FROM contacts JOIN bin_map a ON a.chr_idx = chr1 AND a.bin = bin1 JOIN bin_map b ON b.chr_idx = chr2 AND b.bin = bin2 WHERE cnt > 0 AND chr1 <> chr2"
+SUMS = "SELECT row_id, col_id, SUM(v) AS v FROM ends GROUP BY 1, 2"
+DENSE = "SELECT r.row_id, c.col_id, COALESCE(v, 0) AS v FROM bin_map r CROSS JOIN (SELECT DISTINCT proto AS col_id FROM bin_map) c LEFT JOIN sums USING (row_id, col_id) WHERE NOT EXISTS (SELECT 1 FROM bin_map o WHERE o.chr_idx = r.chr_idx AND o.proto = c.col_id)"
+CHAIN = {"labels": LABELS, "bin_map": BINMAP, "ends": ENDS, "sums": SUMS, "dense": DENSE}
+ZCHAIN = {"intra": INTRA, "stats": STATS, "valid": VALID, "zrows": ZROWS}
+
+
+def labels(r: Relations) -> DataFrame:
+    return T.bins_of(r.track_a, R)
+
+
+def bin_map(r: Relations) -> DataFrame:
+    return M.bed_mapping(labels(r))
+
+
+def dense(r: Relations) -> DataFrame:
+    return M.build(r.contacts, bin_map(r))[0]
+
+
+# -- sources ---------------------------------------------------------------------------------------------------
+add("s1_contacts", CELL, lambda r: r.contacts, "SELECT * FROM contacts", "contacts")
+add("s2_block", CELL, lambda r: tables.block(r.contacts, 1, 3), "SELECT * FROM contacts WHERE chr1 = 1 AND chr2 = 3", "contacts")
+add("s3_normalised", CELL, lambda r: tables.normalised(r.contacts, r.norm_vec.where("bin < 60")),
+    "SELECT c.chr1, c.bin1, c.chr2, c.bin2, cnt / (a.value * b.value) AS cnt FROM contacts c JOIN norm_vec a ON a.chr_idx = chr1 AND a.bin = bin1 JOIN norm_vec b ON b.chr_idx = chr2 AND b.bin = bin2 WHERE a.value > 0 AND b.value > 0 AND a.bin < 60 AND b.bin < 60", "contacts", "norm_vec")
+add("s4_flipped_block", CELL, lambda r: tables.block(r.contacts, 4, 2), "SELECT chr2 AS chr1, bin2 AS bin1, chr1 AS chr2, bin1 AS bin2, cnt FROM contacts WHERE chr1 = 2 AND chr2 = 4", "contacts")
+add("s5_norm_vector", "chr_idx bin|value", lambda r: tables.norm_vector(r.norm_vec.withColumns({"norm": F.lit("VC"), "resolution": F.lit(R)}), "VC", R, 2), "SELECT * FROM norm_vec WHERE chr_idx = 2", "norm_vec")
+EXPECTED = "SELECT chr_idx, dist, mean AS value FROM stats"
+
+
+def expected(r: Relations) -> DataFrame:
+    return C.distance_stats(r.contacts_intra).select("chr_idx", "dist", F.col("mean").alias("value"))
+
+
+add("s6_expected_at", "chr1 chr2|cutoff", lambda r: tables.expected_at(expected(r), 1), "SELECT a.chr_idx AS chr1, b.chr_idx AS chr2, LEAST(a.mean, b.mean) AS cutoff FROM stats a JOIN stats b ON a.chr_idx < b.chr_idx AND a.dist = 1 AND b.dist = 1", "contacts_intra", intra=INTRA, stats=STATS)
+add("s7_resolution", "resolution", lambda r: tables.choose_resolution(r.contacts.select((F.col("chr1") * 500000).alias("resolution")), 1_000_000), "SELECT CASE WHEN MAX(CASE WHEN chr1 * 500000 = 1000000 THEN 1 END) = 1 THEN 1000000 ELSE MAX(chr1) * 500000 END AS resolution FROM contacts", "contacts")
+add("s8_chromosomes", "chr_idx length||name", lambda r: r.chroms, "SELECT * FROM chroms", "chroms")
+FIELDS = "SELECT line_no, f[1] AS name, CAST(f[2] AS INT) AS x1, CAST(f[3] AS INT) AS x2, UPPER(f[4]) AS cluster_name FROM (SELECT line_no, string_split(value, chr(9)) AS f FROM bed) WHERE LEN(f) >= 5 AND f[1] LIKE 'chr%' AND UPPER(f[4]) <> 'NA'"
+IDS = "SELECT cluster_name, ROW_NUMBER() OVER (ORDER BY MIN(line_no)) - 1 AS cluster_id FROM fields GROUP BY cluster_name"
+PARSED = "SELECT chr_idx, x1, MIN(LEAST(x2, length)) AS x2, arg_min(cluster_id, line_no) AS cluster_id, arg_min(cluster_name, line_no) AS cluster_name FROM fields JOIN ids USING (cluster_name) JOIN chroms USING (name) GROUP BY chr_idx, x1, LEAST(x2, length)"
+BED = {"fields": FIELDS, "ids": IDS, "parsed": PARSED}
+add("s9_bed_fields", "line_no x1 x2||name cluster_name", lambda r: bed.fields(r.bed), "SELECT * FROM fields", "bed", fields=FIELDS)
+add("s10_bed_at_resolution", f"{ROW}||cluster_name", lambda r: I.split(bed.parse(r.bed, r.chroms), R), f"SELECT chr_idx, s AS x1, LEAST(s + {R}, x2) AS x2, cluster_id, cluster_name FROM (SELECT *, UNNEST(range(x1, CAST(x2 AS BIGINT), {R})) AS s FROM parsed)", "bed", "chroms", **BED)
+add("s11_bed_track", f"{ROW}||cluster_name", lambda r: bed.parse(r.bed, r.chroms), "SELECT * FROM parsed", "bed", "chroms", **BED)
+add("s12_norm_choice", "||intra inter", lambda r: r.spark.createDataFrame([tables.pick_norms(r.contacts.select(F.concat(F.lit("INTER_VC"), F.when(F.col("chr1") == 1, "").otherwise("X")).alias("norm")).union(r.contacts.select(F.lit("KR"))))], "intra string, inter string"), "SELECT 'KR' AS intra, 'INTER_VC' AS inter FROM contacts LIMIT 1", "contacts")
+
+
+def two_tracks(r: Relations) -> DataFrame:
+    return r.track_a.withColumn("track_id", F.lit("a")).unionByName(r.track_b.withColumn("track_id", F.lit("b")))
+
+
+TWO = "SELECT 'a' AS track_id, * FROM track_a UNION ALL SELECT 'b', * FROM track_b"
+add("s13_many_tracks", f"{ROW}||track_id", two_tracks, TWO, "track_a", "track_b")
+
+# -- sinks -----------------------------------------------------------------------------------------------------
+NAMES = "[" + ", ".join("'" + ",".join(map(str, c)) + "'" for c in colours.PALETTE) + "]"
+NAMED = lambda r: r.track_a.withColumn("cluster_name", F.concat(F.lit("C"), "cluster_id"))
+TAB = "chr(9)"
+add("k1_bed9", "||value", lambda r: bed.bed9(NAMED(r), r.chroms), f"SELECT CONCAT_WS({TAB}, name, x1, x2, CONCAT('C', cluster_id), cluster_id, '.', x1, x2, {NAMES}[cluster_id % 20 + 1]) AS value FROM track_a JOIN chroms USING (chr_idx)", "track_a", "chroms")
+add("k2_bed_graph", "||value", lambda r: bed.bed_graph(r.track_a.withColumn("value", F.col("cluster_id")), r.chroms), f"SELECT CONCAT_WS({TAB}, name, x1, x2, cluster_id) AS value FROM track_a JOIN chroms USING (chr_idx)", "track_a", "chroms")
+add("k3_null_bed", "||value", lambda r: bed.null_bed(r.track_a, r.chroms), f"SELECT CONCAT_WS({TAB}, name, x1, x2, 'null', 'null', '.', x1, x2, '0,0,0') AS value FROM track_a JOIN chroms USING (chr_idx)", "track_a", "chroms")
+add("k8_mapping_dump", "||value", lambda r: bed.mapping_dump(labels(r).select("chr_idx", "bin", (F.col("cluster_id") - 1).alias("proto")), r.chroms, R, True),
+    f"SELECT CONCAT_WS({TAB}, name, bin * {R}, LEAST(bin * {R} + {R}, length), '-1', 1, '.', bin * {R}, LEAST(bin * {R} + {R}, length), {NAMES}[2]) AS value FROM labels JOIN chroms USING (chr_idx) WHERE cluster_id = 0", "track_a", "chroms", labels=LABELS)
+add("k11_row_index", "row_id chr_idx x1 x2", lambda r: I.to_intervals(bin_map(r), r.chroms, R), f"SELECT row_id, chr_idx, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2 FROM bin_map JOIN chroms USING (chr_idx)", "track_a", "chroms", labels=LABELS, bin_map=BINMAP)
+
+# -- projections, filters, predicates --------------------------------------------------------------------------
+add("p1_bed_validity", "n_rows n_labels", lambda r: bed.fields(r.bed).join(r.chroms, "name").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cluster_name").alias("n_labels")), "SELECT COUNT(*) AS n_rows, COUNT(DISTINCT cluster_name) AS n_labels FROM fields JOIN chroms USING (name)", "bed", "chroms", fields=FIELDS)
+add("p2_label_ids", "cluster_id||cluster_name", lambda r: bed.label_ids(bed.fields(r.bed)), "SELECT * FROM ids", "bed", fields=FIELDS, ids=IDS)
+add("p3_far_intra", CELL, lambda r: C.far(r.contacts_intra, R), "SELECT * FROM contacts_intra WHERE cnt > 0 AND chr1 = chr2 AND ABS(bin1 - bin2) > 5", "contacts_intra")
+add("p4_positive", CELL, lambda r: C.positive(r.contacts.withColumn("cnt", F.col("cnt") - 100)), "SELECT chr1, bin1, chr2, bin2, cnt - 100 AS cnt FROM contacts WHERE cnt > 100", "contacts")
+add("p5_valid_distances", "chr_idx first last", lambda r: C.valid_distances(C.distance_counts(r.contacts_intra)), "SELECT * FROM valid", "contacts_intra", intra=INTRA, stats=STATS, valid=VALID)
+add("p6_outliers", "chr_idx bin1 bin2 dist|cnt z", lambda r: C.without_outliers(C.distance_z(r.contacts_intra), 2.0).withColumnRenamed("chr1", "chr_idx"), "SELECT * FROM zrows WHERE ABS(z) < 2", "contacts_intra", **ZCHAIN)
+add("p7_bad_bins", "chr_idx bin", lambda r: C.bad_bins(r.norm_vec), BAD, "norm_vec")
+GOOD = "SELECT row_id FROM matrix GROUP BY 1 HAVING COUNT(v) > 3 AND COUNT(v) >= {s} * 64"
+add("p8_good_rows", "row_id", lambda r: M.good_rows(r.matrix, 64, 0.94), GOOD.format(s=0.94), "matrix")
+add("p9_good_columns", "row_id col_id|v", lambda r: M.drop_bad_columns(r.matrix.where("row_id < 200"), 200, 0.94), "SELECT * FROM matrix WHERE row_id < 200 AND col_id IN (SELECT col_id FROM matrix WHERE row_id < 200 GROUP BY 1 HAVING COUNT(v) > 3 AND COUNT(v) >= 0.94 * 200)", "matrix")
+add("p10_compact", "chr_idx bin proto row_id", lambda r: M.compact(bin_map(r), bin_map(r).where("row_id % 3 <> 0").select("row_id")), "SELECT chr_idx, bin, proto, ROW_NUMBER() OVER (ORDER BY chr_idx, bin) - 1 AS row_id FROM bin_map WHERE row_id % 3 <> 0", "track_a", labels=LABELS, bin_map=BINMAP)
+add("p11_quick_clean", "row_id", lambda r: M.quick_clean(r.matrix, 64, 0.06), "SELECT row_id FROM matrix GROUP BY 1 HAVING (64 - COUNT(v)) / 64.0 < 0.06", "matrix")
+add("p12_near_diagonal", CELL, lambda r: C.mask_near_diagonal(r.contacts_intra, 5), "SELECT * FROM contacts_intra WHERE chr1 <> chr2 OR ABS(bin1 - bin2) >= 5", "contacts_intra")
+add("p13_bad_rows_columns", CELL, lambda r: C.mask_bad(r.contacts, C.bad_bins(r.norm_vec)), "SELECT * FROM contacts c WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr_idx = chr1 AND b.bin = bin1) AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr_idx = chr2 AND b.bin = bin2)", "contacts", "norm_vec", bad=BAD)
+add("p14_bad_across_resolutions", CELL, lambda r: C.mask_bad(r.contacts, C.bad_bins(r.norm_vec), 10), "SELECT * FROM contacts c WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr_idx = chr1 AND b.bin // 10 = bin1) AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr_idx = chr2 AND b.bin // 10 = bin2)", "contacts", "norm_vec", bad=BAD)
+
+
+def one_translocation(r: Relations) -> DataFrame:
+    return r.spark.createDataFrame([(1, 3)], "chr1 int, chr2 int")
+
+
+add("p15_block_masks", "chr_idx col_id", lambda r: M.masked_pairs(bin_map(r), one_translocation(r)), "SELECT DISTINCT chr_idx, proto AS col_id FROM bin_map UNION SELECT 1, proto FROM bin_map WHERE chr_idx = 3 UNION SELECT 3, proto FROM bin_map WHERE chr_idx = 1", "track_a", labels=LABELS, bin_map=BINMAP)
+add("p16_clean", "row_id col_id|v", lambda r: M.clean(r.matrix.withColumn("v", F.col("v") * 1e-9), True), "SELECT row_id, col_id, CASE WHEN v IS NULL OR ABS(v * 1e-9) < 1e-10 THEN 0 ELSE v * 1e-9 END AS v FROM matrix", "matrix")
+add("p17_non_positive", "row_id col_id|v", lambda r: M.mask_non_positive(r.matrix), "SELECT row_id, col_id, CASE WHEN v > 0 THEN v END AS v FROM matrix", "matrix")
+GLOBAL = "SELECT AVG(v) AS m, STDDEV_SAMP(v) AS s FROM matrix WHERE v > 0"
+add("p18_high_z", "row_id col_id|v", lambda r: M.mask_outliers(r.matrix, 1.5), "SELECT row_id, col_id, CASE WHEN NOT (v > 0 AND (v - m) / s > 1.5) THEN v END AS v FROM matrix, g", "matrix", g=GLOBAL)
+add("p19_two_sided_z", "row_id col_id|v", lambda r: M.mask_outliers(r.matrix, 1.0, True), "SELECT row_id, col_id, CASE WHEN NOT (v > 0 AND ABS((v - m) / s) > 1.0) THEN v END AS v FROM matrix, g", "matrix", g=GLOBAL)
+add("p20_size_gate", "enough", lambda r: r.spark.createDataFrame([(int(M.large_enough(r.matrix)),)], "enough int"), "SELECT CASE WHEN COUNT(DISTINCT row_id) > 10 AND COUNT(DISTINCT col_id) > 2 THEN 1 ELSE 0 END AS enough FROM matrix", "matrix")
+MEMBERS = "SELECT vec_id AS row_id, label AS cid FROM embeddings"
+
+
+def members(r: Relations) -> DataFrame:
+    return r.spark.read.parquet(f"{r.sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("row_id"), F.col("label").cast("int").alias("cid"))
+
+
+def _cluster():
+    from ..operators import cluster
+
+    return cluster
+
+
+add("p21_large_clusters", "row_id cid", lambda r: _cluster().large_clusters(members(r), 50), "SELECT row_id, cid FROM m WHERE cid IN (SELECT cid FROM m GROUP BY 1 HAVING COUNT(*) > 50)", m=MEMBERS)
+add("p22_isolated", "chr_idx bin proto", lambda r: I.isolated(labels(r).withColumnRenamed("cluster_id", "proto")), "SELECT chr_idx, bin, cluster_id AS proto FROM (SELECT *, LAG(cluster_id) OVER w AS b, LEAD(cluster_id) OVER w AS a FROM labels WINDOW w AS (PARTITION BY chr_idx ORDER BY bin)) WHERE b <> cluster_id AND a <> cluster_id", "track_a", labels=LABELS)
+
+# -- intervals -------------------------------------------------------------------------------------------------
+add("i1_split", ROW, lambda r: I.split(r.wide_track, 300_000), "SELECT chr_idx, s AS x1, LEAST(s + 300000, x2) AS x2, cluster_id FROM (SELECT *, UNNEST(range(x1, x2, 300000)) AS s FROM wide_track)", "wide_track")
+ISLAND = "SELECT chr_idx, MIN(x1) AS x1, MAX(x2) AS x2, MIN(cluster_id) AS cluster_id FROM (SELECT *, SUM(fresh) OVER (PARTITION BY chr_idx ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN LAG(x2) OVER w = x1 AND LAG(cluster_id) OVER w = cluster_id THEN 0 ELSE 1 END AS fresh FROM track_a WINDOW w AS (PARTITION BY chr_idx ORDER BY x1, x2))) GROUP BY chr_idx, i"
+add("i2_collapse", ROW, lambda r: I.collapse(r.track_a), ISLAND, "track_a")
+add("i3_clip", ROW, lambda r: I.clip(r.track_a.withColumn("x2", F.col("x2") + 500_000), r.chroms), "SELECT chr_idx, x1, LEAST(x2 + 500000, length) AS x2, cluster_id FROM track_a JOIN chroms USING (chr_idx)", "track_a", "chroms")
+add("i4_deduplicate", f"{ROW} line_no", lambda r: I.deduplicate(two_tracks(r).withColumn("line_no", F.when(F.col("track_id") == "a", F.col("x1")).otherwise(F.col("x2") + 1 - F.col("chr_idx") * 400000)).drop("track_id")),
+    "SELECT chr_idx, x1, x2, arg_min(cluster_id, line_no) AS cluster_id, MIN(line_no) AS line_no FROM (SELECT *, x1 AS line_no FROM track_a UNION ALL SELECT *, x2 + 1 - chr_idx * 400000 FROM track_b) GROUP BY 1, 2, 3", "track_a", "track_b")
+add("i5_order", f"{ROW} place", lambda r: I.ordered(r.track_a).withColumn("place", F.row_number().over(Window.orderBy("chr_idx", "x1", "x2"))), "SELECT *, ROW_NUMBER() OVER (ORDER BY chr_idx, x1, x2) AS place FROM track_a", "track_a")
+add("i6_to_bins", f"{ROW} bin", lambda r: I.to_bins(r.wide_track, 400_000), "SELECT *, UNNEST(range(x1 // 400000, x2 // 400000)) AS bin FROM wide_track", "wide_track")
+add("i7_to_intervals", "chr_idx bin x1 x2", lambda r: I.to_intervals(labels(r), r.chroms, R), f"SELECT chr_idx, bin, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2 FROM labels JOIN chroms USING (chr_idx)", "track_a", "chroms", labels=LABELS)
+add("i8_relabel", f"{ROW}||cluster_name", lambda r: I.relabel(r.track_a, r.spark.createDataFrame([(0, 7, "X"), (2, 9, "Y")], "cluster_id int, new_id int, new_name string")), "SELECT chr_idx, x1, x2, CASE cluster_id WHEN 0 THEN 7 WHEN 2 THEN 9 ELSE cluster_id END AS cluster_id, CASE cluster_id WHEN 0 THEN 'X' WHEN 2 THEN 'Y' ELSE CAST(cluster_id AS VARCHAR) END AS cluster_name FROM track_a", "track_a")
+add("i9_width", f"{ROW} width", lambda r: I.width_in_bins(r.wide_track, 400_000), "SELECT *, (x2 - x1) // 400000 AS width FROM wide_track", "wide_track")
+add("i11_label_at_start", "chr_idx x1 cluster_id", lambda r: I.label_at_start(two_tracks(r)), "SELECT chr_idx, x1, arg_max(cluster_id, CAST(x2 AS BIGINT) * 1000 + cluster_id) AS cluster_id FROM two GROUP BY 1, 2", "track_a", "track_b", two=TWO)
+
+# -- joins -----------------------------------------------------------------------------------------------------
+add("j1_scatter", "row_id col_id|v", lambda r: M.scatter(C.positive(r.contacts).where("chr1 <> chr2"), bin_map(r), "cnt"), "SELECT * FROM ends", "contacts", "track_a", **{k: CHAIN[k] for k in ("labels", "bin_map", "ends")})
+add("j2_both_ends", f"{CELL.split('|')[0]} id1 id2|cnt", lambda r: C.both_ends(r.contacts, labels(r)), BOTH, "contacts", "track_a", labels=LABELS)
+add("j3_join_tracks", "chr_idx x1 id1 id2", lambda r: T.join_tracks(r.track_a, r.track_b), f"SELECT chr_idx, x1, a.cluster_id AS id1, b.cluster_id AS id2 FROM {LAST.format(t='track_a')} a JOIN {LAST.format(t='track_b')} b USING (chr_idx, x1) WHERE a.cluster_id >= 0 AND b.cluster_id >= 0", "track_a", "track_b")
+add("j4_common_loci", f"{ROW}||track_id", lambda r: T.common_loci(two_tracks(r), 4 * R, 8), f"SELECT * FROM two WHERE (chr_idx, x1 // {4 * R}) IN (SELECT (chr_idx, x1 // {4 * R}) FROM two GROUP BY chr_idx, x1 // {4 * R} HAVING COUNT(*) = 8)", "track_a", "track_b", two=TWO)
+add("j5_areas", "chr1 chr2 id1 id2 area", lambda r: C.areas(labels(r)), AREA, "track_a", labels=LABELS)
+W64 = "SELECT row_id, LIST(v ORDER BY col_id) AS f FROM matrix WHERE row_id < {n} GROUP BY 1"
+PAIR = "SELECT a.row_id AS i, b.row_id AS j, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON a.row_id {op} b.row_id"
+METRIC = {
+    "euclidean": "SQRT(64 * SUM((x - y) * (x - y)) / COUNT(x + y))", "manhattan": "64 * SUM(ABS(x - y)) / COUNT(x + y)",
+    "cosine": "SUM(x * y) / SQRT((1e-100 + SUM(CASE WHEN y IS NOT NULL THEN x * x END)) * (1e-100 + SUM(CASE WHEN x IS NOT NULL THEN y * y END)))", "correlation": "CORR(x, y)",
+}
+
+
+def rows(r: Relations, n: int = 60) -> DataFrame:
+    return M.wide(r.matrix.where(f"row_id < {n}"))
+
+
+def pair_sql(metric: str, op: str, n: int = 60) -> tuple[str, dict]:
+    return f"SELECT i, j, {METRIC[metric]} AS value FROM p GROUP BY i, j", {"w": W64.format(n=n), "p": PAIR.format(op=op)}
+
+
+for _m, _id in (("euclidean", "j6_all_pairs_euclidean"), ("manhattan", "j6_all_pairs_manhattan"), ("cosine", "j6_all_pairs_cosine"), ("correlation", "j6_all_pairs_correlation")):
+    _sql, _more = pair_sql(_m, "<=")
+    add(_id, "i j|value", lambda r, m=_m: D.all_pairs(rows(r), m, block=32), _sql, "matrix", **_more)
+_sql, _more = pair_sql("cosine", "<")
+add("j7_masked_pairs", "i j|value", lambda r: D.masked_pairs(rows(r), members(r), 3, "cosine"), f"SELECT * FROM ({_sql}) WHERE i IN (SELECT row_id FROM m WHERE cid < 3) AND j IN (SELECT row_id FROM m WHERE cid < 3)", "matrix", m=MEMBERS, **_more)
+
+
+def centres(r: Relations, n: int = 5) -> DataFrame:
+    return M.wide(r.matrix.where(f"row_id < {n}")).select(F.col("row_id").cast("int").alias("cid"), F.col("features").alias("centre"))
+
+
+TO = "SELECT a.row_id, b.row_id AS cid, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON b.row_id < 5"
+add("j8_to_centres", "row_id cid|euclidean manhattan", lambda r: D.several_metrics(rows(r, 200), centres(r), ("euclidean", "manhattan")), f"SELECT row_id, cid, {METRIC['euclidean']} AS euclidean, {METRIC['manhattan']} AS manhattan FROM t GROUP BY 1, 2", "matrix", w=W64.format(n=200), t=TO)
+HALF = "SELECT 64 * 0 + col_id AS col_id, col_id % 5 + 1 AS w FROM (SELECT DISTINCT col_id FROM matrix)"
+
+
+def col_weights(r: Relations) -> DataFrame:
+    return r.matrix.select("col_id").distinct().select("col_id", (F.col("col_id") % 5 + 1).cast("long").alias("w"))
+
+
+add("j9_weighted_to_centres", "row_id cid|value", lambda r: D.to_centres(D.root_weighted(rows(r, 200).where("row_id >= 5"), col_weights(r)), D.root_weighted(rows(r, 5), col_weights(r)).select(F.col("row_id").cast("int").alias("cid"), F.col("features").alias("centre"))),
+    f"SELECT row_id, cid, {METRIC['euclidean']} AS value FROM t WHERE row_id >= 5 GROUP BY 1, 2", "matrix", s="SELECT row_id, col_id, v * SQRT(col_id % 5 + 1) AS v FROM matrix", w=W64.format(n=200).replace("FROM matrix", "FROM s"), t=TO)
+NEAR = "SELECT i, j, value FROM pairs WHERE i <> j UNION ALL SELECT j, i, value FROM pairs WHERE i <> j"
+RANK = "SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY value, j) AS k, COUNT(*) OVER (PARTITION BY i) AS n FROM near"
+CUT = "SELECT i, MAX(CASE WHEN k = 1 + 0 * n AND 1 = GREATEST(1, LEAST(FLOOR((n + 1) * 0.1), n)) OR k = GREATEST(1, LEAST(FLOOR((n + 1) * 0.1), n)) THEN value END) AS a, MAX(CASE WHEN k = LEAST(GREATEST(1, LEAST(FLOOR((n + 1) * 0.1), n)) + 1, n) THEN value END) AS b, MAX(CASE WHEN (n + 1) * 0.1 < 1 OR (n + 1) * 0.1 >= n THEN 0 ELSE (n + 1) * 0.1 - FLOOR((n + 1) * 0.1) END) AS s FROM ranked GROUP BY i"
+_sql, _more = pair_sql("euclidean", "<=")
+KNN = {**_more, "pairs": _sql, "near": NEAR, "ranked": RANK, "cut": CUT, "nn": "SELECT near.i, near.j FROM near JOIN cut USING (i) WHERE value < a + s * (b - a)"}
+
+
+def knn(r: Relations) -> DataFrame:
+    return D.nearest(D.all_pairs(rows(r), "euclidean"), 10.0)
+
+
+add("j10_nearest", "i j", knn, "SELECT * FROM nn", "matrix", **KNN)
+add("j11_best_centre", "row_id cid", lambda r: D.best_centre(D.to_centres(rows(r, 200), centres(r), "correlation"), 0.1), f"SELECT row_id, arg_min(cid, -value * 1000000 + cid * 1e-9) AS cid FROM (SELECT row_id, cid, {METRIC['correlation']} AS value FROM t GROUP BY 1, 2) WHERE value > 0.1 GROUP BY 1", "matrix", w=W64.format(n=200), t=TO)
+add("j12_upsample", "chr_idx bin cluster_id", lambda r: C.upsample(labels(r), r.contacts.select(F.col("chr1").alias("chr_idx"), (F.col("bin1") * 3 + 1).alias("bin")).distinct(), 3), "SELECT f.chr_idx, f.bin, l.cluster_id FROM (SELECT DISTINCT chr1 AS chr_idx, bin1 * 3 + 1 AS bin FROM contacts) f JOIN labels l ON l.chr_idx = f.chr_idx AND l.bin = f.bin // 3", "contacts", "track_a", labels=LABELS)
+add("j13_without_pairs", CELL, lambda r: C.without_pairs(r.contacts, r.spark.createDataFrame([(3, 1), (2, 2)], "chr1 int, chr2 int")), "SELECT * FROM contacts WHERE NOT (chr1 = 1 AND chr2 = 3) AND NOT (chr1 = 2 AND chr2 = 2)", "contacts")
+add("j14_cluster_track", ROW, lambda r: _cluster().to_track(members(r), I.to_intervals(bin_map(r), r.chroms, R)), f"SELECT chr_idx, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2, cid + 1 AS cluster_id FROM m JOIN bin_map USING (row_id) JOIN chroms USING (chr_idx) WHERE cid >= 0", "track_a", "chroms", labels=LABELS, bin_map=BINMAP, m=MEMBERS)
+add("j15_values_on_intervals", "chr_idx x1 x2|value", lambda r: _cluster().values_on_intervals(r.matrix.where("col_id = 3").select("row_id", F.col("v").alias("value")), I.to_intervals(bin_map(r), r.chroms, R)), f"SELECT chr_idx, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2, v AS value FROM matrix JOIN bin_map USING (row_id) JOIN chroms USING (chr_idx) WHERE col_id = 3", "matrix", "track_a", "chroms", labels=LABELS, bin_map=BINMAP)
+add("j16_assignment_track", ROW, lambda r: _cluster().to_track(members(r), I.to_intervals(bin_map(r), r.chroms, R), False), f"SELECT chr_idx, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2, cid AS cluster_id FROM m JOIN bin_map USING (row_id) JOIN chroms USING (chr_idx) WHERE cid >= 0", "track_a", "chroms", labels=LABELS, bin_map=BINMAP, m=MEMBERS)
+add("j17_distance_z", "chr_idx bin1 bin2 dist|cnt z", lambda r: C.distance_z(r.contacts_intra).withColumnRenamed("chr1", "chr_idx"), "SELECT * FROM zrows", "contacts_intra", **ZCHAIN)
+add("j18_chromosome_pairs", "chr1 chr2", lambda r: C.chromosome_pairs(r.chroms), "SELECT a.chr_idx AS chr1, b.chr_idx AS chr2 FROM chroms a JOIN chroms b ON a.chr_idx <= b.chr_idx", "chroms")
+ONE = "SELECT track_id, chr_idx, x1, arg_max(cluster_id, CAST(x2 AS BIGINT) * 1000 + cluster_id) AS cluster_id FROM two GROUP BY 1, 2, 3"
+PAIRED = "SELECT a.track_id AS track1, b.track_id AS track2, a.cluster_id AS id1, b.cluster_id AS id2, COUNT(*) AS n FROM one a JOIN one b USING (chr_idx, x1) WHERE a.track_id <= b.track_id AND a.cluster_id >= 0 AND b.cluster_id >= 0 GROUP BY 1, 2, 3, 4"
+add("j19_track_pairs", "id1 id2 n||track1 track2", lambda r: T.track_pairs(two_tracks(r)), PAIRED, "track_a", "track_b", two=TWO, one=ONE)
+
+# -- aggregations ----------------------------------------------------------------------------------------------
+add("a1_scatter_sum", "row_id col_id|v", lambda r: M.inter_sums(r.contacts, bin_map(r)), "SELECT * FROM sums", "contacts", "track_a", **{k: CHAIN[k] for k in ("labels", "bin_map", "ends", "sums")})
+
+
+def intra_map(r: Relations) -> DataFrame:
+    cells = r.contacts_intra.where("chr1 = chr2").select(F.col("chr1").alias("chr_idx"), F.explode(F.array("bin1", "bin2")).alias("bin")).distinct()
+    return M.global_rows(cells.withColumn("proto", (F.col("bin") % 3 + F.col("chr_idx") * 3 - 3).cast("int")))
+
+
+IMAP = "SELECT chr_idx, bin, bin % 3 + chr_idx * 3 - 3 AS proto, ROW_NUMBER() OVER (ORDER BY chr_idx, bin) - 1 AS row_id FROM (SELECT chr_idx, bin1 AS bin FROM intra UNION SELECT chr_idx, bin2 FROM intra)"
+IENDS = "SELECT a.row_id, b.proto AS col_id, z FROM zrows z JOIN imap a ON a.chr_idx = z.chr_idx AND a.bin = bin1 JOIN imap b ON b.chr_idx = z.chr_idx AND b.bin = bin2 WHERE ABS(z) < 5 AND cnt > 0 UNION ALL SELECT b.row_id, a.proto, z FROM zrows z JOIN imap a ON a.chr_idx = z.chr_idx AND a.bin = bin1 JOIN imap b ON b.chr_idx = z.chr_idx AND b.bin = bin2 WHERE ABS(z) < 5 AND cnt > 0"
+add("a2_guarded_mean", "row_id col_id|v", lambda r: M.intra_means(r.contacts_intra, intra_map(r)), "SELECT row_id, col_id, AVG(z) AS v FROM iends GROUP BY 1, 2 HAVING COUNT(*) > 10", "contacts_intra", **ZCHAIN, imap=IMAP, iends=IENDS)
+add("a3_distance_counts", "chr_idx dist n", lambda r: C.distance_counts(r.contacts_intra), "SELECT chr_idx, dist, n FROM stats", "contacts_intra", intra=INTRA, stats=STATS)
+add("a4_distance_stats", "chr_idx dist|mean sd", lambda r: C.distance_stats(r.contacts_intra), "SELECT chr_idx, dist, mean, sd FROM stats", "contacts_intra", intra=INTRA, stats=STATS)
+ZCOL = "SELECT row_id, col_id, CASE WHEN v > 0 THEN GREATEST(-3, LEAST(3, (v - m) / s)) ELSE v END AS v FROM {t} JOIN (SELECT col_id, AVG(v) FILTER (v > 0) AS m, STDDEV_SAMP(v) FILTER (v > 0) AS s FROM {t} GROUP BY 1) USING (col_id)"
+add("a5_column_z", "row_id col_id|v", lambda r: M.column_z(r.matrix), ZCOL.format(t="matrix"), "matrix")
+add("a6_row_z", "row_id col_id|v", lambda r: M.row_z(r.matrix), "SELECT row_id, col_id, CASE WHEN n > 2 THEN (v - m) / s ELSE v END AS v FROM matrix JOIN (SELECT row_id, AVG(v) FILTER (v > 0) AS m, STDDEV_SAMP(v) FILTER (v > 0) AS s, COUNT(v) FILTER (v > 0) AS n FROM matrix GROUP BY 1) USING (row_id)", "matrix")
+add("a7_global_stats", "n|mean sd", lambda r: M.global_stats(r.matrix), "SELECT COUNT(*) AS n, AVG(v) AS mean, STDDEV_SAMP(v) AS sd FROM matrix WHERE v > 0", "matrix")
+add("a8_column_z_floor", "row_id col_id|v", lambda r: M.column_z_floor(r.matrix, -0.5), "SELECT row_id, col_id, (v - m) / s AS v FROM matrix JOIN (SELECT col_id, AVG(v) AS m, STDDEV_SAMP(v) AS s FROM matrix WHERE v > -0.5 GROUP BY 1) USING (col_id) WHERE v > -0.5", "matrix")
+VC = "SELECT row_id, col_id, v / r / c * (SELECT SUM(v) FROM {t} WHERE v > 0) / SUM(v / r / c) OVER () AS v FROM (SELECT *, SUM(v) OVER (PARTITION BY row_id) AS r, SUM(v) OVER (PARTITION BY col_id) AS c FROM {t} WHERE v > 0)"
+add("a9_vanilla_coverage", "row_id col_id|v", lambda r: M.vanilla_coverage(r.matrix), VC.format(t="matrix"), "matrix")
+add("a10_weights", "col_id w", lambda r: M.weights(bin_map(r)), "SELECT proto AS col_id, COUNT(*) AS w FROM bin_map GROUP BY 1", "track_a", labels=LABELS, bin_map=BINMAP)
+add("a11_contingency", "id1 id2 n", lambda r: T.contingency(r.track_a, r.track_b), TABLE, "track_a", "track_b")
+add("a12_contingency_by_chromosome", "chr_idx id1 id2 n", lambda r: T.contingency(r.track_a, r.track_b, True), TABLE_CHR, "track_a", "track_b")
+add("a13_marginals", "side id n", lambda r: T.marginals(T.contingency(r.track_a, r.track_b)), "SELECT 1 AS side, id1 AS id, SUM(n) AS n FROM t GROUP BY id1 UNION ALL SELECT 2, id2, SUM(n) FROM t GROUP BY id2 UNION ALL SELECT 0, NULL, SUM(n) FROM t", "track_a", "track_b", t=TABLE)
+add("a14_max_id", "max_id", lambda r: T.max_id(r.track_a), "SELECT MAX(cluster_id) AS max_id FROM track_a", "track_a")
+DCHAIN = {"labels": LABELS, "pairs": BOTH, "area": AREA, "density": DENSITY, "cv": CV}
+add("a15_densities", "chr1 chr2 id1 id2|density", lambda r: C.densities(r.contacts, labels(r)), "SELECT * FROM density", "contacts", "track_a", **DCHAIN)
+add("a16_variation", "id1 id2|cv", lambda r: C.variation(C.densities(r.contacts, labels(r))), "SELECT * FROM cv", "contacts", "track_a", **DCHAIN)
+add("a17_sd_of_variations", "|sd_cv", lambda r: C.deviation_of_variations(C.variation(C.densities(r.contacts, labels(r)))), "SELECT STDDEV_SAMP(cv) AS sd_cv FROM cv", "contacts", "track_a", **DCHAIN)
+add("a18_dense_ids", "cluster_id dense_id", lambda r: C.dense_ids(r.track_a.withColumn("cluster_id", F.col("cluster_id") * 3 + 1)), "SELECT DISTINCT cluster_id * 3 + 1 AS cluster_id, DENSE_RANK() OVER (ORDER BY cluster_id) - 1 AS dense_id FROM track_a", "track_a")
+FACTOR, ROUNDS = 4, 10
+SIDED = "SELECT CASE WHEN chr_idx % 2 = 1 THEN 'A' ELSE 'B' END AS side, chr_idx, bin, cluster_id FROM labels"
+PLACED = f"SELECT side, round, chr_idx, bin, cluster_id, ROW_NUMBER() OVER (PARTITION BY side, round, cluster_id ORDER BY MD5(CONCAT_WS('|', 0, round, chr_idx, bin)), chr_idx, bin) - 1 AS p FROM sided, range(0, {ROUNDS}) t(round)"
+STARTS = f"SELECT side, cluster_id, n, COALESCE(SUM(n) OVER (PARTITION BY side ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT side, cluster_id, COUNT(*) // {FACTOR} AS n FROM sided GROUP BY 1, 2)"
+BLOCKS = f"SELECT side, round, chr_idx, bin, cluster_id, p // {FACTOR} + b AS block FROM placed JOIN starts USING (side, cluster_id) WHERE p < n * {FACTOR}"
+BSUMS = "SELECT a.round, a.block AS brow, b.block AS bcol, SUM(cnt) AS s FROM (SELECT chr1, bin1, chr2, bin2, cnt FROM contacts WHERE cnt > 0 AND chr1 <> chr2 UNION ALL SELECT chr2, bin2, chr1, bin1, cnt FROM contacts WHERE cnt > 0 AND chr1 <> chr2) c JOIN blocks a ON a.side = 'A' AND a.chr_idx = chr1 AND a.bin = bin1 JOIN blocks b ON b.side = 'B' AND b.round = a.round AND b.chr_idx = chr2 AND b.bin = bin2 GROUP BY 1, 2, 3"
+MEANS = f"SELECT brow, bcol, SUM(LN(1 + s)) / {ROUNDS} AS v FROM bsums GROUP BY 1, 2"
+GRID = "SELECT a.block AS brow, b.block AS bcol, a.cluster_id AS id1, b.cluster_id AS id2, COALESCE(v, 0) AS v FROM (SELECT DISTINCT block, cluster_id FROM blocks WHERE side = 'A' AND round = 0) a CROSS JOIN (SELECT DISTINCT block, cluster_id FROM blocks WHERE side = 'B' AND round = 0) b LEFT JOIN means ON brow = a.block AND bcol = b.block"
+VAR = "SELECT AVG((v - m) * (v - m)) AS score FROM (SELECT v, AVG(v) OVER ({over}) AS m FROM grid)"
+KL = "SELECT SUM(CASE WHEN v > 0 THEN v / t * LN(v / m) ELSE 0 END) AS score FROM (SELECT v, AVG(v) OVER ({over}) AS m, SUM(v) OVER () AS t FROM grid)"
+RATIOS = f"SELECT 'variance' AS score_type, b.score AS baseline, s.score AS shuffled, b.score / s.score AS ratio FROM ({VAR.format(over='')}) b, ({VAR.format(over='PARTITION BY id1, id2')}) s UNION ALL SELECT 'kl', b.score, s.score, b.score / s.score FROM ({KL.format(over='')}) b, ({KL.format(over='PARTITION BY id1, id2')}) s"
+SCHAIN = {"labels": LABELS, "sided": SIDED, "placed": PLACED, "starts": STARTS, "blocks": BLOCKS, "bsums": BSUMS, "means": MEANS, "grid": GRID, "ratios": RATIOS}
+KINDS = ("ODDS_VS_EVENS",)
+
+
+def blocks(r: Relations) -> DataFrame:
+    return S.shuffled_blocks(S.sided_bins(labels(r), r.chroms, KINDS), FACTOR, ROUNDS)
+
+
+def grid(r: Relations) -> DataFrame:
+    b = blocks(r)
+    return S.grid(b, S.mean_over_rounds(S.block_sums(r.contacts, b), ROUNDS))
+
+
+def chain(last: str) -> dict:
+    names = list(SCHAIN)
+    return {k: SCHAIN[k] for k in names[: names.index(last) + 1]}
+
+
+add("a19_block_sums", "round brow bcol|s", lambda r: S.block_sums(r.contacts, blocks(r)), "SELECT * FROM bsums", "contacts", "track_a", **chain("bsums"))
+add("a20_mean_over_rounds", "brow bcol|v", lambda r: S.mean_over_rounds(S.block_sums(r.contacts, blocks(r)), ROUNDS), "SELECT * FROM means", "contacts", "track_a", **chain("means"))
+add("a21_regions", "r1 r2 n|s", lambda r: S.regions(grid(r), True), "SELECT LEAST(id1, id2) AS r1, GREATEST(id1, id2) AS r2, SUM(v) AS s, COUNT(*) AS n FROM grid GROUP BY 1, 2", "contacts", "track_a", **chain("grid"))
+add("a22_variance_score", "|score", lambda r: S.variance_score(grid(r)), VAR.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
+add("a23_divergence_score", "|score", lambda r: S.divergence_score(grid(r)), KL.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
+add("a24_score_ratios", "|baseline shuffled ratio|score_type", lambda r: S.ratios(grid(r)), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
+add("a25_geometric_mean", "|geometric_mean|score_type", lambda r: S.geometric_mean(S.ratios(grid(r)).union(S.ratios(grid(r)).withColumn("ratio", F.col("ratio") * 4))), "SELECT score_type, ratio * 2 AS geometric_mean FROM ratios", "contacts", "track_a", **SCHAIN)
+add("a26_wcss", "restart n_clusters|wcss", lambda r: _cluster().within(members(r).where("row_id < 200").withColumns({"restart": F.lit(0), "distance": F.col("row_id") / 100.0}), 3), "SELECT 0 AS restart, SUM(d) / 3 + SUM(CASE WHEN n < 5 THEN 3.4028234663852886e38 ELSE 0 END) AS wcss, COUNT(*) AS n_clusters FROM (SELECT cid, SUM(row_id / 100.0) AS d, COUNT(*) AS n FROM m WHERE row_id < 200 GROUP BY 1)", m=MEMBERS)
+add("a27_mean_centres", "cid col_id weight|v", lambda r: _cluster().mean_centres(r.matrix, members(r)), "SELECT cid, col_id, AVG(v) AS v, ANY_VALUE(w) AS weight FROM matrix JOIN m USING (row_id) JOIN (SELECT cid, COUNT(*) AS w FROM m GROUP BY 1) USING (cid) GROUP BY 1, 2", "matrix", m=MEMBERS)
+CUTOFF = "SELECT a.chr_idx AS chr1, b.chr_idx AS chr2, 60 + 5 * (a.chr_idx + b.chr_idx) AS cutoff FROM chroms a JOIN chroms b ON a.chr_idx < b.chr_idx"
+add("a28_translocations", "chr1 chr2 hits", lambda r: C.translocations(r.contacts, C.chromosome_pairs(r.chroms, False).withColumn("cutoff", 60 + 5 * (F.col("chr1") + F.col("chr2"))), C.bad_bins(r.norm_vec)),
+    "SELECT chr1, chr2, COUNT(*) AS hits FROM contacts c JOIN cutoffs USING (chr1, chr2) WHERE cnt > cutoff AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr_idx = chr1 AND b.bin = bin1) AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr_idx = chr2 AND b.bin = bin2) GROUP BY 1, 2 HAVING COUNT(*) >= 12", "contacts", "chroms", "norm_vec", cutoffs=CUTOFF, bad=BAD)
+GREEDY = {f"p{k}": "SELECT * FROM t" + (" WHERE " + " AND ".join(f"id1 NOT IN (SELECT id1 FROM p{j}) AND id2 NOT IN (SELECT id2 FROM p{j})" for j in range(1, k)) if k > 1 else "") + " ORDER BY n DESC, id1, id2 LIMIT 1" for k in range(1, 5)}
+add("a29_accuracy", "matched total|accuracy", lambda r: T.accuracy(T.contingency(r.track_a, r.track_b)), "SELECT m AS matched, s AS total, CAST(m AS DOUBLE) / s AS accuracy FROM (SELECT SUM(n) AS m FROM (SELECT n FROM p1 UNION ALL SELECT n FROM p2 UNION ALL SELECT n FROM p3 UNION ALL SELECT n FROM p4)), (SELECT SUM(n) AS s FROM t)", "track_a", "track_b", t=TABLE, **GREEDY)
+ARI = "SELECT (s - a * b / (N * (N - 1) / 2.0)) / NULLIF((a + b) / 2 - a * b / (N * (N - 1) / 2.0), 0) AS ari FROM (SELECT SUM(n * (n - 1) / 2.0) AS s, SUM(n) AS N FROM t), (SELECT SUM(n * (n - 1) / 2.0) AS a FROM (SELECT SUM(n) AS n FROM t GROUP BY id1)), (SELECT SUM(n * (n - 1) / 2.0) AS b FROM (SELECT SUM(n) AS n FROM t GROUP BY id2))"
+ARI = ARI.replace("SUM(n) AS N", "SUM(n) AS total").replace("(N * (N - 1)", "(total * (total - 1)")
+add("a30_ari", "|ari", lambda r: T.adjusted_rand_index(T.contingency(r.track_a, r.track_b)), ARI, "track_a", "track_b", t=TABLE)
+add("a31_census", "total row_max col_max|row_mean col_mean", lambda r: M.census(r.matrix), "SELECT * FROM (SELECT SUM(n) AS total, MAX(n) AS row_max, AVG(n) AS row_mean FROM (SELECT COUNT(*) FILTER (v IS NULL) AS n FROM matrix GROUP BY row_id)), (SELECT MAX(n) AS col_max, AVG(n) AS col_mean FROM (SELECT COUNT(*) FILTER (v IS NULL) AS n FROM matrix GROUP BY col_id))", "matrix")
+REAL = "v > 1e-10 AND v < 0.9 * 3.4028234663852886e38"
+add("a32_real_mean", "row_id|mean_real sd_real", lambda r: M.wide(r.matrix).select("row_id", *[c.alias(k) for k, c in vectors.array_stats(F.col("features")).items()]), f"SELECT row_id, AVG(v) FILTER ({REAL}) AS mean_real, STDDEV_POP(v) FILTER ({REAL}) AS sd_real FROM matrix GROUP BY 1", "matrix")
+add("a33_array_stats", "row_id|missing maximum mean", lambda r: M.wide(r.matrix).select("row_id", *[c.alias(k) for k, c in vectors.array_stats(F.col("features")).items()]), "SELECT row_id, 1 - COUNT(v) / 64.0 AS missing, MAX(v) AS maximum, AVG(v) AS mean FROM matrix GROUP BY 1", "matrix")
+VOTE = "SELECT i, cid, COUNT(*) AS n FROM nn JOIN m ON m.row_id = j GROUP BY 1, 2"
+add("a34_majority", "i cid", lambda r: D.majority(knn(r), members(r)), "SELECT i, arg_min(cid, cid - 1000 * n) AS cid FROM vote GROUP BY 1", "matrix", **KNN, m=MEMBERS, vote=VOTE)
+add("a35_max_off_diagonal", "|value", lambda r: D.all_pairs(rows(r), "euclidean", strict=True).agg(F.max("value").alias("value")), "SELECT MAX(value) AS value FROM pairs WHERE i < j", "matrix", **{k: KNN[k] for k in ("w", "p", "pairs")})
+add("a36_partial_aggregation", "chr1 chr2 n|s", lambda r: r.contacts.groupBy("chr1", "chr2").agg(F.sum("cnt").alias("s"), F.count(F.lit(1)).alias("n")), "SELECT chr1, chr2, SUM(cnt) AS s, COUNT(*) AS n FROM contacts GROUP BY 1, 2", "contacts")
+add("a37_unassigned_share", "i|share", lambda r: D.unassigned_share(knn(r), members(r).where("cid > 1")), "SELECT i, AVG(CASE WHEN cid > 1 THEN 0.0 ELSE 1.0 END) AS share FROM nn JOIN m ON m.row_id = j GROUP BY 1", "matrix", **KNN, m=MEMBERS)
