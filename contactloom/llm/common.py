@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import prepare
+
 #: A side of at most this many rows of a few bytes may be broadcast; beyond it a shuffle join is planned.
 BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,11 +98,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60
     return w[:-1] / std, float(w[-1] - (w[:-1] * mean / std).sum())
 
 
+#: Bytes of an Arrow batch that a Python worker is sent, where the session has Spark's own default of 64 MB.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts must not pile up in a worker: lower the session's batch size unless it was chosen."""
+    prepare(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow for a function from a batch to a dict of columns, in the order of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     fields = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +128,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
 
 def arrow_filter(df: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """Keep the rows where mask(batch) is true, with every column as it is."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

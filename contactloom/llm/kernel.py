@@ -1,6 +1,6 @@
 """Numpy kernels over the UTF-8 bytes of Arrow string columns.
 
-A column is walked in chunks of about two megabytes.  Word and line boundaries
+A column is walked in chunks of about half a megabyte.  Word and line boundaries
 are found on the bytes, and every word, line or window gets a hash from prefix
 sums of a polynomial modulo 2**64, so no per-word Python object is made.
 Hashes depend on content alone, never on the place in a chunk.
@@ -17,7 +17,7 @@ import pyarrow as pa
 BASE_BYTES = 0x9E3779B97F4A7C15
 BASE_WORDS = 0xD6E8FEB86659FD93
 BASE_WORDS_2 = 0xA0761D6478BD642F
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 WHITE = np.zeros(256, bool)
@@ -30,7 +30,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**k and base**-k modulo 2**64 for k < n at least."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, n + (n >> 2))
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         got = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))

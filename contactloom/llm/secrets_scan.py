@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, column
+from .common import arrow_map, bounded_batches, column
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
 KINDS = ("assign", "access", "hex", "novel")
@@ -150,6 +150,7 @@ def blank(text: str | None, threshold: float = NOVELTY) -> str | None:
 
 def redact(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
     """docs with secrets blanked in text; n_chars, where there is such a column, follows the text."""
+    bounded_batches(docs.sparkSession)
     schema = docs.schema
 
     def run(batches):

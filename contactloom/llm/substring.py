@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,42 +35,45 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, join_checked, materialise, partitions
+from .common import arrow_map, column, materialise, partitions
 from .kernel import BASE_WORDS, BASE_WORDS_2, Chunk, chunks, mix, prefix, sequence_hash, spans
 
 WINDOW = 20
 PERIOD = 13
 #: A perfect difference set modulo 13: every difference occurs.
 COVER = (0, 1, 3, 9)
-#: Most answers joined by broadcast (rows of about 50 bytes).
-ANSWER_ROWS = 500_000
+#: Most bytes of answers that are joined by broadcast.
+ANSWER_BYTES = 64 << 20
+#: Bytes of text that are combined before their blocks are dealt.
+DEAL_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-ANSWER = "id long, h long, runs binary"
 
 
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return column(batch, "doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def to_runs(sorted_places: np.ndarray) -> np.ndarray:
-    """Pairs (first, past the last) of runs of consecutive numbers, as int32."""
-    if not len(sorted_places):
-        return np.zeros(0, np.int32)
-    cut = np.flatnonzero(np.diff(sorted_places) > 1)
-    return np.column_stack([sorted_places[np.concatenate([[0], cut + 1])], sorted_places[np.concatenate([cut, [len(sorted_places) - 1]])] + 1]).astype(np.int32).ravel()
-
-
-def covered(runs: list[bytes], n: int, back: int, ahead: int) -> np.ndarray:
-    """Which of n numbers lie in [a - back, b + ahead) of some run [a, b)."""
+def covered(runs: np.ndarray, n: int, ahead: int) -> np.ndarray:
+    """Which of n numbers lie in [a, b + ahead) of some run [a, b)."""
     mark = np.zeros(n + 1, np.int64)
-    for r in runs:
-        ab = np.frombuffer(r, np.int32).reshape(-1, 2).astype(np.int64)
-        np.add.at(mark, np.clip(ab[:, 0] - back, 0, n), 1)
-        np.add.at(mark, np.clip(ab[:, 1] + ahead, 0, n), -1)
+    ab = runs.reshape(-1, 2).astype(np.int64)
+    np.add.at(mark, np.clip(ab[:, 0], 0, n), 1)
+    np.add.at(mark, np.clip(ab[:, 1] + ahead, 0, n), -1)
     return np.cumsum(mark[:-1]) > 0
 
 
+def runs_of(answer: bytes | None, h: int) -> np.ndarray | None:
+    """The runs of the text with hash h in an answer, a sequence of (hash, length, runs)."""
+    at = 0
+    while answer is not None and at < len(answer):
+        own, n = np.frombuffer(answer, np.int64, 2, at)
+        if own == h:
+            return np.frombuffer(answer, np.int32, int(n), at + 16)
+        at += 16 + 4 * int(n)
+    return None
+
+
 #: Arrays of an entry in a block, by step: an anchor carries 32 bits of its hash besides the bucket (a chance
 #: meeting only makes a window travel), a window 96.
 ARRAYS = {"anchors": (("key", np.uint32), ("place", np.int32), ("seen", np.uint8)), "windows": (("key", np.uint64), ("more", np.uint32), ("place", np.int32))}
@@ -104,13 +108,28 @@ def unpack(step: str, block: bytes) -> dict[str, np.ndarray]:
     return out | {"ids": np.repeat(out["ids"], runs), "h": np.repeat(out["h"], runs)}
 
 
-def answers(ids: np.ndarray, h: np.ndarray, place: np.ndarray) -> dict:
-    """Places by document, as runs."""
-    order = np.lexsort((place, h, ids))
-    ids, h, place = ids[order], h[order], place[order]
-    edge = np.flatnonzero((np.diff(ids, prepend=0) != 0) | (np.diff(h, prepend=0) != 0) | (np.arange(len(ids)) == 0))
-    ends = np.append(edge[1:], len(ids))
-    return {"id": ids[edge], "h": h[edge], "runs": pa.array([to_runs(np.unique(place[s:e])).tobytes() for s, e in zip(edge, ends, strict=True)], pa.binary())}
+def pack_answers(ids: np.ndarray, h: np.ndarray, place: np.ndarray, targets: int) -> tuple[list, list]:
+    """Blocks of places by the part that their document's answer is put together in."""
+    part = (mix(ids.view(np.uint64)) % np.uint64(targets)).astype(np.int32)
+    order = np.lexsort((place, h, ids, part))
+    part, ids, h, place = part[order], ids[order], h[order], place[order].astype(np.int32)
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
+    out: tuple[list, list] = ([], [])
+    for s, e in zip(edge, np.append(edge[1:], len(part)), strict=True):
+        at = np.flatnonzero(new[s:e] | (np.arange(e - s) == 0))
+        parts = (np.array([e - s, len(at)], np.int64), ids[s:e][at], h[s:e][at], np.diff(np.append(at, e - s)).astype(np.int32), place[s:e])
+        out[0].append(int(part[s]))
+        out[1].append(b"".join(p.tobytes() for p in parts))
+    return out
+
+
+def unpack_answers(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, docs = np.frombuffer(block, np.int64, 2)
+    ids, h = np.frombuffer(block, np.int64, docs, 16), np.frombuffer(block, np.int64, docs, 16 + 8 * docs)
+    runs = np.frombuffer(block, np.int32, docs, 16 + 16 * docs)
+    return np.repeat(ids, runs), np.repeat(h, runs), np.frombuffer(block, np.int32, n, 16 + 20 * docs)
 
 
 def anchors(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,25 +143,20 @@ def anchors(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return spans(prefix(h, BASE_WORDS), at, at + length, BASE_WORDS), row[at], number[at]
 
 
-def _both(packed: list[tuple], local: list[dict], buckets: int) -> dict:
-    """Blocks, and local answers as rows of their own that are dealt by document."""
-    bucket, block = (sum((p[k] for p in packed), []) for k in range(2))
-    cat = lambda k: np.concatenate([x[k] for x in local]) if local else np.zeros(0, np.int64)
-    ids, h, m = cat("id"), cat("h"), len(bucket)
-    return {
-        "bucket": np.concatenate([np.array(bucket, np.int32), ((h & 0x7FFFFFFF) % buckets).astype(np.int32)]),
-        "answer": np.arange(m + len(ids)) >= m,
-        "id": np.concatenate([np.zeros(m, np.int64), ids]), "h": np.concatenate([np.zeros(m, np.int64), h]),
-        "block": pa.array(block + [v for x in local for v in x["runs"].to_pylist()], pa.binary()),
-    }
+def _both(packed: list[tuple], local: list[tuple]) -> dict:
+    """Blocks of entries by bucket, and blocks of answers that are known already by part."""
+    out = [sum((p[k] for p in packed), []) for k in range(2)]
+    done = [sum((p[k] for p in local), []) for k in range(2)]
+    n, m = len(out[0]), len(done[0])
+    return {"bucket": np.array(out[0] + done[0], np.int32), "answer": np.arange(n + m) >= n, "block": pa.array(out[1] + done[1], pa.binary())}
 
 
-MIXED = "bucket int, answer boolean, id long, h long, block binary"
+MIXED = "bucket int, answer boolean, block binary"
 
 
 def _deal_anchors(batch: pa.RecordBatch, buckets: int) -> dict:
     ids, packed, local = ids_of(batch), [], []
-    for c in chunks(column(batch, "text")):
+    for c in chunks(column(batch, "text"), DEAL_BYTES):
         key, row, number = anchors(c)
         if not len(key):
             continue
@@ -156,25 +170,25 @@ def _deal_anchors(batch: pa.RecordBatch, buckets: int) -> dict:
         # equal ones within the block are known to survive: one of them travels, marked as seen
         o = order[twice]
         if len(o):
-            local.append(answers(doc[o], h[row[o]], number[o]))
+            local.append(pack_answers(doc[o], h[row[o]], number[o], buckets))
         o, seen = order[first], twice[first]
         packed.append(pack("anchors", key[o], doc[o], h[row[o]], {"key": key[o] >> np.uint64(32), "place": number[o], "seen": seen}, buckets))
-    return _both(packed, local, buckets)
+    return _both(packed, local)
 
 
 def _deal_windows(batch: pa.RecordBatch, buckets: int) -> dict:
     """Full windows that hold a surviving anchor."""
     ids, packed, local = ids_of(batch), [], []
     runs = column(batch, "runs").to_pylist()
-    for c in chunks(column(batch, "text")):
+    for c in chunks(column(batch, "text"), DEAL_BYTES):
         bounds, wh = c.bounds, c.hashes()
         h = sequence_hash(wh, bounds).view(np.int64)
         picked = []
         for i in range(c.n):
-            r = runs[c.rows.start + i]
+            r = runs_of(runs[c.rows.start + i], int(h[i]))
             n = int(bounds[i + 1] - bounds[i])
-            if r and n >= WINDOW:
-                picked.append(np.flatnonzero(covered(r, n - WINDOW + 1, PERIOD - 1, 0)) + bounds[i])
+            if r is not None and n >= WINDOW:
+                picked.append(np.flatnonzero(covered(r, n - WINDOW + 1, 0)) + bounds[i])
         at = np.concatenate(picked) if picked else np.zeros(0, np.int64)
         if not len(at):
             continue
@@ -188,11 +202,11 @@ def _deal_windows(batch: pa.RecordBatch, buckets: int) -> dict:
         first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         o = order[later]
         if len(o):
-            local.append(answers(doc[o], h[row[o]], number[o]))
+            local.append(pack_answers(doc[o], h[row[o]], number[o], buckets))
         # of equal windows all with the earliest key travel (there are several if a row is repeated)
         o = order[~later]
         packed.append(pack("windows", a[o], doc[o], h[row[o]], {"key": a[o], "more": b[o], "place": number[o]}, buckets))
-    return _both(packed, local, buckets)
+    return _both(packed, local)
 
 
 def _later(a: np.ndarray, b: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -204,17 +218,17 @@ def _later(a: np.ndarray, b: np.ndarray, doc: np.ndarray, number: np.ndarray) ->
     return (doc != doc[head]) | (number != number[head])
 
 
-def _gather(step: str):
-    """Answers from the blocks of whole buckets; answers among the rows pass through."""
+def _gather(step: str, targets: int):
+    """Answers from the blocks of whole buckets, as blocks by part; blocks of answers among the rows pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
-        fields = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("runs", pa.binary())])
+        fields = pa.schema([("part", pa.int32()), ("block", pa.binary())])
         for batch in batches:
             done = column(batch, "answer")
             ready = batch.filter(done)
             if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([column(ready, "id"), column(ready, "h"), column(ready, "block")], schema=fields)
+                yield pa.RecordBatch.from_arrays([column(ready, "bucket"), column(ready, "block")], schema=fields)
             rest = batch.filter(pa.compute.invert(done))
             for bucket, block in zip(column(rest, "bucket").to_pylist(), column(rest, "block").to_pylist(), strict=True):
                 by.setdefault(bucket, []).append(block)
@@ -232,58 +246,79 @@ def _gather(step: str):
                 order = np.lexsort((x["place"], x["ids"], x["more"], x["key"]))
                 hit = order[_later(*(x[k][order] for k in ("key", "more", "ids", "place")))]
             if len(hit):
-                out = answers(x["ids"][hit], x["h"][hit], x["place"][hit].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(out["id"]), pa.array(out["h"]), out["runs"]], schema=fields)
+                part, block = pack_answers(x["ids"][hit], x["h"][hit], x["place"][hit], targets)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.binary())], schema=fields)
 
     return run
 
 
+def _merge(step: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One answer for each document, by the hash of its text: runs of repeated windows, or of the windows that hold a surviving anchor."""
+    back = PERIOD - 1 if step == "anchors" else 0
+    by: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, block in zip(column(batch, "part").to_pylist(), column(batch, "block").to_pylist(), strict=True):
+            by.setdefault(part, []).append(block)
+    for part in sorted(by):
+        ids, h, place = (np.concatenate(v) for v in zip(*map(unpack_answers, by.pop(part)), strict=True))
+        order = np.lexsort((place, h, ids))
+        ids, h, place = ids[order], h[order], place[order]
+        text = np.ones(len(ids), bool)
+        text[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
+        start = text.copy()
+        start[1:] |= place[1:] - back > place[:-1] + 1
+        at = np.flatnonzero(start)
+        runs = np.column_stack([np.maximum(place[at] - back, 0), place[np.append(at[1:], len(place)) - 1] + 1]).astype(np.int32)
+        edge = np.flatnonzero(text[at])  # first run of each text
+        ends = np.append(edge[1:], len(at))
+        out: dict[int, bytes] = {}
+        for s, e in zip(edge, ends, strict=True):
+            key = int(ids[at[s]])
+            out[key] = out.get(key, b"") + np.array([h[at[s]], 2 * (e - s)], np.int64).tobytes() + runs[s:e].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], schema=pa.schema([("id", pa.int64()), ("runs", pa.binary())]))
+
+
 def _answer(dealt: DataFrame, step: str) -> DataFrame:
     """One row for each document with an answer."""
-    found = dealt.repartition(partitions(dealt.sparkSession), "bucket").mapInArrow(_gather(step), ANSWER)
-    return materialise(found.groupBy("id", "h").agg(F.collect_list("runs").alias("runs")), f"sub-{step}")
+    n = partitions(dealt.sparkSession)
+    found = dealt.repartition(n, "bucket").mapInArrow(_gather(step, n), "part int, block binary")
+    return materialise(found.repartition(n, "part").mapInArrow(partial(_merge, step), "id long, runs binary"), f"sub-{step}")
 
 
 def _with_answer(docs: DataFrame, answer: DataFrame, how: str) -> DataFrame:
-    """docs (doc_id, text, id, h) joined to its answers by document."""
-    return join_checked(docs, answer, ["id", "h"], how, ANSWER_ROWS)
-
-
-def _keys(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the document key (id, h) that answers carry."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        h = [np.zeros(0, np.int64)] + [sequence_hash(c.hashes(), c.bounds).view(np.int64) for c in chunks(column(batch, "text"))]
-        return {"doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "id": ids_of(batch), "h": np.concatenate(h)}
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, text string, id long, h long")
+    """docs (doc_id, text) joined to its answers."""
+    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    size = answer.agg(F.sum(F.length("runs") + 16)).first()[0] or 0
+    return keyed.join(F.broadcast(answer) if size <= ANSWER_BYTES else answer.hint("merge"), "id", how).select("doc_id", "text", "runs")
 
 
 def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Runs of word numbers at which a repeated window starts: (id, h, runs array of packed int32 pairs)."""
+    """Word numbers at which a repeated window starts: (id, runs), to be read by runs_of()."""
     spark = docs.sparkSession
     buckets = buckets or partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     anchored = _answer(arrow_map(docs, lambda b: _deal_anchors(b, buckets), MIXED), "anchors")
-    found = _with_answer(_keys(docs), anchored, "inner").select("doc_id", "text", "runs")
+    found = _with_answer(docs, anchored, "inner")
     return _answer(arrow_map(found, lambda b: _deal_windows(b, buckets), MIXED), "windows")
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row of docs: words, removed words and the digest (and text, if asked) of what is kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    joined = _with_answer(_keys(docs), repeats(docs), "left").select("doc_id", "text", "runs")
+    joined = _with_answer(docs, repeats(docs), "left")
 
     def run(batch: pa.RecordBatch) -> dict:
         runs, n_words, n_removed, digest, kept_text = column(batch, "runs").to_pylist(), [], [], [], []
-        for c in chunks(column(batch, "text")):
+        for c in chunks(column(batch, "text"), DEAL_BYTES):
             bounds = c.bounds
+            some = any(runs[c.rows])
+            h = sequence_hash(c.hashes(), bounds).view(np.int64) if some else None
             for i in range(c.n):
                 n = int(bounds[i + 1] - bounds[i])
                 words = c.text(i).split()
-                r = runs[c.rows.start + i]
-                if r:
-                    gone = covered(r, n, 0, WINDOW - 1)
+                r = runs_of(runs[c.rows.start + i], int(h[i])) if some else None
+                if r is not None:
+                    gone = covered(r, n, WINDOW - 1)
                     words = [w for w, g in zip(words, gone, strict=True) if not g]
                 kept = b" ".join(words)
                 n_words.append(n)
