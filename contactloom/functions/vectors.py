@@ -58,7 +58,7 @@ def correlation(a: str, b: str) -> Column:
 
 def arctanh(x: Column) -> Column:
     """of a value clamped to +-0.99."""
-    return F.atanh(F.greatest(F.lit(-0.99), F.least(F.lit(0.99), x)))
+    return F.when(x.isNotNull(), F.atanh(F.greatest(F.lit(-0.99), F.least(F.lit(0.99), x))))
 
 
 #: Metrics by name; add to it to extend.

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import prepare
 from .metrics import matrix_of, pair_values
 
 #: Rows that first centres are drawn from.
@@ -32,6 +33,7 @@ def _distance(kind: str) -> str:
 
 def first_centres(rows: DataFrame, k: int, seeds: list[int], kind: str = "means") -> np.ndarray:
     """Spread-out first centres of every restart, from at most SEED_ROWS rows in the order of a hash."""
+    prepare(rows.sparkSession)
     sample = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(SEED_ROWS).toPandas().sort_values("row_id")
     x = matrix_of(sample.features)
     if len(x) < k:

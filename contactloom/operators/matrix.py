@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import cut
 from .contacts import MIN_PER_CELL, distance_z, positive, without_outliers
 
 # Fixed values.
@@ -78,6 +79,7 @@ def densify(cells: DataFrame, bin_map: DataFrame, masked: DataFrame) -> DataFram
 
 def build(contacts: DataFrame, bin_map: DataFrame, translocated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Inter sums on a dense grid with masks, and intra means."""
+    bin_map = cut(bin_map)
     return densify(inter_sums(contacts, bin_map), bin_map, masked_pairs(bin_map, translocated)), intra_means(contacts, bin_map)
 
 
@@ -88,9 +90,9 @@ def append_intra(inter: DataFrame, intra: DataFrame, n_columns: int) -> DataFram
 
 def vanilla_coverage(cells: DataFrame) -> DataFrame:
     """V / (row sum * column sum), scaled back to the old total; what is not positive is masked."""
-    pos = cells.where("v > 0")
+    pos = cut(cells.where("v > 0"))  # read by the sums and by the division
     rows, columns = pos.groupBy("row_id").agg(F.sum("v").alias("_r")), pos.groupBy("col_id").agg(F.sum("v").alias("_c"))
-    scaled = pos.join(rows, "row_id").join(F.broadcast(columns), "col_id").select("row_id", "col_id", (F.col("v") / F.col("_r") / F.col("_c")).alias("_v"), "v")
+    scaled = cut(pos.join(rows, "row_id").join(F.broadcast(columns), "col_id").select("row_id", "col_id", (F.col("v") / F.col("_r") / F.col("_c")).alias("_v"), "v"))
     ratio = scaled.agg(F.try_divide(F.sum("v"), F.sum("_v")).alias("_k"))
     return scaled.join(F.broadcast(ratio)).select("row_id", "col_id", (F.col("_v") * F.col("_k")).alias("v"))
 
@@ -222,8 +224,8 @@ def long(rows: DataFrame) -> DataFrame:
 def preprocess(inter: DataFrame, intra: DataFrame | None, col_weights: DataFrame, n_columns: int, vc: bool = True, log: bool = False, z: bool = True) -> DataFrame:
     """VC norm or division by weights, optional logarithm, column z, intra columns appended, rows with few good cells dropped."""
     out = vanilla_coverage(inter) if vc else divide_by_weights(inter, col_weights)
-    out = log_pseudo(out) if log else out
-    out = column_z(out) if z else out
+    out = cut(log_pseudo(out) if log else out)
+    out = cut(column_z(out)) if z else out
     if intra is not None:
         out = append_intra(out, intra, n_columns)
         n_columns *= 2

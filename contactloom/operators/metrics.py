@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import METRICS
+from ..runtime import prepare
 
 #: Rows of a block.
 BLOCK = 256
@@ -51,6 +52,7 @@ def all_pairs(rows: DataFrame, metric: str = "euclidean", strict: bool = False,
     """(i, j, value) for i <= j (or i < j). Every value is wanted, so the result is quadratic by nature; memory is two blocks a task."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    prepare(rows.sparkSession)
     packed = rows.withColumn("_b", F.floor(F.col("row_id") / block)).groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("row_id", "features"))).alias("rows"))
     a, b = packed.select(F.col("_b").alias("b1"), F.col("rows").alias("r1")), packed.select(F.col("_b").alias("b2"), F.col("rows").alias("r2"))
     units = a.join(b, F.col("b1") <= F.col("b2"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import cut
 from .contacts import positive
 
 ROUNDS = 10
@@ -143,5 +144,6 @@ def sided_bins(bins: DataFrame, chroms: DataFrame, kinds: tuple[str, ...]) -> Da
 def run(contacts: DataFrame, bins: DataFrame, chroms: DataFrame, kinds: tuple[str, ...] = tuple(SPLITS), factor: int = 8, rounds: int = ROUNDS, seed: int = 0, tracks: tuple[str, ...] = ()) -> DataFrame:
     """Scores of annotations; tracks, map types and rounds are grouping columns of one job."""
     keys = (*tracks, "map_type")
-    blocks = shuffled_blocks(sided_bins(bins, chroms, kinds), factor, rounds, seed, (*keys, "side"))
-    return ratios(grid(blocks, mean_over_rounds(block_sums(contacts, blocks, keys), rounds, keys), keys), keys=keys)
+    blocks = cut(shuffled_blocks(sided_bins(bins, chroms, kinds), factor, rounds, seed, (*keys, "side")))
+    cells = cut(grid(blocks, mean_over_rounds(block_sums(contacts, blocks, keys), rounds, keys), keys))
+    return ratios(cells, keys=keys)

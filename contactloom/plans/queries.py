@@ -18,6 +18,7 @@ from ..operators import matrix as M
 from ..operators import metrics as D
 from ..operators import scoring as S
 from ..operators import tracks as T
+from ..runtime import cut, prepare
 from ..sources import bed, tables
 from .fixtures import DUCK, RESOLUTION, oracle, relation
 
@@ -87,7 +88,7 @@ def labels(r: Relations) -> DataFrame:
 
 
 def bin_map(r: Relations) -> DataFrame:
-    return M.bed_mapping(labels(r))
+    return cut(M.bed_mapping(labels(r)))
 
 
 def dense(r: Relations) -> DataFrame:
@@ -318,7 +319,8 @@ def blocks(r: Relations) -> DataFrame:
 
 def grid(r: Relations) -> DataFrame:
     b = blocks(r)
-    return S.grid(b, S.mean_over_rounds(S.block_sums(r.contacts, b), ROUNDS))
+    b = cut(b)
+    return cut(S.grid(b, S.mean_over_rounds(S.block_sums(r.contacts, b), ROUNDS)))
 
 
 def chain(last: str) -> dict:
@@ -352,3 +354,215 @@ add("a34_majority", "i cid", lambda r: D.majority(knn(r), members(r)), "SELECT i
 add("a35_max_off_diagonal", "|value", lambda r: D.all_pairs(rows(r), "euclidean", strict=True).agg(F.max("value").alias("value")), "SELECT MAX(value) AS value FROM pairs WHERE i < j", "matrix", **{k: KNN[k] for k in ("w", "p", "pairs")})
 add("a36_partial_aggregation", "chr1 chr2 n|s", lambda r: r.contacts.groupBy("chr1", "chr2").agg(F.sum("cnt").alias("s"), F.count(F.lit(1)).alias("n")), "SELECT chr1, chr2, SUM(cnt) AS s, COUNT(*) AS n FROM contacts GROUP BY 1, 2", "contacts")
 add("a37_unassigned_share", "i|share", lambda r: D.unassigned_share(knn(r), members(r).where("cid > 1")), "SELECT i, AVG(CASE WHEN cid > 1 THEN 0.0 ELSE 1.0 END) AS share FROM nn JOIN m ON m.row_id = j GROUP BY 1", "matrix", **KNN, m=MEMBERS)
+
+# -- matrix and clustering -------------------------------------------------------------------------------------
+FEATURES = "features"
+
+
+def features(r: Relations, n: int = 200) -> DataFrame:
+    return rows(r, n)
+
+
+def planted(r: Relations) -> DataFrame:
+    """Full embeddings with planted labels."""
+    return prepare(r.spark).read.parquet(f"{r.sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+def clusters(kind: str) -> Callable[[Relations], DataFrame]:
+    def build(r: Relations) -> DataFrame:
+        c = _cluster()
+        x = planted(r)
+        return c.ordered(c.assign(x, c.fit(x, 4, kind, [7], 20), kind).select("row_id", "cid"))
+
+    return build
+
+
+add("m1_kmeans", "row_id cid", clusters("means"))
+add("m2_kmedians", "row_id cid", clusters("medians"))
+STEP = "SELECT row_id, arg_min(cid, value * 1000000 + cid * 1e-9) AS cid, MIN(value) AS distance FROM (SELECT row_id, cid, " + METRIC["euclidean"] + " AS value FROM t GROUP BY 1, 2) GROUP BY 1"
+
+
+def one_step(r: Relations) -> DataFrame:
+    import numpy as np
+
+    start = D.matrix_of(rows(r, 5).orderBy("row_id").toPandas().features)
+    fill = np.where(np.isnan(start), 0.0, start)
+    return _cluster().assign(rows(r, 200), fill[None])
+
+
+ZERO = "SELECT row_id, LIST(COALESCE(v, 0) ORDER BY col_id) AS f FROM matrix WHERE row_id < 5 GROUP BY 1"
+add("m1_assignment_step", "row_id cid|distance", one_step, "SELECT * FROM step", "matrix", w=W64.format(n=200), z=ZERO, t="SELECT a.row_id, b.row_id AS cid, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a CROSS JOIN z b", step=STEP)
+add("m3_best_of_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 4, restarts=5, iterations=10)[1])
+
+
+def swept(r: Relations) -> DataFrame:
+    out = None
+    for k, kind, m in _cluster().sweep(planted(r), 3, 5, ("means",), restarts=2, iterations=5):
+        one = m.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).withColumns({"k": F.lit(k), "kind": F.lit(kind)})
+        out = one if out is None else out.union(one)
+    return out
+
+
+add("m4_sweep", "k cid n||kind", swept)
+add("m5_cluster_order", "row_id cid", lambda r: _cluster().ordered(members(r)), "SELECT row_id, c AS cid FROM m JOIN (SELECT cid, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(row_id)) - 1 AS c FROM m GROUP BY 1) USING (cid)", m=MEMBERS)
+add("m6_assignment", "row_id cid", lambda r: r.matrix.select("row_id").distinct().join(members(r).where("cid < 2"), "row_id", "left").select("row_id", F.coalesce("cid", F.lit(-1)).alias("cid")), "SELECT DISTINCT x.row_id, COALESCE(m.cid, -1) AS cid FROM matrix x LEFT JOIN m ON m.row_id = x.row_id AND m.cid < 2", "matrix", m=MEMBERS)
+add("m7_quick_centres", "cid col_id weight|v", lambda r: _cluster().quick_centres(features(r), r.matrix, 4))
+
+
+def _proto():
+    from ..operators import proto
+
+    return proto
+
+
+add("m8_proto_clusters", "chr_idx bin proto", lambda r: _proto().discover(C.observed_over_expected(C.far(r.contacts_intra, R)), r.chroms_intra, R, 3))
+add("m8_proto_offsets", "chr_idx bin proto", lambda r: _proto().offset(labels(r).withColumnRenamed("cluster_id", "proto")), "SELECT chr_idx, bin, cluster_id + b AS proto FROM labels JOIN (SELECT chr_idx, COALESCE(SUM(n) OVER (ORDER BY chr_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT chr_idx, MAX(cluster_id) + 1 AS n FROM labels GROUP BY 1)) USING (chr_idx)", "track_a", labels=LABELS)
+add("m9_global_rows", "chr_idx bin proto row_id", lambda r: M.global_rows(labels(r).withColumnRenamed("cluster_id", "proto")), "SELECT chr_idx, bin, cluster_id AS proto, ROW_NUMBER() OVER (ORDER BY chr_idx, bin) - 1 AS row_id FROM labels", "track_a", labels=LABELS)
+add("m10_bed_mapping", "chr_idx bin proto row_id", bin_map, "SELECT * FROM bin_map", "track_a", labels=LABELS, bin_map=BINMAP)
+add("m11_matrix_build", "row_id col_id|v", dense, "SELECT * FROM dense", "contacts", "track_a", **CHAIN)
+OE = "SELECT i.chr_idx, bin1, bin2, LN(cnt / m) AS v FROM intra i JOIN (SELECT chr_idx, dist, AVG(cnt) AS m FROM intra WHERE cnt > 0 GROUP BY 1, 2) USING (chr_idx, dist) WHERE cnt > 0"
+OE2 = f"SELECT * FROM ({OE}) UNION ALL SELECT chr_idx, bin2, bin1, v FROM ({OE}) WHERE bin1 <> bin2"
+add("m12_observed_over_expected", "chr_idx bin1 bin2|v", lambda r: C.observed_over_expected(r.contacts_intra), OE2, "contacts_intra", intra=INTRA)
+add("m12_second_block", "chr_idx bin1 bin2|v", lambda r: C.second_z_block(C.observed_over_expected(r.contacts_intra), C.distance_z(r.contacts_intra), r.chroms_intra.select("chr_idx", F.expr(f"cast(length div {R} + 1 as int)").alias("n"))),
+    f"SELECT * FROM oe UNION ALL SELECT chr_idx, bin1, bin2 + 150, z FROM zrows UNION ALL SELECT chr_idx, bin2, bin1 + 150, z FROM zrows WHERE bin1 <> bin2", "contacts_intra", **ZCHAIN, oe=OE2)
+PRE = {"vc": VC.format(t="dense"), "zv": ZCOL.format(t="vc"), "kept": "SELECT * FROM zv WHERE row_id IN (SELECT row_id FROM zv GROUP BY 1 HAVING COUNT(v) > 3 AND COUNT(v) >= 0.3 * 16)"}
+
+
+def preprocessed(r: Relations) -> DataFrame:
+    b = bin_map(r)
+    return M.preprocess(dense(r), None, M.weights(b), 16)
+
+
+add("m13_preprocess", "row_id col_id|v", preprocessed, "SELECT * FROM kept", "contacts", "track_a", **CHAIN, **PRE)
+
+
+def _commands():
+    from . import commands
+
+    return commands
+
+
+add("m14_settings", "vc log z n|total", lambda r: _commands().settings_summary(dense(r), M.weights(bin_map(r)), 16))
+add("m15_best_candidate", "candidate|ratio", lambda r: S.run(r.contacts, candidates(r), r.chroms, KINDS, FACTOR, ROUNDS, tracks=("candidate",)).where("score_type = 'variance'").agg(F.max_by("candidate", F.struct("ratio", -F.col("candidate"))).alias("candidate"), F.max("ratio").alias("ratio")))
+
+
+def candidates(r: Relations) -> DataFrame:
+    a, b = labels(r), T.bins_of(r.track_b, R)
+    return a.withColumn("candidate", F.lit(0)).union(b.withColumn("candidate", F.lit(1)))
+
+
+add("m16_first_candidate", "k candidate", lambda r: r.track_a.select(F.col("cluster_id").alias("k"), (F.col("x1") / R + F.col("chr_idx") * 100).cast("int").alias("candidate")).groupBy("k").agg(F.min("candidate").alias("candidate")), f"SELECT cluster_id AS k, MIN(x1 // {R} + chr_idx * 100) AS candidate FROM track_a GROUP BY 1", "track_a")
+add("m17_shuffled_index", "round chr_idx bin cluster_id block||side", blocks, "SELECT * FROM blocks", "track_a", **chain("blocks"))
+SPLIT_SQL = " UNION ALL ".join(f"SELECT '{k}' AS map_type, chr_idx, CASE WHEN chr_idx IN ({', '.join(map(str, v))}) THEN 'A' ELSE 'B' END AS side FROM chroms" for k, v in S.SPLITS.items())
+SPLIT_SQL += " UNION ALL SELECT 'ODDS_VS_EVENS', chr_idx, CASE WHEN chr_idx % 2 = 1 THEN 'A' ELSE 'B' END FROM chroms UNION ALL SELECT 'FIRST_HALF_VS_SECOND_HALF', chr_idx, CASE WHEN chr_idx <= 2 THEN 'A' ELSE 'B' END FROM chroms UNION ALL SELECT 'SKIP_BY_TWOS', chr_idx, CASE WHEN (chr_idx - 1) % 4 < 2 THEN 'A' ELSE 'B' END FROM chroms"
+
+
+def partitions(r: Relations) -> DataFrame:
+    out = None
+    for kind in (*S.SPLITS, *S.ORIGINAL):
+        one = S.partition(r.chroms, kind)
+        out = one if out is None else out.union(one)
+    return out
+
+
+add("m18_partitions", "chr_idx||map_type side", partitions, SPLIT_SQL, "chroms")
+add("m19_inter_map", "row col|cnt", lambda r: _commands().inter_map(r.contacts, r.chroms, R, "ODDS_VS_EVENS"),
+    "SELECT bin1 + CASE chr1 WHEN 3 THEN 60 ELSE 0 END AS row, bin2 + CASE chr2 WHEN 4 THEN 60 ELSE 0 END AS col, cnt FROM (SELECT chr1, bin1, chr2, bin2, cnt FROM contacts WHERE cnt > 0 AND chr1 <> chr2 UNION ALL SELECT chr2, bin2, chr1, bin1, cnt FROM contacts WHERE cnt > 0 AND chr1 <> chr2) WHERE chr1 % 2 = 1 AND chr2 % 2 = 0", "contacts")
+add("m20_chic", "|baseline shuffled ratio|score_type", lambda r: S.run(r.contacts, labels(r), r.chroms, KINDS, FACTOR, ROUNDS), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
+add("m21_first_eigenvector", "row_id|value", lambda r: _cluster().first_eigenvector(rows(r), D.all_pairs(rows(r), "correlation")))
+add("m22_root_weights", "row_id col_id|v", lambda r: M.scale_by_root_weights(r.matrix, col_weights(r)), "SELECT row_id, col_id, v * SQRT(col_id % 5 + 1) AS v FROM matrix", "matrix")
+
+
+def _consensus():
+    from ..operators import consensus
+
+    return consensus
+
+
+def second_members(r: Relations) -> DataFrame:
+    return members(r).withColumn("cid", ((F.col("cid") + F.when(F.col("row_id") % 5 == 0, 1).otherwise(0)) % 4).cast("int"))
+
+
+add("m23_two_way_hubs", "row_id cid", lambda r: _consensus().two_way_hubs(members(r), second_members(r), 3))
+add("m23_fill_by_neighbours", "row_id cid", lambda r: _consensus().fill_by_neighbours(rows(r), _consensus().two_way_hubs(members(r).where("row_id < 60"), second_members(r).where("row_id < 60"), 3), knn(r), 3))
+add("m24_three_way_hubs", "row_id cid", lambda r: _consensus().three_way_hubs(members(r), second_members(r), members(r), 3))
+CENTRES = "SELECT row_id, LIST(v ORDER BY col_id) AS f FROM matrix WHERE row_id < 5 GROUP BY 1"
+
+
+def imputed(r: Relations) -> DataFrame:
+    flat = M.long(_cluster().impute(rows(r, 200), centres(r), members(r).where("row_id < 200 and cid < 5")))
+    return flat
+
+
+add("m25_impute", "row_id col_id|v", imputed, "SELECT x.row_id, x.col_id, COALESCE(x.v, CASE WHEN c.v > 0 THEN c.v END) AS v FROM matrix x LEFT JOIN (SELECT * FROM m WHERE row_id < 200 AND cid < 5 AND cid IN (SELECT cid FROM m WHERE row_id < 200 AND cid < 5 GROUP BY 1 HAVING COUNT(*) > 10)) g USING (row_id) LEFT JOIN matrix c ON c.row_id = g.cid AND c.col_id = x.col_id WHERE x.row_id < 200", "matrix", m=MEMBERS)
+add("m28_capped_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 3, "means", 2, iterations=5)[1])
+add("m29_chi_square", "c1 c2|statistic p", lambda r: _cluster().chi_square(centres(r).withColumn("centre", F.transform("centre", lambda x: F.abs(x) * 50))))
+PAIR5 = "SELECT a.row_id AS c1, b.row_id AS c2, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON a.row_id {op} b.row_id"
+add("m30_centre_distances", "c1 c2|distance per_entry", lambda r: _cluster().centre_pairs(centres(r)).select("c1", "c2", vectors.euclidean("a", "b").alias("distance"), (vectors.euclidean("a", "b") / 64).alias("per_entry")), f"SELECT c1, c2, {METRIC['euclidean']} AS distance, {METRIC['euclidean']} / 64 AS per_entry FROM p GROUP BY 1, 2", "matrix", w=W64.format(n=5), p=PAIR5.format(op="<"))
+add("m31_similar_entries", "c1 c2 n_similar", lambda r: _cluster().similar_entries(centres(r)), "SELECT c1, c2, SUM(CASE WHEN (x - y) * (x - y) / NULLIF(ABS(y), 0) < 0.05 THEN 1 ELSE 0 END) AS n_similar FROM p GROUP BY 1, 2", "matrix", w=W64.format(n=5), p=PAIR5.format(op="<"))
+add("m32_centre_correlations", "c1 c2|value", lambda r: _cluster().centre_pairs(centres(r), False).select("c1", "c2", vectors.correlation("a", "b").alias("value")), f"SELECT c1, c2, {METRIC['correlation']} AS value FROM p GROUP BY 1, 2", "matrix", w=W64.format(n=5), p=PAIR5.format(op="<="))
+_sql, _more = pair_sql("cosine", "<=")
+add("m33_similarity_matrix", "i j|value", lambda r: D.mirrored(D.all_pairs(rows(r), "cosine")), f"SELECT i, j, value FROM pairs UNION ALL SELECT j, i, value FROM pairs WHERE i <> j", "matrix", **_more, pairs=_sql)
+add("m34_eigen_types", "row_id|value", lambda r: _cluster().first_eigenvector(rows(r, 20), D.all_pairs(rows(r, 20), "cosine")).select("row_id", F.col("value").cast("float").alias("value")))
+add("m35_append_intra", "row_id col_id|v", lambda r: M.append_intra(r.matrix.where("row_id < 50"), r.matrix.where("row_id < 50 and col_id < 10"), 64), "SELECT * FROM matrix WHERE row_id < 50 UNION ALL SELECT row_id, col_id + 64, v FROM matrix WHERE row_id < 50 AND col_id < 10", "matrix")
+
+# -- scalar functions ------------------------------------------------------------------------------------------
+add("f1_log_pseudo", CELL, lambda r: M.log_pseudo(r.contacts.withColumnRenamed("cnt", "v")).withColumnRenamed("v", "cnt"), "SELECT chr1, bin1, chr2, bin2, LN(cnt + 1) AS cnt FROM contacts", "contacts")
+add("f2_log_int", "chr1 bin1 chr2 bin2 v", lambda r: r.contacts.withColumn("v", scalars.log1p_int(F.col("cnt"))), "SELECT chr1, bin1, chr2, bin2, FLOOR(LN(1 + cnt)) AS v FROM contacts", "contacts")
+add("f3_log_clean", "row_id col_id|v", lambda r: r.matrix.where("v > -1").withColumn("v", scalars.log_clean(F.col("v"), -9.0)), "SELECT row_id, col_id, CASE WHEN v > 0 THEN LN(1 + v) ELSE -9 END AS v FROM matrix WHERE v > -1", "matrix")
+add("f4_expm1", "row_id col_id|v", lambda r: r.matrix.withColumn("v", scalars.expm1_positive(F.col("v"))), "SELECT row_id, col_id, CASE WHEN EXP(v) - 1 > 0 THEN EXP(v) - 1 ELSE v END AS v FROM matrix", "matrix")
+
+
+def column_metric(name: str) -> Callable[[Relations], DataFrame]:
+    def build(r: Relations) -> DataFrame:
+        x = rows(r, 40)
+        y = x.select(F.col("row_id").alias("j"), F.col("features").alias("g"))
+        return x.withColumnRenamed("row_id", "i").join(F.broadcast(y), F.col("i") <= F.col("j")).select("i", "j", vectors.METRICS[name]("features", "g").alias("value"))
+
+    return build
+
+
+for _m, _id in (("correlation", "f5_correlation"), ("euclidean", "f6_euclidean"), ("manhattan", "f7_manhattan"), ("cosine", "f8_cosine")):
+    _sql, _more = pair_sql(_m, "<=", 40)
+    add(_id, "i j|value", column_metric(_m), _sql, "matrix", **_more)
+add("f9_arctanh", "row_id col_id|v", lambda r: r.matrix.withColumn("v", vectors.arctanh(F.col("v"))), "SELECT row_id, col_id, 0.5 * (LN(1 + GREATEST(-0.99, LEAST(0.99, v))) - LN(1 - GREATEST(-0.99, LEAST(0.99, v)))) AS v FROM matrix WHERE v IS NOT NULL UNION ALL SELECT row_id, col_id, -2.646652 AS v FROM matrix WHERE FALSE UNION ALL SELECT row_id, col_id, NULL FROM matrix WHERE v IS NULL", "matrix")
+add("f10_distance", "chr1 bin1 bin2 dist", lambda r: C.distance(r.contacts_intra), "SELECT chr_idx AS chr1, bin1, bin2, dist FROM intra", "contacts_intra", intra=INTRA)
+add("f11_clamp", "row_id col_id|v", lambda r: r.matrix.where("v is not null").withColumn("v", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("v")))), "SELECT row_id, col_id, GREATEST(-0.5, LEAST(0.5, v)) AS v FROM matrix WHERE v IS NOT NULL", "matrix")
+add("f12_choose_two", "id1 id2|pairs", lambda r: T.contingency(r.track_a, r.track_b).withColumn("pairs", T.choose_two(F.col("n"))), "SELECT id1, id2, n * (n - 1) / 2.0 AS pairs FROM t", "track_a", "track_b", t=TABLE)
+add("f13_colour", "chr_idx x1||colour", lambda r: r.track_a.withColumn("colour", colours.colour(F.col("cluster_id") + F.expr(f"cast(x1 div {R} as int)"))), f"SELECT chr_idx, x1, {NAMES}[(cluster_id + x1 // {R}) % 20 + 1] AS colour FROM track_a", "track_a")
+add("f15_transpose", "row_id col_id|v", lambda r: M.transpose(r.matrix), "SELECT col_id AS row_id, row_id AS col_id, v FROM matrix", "matrix")
+add("f16_concat", "row_id size", lambda r: rows(r).select("row_id", F.size(F.concat("features", "features")).alias("size")), "SELECT row_id, 128 AS size FROM matrix WHERE row_id < 60 GROUP BY 1", "matrix")
+add("f17_divide_by_weights", "row_id col_id|v", lambda r: M.divide_by_weights(r.matrix, col_weights(r)), "SELECT row_id, col_id, v / (col_id % 5 + 1) AS v FROM matrix", "matrix")
+add("f18_divide_by_count", "row_id col_id|v", lambda r: M.long(rows(r).select("row_id", vectors.divide_by_count(F.col("features"), F.col("row_id") % 7).alias("features"))), "SELECT row_id, col_id, v / GREATEST(row_id % 7, 1) AS v FROM matrix WHERE row_id < 60", "matrix")
+add("f19_add_divide", "row_id col_id|v", lambda r: r.matrix.union(r.matrix).groupBy("row_id", "col_id").agg((F.sum("v") / 10).alias("v")), "SELECT row_id, col_id, (v + v) / 10 AS v FROM matrix", "matrix")
+add("f20_min_max", "|low high", lambda r: r.matrix.agg(F.min("v").alias("low"), F.max("v").alias("high")), "SELECT MIN(v) AS low, MAX(v) AS high FROM matrix", "matrix")
+add("f21_float_cells", "row_id col_id|v", lambda r: r.matrix.withColumn("v", F.col("v").cast("float")), "SELECT row_id, col_id, CAST(v AS FLOAT) AS v FROM matrix", "matrix")
+add("f23_strings", "line_no||label name", lambda r: bed.fields(r.bed).select("line_no", F.lower("cluster_name").alias("label"), F.regexp_replace("name", "^chr", "").alias("name")), "SELECT line_no, LOWER(cluster_name) AS label, regexp_replace(name, '^chr', '') AS name FROM fields", "bed", fields=FIELDS)
+add("f24_unordered_key", "lo hi n", lambda r: T.contingency(r.track_a, r.track_b).groupBy(scalars.unordered_key(F.col("id1"), F.col("id2")).alias("k")).agg(F.sum("n").alias("n")).select("k.lo", "k.hi", "n"), "SELECT LEAST(id1, id2) AS lo, GREATEST(id1, id2) AS hi, SUM(n) AS n FROM t GROUP BY 1, 2", "track_a", "track_b", t=TABLE)
+add("f25_file_stems", "k||stem", lambda r: r.spark.createDataFrame([(k, scalars.file_stem("x", True, False, True, "means", k)) for k in range(2, 5)], "k int, stem string"), "SELECT k, CONCAT('x_vc_z_means_k', k) AS stem FROM range(2, 5) t(k)")
+add("f26_bins", "chr_idx n", lambda r: r.chroms.withColumn("n", scalars.bins(F.col("length"), 7_000_000)), "SELECT chr_idx, length // 7000000 + 1 AS n FROM chroms", "chroms")
+
+# -- sorts, limits, sets ---------------------------------------------------------------------------------------
+add("o1_sorted_intervals", f"{ROW} place", lambda r: I.ordered(r.wide_track).withColumn("place", F.row_number().over(Window.partitionBy("chr_idx").orderBy("x1", "x2"))), "SELECT *, ROW_NUMBER() OVER (PARTITION BY chr_idx ORDER BY x1, x2) AS place FROM wide_track", "wide_track")
+add("o2_by_unassigned", "i place", lambda r: D.unassigned_share(knn(r), members(r).where("cid > 1")).withColumn("place", F.row_number().over(Window.orderBy(F.round("share", 9), "i"))), "SELECT i, ROW_NUMBER() OVER (ORDER BY ROUND(share, 9), i) AS place FROM (SELECT i, AVG(CASE WHEN cid > 1 THEN 0.0 ELSE 1.0 END) AS share FROM nn JOIN m ON m.row_id = j GROUP BY 1)", "matrix", **KNN, m=MEMBERS)
+add("o3_descending", "chr_idx bin place", lambda r: C.bad_bins(r.norm_vec).withColumn("place", F.row_number().over(Window.partitionBy("chr_idx").orderBy(F.desc("bin")))), f"SELECT chr_idx, bin, ROW_NUMBER() OVER (PARTITION BY chr_idx ORDER BY bin DESC) AS place FROM bad", "norm_vec", bad=BAD)
+add("o4_top_cell", "id1 id2 n", lambda r: T.contingency(r.track_a, r.track_b).orderBy(F.desc("n"), "id1", "id2").limit(1), "SELECT * FROM t ORDER BY n DESC, id1, id2 LIMIT 1", "track_a", "track_b", t=TABLE)
+add("o5_union_bad", "chr_idx bin", lambda r: C.union_bad(C.bad_bins(r.norm_vec), r.norm_vec.where("value < 500")), f"SELECT chr_idx, bin FROM bad UNION SELECT chr_idx, bin FROM norm_vec WHERE value < 500", "norm_vec", bad=BAD)
+_sql2, _more2 = pair_sql("manhattan", "<=")
+add("o6_common_neighbours", "i j", lambda r: D.common_neighbours(knn(r), D.nearest(D.all_pairs(rows(r), "manhattan"), 10.0)),
+    "SELECT i, j FROM nn INTERSECT SELECT i, j FROM nn2", "matrix", **KNN, pairs2=_sql2, near2=NEAR.replace("pairs", "pairs2"), ranked2=RANK.replace("near", "near2"), cut2=CUT.replace("ranked", "ranked2"), nn2="SELECT near2.i, near2.j FROM near2 JOIN cut2 USING (i) WHERE value < a + s * (b - a)")
+add("o7_except", "row_id", lambda r: r.matrix.select("row_id").distinct().exceptAll(members(r).where("cid = 1").select("row_id")), "SELECT DISTINCT row_id FROM matrix EXCEPT SELECT row_id FROM m WHERE cid = 1", "matrix", m=MEMBERS)
+add("o8_distinct_ids", "cluster_id", lambda r: r.track_a.select("cluster_id").distinct(), "SELECT DISTINCT cluster_id FROM track_a", "track_a")
+add("o9_rounds", "round n", lambda r: blocks(r).groupBy("round").agg(F.count(F.lit(1)).alias("n")), "SELECT round, COUNT(*) AS n FROM blocks GROUP BY 1", "track_a", **chain("blocks"))
+
+# -- extension points and commands -----------------------------------------------------------------------------
+add("u1_metric_registry", "i j|value", column_metric("mean_square"), "SELECT i, j, AVG((x - y) * (x - y)) AS value FROM p GROUP BY i, j", "matrix", w=W64.format(n=40), p=PAIR.format(op="<="))
+add("u2_score_registry", "|score|score_type", lambda r: S.SCORES["variance"](grid(r), regional=False).withColumn("score_type", F.lit("variance")), f"SELECT 'variance' AS score_type, score FROM ({VAR.format(over='')})", "contacts", "track_a", **chain("grid"))
+add("u7_per_chromosome", "chr_idx n", lambda r: I.collapse(r.track_a).groupBy("chr_idx").agg(F.count(F.lit(1)).alias("n")), f"SELECT chr_idx, COUNT(*) AS n FROM ({ISLAND}) GROUP BY 1", "track_a")
+add("cmd_compare", "||track1 track2", lambda r: T.pairwise_accuracy(two_tracks(r)), "SELECT * FROM (VALUES ('a', 'a'), ('a', 'b'), ('b', 'a'), ('b', 'b')) t(track1, track2)")
+ARI_AB = ARI
+add("cmd_ari", "|ari|track1 track2", lambda r: T.pairwise_ari(two_tracks(r)).where("track1 <> track2"), f"SELECT 'a' AS track1, 'b' AS track2, ari FROM ({ARI}) UNION ALL SELECT 'b', 'a', ari FROM ({ARI})", "track_a", "track_b", t=TABLE)
+add("cmd_cvs", "id1 id2|cv", lambda r: _commands().cvs(r.contacts, r.track_a, R)[0], "SELECT * FROM cv", "contacts", "track_a", **DCHAIN)
+add("cmd_chic", "|geometric_mean|track_id score_type", lambda r: _commands().chic(r.contacts, two_tracks(r), r.chroms, R, ("ODDS_VS_EVENS", "SPLIT1"), FACTOR)[1])
+add("cmd_direct_slice", "i j|l1 cosine", lambda r: _commands().direct_slice(r.contacts, r.track_a, R, n_columns=16))
+add("cmd_slice", "k chr_idx x1 x2 cluster_id", lambda r: _commands().slice_(r.contacts, r.norm_vec, r.chroms, R, 3, 4, restarts=2, iterations=5, settings=_commands().SETTINGS[:2], mapping=bin_map(r)))
