@@ -40,7 +40,7 @@ SCHEMA = "doc_id long, score double, predicted int, n_hits long, hit_weight doub
 
 #: Cyrillic, Greek and other letters that look like a Latin one, then digits and signs used for letters.
 HOMOGLYPHS = dict(zip("авеһіјкмнорсѕтухԁԛԝαβεηικνορτυχωνıɡ", "abehijkmhopcstyxdqwabenikvoptuxwvig", strict=True))
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 _TABLE = {**{ord(a): b for a, b in {**HOMOGLYPHS, **LEET}.items()}, **INVISIBLE}
 _ASCII = str.maketrans(LEET)
