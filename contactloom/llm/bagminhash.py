@@ -10,12 +10,19 @@ weighted Jaccard similarity.  Processes stop once no slot can get earlier.
 
 `ROWS` slots make a band; documents that share a band are candidates.  Links are
 verified on the full multisets: overlap / union >= 0.8.  Texts with equal words
-are one node.  In each band's bucket the first member is compared with the rest;
-while a bucket has members in different components, its next members are compared
-with those behind them, 7, then 56, and so on, until the bucket is one component or
-every pair of components has been compared.  Hence no candidate link between
-components is lost, and a bucket of thousands of near copies costs one comparison
-for each.  (A pair at similarity 0.8 misses all 42 bands with probability 3e-6.)
+are one node.  Only connections matter, so pairs are compared in turns:
+
+1. in each band's bucket the first member with all others;
+2. in buckets whose members are not in one component yet: all pairs of different
+   components in buckets of at most `SMALL` members, and in larger ones every member
+   outside the bucket's largest component with a few of that component's members;
+3. in what is still open, members outside the largest component with all members of
+   other components, block by block.
+
+After the last turn every candidate pair between components has been compared, so no
+link between components is lost, while a bucket of thousands of near copies costs a
+few comparisons for each.  (A pair at similarity 0.8 misses all 42 bands with
+probability 3e-6.)
 
 A class is a connected component of links, named by its smallest doc_id.  Null
 counts as the empty text; texts without words form one class.  Repeated rows share
@@ -30,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_map, column, join_checked, materialise
 from .kernel import BASE_WORDS, BASE_WORDS_2, Chunk, chunks, mix, sequence_hash, windows
@@ -42,6 +48,10 @@ BANDS = 42
 SLOTS = ROWS * BANDS
 #: Similarity as a fraction, compared in whole numbers.
 SIMILAR = (4, 5)
+#: Members of a bucket whose pairs may be listed; partners drawn for a member of a larger one, by turn; rows of a block.
+SMALL = 8
+PARTNERS = (4,)
+BLOCK = 128
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "id long, doc_id long, h1 long, h2 long, bands array<long>"
 
@@ -101,7 +111,7 @@ def signatures(row: np.ndarray, element: np.ndarray, count: np.ndarray, n: int,
         live = when < last[at]
         seed, at, limit, when, low, width = (v[live] for v in (seed, at, limit, when, low, width))
         done += many
-        many = max(1, min(64, done, (1 << 22) // max(1, len(seed))))
+        many = max(1, min(64, done, (1 << 19) // max(1, len(seed))))
     return name.reshape(n, slots)
 
 
@@ -126,7 +136,7 @@ def expanded(c: Chunk) -> list[bytes]:
 
 def _sketch(batch: pa.RecordBatch) -> dict:
     h1, h2, keys, lengths = [], [], [], []
-    for c in chunks(column(batch, "text"), 1 << 20):
+    for c in chunks(column(batch, "text")):
         h, bounds = c.hashes(), c.bounds
         h1.append(sequence_hash(h, bounds).view(np.int64))
         h2.append(sequence_hash(mix(h ^ GOLDEN), bounds, BASE_WORDS_2).view(np.int64))
@@ -160,11 +170,15 @@ def _verify(batch: pa.RecordBatch) -> dict:
     return {"a": column(batch, "a").filter(mask), "b": column(batch, "b").filter(mask)}
 
 
+def _bags_of(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """(rep, bag) of the documents in a written table of ids."""
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
+    return materialise(arrow_map(join_checked(text, involved, "rep"), _bags, "rep long, bag binary"), "near-bags")
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that are similar, by exact multiset overlap."""
-    involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-involved")
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
-    bags = materialise(arrow_map(join_checked(text, involved, "rep"), _bags, "rep long, bag binary"), "near-bags")
+    bags = _bags_of(docs, materialise(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "near-involved"))
     one = bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b"))
     two = bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a"))
     # the side that many pairs share is joined straight from tables, so that AQE can split a hot one
@@ -186,32 +200,95 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, rep, n, root, top, m) of buckets with several components; top is the largest one's root, m its members there."""
+    rooted = buckets.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    rooted = materialise(rooted, "near-rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by(F.struct("root", "c"), F.struct("c", -F.col("root"))).alias("t"))
+    tops = materialise(tops.where("roots > 1").select("key", F.col("t.root").alias("top"), F.col("t.c").alias("m")), "near-tops")
+    return materialise(join_checked(rooted, tops, "key"), "near-open")
+
+
+def _pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: all of small buckets (first turn), drawn ones of large buckets."""
+    small = open_.where(f"n <= {SMALL}").select("key", "rep", "root")
+    other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
+    listed = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and root <> root_b").select("a", "b")
+    large = open_.where(f"n > {SMALL}")
+    top = large.where("root = top").select("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("m")).alias("slot"), F.col("rep").alias("y"))
+    draws = F.explode(F.sequence(F.lit(1), F.lit(PARTNERS[turn]))).alias("d")
+    rest = large.where("root <> top").select("key", F.col("rep").alias("x"), "m", draws).select("key", "x", F.pmod(F.xxhash64("x", "d"), F.col("m")).alias("slot"))
+    drawn = rest.join(top, ["key", "slot"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return (listed.union(drawn) if not turn else drawn).distinct()
+
+
+def _compare(batch: pa.RecordBatch) -> dict:
+    """Links between two blocks of members (rep, root, bag)."""
+    a, b = [], []
+    for left, right in zip(column(batch, "some"), column(batch, "all"), strict=True):
+        x, y = left.as_py(), right.as_py()
+        bags = [[np.frombuffer(v["bag"], np.uint64) for v in side] for side in (x, y)]
+        size = [np.array([len(v) for v in side]) for side in bags]
+        owner = [np.repeat(np.arange(len(n)), n) for n in size]
+        flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in bags]
+        order = np.argsort(flat[1], kind="stable")
+        keys, of = flat[1][order], owner[1][order]
+        low, high = np.searchsorted(keys, flat[0], "left"), np.searchsorted(keys, flat[0], "right")
+        shared = np.zeros((len(x), len(y)), np.int64)
+        for i in range(len(x)):  # one member against the block
+            mine = owner[0] == i
+            n = (high - low)[mine]
+            at = np.repeat(low[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shared[i] = np.bincount(of[at], minlength=len(y))
+        union = size[0][:, None] + size[1][None, :] - shared
+        root = [np.array([v["root"] for v in side]) for side in (x, y)]
+        i, j = np.nonzero((shared * SIMILAR[1] >= SIMILAR[0] * union) & (root[0][:, None] != root[1][None, :]))
+        ra, rb = np.array([v["rep"] for v in x]), np.array([v["rep"] for v in y])
+        a.append(np.minimum(ra[i], rb[j]))
+        b.append(np.maximum(ra[i], rb[j]))
+    cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+    return {"a": cat(a), "b": cat(b)}
+
+
+def _blocks(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Links of the members outside the largest component with members of other components, block by block."""
+    involved = materialise(open_.select("rep").distinct(), "near-involved")
+    bags = _bags_of(docs, involved)
+    rows = open_.join(bags, "rep").select("key", "rep", "root", "bag", "n", (F.col("n") - F.col("m")).alias("k"), (F.col("root") != F.col("top")).alias("rest"))
+    member = F.struct("rep", "root", "bag")
+    dealt = lambda count: F.pmod(F.xxhash64("rep"), F.ceil(F.col(count) / BLOCK)).alias("block")
+    some = rows.where("rest").groupBy("key", dealt("k")).agg(F.collect_list(member).alias("some")).withColumnRenamed("block", "b1")
+    all_ = rows.groupBy("key", dealt("n")).agg(F.collect_list(member).alias("all")).withColumnRenamed("block", "b2")
+    units = some.join(all_, "key").select("some", "all")
+    return materialise(arrow_map(units, _compare, "a long, b long").distinct(), "near-links")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, is_first) for every row of docs (doc_id, text); is_first marks the smallest doc_id of a class."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketch = materialise(arrow_map(docs, _sketch, SKETCH), "near-sketch")
     reps = materialise(sketch.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
+    shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("leader <> last").select("key", "leader", "n")
     buckets = materialise(join_checked(members, materialise(shared, "near-shared"), "key"), "near-buckets")
-    pairs = materialise(buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    links = verified(docs, pairs)
-    tested, labels, low, high = pairs, components(links), 1, 8
-    while True:
-        rooted = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        rooted = materialise(rooted, "near-rooted")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y and n > {low + 1}").select("key")
-        open_ = materialise(rooted.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))), "near-open")
+    tested = materialise(buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    links = verified(docs, tested)
+    labels = components(links)
+    for turn in range(len(PARTNERS) + 1):
+        open_ = _open(buckets, labels)
         if not open_.limit(1).count():
             break
-        lead = open_.where(f"rank > {low} and rank <= {high}").select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("rank").alias("rank_a"))
-        pairs = open_.join(lead, "key").where("rank > rank_a and root <> root_a").select("a", F.col("rep").alias("b")).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.limit(1).count():
-            links = links.union(verified(docs, pairs))
-            tested = tested.union(pairs)
+        if turn < len(PARTNERS):
+            pairs = materialise(_pairs(open_, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+            if not pairs.limit(1).count():
+                continue
+            new, tested = verified(docs, pairs), tested.union(pairs)
+        else:
+            new = _blocks(docs, open_.where(f"n > {SMALL}"))
+        if new.limit(1).count():
+            links = links.union(new)
             labels = components(links)
-        low, high = high, high * 8
     copied = materialise(reps.where("copies > 1").select("h1", "h2", "rep"), "near-copied")
     found = join_checked(sketch.select("id", "doc_id", "h1", "h2"), copied, ["h1", "h2"], "left").select("id", "doc_id", F.coalesce("rep", "id").alias("node"))
     found = join_checked(found, labels, "node", "left")
