@@ -43,19 +43,19 @@ def inter_map(table: DataFrame, chroms: DataFrame, resolution: int, kind: str) -
 
 
 def compare(many: DataFrame, ari: bool = False) -> DataFrame:
-    """compare, ari: every pair of tracks (track_id, ...)."""
+    """Compare: every pair of tracks (track_id, ...)."""
     return tracks.pairwise_ari(many) if ari else tracks.pairwise_accuracy(many)
 
 
 def cvs(table: DataFrame, track: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
-    """cvs: coefficients of variation by ordered pair of clusters, and their deviation."""
+    """Variation: coefficients of variation by ordered pair of clusters, and their deviation."""
     bins = tracks.bins_of(intervals.collapse(track), resolution)
     out = contacts.variation(contacts.densities(table, bins))
     return out, contacts.deviation_of_variations(out)
 
 
-def chic(table: DataFrame, many: DataFrame, chroms: DataFrame, resolution: int, kinds: tuple[str, ...] = tuple(scoring.SPLITS), compression: int | None = None, seed: int = 22871) -> tuple[DataFrame, DataFrame]:
-    """chic, shuffle: scores of every track by partition, and their geometric means; tracks are cut to the loci that all of them have."""
+def block_scores(table: DataFrame, many: DataFrame, chroms: DataFrame, resolution: int, kinds: tuple[str, ...] = tuple(scoring.SPLITS), compression: int | None = None, seed: int = 22871) -> tuple[DataFrame, DataFrame]:
+    """Block scores: scores of every track by partition, and their geometric means; tracks are cut to the loci that all of them have."""
     n = many.select("track_id").distinct().count()
     same = tracks.common_loci(many, resolution, n)
     labels = intervals.to_bins(same, resolution).groupBy("track_id", "chr_idx", "bin").agg(F.max_by("cluster_id", F.struct("x1", "x2", "cluster_id")).alias("cluster_id"))
@@ -63,8 +63,8 @@ def chic(table: DataFrame, many: DataFrame, chroms: DataFrame, resolution: int,
     return scores, scoring.geometric_mean(scores, ("track_id",))
 
 
-def direct_slice(table: DataFrame, track: DataFrame, resolution: int, n_columns: int) -> DataFrame:
-    """direct-slice: compressed inter matrix of an annotation, and L1 and cosine of all pairs of its rows."""
+def compress(table: DataFrame, track: DataFrame, resolution: int, n_columns: int) -> DataFrame:
+    """Compress: compressed inter matrix of an annotation, and L1 and cosine of all pairs of its rows."""
     mapping = matrix.bed_mapping(tracks.bins_of(track, resolution))
     cells = matrix.vanilla_coverage(matrix.build(table, mapping)[0])
     cells = matrix.drop_bad_rows(cells, n_columns)
@@ -75,8 +75,8 @@ def direct_slice(table: DataFrame, track: DataFrame, resolution: int, n_columns:
     return one.join(metrics.all_pairs(rows, "cosine").withColumnRenamed("value", "cosine"), ["i", "j"])
 
 
-def slice_(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
-    """slice: the best annotation (k, chr_idx, x1, x2, cluster_id) for k from first to past - 1.
+def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
+    """Annotate: the best annotation (k, chr_idx, x1, x2, cluster_id) for k from first to past - 1.
 
     Bad bins and translocated pairs are masked, proto clusters found unless a mapping is
     given, and the matrix is built once; every setting and algorithm gives a candidate,

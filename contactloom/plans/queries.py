@@ -468,7 +468,7 @@ def partitions(r: Relations) -> DataFrame:
 add("m18_partitions", "chr_idx||map_type side", partitions, SPLIT_SQL, "chroms")
 add("m19_inter_map", "row col|cnt", lambda r: _commands().inter_map(r.contacts, r.chroms, R, "ODDS_VS_EVENS"),
     "SELECT bin1 + CASE chr1 WHEN 3 THEN 60 ELSE 0 END AS row, bin2 + CASE chr2 WHEN 4 THEN 60 ELSE 0 END AS col, cnt FROM (SELECT chr1, bin1, chr2, bin2, cnt FROM contacts WHERE cnt > 0 AND chr1 <> chr2 UNION ALL SELECT chr2, bin2, chr1, bin1, cnt FROM contacts WHERE cnt > 0 AND chr1 <> chr2) WHERE chr1 % 2 = 1 AND chr2 % 2 = 0", "contacts")
-add("m20_chic", "|baseline shuffled ratio|score_type", lambda r: S.run(r.contacts, labels(r), r.chroms, KINDS, FACTOR, ROUNDS), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
+add("m20_block_scores", "|baseline shuffled ratio|score_type", lambda r: S.run(r.contacts, labels(r), r.chroms, KINDS, FACTOR, ROUNDS), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
 add("m21_first_eigenvector", "row_id|value", lambda r: _cluster().first_eigenvector(rows(r), D.all_pairs(rows(r), "correlation")))
 add("m22_root_weights", "row_id col_id|v", lambda r: M.scale_by_root_weights(r.matrix, col_weights(r)), "SELECT row_id, col_id, v * SQRT(col_id % 5 + 1) AS v FROM matrix", "matrix")
 
@@ -563,6 +563,6 @@ add("cmd_compare", "||track1 track2", lambda r: T.pairwise_accuracy(two_tracks(r
 ARI_AB = ARI
 add("cmd_ari", "|ari|track1 track2", lambda r: T.pairwise_ari(two_tracks(r)).where("track1 <> track2"), f"SELECT 'a' AS track1, 'b' AS track2, ari FROM ({ARI}) UNION ALL SELECT 'b', 'a', ari FROM ({ARI})", "track_a", "track_b", t=TABLE)
 add("cmd_cvs", "id1 id2|cv", lambda r: _commands().cvs(r.contacts, r.track_a, R)[0], "SELECT * FROM cv", "contacts", "track_a", **DCHAIN)
-add("cmd_chic", "|geometric_mean|track_id score_type", lambda r: _commands().chic(r.contacts, two_tracks(r), r.chroms, R, ("ODDS_VS_EVENS", "SPLIT1"), FACTOR)[1])
-add("cmd_direct_slice", "i j|l1 cosine", lambda r: _commands().direct_slice(r.contacts, r.track_a, R, n_columns=16))
-add("cmd_slice", "k chr_idx x1 x2 cluster_id", lambda r: _commands().slice_(r.contacts, r.norm_vec, r.chroms, R, 3, 4, restarts=2, iterations=5, settings=_commands().SETTINGS[:2], mapping=bin_map(r)))
+add("cmd_block_scores", "|geometric_mean|track_id score_type", lambda r: _commands().block_scores(r.contacts, two_tracks(r), r.chroms, R, ("ODDS_VS_EVENS", "SPLIT1"), FACTOR)[1])
+add("cmd_compress", "i j|l1 cosine", lambda r: _commands().compress(r.contacts, r.track_a, R, n_columns=16))
+add("cmd_annotate", "k chr_idx x1 x2 cluster_id", lambda r: _commands().annotate(r.contacts, r.norm_vec, r.chroms, R, 3, 4, restarts=1, iterations=3, settings=_commands().SETTINGS[:1], mapping=bin_map(r)))
