@@ -113,19 +113,18 @@ def _count(batch: pa.RecordBatch) -> dict:
         totals.update(p)
         if y:
             toxic.update(p)
-    keys = [k for k, v in totals.items() if toxic[k]]
+    keys = list(totals)
     return {"piece": keys, "toxic": [toxic[k] for k in keys], "total": [totals[k] for k in keys]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: object = None, limit: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn entries, weights and curve from at most `limit` labelled rows that satisfy `where`.
 
-    The piece counts of clean documents are taken only for pieces that some toxic
-    batch has too, so a piece counts as clean in every batch where it is also toxic;
-    the final precision is checked again on the sample by the curve."""
+    Every batch gives the counts of all its pieces, so toxic and total are the
+    sample's document frequencies however its rows are partitioned."""
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if where is None else where, limit)
-    toxic = arrow_map(sample, _count, "piece string, toxic long, total long")
-    grouped = toxic.groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
+    counted = arrow_map(sample, _count, "piece string, toxic long, total long")
+    grouped = counted.groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
     rows = (
         grouped.where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_PRECISION * F.col("total")))
         .orderBy(F.desc("toxic"), F.length("piece"), "piece").limit(ENTRIES).collect()

@@ -261,6 +261,19 @@ def test_classifiers_rank_held_out_rows(spark):
     assert held_out(spark, quality_crf.score(docs, model), "quality", remainder("doc_id", 5) == 0) > 0.97
 
 
+def test_lexicon_counts_do_not_depend_on_partitions(spark):
+    rows = [(i, f"zapper filler{i}" + " ordinary" * (i < 4 or 20 <= i < 78)) for i in range(20)] + [(i, f"calm filler{i}" + " ordinary" * (i < 78)) for i in range(20, 200)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = toxicity.fit(docs.coalesce(1), labels).weights
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # as many batches as rows
+    try:
+        many = toxicity.fit(docs, labels).weights
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == many and not any(p.startswith(" ordi") for p in many) and any(p.startswith(" zapp") for p in many)
+
+
 def test_folding_and_exceptions():
     lex = toxicity.Lexicon({" trash ": 2.0, " moron": 3.0})
     assert lex.measure(toxicity.fold("M0r0ns, trаsh!"))[:2] == (2, 5.0)  # digits, a Cyrillic letter
