@@ -1,17 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents stand in a fixed pseudo-random order and are cut into blocks
-of `block` characters.  Time runs in slots, one block each.  With quota q of a period
-of H slots, block j = 1, 2, ... of a source is released at floor((j - 1) H / q) and
-due at ceil(j H / q); the earliest deadline among released blocks goes first.  Quotas
-sum to H, so every deadline is met, and at any time each source is less than one
-block away from its share.
-
-The schedule of one period is made on the driver and repeats.  When a source runs
-out, a new phase begins with the weights of the sources left.  Every document gets
-exactly one slot; nothing is dropped or repeated.  Only totals by source (a
-dimension, one row each) come to the driver; documents are numbered in two steps by
-source and hash bucket, so a source with most of the rows is spread over all tasks.
+of `block` characters.  Time runs in slots, one block each.  With share w of the
+weights, block j = 1, 2, ... of a source is released at floor((j - 1) / w) and due at
+ceil(j / w), in exact arithmetic; the earliest deadline among released blocks goes
+first.  Shares sum to 1, so every deadline is met, and at any time of a phase each
+source is less than one block away from its exact share, however long the phase.
+
+When a source runs out, a new phase begins with the weights of the sources left.
+The schedule is made on the driver, one number a block.  Every document gets exactly
+one slot; nothing is dropped or repeated.  Only totals by source (a dimension, one
+row each) come to the driver; documents are numbered in two steps by source and hash
+bucket, so a source with most of the rows is spread over all tasks.
 
 A null source is a source of its own.  Null and empty texts count one character.
 Repeated rows each get a place.  A null doc_id stays null.  Empty tables give empty
@@ -21,7 +21,9 @@ results.  A source without a given weight weighs 0 and comes after all others.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,68 +36,54 @@ from .substring import NO_ID
 
 #: Characters of a block.
 BLOCK = 65_536
-#: Slots of a period, at least four for each source.
-PERIOD = 1000
 #: Power of a source's size that is its weight where no weights are given.
 ALPHA = 0.7
 
 
-def quotas(weights: list[float], period: int) -> list[int]:
-    """Whole numbers near weights, at least 1 each, that sum to the period (largest remainders)."""
-    total = sum(weights) or 1.0
-    share = [max(1.0, w / total * period) for w in weights]
-    scale = (period - len(share)) / max(1e-12, sum(s - 1 for s in share)) if sum(s - 1 for s in share) > 0 else 0
-    exact = [1 + (s - 1) * scale for s in share] if scale else [period / len(share)] * len(share)
-    out = [int(x) for x in exact]
-    for i in sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
-    return out
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*(x.denominator for x in exact))
+    return [int(x * common) for x in exact]
 
 
-def pfair(quota: list[int]) -> np.ndarray:
-    """Source of each slot of a period: earliest deadline first among released blocks."""
-    period = sum(quota)
-    future = [(0, i, 1) for i, q in enumerate(quota) if q]
+def pfair(weights: list[int], blocks: list[int] | None = None) -> np.ndarray:
+    """Source of each slot, earliest deadline first among released blocks, until a source is asked for more than its blocks (the weights themselves if none are given: one period)."""
+    total, blocks = sum(weights), weights if blocks is None else blocks
+    future = [(0, i, 1) for i, w in enumerate(weights) if w]
     heapq.heapify(future)
     ready: list[tuple[int, int, int]] = []
-    out = np.empty(period, np.int64)
-    for t in range(period):
-        while future and future[0][0] <= t:
+    out: list[int] = []
+    while True:
+        while future and future[0][0] <= len(out):
             _, i, j = heapq.heappop(future)
-            heapq.heappush(ready, (-(-j * period // quota[i]), i, j))
+            heapq.heappush(ready, (-(-j * total // weights[i]), i, j))
         _, i, j = heapq.heappop(ready)
-        out[t] = i
-        if j < quota[i]:
-            heapq.heappush(future, (j * period // quota[i], i, j + 1))
-    return out
+        if j > blocks[i]:
+            return np.array(out, np.int64)
+        out.append(i)
+        heapq.heappush(future, (j * total // weights[i], i, j + 1))
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """Phases until every source is used up; each holds, by source, its first block, quota and slots within a period."""
+def phases(blocks: list[int], weights: list[float]) -> list[dict]:
+    """Phases until every source is used up; each holds its start and, by source, its first block, the block past its last and their slots."""
     left, done, start, out = list(blocks), [0] * len(blocks), 0, []
     while any(left):
         live = [i for i, n in enumerate(left) if n and weights[i] > 0] or [i for i, n in enumerate(left) if n]
         w = [weights[i] if weights[i] > 0 else float(blocks[i]) for i in live]
-        size = max(period, 4 * len(live))
-        quota = quotas(w, size)
-        order = pfair(quota)
-        places = [np.flatnonzero(order == k) for k in range(len(live))]
-        whole = min(left[i] // q for i, q in zip(live, quota, strict=True))
-        rest = [left[i] - whole * q for i, q in zip(live, quota, strict=True)]
-        # the phase ends at the first slot that asks a source for more than it has
-        cut = min(int(p[r]) for p, r in zip(places, rest, strict=True) if r < len(p))
-        phase = {"start": start, "period": size, "sources": {}}
+        order = pfair(whole(w), [left[i] for i in live])
+        phase = {"start": start, "sources": {}}
         for k, i in enumerate(live):
-            n = whole * quota[k] + int(np.searchsorted(places[k], cut))
-            phase["sources"][i] = (done[i], done[i] + n, quota[k], places[k])
-            done[i] += n
-            left[i] -= n
-        start += whole * size + cut
+            slots = start + np.flatnonzero(order == k)
+            phase["sources"][i] = (done[i], done[i] + len(slots), slots)
+            done[i] += len(slots)
+            left[i] -= len(slots)
+        start += len(order)
         out.append(phase)
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, source, block, slot, place, phase) of every row of docs (doc_id, source, text); the mix is the order of (slot, place)."""
     spark = docs.sparkSession
     buckets = max(64, 2 * partitions(spark))
@@ -107,8 +95,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     names = [s for s, _ in totals]
     by_name = {s: i for i, s in enumerate(names)}
     goal = [float(weights.get(s, 0.0)) for s in names] if weights is not None else [float(n) ** alpha for _, n in totals]
-    plan = phases([-(-n // block) for _, n in totals], goal, period)
-    ends = {i: [(p["sources"][i], p["start"], p["period"], k) for k, p in enumerate(plan) if i in p["sources"] and p["sources"][i][1] > p["sources"][i][0]] for i in range(len(names))}
+    plan = phases([-(-n // block) for _, n in totals], goal)
+    # by source, the slot of each block and the first block of each phase
+    slots = {i: np.concatenate([p["sources"][i][2] for p in plan if i in p["sources"]]) for i in range(len(names))}
+    began = {i: [(p["sources"][i][0], k) for k, p in enumerate(plan) if i in p["sources"] and p["sources"][i][1] > p["sources"][i][0]] for i in range(len(names))}
     own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     offsets = materialise(sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before")), "mix-offsets")
     placed = base.withColumn("run", F.sum("size").over(own) - F.col("size"))
@@ -124,11 +114,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
         slot, phase = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
         for i in np.unique(source):
             mine = np.flatnonzero(source == i)
-            for (first, last, quota, places), start, size, k in ends[int(i)]:
-                j = mine[(number[mine] >= first) & (number[mine] < last)]
-                r = number[j] - first
-                slot[j] = start + r // quota * size + places[r % quota]
-                phase[j] = k
+            first, k = (np.array(v) for v in zip(*began[int(i)], strict=True))
+            slot[mine] = slots[int(i)][number[mine]]
+            phase[mine] = k[np.searchsorted(first, number[mine], "right") - 1]
         return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "block": number, "slot": slot, "place": at % block, "phase": phase}
 
     return arrow_map(placed, run, tail(docs) + ", source string, block long, slot long, place long, phase int")

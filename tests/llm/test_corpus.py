@@ -217,6 +217,18 @@ def test_pfair_stays_within_a_block():
             assert (order == i).sum() == q
 
 
+def test_mixing_follows_the_exact_weights_through_a_long_phase():
+    weights = [0.12345, 0.0003, 0.4, 0.47625]
+    blocks = [40_000, 100, 40_000, 9_000]
+    plan = mixing.phases(blocks, weights)
+    assert [sum(p["sources"][i][1] - p["sources"][i][0] for p in plan if i in p["sources"]) for i in range(4)] == blocks
+    order = sorted((int(t), i) for i, (_, _, slots) in plan[0]["sources"].items() for t in slots)
+    assert [t for t, _ in order] == list(range(len(order))) and len(order) > 18_000
+    order = np.array([i for _, i in order])
+    for i, w in enumerate(weights):
+        assert np.abs(np.arange(1, len(order) + 1) * w / sum(weights) - np.cumsum(order == i)).max() < 1 + 1e-9
+
+
 def test_mixing_places_every_row_once(spark, docs):
     got = mixing.mix(docs, block=64)
     assert got.count() == docs.count()
