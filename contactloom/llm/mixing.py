@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_map, column, join_checked, materialise, partitions
-from .substring import NO_ID
 
 #: Characters of a block.
 BLOCK = 65_536
@@ -83,12 +82,22 @@ def phases(blocks: list[int], weights: list[float]) -> list[dict]:
     return out
 
 
+def row_key():
+    """Hash of a row's doc_id, text and source: rows without an id, or with one id, stand each for itself."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("source").cast("string"))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, source, block, slot, place, phase) of every row of docs (doc_id, source, text); the mix is the order of (slot, place)."""
+    return dealt(docs, weights, block, alpha).drop("h")
+
+
+def dealt(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
+    """mix() with the row's key h."""
     spark = docs.sparkSession
     buckets = max(64, 2 * partitions(spark))
     size = F.greatest(F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long"), F.lit(1))
-    base = materialise(docs.select("doc_id", F.col("source").cast("string"), size.alias("size"), F.xxhash64("doc_id").alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets))), "mix-base")
+    base = materialise(docs.select("doc_id", F.col("source").cast("string"), size.alias("size"), row_key().alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets))), "mix-base")
     sums = materialise(base.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-sums")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = sorted(((r.source, int(r.n)) for r in sums.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
@@ -105,7 +114,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     # offsets has a row for each source and bucket
     offsets = offsets.withColumn("key", F.xxhash64(F.coalesce("s", F.lit("")), F.col("s").isNull(), "b")).drop("s", "b")
     placed = placed.withColumn("key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "bucket"))
-    placed = join_checked(placed, offsets, "key").select("doc_id", "source", (F.col("before") + F.col("run")).alias("at"))
+    placed = join_checked(placed, offsets, "key").select("doc_id", "source", "h", (F.col("before") + F.col("run")).alias("at"))
 
     def run(batch: pa.RecordBatch) -> dict:
         source = np.array([by_name[s] for s in column(batch, "source").to_pylist()], np.int64)
@@ -117,20 +126,23 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
             first, k = (np.array(v) for v in zip(*began[int(i)], strict=True))
             slot[mine] = slots[int(i)][number[mine]]
             phase[mine] = k[np.searchsorted(first, number[mine], "right") - 1]
-        return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "block": number, "slot": slot, "place": at % block, "phase": phase}
+        return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "block": number, "slot": slot, "place": at % block, "phase": phase, "h": column(batch, "h")}
 
-    return arrow_map(placed, run, tail(docs) + ", source string, block long, slot long, place long, phase int")
+    return arrow_map(placed, run, tail(docs) + ", source string, block long, slot long, place long, phase int, h long")
 
 
 def tail(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
 
 
+def places(docs: DataFrame, **options) -> DataFrame:
+    """(h, slot, place) of every distinct row of docs, by row_key(); repeated rows share the first place."""
+    order = dealt(docs, **options).groupBy("h").agg(F.min(F.struct("slot", "place")).alias("at"))
+    return materialise(order.select("h", "at.slot", "at.place"), "mix-order")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs with all columns, dealt and sorted in the order of the mix."""
-    spark = docs.sparkSession
-    order = mix(docs, **options).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "slot", "place")
-    order = materialise(order.groupBy("_id").agg(F.min(F.struct("slot", "place")).alias("_at")), "mix-order")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    out = join_checked(keyed, order, "_id").repartitionByRange(partitions(spark), "_at").sortWithinPartitions("_at")
+    order = places(docs, **options).select(F.col("h").alias("_id"), F.struct("slot", "place").alias("_at"))
+    out = join_checked(docs.withColumn("_id", row_key()), order, "_id").repartitionByRange(partitions(docs.sparkSession), "_at").sortWithinPartitions("_at")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,6 +15,10 @@ The plan's size depends on the histogram, not on the number of pieces.  Pieces o
 length are numbered in two steps (counts by bucket, numbers within a bucket), and
 each number finds its sequence and offset in the plan.
 
+With an order of the documents (the mix), pieces of a length are numbered in that
+order, buckets being ranges of it, and sequences are numbered by the mean place of
+their tokens.  Which lengths share a sequence stays the plan's choice.
+
 Null counts as the empty text: one piece with the end id alone.  Repeated rows are
 packed each on its own.  A null doc_id stays null.  Other columns are passed over.
 Empty tables give empty results.
@@ -27,7 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,12 +54,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every row of docs (doc_id, text), with the crc32 of their little-endian ids."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: Column | None = None) -> DataFrame:
+    """The pieces of every row of docs (doc_id, text), with the crc32 of their little-endian ids and the row's key (long), if there is one."""
     path = path or tokenizer_path()
 
     def run(batch: pa.RecordBatch) -> dict:
-        doc, out = column(batch, "doc_id").to_pylist(), {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        doc, out = column(batch, "doc_id").to_pylist(), {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "key")}
+        own_key = column(batch, "key").to_pylist()
         end = np.array([END_ID], np.uint32)
         for rows, ids, bounds in token_ids(column(batch, "text"), path):
             for i in range(rows.stop - rows.start):
@@ -63,11 +68,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                 for k, at in enumerate(range(0, len(own), capacity)):
                     part = own[at : at + capacity].astype("<u4").tobytes()
                     crc = zlib.crc32(part)
-                    for name, v in zip(out, (doc[rows.start + i], k, at, len(part) // 4, crc), strict=True):
+                    for name, v in zip(out, (doc[rows.start + i], k, at, len(part) // 4, crc, own_key[rows.start + i]), strict=True):
                         out[name].append(v)
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), run, PIECES)
+    got = arrow_map(docs.select("doc_id", "text", (F.lit(0).cast("long") if key is None else key).alias("key")), run, PIECES + ", key long")
+    return got.drop("key") if key is None else got
 
 
 def knapsack(sizes: np.ndarray, weight: np.ndarray, most: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -198,12 +204,36 @@ def layout(ways: list[tuple[int, dict[int, int]]]) -> list[tuple]:
     return rows
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every row of docs with sequence_id and offset."""
+def in_order(sequences: DataFrame) -> DataFrame:
+    """(sequence_id, new_id): sequences (sequence_id, at) numbered by at, in two steps: counts by range of at, numbers within a range."""
+    spark = sequences.sparkSession
+    last = sequences.agg(F.max("at")).first()[0] or 0.0
+    n = max(BUCKETS, 2 * partitions(spark))
+    cut = sequences.withColumn("bucket", F.least(F.lit(n - 1), F.floor(F.col("at") / F.lit(last + 1.0) * n)).cast("int"))
+    counts = sorted((int(r.bucket), int(r["count"])) for r in cut.groupBy("bucket").count().collect())  # n rows
+    sums = np.cumsum([0] + [c for _, c in counts]).tolist()
+    before = spark.createDataFrame([(b, s) for (b, _), s in zip(counts, sums, strict=False)], "bucket int, before long")
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy("at", "sequence_id")) - 1 + F.col("before")
+    return cut.join(F.broadcast(before), "bucket").select("sequence_id", number.cast("long").alias("new_id"))
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, places: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+    """The pieces of every row of docs with sequence_id and offset; in the order of places (h, slot, place), a written table, by the rows' key, if given."""
     spark = docs.sparkSession
-    parts = materialise(pieces(docs, path, capacity), "pack-pieces")
-    # by document, not by content: copies share a length and spread over its buckets
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(BUCKETS, 2 * partitions(spark)))))
+    buckets = max(BUCKETS, 2 * partitions(spark))
+    parts = materialise(pieces(docs, path, capacity, None if places is None else key), "pack-pieces")
+    if places is None:
+        # by document, not by content: copies share a length and spread over its buckets
+        parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+        order = ["doc_id", "piece", "ids_crc32"]
+    else:
+        last = places.agg(F.max("slot")).first()[0] or 0
+        # a slot's fraction goes by place, in units of the largest one
+        unit = (places.agg(F.max("place")).first()[0] or 0) + 1
+        at = (F.col("slot") + F.col("place") / F.lit(unit)).alias("at")
+        parts = materialise(join_checked(parts, places.select(F.col("h").alias("key"), at), "key").drop("key"), "pack-ordered")
+        parts = parts.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("at") / F.lit(last + 1.0) * buckets)).cast("long"))
+        order = ["at", "doc_id", "piece", "ids_crc32"]
     counts = materialise(parts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = layout(plan(histogram, capacity))
@@ -213,7 +243,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         by[size] = tuple(np.array([r[i] for r in own], np.int64) for i in range(1, 6))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(counts.select("length", "bucket", before.alias("before")), "pack-offsets")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
     numbered = parts.withColumn("within", within)
     numbered = join_checked(numbered, offsets, ["length", "bucket"]).withColumn("number", F.col("within") + F.col("before"))
     ways = spark.sparkContext.broadcast(by)  # bounded by the histogram's fillings
@@ -231,6 +261,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
             rank = number[at] - first[k]
             sequence[at] = base[k] + rank // times[k]
             offset[at] = start[k] + rank % times[k] * size
-        return {**{k: column(batch, k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": sequence, "offset": offset}
+        return {**{k: column(batch, k) for k in kept}, "sequence_id": sequence, "offset": offset}
 
-    return arrow_map(numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["at"] * (places is not None)
+    packed = arrow_map(numbered.select(*kept, "number"), run, PIECES + ", at double" * (places is not None) + ", sequence_id long, offset long")
+    if places is None:
+        return packed
+    packed = materialise(packed, "pack-packed")
+    mean = materialise(packed.groupBy("sequence_id").agg((F.sum(F.col("at") * F.col("length")) / F.sum("length")).alias("at")), "pack-means")
+    new = materialise(in_order(mean), "pack-sequences")
+    return join_checked(packed, new, "sequence_id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("new_id").alias("sequence_id"), "offset")

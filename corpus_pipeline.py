@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and offset."""
-    return packing.pack(docs)
+    """Pieces with their sequence and offset, packed in the order of the mix; rows do not keep an order between stages, so it is found again."""
+    return packing.pack(docs, places=mixing.places(docs), key=mixing.row_key())
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("secret_scan", secrets), ("mixing", mix), ("packing", pack)]

@@ -179,6 +179,27 @@ def test_packing_is_exact_and_tight(spark, docs):
         assert len(sequences) <= 1.02 * -(-sum(r.length for r in got) // 4096) + 1
 
 
+def test_packed_order_follows_the_mix(spark):
+    sources = {"a": 0.6, "b": 0.3, "c": 0.1}
+    rows = [(i, " ".join(f"w{i}" for _ in range(40 + i % 7)), "abc"[i % 3]) for i in range(900)] + [(None, f"no id {i} " * 20, "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = mixing.places(docs, weights=sources, block=256)
+    assert places.count() == len(rows)
+    got = packing.pack(docs, capacity=1024, places=places, key=mixing.row_key())
+    plain = packing.pack(docs, capacity=1024)
+    piece = lambda df: Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert piece(got) == piece(plain) and got.columns == plain.columns
+    n = plain.agg(F.max("sequence_id")).first()[0] + 1
+    by_id = {r[0]: r[2] for r in rows if r[0] is not None}
+    weight = Counter()
+    for r in got.collect():  # the first third of the sequences, before source a is used up
+        if r.sequence_id < n // 3 and r.doc_id is not None:
+            weight[by_id[r.doc_id]] += r.length
+    assert {r.sequence_id for r in got.collect()} == set(range(n))
+    for s, w in sources.items():
+        assert abs(weight[s] / sum(weight.values()) - w) < 0.08
+
+
 def test_plan_covers_the_histogram():
     rng = np.random.default_rng(3)
     hist = {int(s): int(n) for s, n in zip(rng.integers(1, 4097, 300), rng.integers(1, 5000, 300), strict=True)}
