@@ -25,9 +25,10 @@ few comparisons for each.  (A pair at similarity 0.8 misses all 42 bands with
 probability 3e-6.)
 
 A class is a connected component of links, named by its smallest doc_id.  Null
-counts as the empty text; texts without words form one class.  Repeated rows share
-their class; a null doc_id stays null and counts as the smallest.  Where one doc_id
-stands for several texts, a link of any of them is a link of the id.  Other columns
+counts as the empty text; texts without words form one class.  Nodes are keyed by
+doc_id and text (64-bit hash), so rows without an id, or different texts under one
+id, are documents of their own.  Repeated rows share their class; a null doc_id stays
+null, and a class is named null only where none of its rows has an id.  Other columns
 are passed over.  Empty tables give empty results.
 """
 
@@ -40,7 +41,6 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, column, join_checked, materialise
 from .kernel import BASE_WORDS, BASE_WORDS_2, Chunk, chunks, mix, sequence_hash, windows
-from .substring import NO_ID, ids_of
 
 SHINGLE = 5
 ROWS = 6
@@ -53,7 +53,7 @@ SMALL = 8
 PARTNERS = (4,)
 BLOCK = 128
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = "id long, doc_id long, h1 long, h2 long, bands array<long>"
+SKETCH = "key long, doc_id long, h1 long, h2 long, bands array<long>"
 
 
 def bag(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ def _sketch(batch: pa.RecordBatch) -> dict:
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1)
     flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    return {"id": ids_of(batch), "doc_id": column(batch, "doc_id"), "h1": cat(h1), "h2": cat(h2), "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))}
+    return {"key": column(batch, "key"), "doc_id": column(batch, "doc_id"), "h1": cat(h1), "h2": cat(h2), "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))}
 
 
 def _bags(batch: pa.RecordBatch) -> dict:
@@ -171,9 +171,11 @@ def _verify(batch: pa.RecordBatch) -> dict:
 
 
 def _bags_of(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """(rep, bag) of the documents in a written table of ids."""
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
-    return materialise(arrow_map(join_checked(text, involved, "rep"), _bags, "rep long, bag binary"), "near-bags")
+    """(rep, bag) of the documents in a written table of keys."""
+    text = docs.select(F.col("key").alias("rep"), "text")
+    bags = materialise(arrow_map(join_checked(text, involved, "rep"), _bags, "rep long, bag binary"), "near-bags")
+    # repeated rows have one key and one bag
+    return bags if bags.count() == involved.count() else materialise(bags.groupBy("rep").agg(F.first("bag").alias("bag")), "near-bags")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -264,11 +266,21 @@ def _blocks(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return materialise(arrow_map(units, _compare, "a long, b long").distinct(), "near-links")
 
 
+def row_key():
+    """Hash of a row's doc_id and text; null counts as the empty text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, is_first) for every row of docs (doc_id, text); is_first marks the smallest doc_id of a class."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return marked(docs).select("doc_id", "class_id", "is_first")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, class_id, is_first) for every row of docs; key is row_key(), is_first holds for one key of a class."""
+    docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
     sketch = materialise(arrow_map(docs, _sketch, SKETCH), "near-sketch")
-    reps = materialise(sketch.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-reps")
+    reps = materialise(sketch.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("leader <> last").select("key", "leader", "n")
     buckets = materialise(join_checked(members, materialise(shared, "near-shared"), "key"), "near-buckets")
@@ -290,7 +302,12 @@ def classes(docs: DataFrame) -> DataFrame:
             links = links.union(new)
             labels = components(links)
     copied = materialise(reps.where("copies > 1").select("h1", "h2", "rep"), "near-copied")
-    found = join_checked(sketch.select("id", "doc_id", "h1", "h2"), copied, ["h1", "h2"], "left").select("id", "doc_id", F.coalesce("rep", "id").alias("node"))
-    found = join_checked(found, labels, "node", "left")
-    root = F.coalesce("root", "node")
-    return found.select("doc_id", F.when(root != NO_ID, root).alias("class_id"), (F.col("id") == root).alias("is_first"))
+    found = join_checked(sketch.select("key", "doc_id", "h1", "h2"), copied, ["h1", "h2"], "left").select("key", "doc_id", F.coalesce("rep", "key").alias("node"))
+    found = join_checked(found, labels, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
+    found = materialise(found, "near-found")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    names = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
+    names = materialise(names.select("root", F.col("first.doc_id").alias("name"), F.col("first.key").alias("first")), "near-names")
+    found = join_checked(found, names, "root", "left")
+    lone = F.col("first").isNull()
+    return found.select("key", "doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("name")).alias("class_id"), (lone | (F.col("key") == F.col("first"))).alias("is_first"))

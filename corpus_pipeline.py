@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contactloom.llm import bagminhash, mixing, packing, quality_rules, secrets_scan
 from contactloom.llm.common import join_checked, materialise, read
@@ -21,18 +20,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest doc_id."""
-    found = materialise(bagminhash.classes(docs), "stage-classes")
-    gone = materialise(found.where("not is_first").select("doc_id").distinct(), "stage-gone")
-    kept = join_checked(docs, gone, "doc_id", "left_anti")
-    # rows with one doc_id stand for one document: of those, one row stays
-    ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    again = materialise(found.where("is_first").groupBy(ids.alias("k")).count().where("count > 1").select("k"), "stage-again")
+    """One row of each class of near copies: the one with the smallest doc_id (ids before null); a row goes only if its own text is in the class of a kept one."""
+    found = materialise(bagminhash.marked(docs), "stage-classes")
+    keyed = docs.withColumn("_k", bagminhash.row_key())
+    gone = materialise(found.where("not is_first").select(F.col("key").alias("_k")).distinct(), "stage-gone")
+    kept = join_checked(keyed, gone, "_k", "left_anti")
+    # of repeated rows (one doc_id, one text) one stays
+    again = materialise(found.where("is_first").groupBy(F.col("key").alias("_k")).count().where("count > 1").select("_k"), "stage-again")
     if not again.limit(1).count():
-        return kept
-    keyed = kept.withColumn("_k", ids)
-    first = keyed.join(again.withColumnRenamed("k", "_k"), "_k", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("text"))).where("_n = 1")
-    return keyed.join(again.withColumnRenamed("k", "_k"), "_k", "left_anti").select(*docs.columns).union(first.select(*docs.columns))
+        return kept.drop("_k")
+    first = join_checked(kept, again, "_k", "left_semi").groupBy("_k").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+    return join_checked(kept, again, "_k", "left_anti").select(*docs.columns).union(first)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

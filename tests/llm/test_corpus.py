@@ -102,6 +102,16 @@ def test_near_classes_equal_brute_force(spark, docs):
     assert bagminhash.classes(docs).where("doc_id is null").count() == 1
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    text = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    near = text[4].replace("e29", "other")
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (None, text[4]), (7, text[2]), (7, text[3]), (8, near), (9, text[2]), (5, text[5]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == Counter([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, near), (5, text[5]), (None, "")])
+    assert Counter((r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect()) == Counter({(None, None): 5, (None, 8): 1, (7, 7): 2, (8, 8): 1, (9, 7): 1, (5, 5): 1})
+
+
 def test_a_large_group_of_near_copies_is_joined_exactly(spark):
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(60)]
