@@ -37,18 +37,18 @@ def three_way_hubs(a: DataFrame, b: DataFrame, c: DataFrame, k: int) -> DataFram
     return j.join(F.broadcast(table), ["cid", "id2", "id3"]).select("row_id", F.col("hub").alias("cid"))
 
 
-def fill_by_neighbours(rows: DataFrame, hubs: DataFrame, neighbours: DataFrame, rounds: int = 50) -> DataFrame:
+def fill_by_neighbours(rows: DataFrame, hubs: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Rows without a label take the majority of their neighbours, those with the fewest unlabelled neighbours first.
 
-    A round labels all rows whose share of unlabelled neighbours is the lowest of the round."""
-    labels = hubs
-    for _ in range(rounds):
+    A round labels all rows whose share of unlabelled neighbours is the lowest of the round; rounds go on
+    until no row left has a labelled neighbour."""
+    labels, parts = hubs, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
         open_ = rows.select("row_id").join(labels, "row_id", "left_anti")
         share = unassigned_share(neighbours.join(open_.withColumnRenamed("row_id", "i"), "i", "left_semi"), labels).where("share < 1")
         least = share.agg(F.min("share").alias("m")).first().m
         if least is None:
-            break
+            return labels
         turn = share.where(F.col("share") == least).select("i")
         new = majority(neighbours.join(turn, "i", "left_semi"), labels).withColumnRenamed("i", "row_id")
-        labels = labels.union(new).checkpoint()
-    return labels
+        labels = labels.union(new).coalesce(parts).checkpoint()

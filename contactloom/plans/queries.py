@@ -484,7 +484,7 @@ def second_members(r: Relations) -> DataFrame:
 
 
 add("m23_two_way_hubs", "row_id cid", lambda r: _consensus().two_way_hubs(members(r), second_members(r), 3))
-add("m23_fill_by_neighbours", "row_id cid", lambda r: _consensus().fill_by_neighbours(rows(r), _consensus().two_way_hubs(members(r).where("row_id < 60"), second_members(r).where("row_id < 60"), 3), knn(r), 3))
+add("m23_fill_by_neighbours", "row_id cid", lambda r: _consensus().fill_by_neighbours(rows(r), _consensus().two_way_hubs(members(r).where("row_id < 60"), second_members(r).where("row_id < 60"), 3), knn(r)))
 add("m24_three_way_hubs", "row_id cid", lambda r: _consensus().three_way_hubs(members(r), second_members(r), members(r), 3))
 CENTRES = "SELECT row_id, LIST(v ORDER BY col_id) AS f FROM matrix WHERE row_id < 5 GROUP BY 1"
 

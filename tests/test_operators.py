@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from contactloom.functions import vectors
-from contactloom.operators import cluster, contacts, intervals, matrix, metrics, scoring, tracks
+from contactloom.operators import cluster, consensus, contacts, intervals, matrix, metrics, scoring, tracks
 from contactloom.sources import bed
 
 CHROMS = [(1, "chr1", 60_000_000), (2, "chr2", 50_000_000)]
@@ -73,6 +73,16 @@ def test_kmeans_finds_planted_groups(spark):
     assert len({(i % 3, c) for i, c in groups.items()}) == 3
 
 
+def test_every_row_that_labels_reach_is_filled(spark, tmp_path):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    n = 53  # a chain: one row a round
+    rows = spark.createDataFrame([(i,) for i in range(n + 1)], "row_id long")  # the last row has no neighbour
+    near = spark.createDataFrame([(i, j) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "i long, j long")
+    got = consensus.fill_by_neighbours(rows, spark.createDataFrame([(0, 2)], "row_id long, cid int"), near)
+    assert {(r.row_id, r.cid) for r in got.collect()} == {(i, 2) for i in range(n)}
+
+
 def test_one_cluster_scores_one(spark):
     bins = spark.createDataFrame([(c, b, 0) for c in (1, 2) for b in range(16)], "chr_idx int, bin int, cluster_id int")
     c = spark.createDataFrame([(1, i, 2, j, float(i * j % 7 + 1)) for i in range(16) for j in range(16)], "chr1 int, bin1 int, chr2 int, bin2 int, cnt double")
