@@ -34,7 +34,8 @@ _ASSIGN_HINT = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CONTEXT = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "credential", "private", "login")
 CONTEXT = re.compile("|".join(_CONTEXT), re.IGNORECASE | re.ASCII)
 REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Bytes of surrounding text on either side that a candidate is weighed against.
 AROUND = 256
 #: Share of its own length that a candidate must still need after compression.
@@ -94,7 +95,7 @@ def find(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, int, s
     if any(w in low for w in _CONTEXT):
         base, seen = list(out), set()
         for k in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, k.end(), min(len(text), k.end() + REACH)):
+            for m in CANDIDATE.finditer(text, k.end(), min(len(text), k.end() + REACH + LEAST)):  # a start at REACH needs LEAST characters behind it
                 start, end = m.start(), CANDIDATE.match(text, m.start()).end()
                 s = text[start:end]
                 if start in seen or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):

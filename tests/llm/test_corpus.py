@@ -149,6 +149,13 @@ def test_secrets_keep_the_base_spans(docs):
     assert "zq9Kf83h" not in secrets_scan.blank(TEXTS[14]) and secrets_scan.blank(BASE) == BASE
 
 
+def test_candidates_reach_as_far_as_stated():
+    own = "zq9Kf83hTTpLw0Xv7RbN2mYs"
+    for gap in (1, 32, 33, 40, 48, 49):
+        text = "key" + " " * gap + own
+        assert [(a, b, k) for a, b, k in secrets_scan.find(text)] == ([(3 + gap, 3 + gap + len(own), "novel")] if gap <= secrets_scan.REACH else [])
+
+
 def test_quality_statistics_equal_brute_force(spark, docs):
     model = quality_rules.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     for r in quality_rules.score(docs, model).collect():
