@@ -33,15 +33,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert every document, revise its count by the end id, withdraw documents under five words, replay the revision."""
+    """Insert every document, revise its count by the end id, withdraw documents under five words, replay the revision, insert the withdrawn ones again: the totals are over all documents."""
     counts = materialise(token_rollup.count_tokens(read(spark, sf_dir, "documents")).withColumn("n_closed", F.col("n_tokens") + 1), "token-counts")
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     versions = [("words-1", "n_words"), ("word_bpe_49k", "n_tokens")]
     revised = token_rollup.revisions(counts, "word_bpe_49k", "n_tokens", "n_closed")
     rollup.commit("0001-insert", token_rollup.inserts(counts, versions))
     rollup.commit("0002-revise", revised)
-    rollup.commit("0003-delete", token_rollup.deletes(counts.where("n_words < 5"), [("words-1", "n_words"), ("word_bpe_49k", "n_closed")]))
+    short, closed = counts.where("n_words < 5"), [("words-1", "n_words"), ("word_bpe_49k", "n_closed")]
+    rollup.commit("0003-delete", token_rollup.deletes(short, closed))
     rollup.commit("0002-revise", revised)
+    rollup.commit("0004-insert", token_rollup.inserts(short, closed))
     return rollup.totals()
 
 

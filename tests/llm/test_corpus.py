@@ -296,6 +296,16 @@ def test_rollup_replays_change_nothing(spark, docs, tmp_path):
     assert read() == want and not r.commit("a-2", token_rollup.inserts(counts, [("w", "n_words")]))
 
 
+def test_rollup_query_totals_cover_all_documents(spark, tmp_path):
+    from contactloom.llm.queries import op5_token_rollup
+
+    rows = [(t, "en", f"s{i % 2}") for i, t in enumerate((None, "", "one", "one two three four", BASE, "a b c d e f"))]
+    spark.createDataFrame(rows, "text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op5_token_rollup(spark, f"file://{tmp_path}").groupBy("tokenizer_version").agg(F.sum("n_docs").alias("n"), F.sum("n_tokens").alias("t")).collect()
+    assert {r.tokenizer_version: r.n for r in got} == {"words-1": 6, "word_bpe_49k": 6}
+    assert {r.tokenizer_version: r.t for r in got}["words-1"] == sum(len((t or "").split()) for t, _, _ in rows)
+
+
 def held_out(spark, scored, label, where):
     rows = scored.where(where).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("score", label).collect()
     y, s = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
