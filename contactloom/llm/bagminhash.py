@@ -10,14 +10,15 @@ weighted Jaccard similarity.  Processes stop once no slot can get earlier.
 
 `ROWS` slots make a band; documents that share a band are candidates.  Links are
 verified on the full multisets: overlap / union >= 0.8.  Texts with equal words
-are one node.  Only connections matter, so pairs are compared in turns:
+(128 bits, of two lanes over the bytes) are one node.  Only connections matter, so pairs are compared in turns:
 
 1. in each band's bucket the first member with all others;
 2. in buckets whose members are not in one component yet: all pairs of different
    components in buckets of at most `SMALL` members, and in larger ones every member
    outside the bucket's largest component with a few of that component's members;
 3. in what is still open, members outside the largest component with all members of
-   other components, block by block.
+   other components, block by block; a block has at most about `BLOCK` members and
+   `BLOCK_BYTES`, and each pair of blocks is a row of its own, dealt by both.
 
 After the last turn every candidate pair between components has been compared, so no
 link between components is lost, while a bucket of thousands of near copies costs a
@@ -29,7 +30,8 @@ counts as the empty text; texts without words form one class.  Nodes are keyed b
 doc_id and text (64-bit hash), so rows without an id, or different texts under one
 id, are documents of their own.  Repeated rows share their class; a null doc_id stays
 null, and a class is named null only where none of its rows has an id.  Other columns
-are passed over.  Empty tables give empty results.
+are passed over.  Empty tables give empty results.  Very long texts are read whole; a
+worker holds about 60 times the bytes of the longest one.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, column, join_checked, materialise
-from .kernel import BASE_WORDS, BASE_WORDS_2, Chunk, chunks, mix, sequence_hash, windows
+from .kernel import Chunk, chunks, mix, sequence_hash, windows
 
 SHINGLE = 5
 ROWS = 6
@@ -51,7 +53,8 @@ SIMILAR = (4, 5)
 #: Members of a bucket whose pairs may be listed; partners drawn for a member of a larger one, by turn; rows of a block.
 SMALL = 8
 PARTNERS = (4,)
-BLOCK = 128
+BLOCK = 64
+BLOCK_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "key long, doc_id long, h1 long, h2 long, bands array<long>"
 
@@ -139,7 +142,7 @@ def _sketch(batch: pa.RecordBatch) -> dict:
     for c in chunks(column(batch, "text")):
         h, bounds = c.hashes(), c.bounds
         h1.append(sequence_hash(h, bounds).view(np.int64))
-        h2.append(sequence_hash(mix(h ^ GOLDEN), bounds, BASE_WORDS_2).view(np.int64))
+        h2.append(sequence_hash(c.hashes(1), bounds, 1).view(np.int64))
         wordy = np.diff(bounds) > 0
         names = signatures(*bag(c), c.n)
         keys.append(band_keys(names)[wordy].view(np.int64).ravel())
@@ -257,12 +260,19 @@ def _blocks(docs: DataFrame, open_: DataFrame) -> DataFrame:
     """Links of the members outside the largest component with members of other components, block by block."""
     involved = materialise(open_.select("rep").distinct(), "near-involved")
     bags = _bags_of(docs, involved)
-    rows = open_.join(bags, "rep").select("key", "rep", "root", "bag", "n", (F.col("n") - F.col("m")).alias("k"), (F.col("root") != F.col("top")).alias("rest"))
+    # blocks are numbered by hash, as many as the members and their bytes ask for
+    rows = open_.join(bags, "rep").select("key", "rep", "root", "bag", (F.col("root") != F.col("top")).alias("rest"))
+    rows = materialise(rows, "near-rest")
+    needs = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    size, rest = F.octet_length("bag"), F.col("rest").cast("int")
+    counts = rows.groupBy("key").agg(needs(F.count(F.lit(1)), F.sum(size)).alias("n2"), needs(F.sum(rest), F.sum(rest * size)).alias("n1"))
+    rows = join_checked(rows, materialise(counts, "near-counts"), "key")
     member = F.struct("rep", "root", "bag")
-    dealt = lambda count: F.pmod(F.xxhash64("rep"), F.ceil(F.col(count) / BLOCK)).alias("block")
-    some = rows.where("rest").groupBy("key", dealt("k")).agg(F.collect_list(member).alias("some")).withColumnRenamed("block", "b1")
-    all_ = rows.groupBy("key", dealt("n")).agg(F.collect_list(member).alias("all")).withColumnRenamed("block", "b2")
-    units = some.join(all_, "key").select("some", "all")
+    dealt = lambda count, name: F.pmod(F.xxhash64("rep"), F.col(count)).alias(name)
+    all_ = rows.groupBy("key", dealt("n2", "b2")).agg(F.collect_list(member).alias("all"))
+    some = rows.where("rest").groupBy("key", "n2", dealt("n1", "b1")).agg(F.collect_list(member).alias("some"))
+    some = some.select("key", "some", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n2").cast("long") - 1)).alias("b2"))
+    units = some.join(all_, ["key", "b2"]).select("some", "all")
     return materialise(arrow_map(units, _compare, "a long, b long").distinct(), "near-links")
 
 

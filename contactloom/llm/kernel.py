@@ -1,40 +1,34 @@
 """Numpy kernels over the UTF-8 bytes of Arrow string columns.
 
 A column is walked in chunks of about half a megabyte.  Word and line boundaries
-are found on the bytes, and every word, line or window gets a hash from prefix
-sums of a polynomial modulo 2**64, so no per-word Python object is made.
-Hashes depend on content alone, never on the place in a chunk.
+are found on the bytes, and every word or line gets a hash that mixes its bytes
+block by block (eight at a time, each through a finaliser; long ones by BLAKE2), so
+no per-word Python object is made.  Windows fold the hashes of their words in turn.
+There are two lanes of 64 bits with different mixing, for 128 bits where identity
+across documents counts.  Where a count depends on equality within a chunk,
+`numbers` compares the bytes themselves.  Hashes depend on content alone, never on
+the place in a chunk, and nothing is kept between chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Odd multipliers of the polynomial hashes (any odd numbers do).
-BASE_BYTES = 0x9E3779B97F4A7C15
-BASE_WORDS = 0xD6E8FEB86659FD93
-BASE_WORDS_2 = 0xA0761D6478BD642F
 CHUNK_BYTES = 1 << 19
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans of more bytes than this are hashed by BLAKE2, one at a time.
+LONG = 64
+#: Odd multipliers of the two lanes.
+LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k < n at least."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(1 << 16, n + (n >> 2))
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        got = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return got
+#: Low bytes of a block that belong to a span of so many more bytes.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +41,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values[k] * base**k, with a leading zero."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], dtype=np.uint64, out=out[1:])
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on, as one number each; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span.  Spans of up to eight bytes and one length never collide."""
+    size = ends - starts
+    every = blocks(data)
+    out = mix((size + 1).astype(np.uint64) * LANES[lane])
+    at = np.arange(len(size))
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k] if k else np.flatnonzero(size > 0)
+        if not len(at):
+            return out
+        block = every[starts[at] + k] & _LOW[np.minimum(size[at] - k, 8)]
+        out[at] = mix((out[at] ^ block) * LANES[lane] + np.uint64(k))
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[lane]
     return out
 
 
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each [start, end) of the sequence that prefix() summed."""
-    down = powers(base, len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def window_hash(hashes: np.ndarray, at: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hash of the k word hashes from each place on, folded in turn."""
+    out = np.full(len(at), LANES[lane])
+    shift = np.uint64(29 + 3 * lane)
+    for j in range(k):
+        out += hashes[at + j]
+        out *= LANES[lane]
+        out ^= out >> shift
+    return mix(out)
+
+
+def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of a first occurrence of each distinct span, and the number of every span among these.
+
+    Equal numbers mean equal bytes: spans of one hash are compared block by block (long ones have
+    128 bits of BLAKE2 behind them), and should any differ, all are told apart by their bytes."""
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    size, model = ends - starts, first[inverse]
+    same = size == size[model]
+    if same.all():
+        every, at = blocks(data), np.flatnonzero((model != np.arange(len(model))) & (size <= LONG))
+        for k in range(0, LONG, 8):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            low = _LOW[np.minimum(size[at] - k, 8)]
+            if ((every[starts[at] + k] ^ every[starts[model[at]] + k]) & low).any():
+                same[at[0]] = False
+                break
+        long = np.flatnonzero((model != np.arange(len(model))) & (size > LONG))
+        if len(long) and same.all():
+            one, two = (span_hash(data, starts[i], ends[i], 1) for i in (long, model[long]))
+            same[long] = one == two
+    if same.all():
+        return first, inverse
+    seen: dict[bytes, int] = {}
+    first, inverse = [], np.empty(len(starts), np.int64)
+    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        k = seen.setdefault(data[s:e].tobytes(), len(first))
+        if k == len(first):
+            first.append(i)
+        inverse[i] = k
+    return np.array(first, np.int64), inverse
 
 
 class Chunk:
@@ -66,14 +117,8 @@ class Chunk:
     def __init__(self, rows: slice, data: np.ndarray, offsets: np.ndarray):
         self.rows, self.data, self.offsets = rows, data, offsets
         self.n = len(offsets) - 1
-        self._sums: np.ndarray | None = None
         self._words: tuple[np.ndarray, np.ndarray] | None = None
-
-    @property
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            self._sums = prefix(self.data.astype(np.uint64) + np.uint64(1), BASE_BYTES)
-        return self._sums
+        self._hashes: dict[int, np.ndarray] = {}
 
     def tokens(self, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of maximal runs without break bytes, cut at row ends."""
@@ -99,28 +144,40 @@ class Chunk:
         """Row i has the words bounds[i] to bounds[i + 1]."""
         return np.searchsorted(self.words[0], self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        return spans(self.sums, *self.words, BASE_BYTES)
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        if lane not in self._hashes:
+            self._hashes[lane] = span_hash(self.data, *self.words, lane)
+        return self._hashes[lane]
 
-    def row_hash(self) -> np.ndarray:
-        """One 64-bit hash of each whole row."""
-        return spans(self.sums, self.offsets[:-1], self.offsets[1:], BASE_BYTES)
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words by first place, and each word's number; equal numbers are equal words."""
+        return numbers(self.data, *self.words, self.hashes())
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def windows(hashes: np.ndarray, bounds: np.ndarray, k: int, base: int = BASE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word and hash of every k-word window within a row."""
-    n = len(hashes)
+def window_places(bounds: np.ndarray, k: int) -> np.ndarray:
+    """Index of the first word of every k-word window within a row."""
+    n = int(bounds[-1])
     room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
-    at = np.flatnonzero(room >= k)
-    return at, spans(prefix(hashes, base), at, at + k, base)
+    return np.flatnonzero(room >= k)
 
 
-def sequence_hash(hashes: np.ndarray, bounds: np.ndarray, base: int = BASE_WORDS) -> np.ndarray:
-    """Hash of each row's whole word sequence."""
-    return spans(prefix(hashes, base), bounds[:-1], bounds[1:], base)
+def windows(hashes: np.ndarray, bounds: np.ndarray, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word and hash of every k-word window within a row."""
+    at = window_places(bounds, k)
+    return at, window_hash(hashes, at, k, lane)
+
+
+def sequence_hash(hashes: np.ndarray, bounds: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each row's whole word sequence: the sum of every word mixed with its number in the row."""
+    length = np.diff(bounds)
+    number = (np.arange(len(hashes)) - np.repeat(bounds[:-1], length)).astype(np.uint64)
+    each = mix(hashes ^ mix((number + np.uint64(1)) * LANES[lane]))
+    total = np.zeros(len(each) + 1, np.uint64)
+    np.cumsum(each, out=total[1:])
+    return mix((total[bounds[1:]] - total[bounds[:-1]]) ^ (length.astype(np.uint64) * LANES[lane]))
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -4,12 +4,13 @@ Every non-empty line is good or bad.  Its features describe the line and the lin
 before and after it.  Forward-backward gives each line's probability of being
 good; their mean, weighted by line length, is the document's quality, which a
 logistic curve calibrates.  Training uses a bounded sample of labelled rows
-(`FIT_ROWS`): lines begin with their document's label, and lines of bad documents
+(`FIT_ROWS` rows of `FIT_BYTES` together): lines begin with their document's label, and lines of bad documents
 that look good are then relabelled once before the final fit.
 
 Null and empty texts and texts of line breaks alone have no lines and quality 0.
 Repeated rows are scored alike, a null doc_id stays null, other columns are passed
-over, empty tables give empty results; without labels every score is 0.5.
+over, empty tables give empty results; without labels every score is 0.5.  Chains of
+any length are read whole, in a number of steps that grows with the root of the length.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, column, fit_logistic, labelled_sample, sigmoid
-from .kernel import BASE_BYTES, SYMBOL, WHITE, Chunk, chunks, mix, row_sums, spans
+from .kernel import SYMBOL, WHITE, Chunk, chunks, mix, row_sums, span_hash
 
 #: Bounds of the training sample: rows, and lines of a training sequence (longer documents are cut into several).
 FIT_ROWS = 3000
@@ -65,7 +66,7 @@ def lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = h ^ mix(line_of.astype(np.uint64) + np.uint64(1))
     kinds = np.bincount(line_of[np.unique(key, return_index=True)[1]], minlength=n) if len(h) else np.zeros(n)
     row = np.searchsorted(c.offsets, ls, "right") - 1
-    whole = spans(c.sums, ls, le, BASE_BYTES) ^ mix(row.astype(np.uint64) + np.uint64(1))
+    whole = span_hash(c.data, ls, le) ^ mix(row.astype(np.uint64) + np.uint64(1))
     _, inverse, count = np.unique(whole, return_inverse=True, return_counts=True)
     symbol_end = SYMBOL[c.data[np.maximum(we - 1, 0)]].astype(float)
     own = np.column_stack([
@@ -82,32 +83,50 @@ def lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.column_stack([own, before, after, first, last]), size, bounds
 
 
+def along(m: np.ndarray) -> np.ndarray:
+    """Rows v[k] proportional to v[k - 1] @ m[k] from an even v[-1], in about 2 * sqrt(n) steps.
+
+    Blocks of matrices are multiplied up side by side, their totals carried from block to block and
+    applied to all.  A matrix of equal rows forgets what was before it, which is how a chain starts."""
+    n = len(m)
+    wide = max(1, int(np.ceil(np.sqrt(n))))
+    many = -(-n // wide)
+    a = np.full((many * wide, 2, 2), 0.5)
+    a[:n] = m
+    a = a.reshape(many, wide, 2, 2)
+    a /= a.sum((2, 3), keepdims=True)
+    for k in range(1, wide):
+        x = a[:, k - 1] @ a[:, k]
+        a[:, k] = x / x.sum((1, 2), keepdims=True)
+    carry = np.full((many, 2), 0.5)
+    for b in range(1, many):
+        x = carry[b - 1] @ a[b - 1, -1]
+        carry[b] = x / x.sum()
+    v = np.einsum("bi,bkij->bkj", carry, a).reshape(-1, 2)[:n]
+    return v / v.sum(1, keepdims=True)
+
+
 def forward_backward(score: np.ndarray, bounds: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of the good state, expected transitions and expected starts of many chains at once.
 
-    score: log potential of good against bad of each line; trans and start: log potentials."""
+    score: log potential of good against bad of each line; trans and start: log potentials.  The
+    messages of all chains, however long, are one scan each way."""
     n = len(score)
+    if not n:
+        return np.zeros(0), np.zeros((2, 2)), np.zeros(2)
     emit = np.column_stack([np.ones(n), np.exp(np.clip(score, -25, 25))])
     t, s = np.exp(trans), np.exp(start)
-    length = np.diff(bounds)
-    order = np.argsort(-length, kind="stable")
-    length, begin = length[order], bounds[:-1][order]
-    alpha, beta = np.empty((n, 2)), np.ones((n, 2))
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), "left")
-    for k in range(steps):
-        at = begin[: active[k]] + k
-        a = emit[at] * (s if k == 0 else alpha[at - 1] @ t)
-        alpha[at] = a / a.sum(1, keepdims=True)
-    for k in range(steps - 2, -1, -1):
-        at = begin[: active[k + 1]] + k
-        b = (emit[at + 1] * beta[at + 1]) @ t.T
-        beta[at] = b / b.sum(1, keepdims=True)
-    p = alpha * beta
-    p /= p.sum(1, keepdims=True)
     inner = np.ones(n, bool)
     inner[bounds[:-1][np.diff(bounds) > 0]] = False
+    ahead = np.where(inner[:, None, None], t[None], s[None, None]) * emit[:, None, :]
+    alpha = along(ahead)
+    # the message from line k + 1 to line k; even where k + 1 begins a chain, and behind the last line
+    back = np.full((n, 2, 2), 0.5)
     j = np.flatnonzero(inner)
+    back[j - 1] = (t[None] * emit[j][:, None, :]).transpose(0, 2, 1)
+    beta = along(back[::-1])[::-1]
+    p = alpha * beta
+    p /= p.sum(1, keepdims=True)
     pair = alpha[j - 1][:, :, None] * t[None] * (emit[j] * beta[j])[:, None, :]
     pair /= pair.sum((1, 2), keepdims=True)
     return p[:, 1], pair.sum(0), p[~inner].sum(0)
@@ -208,4 +227,4 @@ def score(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFr
         p = model.score(q)
         return {"doc_id": column(batch, "doc_id"), "score": p, "predicted": (p >= threshold).astype(np.int32), "n_lines": np.concatenate(count), "line_quality": q}
 
-    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

@@ -1,14 +1,16 @@
 """Quality rules: document statistics plus a calibrated n-gram classifier against a fixed threshold.
 
 The classifier is a logistic regression over hashed word unigrams, word bigrams
-and byte trigrams, each block averaged over the document, trained on a bounded
-sample of labelled rows (`FIT_ROWS`) and calibrated by Platt scaling on a part of
+and character trigrams, each block averaged over the document, trained on a bounded
+sample of labelled rows (`FIT_ROWS` rows of `FIT_BYTES` together) and calibrated by Platt scaling on a part of
 the sample kept apart.  Scoring runs in Arrow batches over whole texts.
 
 Null and empty texts have no words: all counts are 0, `base_failed` is true and
 `kept` false.  Repeated rows are scored alike; a null doc_id stays null; other
 columns are passed over (`score`) or kept as they are (`keep`).  Empty tables
-give empty results; without labels the classifier gives 0.5 to every text.
+give empty results; without labels the classifier gives 0.5 to every text.  Very long
+texts are counted whole; a worker holds about 40 times the bytes of the longest one.
+Lines and windows count as equal only where their bytes and words are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_filter, arrow_map, column, fit_logistic, labelled_sample, sigmoid
-from .kernel import SYMBOL, WHITE, Chunk, chunks, mix, row_sums, windows
+from .kernel import SYMBOL, WHITE, Chunk, chunks, mix, row_sums, window_places, windows
 
 #: Bound on the labelled rows that the classifier is fitted on.
 FIT_ROWS = 3000
@@ -30,58 +32,64 @@ BITS = 16
 SIZE = 1 << BITS
 #: Documents whose calibrated probability of being good is below this are rejected.
 THRESHOLD = 0.3
-BREAK = np.zeros(256, bool)
-BREAK[10] = True
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
 def statistics(c: Chunk) -> dict[str, np.ndarray]:
     """The counted properties of each row of a chunk."""
-    starts, _ = c.words
     bounds, h, row = c.bounds, c.hashes(), np.arange(c.n)
     n_words = np.diff(bounds)
     points = (c.data & 0xC0) != 0x80
     out = {"n_words": n_words, "word_chars": row_sums((points & ~WHITE[c.data]).astype(np.int64), c.offsets), "n_symbols": row_sums(SYMBOL[c.data].astype(np.int64), c.offsets)}
-    ls, le = c.tokens(BREAK)
-    wordy = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
-    ls, le = ls[wordy], le[wordy]
-    at = np.searchsorted(c.offsets, ls, "right") - 1
-    from .kernel import BASE_BYTES, spans
-
-    key = spans(c.sums, ls, le, BASE_BYTES) ^ mix(at.astype(np.uint64) + np.uint64(1))
-    first = np.unique(key, return_index=True)[1]
-    out["n_dup_lines"] = np.bincount(at, minlength=c.n) - np.bincount(at[first], minlength=c.n)
-    at, wh = windows(h, bounds, 5)
-    key = wh ^ mix(np.repeat(row, n_words)[at].astype(np.uint64) + np.uint64(1))
+    out["n_dup_lines"] = np.array([repeated_lines(c.text(i)) for i in range(c.n)], np.int64)
+    cover = np.zeros(len(h) + 1, np.int64)
+    hit = repeated_windows(c, row)
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + 5, -1)
+    out["n_repeat_words"] = row_sums((np.cumsum(cover[:-1]) > 0).astype(np.int64), bounds)
+    return out
+
+
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    seen = [x for x in text.split(b"\n") if x.strip()]  # bytes.strip() drops the white space of WHITE
+    return len(seen) - len(set(seen))
+
+
+def repeated_windows(c: Chunk, row: np.ndarray) -> np.ndarray:
+    """First words of the 5-word windows that occur twice or more in their row; neighbours of one hash are compared word by word."""
+    at, hashes = windows(c.hashes(), c.bounds, 5)
+    key = hashes ^ mix(np.repeat(row, np.diff(c.bounds))[at].astype(np.uint64) + np.uint64(1))
     order = np.argsort(key, kind="stable")
     s = key[order]
     same = s[1:] == s[:-1]
+    if same.any():
+        number, of = c.numbers()[1], np.repeat(row, np.diff(c.bounds))
+        one, two = at[order[:-1][same]], at[order[1:][same]]
+        if (of[one] != of[two]).any() or any((number[one + j] != number[two + j]).any() for j in range(5)):  # two windows of one hash
+            full = np.column_stack([of[at], *(number[at + j] for j in range(5))])
+            order = np.lexsort(full.T[::-1])
+            same = (full[order][1:] == full[order][:-1]).all(1)
     twice = np.zeros(len(s), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    cover = np.zeros(len(h) + 1, np.int64)
-    hit = at[order[twice]]
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + 5, -1)
-    out["n_repeat_words"] = row_sums((np.cumsum(cover[:-1]) > 0).astype(np.int64), bounds)
-    return out
+    return at[order[twice]]
 
 
 def ngrams(c: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per block of features: hashed index of each occurrence and the bounds of each row's occurrences."""
     bounds, h = c.bounds, c.hashes()
     at, pairs = windows(h, bounds, 2)
-    d = c.data.astype(np.uint64)
-    n = max(0, len(d) - 2)
-    tri = mix(d[:n] | d[1 : n + 1] << np.uint64(8) | d[2 : n + 2] << np.uint64(16))
-    length = np.diff(c.offsets)
-    last = np.repeat(c.offsets[1:], length)[:n] - np.arange(n) >= 3
-    place = np.flatnonzero(last)
+    points = np.frombuffer(c.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    offsets = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])[c.offsets]  # of rows, in code points
+    n = max(0, len(points) - 2)
+    tri = mix(points[:n] | points[1 : n + 1] << np.uint64(21) | points[2 : n + 2] << np.uint64(42))
+    place = window_places(offsets, 3)
     cut = np.uint64(64 - BITS)
     return [
         ((h >> cut).astype(np.int64), bounds),
         ((pairs >> cut).astype(np.int64) + SIZE, np.searchsorted(at, bounds)),
-        ((tri[place] >> cut).astype(np.int64) + 2 * SIZE, np.searchsorted(place, c.offsets)),
+        ((tri[place] >> cut).astype(np.int64) + 2 * SIZE, np.searchsorted(place, offsets)),
     ]
 
 
@@ -164,7 +172,7 @@ def verdicts(model: Model, text: pa.Array, threshold: float = THRESHOLD) -> dict
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Statistics, probability and verdict of every row of docs (doc_id, text)."""
-    return arrow_map(docs.select("doc_id", "text"), lambda b: {"doc_id": column(b, "doc_id"), **verdicts(model, column(b, "text"), threshold)}, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), lambda b: {"doc_id": column(b, "doc_id"), **verdicts(model, column(b, "text"), threshold)}, SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

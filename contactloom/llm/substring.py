@@ -8,19 +8,22 @@ the same shift.  Hence:
 
 1. anchors are dealt by hash in packed blocks; those found twice or more survive;
 2. every window that holds a surviving anchor is extended to its full 20 words,
-   hashed with 96 bits and dealt by hash; a window with an earlier equal window
+   hashed with 96 bits of two separate lanes and dealt by hash; a window with an earlier equal window
    (smaller doc_id, or same document and earlier start) is a repeat;
 3. the words that repeats cover are removed.
 
 Blocks are combined before the shuffle: of equal hashes within a block only the
 earliest travels, so a passage in every document sends one entry for each block.
-The answers (anchor places, repeated windows) come back as runs by document, and
-are joined to the documents by broadcast only below a counted bound.
+There are as many buckets as the input has `BUCKET_BYTES` (but one a partition at
+least); a task sorts its buckets and holds one at a time.  The answers (anchor places,
+repeated windows) come back as runs by document, and are joined to the documents by
+broadcast only below a counted bound.
 
 Null counts as no words.  Texts under 20 words lose nothing.  Rows with the same
 doc_id and text are one document and are treated alike; different texts under one
 doc_id are ordered as one document by start.  A null doc_id sorts before all
-others.  Other columns are passed over.  Empty tables give empty results.
+others.  Other columns are passed over.  Empty tables give empty results.  Very long
+texts are read whole; a worker holds about 60 times the bytes of the longest one.
 """
 
 from __future__ import annotations
@@ -31,12 +34,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, materialise, partitions
-from .kernel import BASE_WORDS, BASE_WORDS_2, Chunk, chunks, mix, prefix, sequence_hash, spans
+from .common import arrow_map, column, give_back, materialise, partitions
+from .kernel import Chunk, chunks, mix, sequence_hash, window_hash
 
 WINDOW = 20
 PERIOD = 13
@@ -46,6 +48,8 @@ COVER = (0, 1, 3, 9)
 ANSWER_BYTES = 64 << 20
 #: Bytes of text that are combined before their blocks are dealt.
 DEAL_BYTES = 1 << 20
+#: Bytes of text for each bucket; a bucket's entries are held at once.
+BUCKET_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -140,7 +144,7 @@ def anchors(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.arange(len(h)) - bounds[row]
     # a document under WINDOW words has no window
     at = np.flatnonzero(np.isin(number % PERIOD, COVER) & (number + length <= np.diff(bounds)[row]) & (np.diff(bounds)[row] >= WINDOW))
-    return spans(prefix(h, BASE_WORDS), at, at + length, BASE_WORDS), row[at], number[at]
+    return window_hash(h, at, length), row[at], number[at]
 
 
 def _both(packed: list[tuple], local: list[tuple]) -> dict:
@@ -193,8 +197,8 @@ def _deal_windows(batch: pa.RecordBatch, buckets: int) -> dict:
         if not len(at):
             continue
         row = np.searchsorted(bounds, at, "right") - 1
-        a = spans(prefix(wh, BASE_WORDS_2), at, at + WINDOW, BASE_WORDS_2)
-        b = spans(prefix(mix(wh ^ np.uint64(0x5BF03635)), BASE_WORDS), at, at + WINDOW, BASE_WORDS) & np.uint64(0xFFFFFFFF)
+        a = window_hash(wh, at, WINDOW)
+        b = window_hash(c.hashes(1), at, WINDOW, 1) & np.uint64(0xFFFFFFFF)
         doc, number = ids[c.rows][row], at - bounds[row]
         order = np.lexsort((number, doc, b, a))
         later = _later(a[order], b[order], doc[order], number[order])
@@ -218,71 +222,102 @@ def _later(a: np.ndarray, b: np.ndarray, doc: np.ndarray, number: np.ndarray) ->
     return (doc != doc[head]) | (number != number[head])
 
 
-def _gather(step: str, targets: int):
-    """Answers from the blocks of whole buckets, as blocks by part; blocks of answers among the rows pass through."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The blocks of each key of sorted rows, a key at a time."""
+    now, held = None, []
+    for batch in batches:
+        for k, block in zip(column(batch, key).to_pylist(), column(batch, "block"), strict=True):
+            if k != now and held:
+                yield now, held
+                held = []
+            now = k
+            held.append(block.as_py())
+    if held:
+        yield now, held
+
+
+def _found(step: str, blocks: list[bytes], targets: int) -> tuple[list, list]:
+    """Answers from all blocks of a bucket, as blocks by part."""
+    parts = [unpack(step, x) for x in blocks]
+    x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    if step == "anchors":
+        order = np.argsort(x["key"], kind="stable")
+        k = x["key"][order]
+        same = np.zeros(len(k) + 1, bool)
+        same[1:-1] = k[1:] == k[:-1]
+        hit = order[same[:-1] | same[1:]]  # an entry that is alone here was answered where it was seen twice
+    else:
+        order = np.lexsort((x["place"], x["ids"], x["more"], x["key"]))
+        hit = order[_later(*(x[k][order] for k in ("key", "more", "ids", "place")))]
+    return pack_answers(x["ids"][hit], x["h"][hit], x["place"][hit], targets) if len(hit) else ([], [])
+
+
+BLOCKS = "part int, block binary"
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        fields = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+def _gather(step: str, targets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers from the blocks of whole buckets, rows being sorted by bucket; blocks that are answers already come last and pass through."""
+    fields = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+    entries: list[pa.RecordBatch] = []
+
+    def rest() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = column(batch, "answer")
-            ready = batch.filter(done)
-            if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([column(ready, "bucket"), column(ready, "block")], schema=fields)
-            rest = batch.filter(pa.compute.invert(done))
-            for bucket, block in zip(column(rest, "bucket").to_pylist(), column(rest, "block").to_pylist(), strict=True):
-                by.setdefault(bucket, []).append(block)
-        for bucket in sorted(by):
-            parts = [unpack(step, x) for x in by.pop(bucket)]
-            x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            del parts
-            if step == "anchors":
-                order = np.argsort(x["key"], kind="stable")
-                k = x["key"][order]
-                same = np.zeros(len(k) + 1, bool)
-                same[1:-1] = k[1:] == k[:-1]
-                hit = order[same[:-1] | same[1:]]  # an entry that is alone here was answered where it was seen twice
-            else:
-                order = np.lexsort((x["place"], x["ids"], x["more"], x["key"]))
-                hit = order[_later(*(x[k][order] for k in ("key", "more", "ids", "place")))]
-            if len(hit):
-                part, block = pack_answers(x["ids"][hit], x["h"][hit], x["place"][hit], targets)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.binary())], schema=fields)
-
-    return run
+            done = column(batch, "answer").to_numpy(zero_copy_only=False)
+            if done.any():
+                entries.append(batch.filter(pa.array(done)))
+                batch = batch.filter(pa.array(~done))
+            if batch.num_rows:
+                yield batch
+            if done.all():
+                return
+
+    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column(batch, "bucket"), column(batch, "block")], schema=fields)
+
+    batches = iter(batches)
+    for _, blocks in _runs(rest(), "bucket"):
+        part, block = _found(step, blocks, targets)
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.binary())], schema=fields)
+    for batch in (*entries, *batches):
+        yield passed(batch)
+    give_back()
+
+
+def _joined(step: str, blocks: list[bytes]) -> tuple[list, list]:
+    """Documents and their answers, from all blocks of a part."""
+    back = PERIOD - 1 if step == "anchors" else 0
+    ids, h, place = (np.concatenate(v) for v in zip(*map(unpack_answers, blocks), strict=True))
+    order = np.lexsort((place, h, ids))
+    ids, h, place = ids[order], h[order], place[order]
+    text = np.ones(len(ids), bool)
+    text[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
+    start = text.copy()
+    start[1:] |= place[1:] - back > place[:-1] + 1
+    at = np.flatnonzero(start)
+    runs = np.column_stack([np.maximum(place[at] - back, 0), place[np.append(at[1:], len(place)) - 1] + 1]).astype(np.int32)
+    edge = np.flatnonzero(text[at])  # first run of each text
+    ends = np.append(edge[1:], len(at))
+    out: dict[int, list[bytes]] = {}
+    for s, e in zip(edge, ends, strict=True):
+        out.setdefault(int(ids[at[s]]), []).append(np.array([h[at[s]], 2 * (e - s)], np.int64).tobytes() + runs[s:e].tobytes())
+    return list(out), [b"".join(v) for v in out.values()]
 
 
 def _merge(step: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One answer for each document, by the hash of its text: runs of repeated windows, or of the windows that hold a surviving anchor."""
-    back = PERIOD - 1 if step == "anchors" else 0
-    by: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for part, block in zip(column(batch, "part").to_pylist(), column(batch, "block").to_pylist(), strict=True):
-            by.setdefault(part, []).append(block)
-    for part in sorted(by):
-        ids, h, place = (np.concatenate(v) for v in zip(*map(unpack_answers, by.pop(part)), strict=True))
-        order = np.lexsort((place, h, ids))
-        ids, h, place = ids[order], h[order], place[order]
-        text = np.ones(len(ids), bool)
-        text[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
-        start = text.copy()
-        start[1:] |= place[1:] - back > place[:-1] + 1
-        at = np.flatnonzero(start)
-        runs = np.column_stack([np.maximum(place[at] - back, 0), place[np.append(at[1:], len(place)) - 1] + 1]).astype(np.int32)
-        edge = np.flatnonzero(text[at])  # first run of each text
-        ends = np.append(edge[1:], len(at))
-        out: dict[int, bytes] = {}
-        for s, e in zip(edge, ends, strict=True):
-            key = int(ids[at[s]])
-            out[key] = out.get(key, b"") + np.array([h[at[s]], 2 * (e - s)], np.int64).tobytes() + runs[s:e].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], schema=pa.schema([("id", pa.int64()), ("runs", pa.binary())]))
-
-
-def _answer(dealt: DataFrame, step: str) -> DataFrame:
+    for _, blocks in _runs(batches, "part"):
+        ids, runs = _joined(step, blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], schema=pa.schema([("id", pa.int64()), ("runs", pa.binary())]))
+    give_back()
+
+
+def _answer(dealt: DataFrame, step: str, buckets: int) -> DataFrame:
     """One row for each document with an answer."""
     n = partitions(dealt.sparkSession)
-    found = dealt.repartition(n, "bucket").mapInArrow(_gather(step, n), "part int, block binary")
-    return materialise(found.repartition(n, "part").mapInArrow(partial(_merge, step), "id long, runs binary"), f"sub-{step}")
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("answer", "bucket")
+    found = dealt.mapInArrow(partial(_gather, step, buckets), BLOCKS).repartition(n, "part").sortWithinPartitions("part")
+    return materialise(found.mapInArrow(partial(_merge, step), "id long, runs binary"), f"sub-{step}")
 
 
 def _with_answer(docs: DataFrame, answer: DataFrame, how: str) -> DataFrame:
@@ -295,11 +330,13 @@ def _with_answer(docs: DataFrame, answer: DataFrame, how: str) -> DataFrame:
 def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Word numbers at which a repeated window starts: (id, runs), to be read by runs_of()."""
     spark = docs.sparkSession
-    buckets = buckets or partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    anchored = _answer(arrow_map(docs, lambda b: _deal_anchors(b, buckets), MIXED), "anchors")
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(partitions(spark), size // BUCKET_BYTES)
+    anchored = _answer(arrow_map(docs, lambda b: _deal_anchors(b, buckets), MIXED), "anchors", buckets)
     found = _with_answer(docs, anchored, "inner")
-    return _answer(arrow_map(found, lambda b: _deal_windows(b, buckets), MIXED), "windows")
+    return _answer(arrow_map(found, lambda b: _deal_windows(b, buckets), MIXED), "windows", buckets)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -315,7 +352,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             h = sequence_hash(c.hashes(), bounds).view(np.int64) if some else None
             for i in range(c.n):
                 n = int(bounds[i + 1] - bounds[i])
-                words = c.text(i).split()
+                words = c.text(i).split()  # bytes.split() cuts at the white space of the words' pattern
                 r = runs_of(runs[c.rows.start + i], int(h[i])) if some else None
                 if r is not None:
                     gone = covered(r, n, WINDOW - 1)
@@ -324,7 +361,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 digest.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append(kept.decode())
+                if with_text:
+                    kept_text.append(kept.decode())
         return {"doc_id": column(batch, "doc_id"), "n_words": n_words, "n_removed": n_removed, "kept_sha256": digest, "kept_text": kept_text}
 
     return arrow_map(joined, run, SCHEMA + (", kept_text string" if with_text else ""))

@@ -1,9 +1,13 @@
 """Exact token ids of a public word-end BPE tokenizer, found once for each distinct word of a worker.
 
 The tokenizer drops white space and never joins text across it, so a text's ids are
-those of its white-space words one behind the other.  Words are told apart by their
-64-bit hash.  Words of letters, and ASCII words, are split by the tokenizer's own
-rule here and their parts looked up; every other word goes through the tokenizer.
+those of its white-space words one behind the other.  A chunk's words are told apart
+by their bytes (`kernel.numbers`), and remembered words are looked up by their bytes.
+Words of letters, and ASCII words, are split by the tokenizer's own rule here and
+their parts looked up; every other word goes through the tokenizer.
+
+A worker remembers words up to `REMEMBERED` bytes and then starts anew; long words
+are never remembered.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ import pyarrow as pa
 
 from .kernel import CHUNK_BYTES, Chunk, chunks
 
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+#: Bytes of remembered words, with what Python keeps for each, and the longest word that is remembered.
+REMEMBERED = 16 << 20
+OVERHEAD = 160
+LONGEST = 128
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -38,22 +44,18 @@ class WordTokenizer:
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
         self._parts: dict[str, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes
-        self.slot = np.zeros(0, np.int64)  # their place in length and start
-        self.length = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self._words: dict[bytes, np.ndarray] = {}
+        self._held = 0
 
     def part(self, text: str) -> list[int]:
         ids = self._parts.get(text)
         if ids is None:
-            if len(self._parts) > REMEMBERED:
-                self._parts.clear()
             letters = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            ids = self._parts[text] = [t.id for t in self.model.tokenize(letters)]
+            ids = [t.id for t in self.model.tokenize(letters)]
+            if len(text) <= LONGEST:
+                if len(self._parts) * OVERHEAD > REMEMBERED:
+                    self._parts.clear()
+                self._parts[text] = ids
         return ids
 
     def word(self, word: str) -> list[int]:
@@ -65,33 +67,30 @@ class WordTokenizer:
             return [i for p in _ASCII.findall(low) for i in self.part(p)]
         return self.whole.encode(word, add_special_tokens=False).ids
 
+    def _ids(self, word: bytes) -> np.ndarray:
+        got = self._words.get(word)
+        if got is None:
+            got = np.array(self.word(word.decode()), np.uint32)
+            if len(word) <= LONGEST:
+                self._held += OVERHEAD + len(word) + got.nbytes
+                if self._held > REMEMBERED:
+                    self._words.clear()
+                    self._held = 0
+                self._words[word] = got
+        return got
+
     def ids(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk and the bounds of each row's ids."""
-        h = c.hashes()
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self._clear()
-        at = np.searchsorted(self.known, distinct)
-        new = (at >= len(self.known)) | (self.known[np.minimum(at, max(0, len(self.known) - 1))] != distinct) if len(self.known) else np.ones(len(distinct), bool)
-        if new.any():
-            data, starts, ends = c.data.tobytes(), *c.words
-            got = [self.word(data[s:e].decode()) for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            length = np.array([len(g) for g in got], np.int32)
-            place = len(self.length) + np.arange(len(got))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(length.sum()))])
-            known = np.concatenate([self.known, distinct[new]])
-            slot = np.concatenate([self.slot, place])
-            order = np.argsort(known, kind="stable")
-            self.known, self.slot = known[order], slot[order]
-            at = np.searchsorted(self.known, distinct)
-        slot = self.slot[at][inverse] if len(distinct) else np.zeros(0, np.int64)
-        length, start = self.length[slot].astype(np.int64), self.start[slot]
+        first, inverse = c.numbers()
+        data, starts, ends = c.data.tobytes(), *c.words
+        got = [self._ids(data[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        start = np.cumsum(length) - length
+        length, start = length[inverse], start[inverse]
         ends = np.cumsum(length)
         index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
-        bounds = np.concatenate([[0], ends])[c.bounds]
-        return self.flat[index], bounds
+        return flat[index], np.concatenate([[0], ends])[c.bounds]
 
 
 _loaded: dict[str, WordTokenizer] = {}
