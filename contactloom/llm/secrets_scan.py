@@ -4,12 +4,17 @@ The base patterns give the kinds assign, access and hex.  The novelty method add
 spans of kind novel: strings of 16 or more token characters with letters and
 digits that stand at most `REACH` characters behind a sensitive word, and whose
 marginal compressed size, after the surrounding text and with a dictionary of
-ordinary identifiers, stays near their own length.  A novel span never overlaps a
-base span, and base spans are never removed.
+ordinary identifiers, stays near their own length.  REACH is what a sensitive
+context means here: the rest of a line `name = value`, or of a line and the next;
+a string farther off has no name.  AROUND is the code that counts as surrounding: some
+lines on either side, which is where a repeated value would be declared.  A run of
+token characters is weighed once, from the first place that a sensitive word reaches.
+A novel span never overlaps a base span, and base spans are never removed.
 
 Null counts as the empty text, which has no spans.  Spans are code points, end
 exclusive.  Repeated rows are scanned alike, a null doc_id stays null, other
-columns are passed over (`scan`) or kept (`redact`).
+columns are passed over (`scan`) or kept (`redact`).  Empty tables give empty results.
+Very long texts are scanned whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -20,8 +25,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_batches, column
+from .common import arrow_map, bounded_batches, column, give_back
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
 KINDS = ("assign", "access", "hex", "novel")
@@ -80,9 +86,49 @@ class Novelty:
 _novelty: Novelty | None = None
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _novel(text: str, base: list[tuple[int, int]], threshold: float) -> list[tuple[int, int]]:
+    """Spans of novel strings behind sensitive words, none of which overlaps a base span (disjoint, in order)."""
+    global _novelty
+    out: list[tuple[int, int]] = []
+    at = done = 0  # the next base span; the end of the last run weighed
+    m = CANDIDATE.search(text)  # the next run; searched again only when a sensitive word ends behind its start
+    for k in CONTEXT.finditer(text):
+        stop = k.end() + REACH
+        while m:
+            if m.start() < max(k.end(), done):
+                m = CANDIDATE.search(text, max(k.end(), done))
+                continue
+            if m.start() > stop:
+                break
+            start, end = m.span()
+            done = end
+            s = text[start:end]
+            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+                continue
+            while at < len(base) and base[at][1] <= start:
+                at += 1
+            if at < len(base) and base[at][0] < end:
+                continue
+            if _novelty is None:
+                _novelty = Novelty()
+            if _novelty(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= threshold:
+                out.append((start, end))
+    return out
+
+
 def find(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text in order of start, then kind as listed."""
-    global _novelty
     if not text:
         return []
     out = []
@@ -93,21 +139,7 @@ def find(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, int, s
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(w in low for w in _CONTEXT):
-        base, seen = list(out), set()
-        for k in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, k.end(), min(len(text), k.end() + REACH + LEAST)):  # a start at REACH needs LEAST characters behind it
-                start, end = m.start(), CANDIDATE.match(text, m.start()).end()
-                s = text[start:end]
-                if start in seen or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                    continue
-                seen.add(start)
-                if any(a < end and start < b for a, b, _ in base):
-                    continue
-                if _novelty is None:
-                    _novelty = Novelty()
-                if _novelty(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= threshold:
-                    out.append((start, end, "novel"))
-                    base.append((start, end, "novel"))
+        out += [(a, b, "novel") for a, b in _novel(text, merged([x[:2] for x in out]), threshold)]
     out.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return out
 
@@ -129,7 +161,7 @@ def scan(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
             out["spans"].append(render(found))
         return {"doc_id": column(batch, "doc_id"), **out}
 
-    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def blank(text: str | None, threshold: float = NOVELTY) -> str | None:
@@ -167,5 +199,6 @@ def redact(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
                 counts = [n if a == b else len(b) for n, a, b in zip(batch.column(j).to_pylist(), old, new, strict=True)]
                 columns[j] = pa.array(counts, batch.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        give_back()
 
     return docs.mapInArrow(run, schema)
