@@ -15,29 +15,32 @@ Coefficients are dequantised, inverse-transformed by one matrix product, chroma
 upsampled by repetition, and the result is a height x width x 3 tensor.
 
 Null counts as the empty text, whose payload is 192 spaces.  Equal texts give equal
-values.  Repeated rows are stored alike, a null doc_id stays null, other columns are
+values.  Codes, samples and features of a very long text are made piece by piece: a
+worker holds about ten times its bytes (text, payload, stored form, coefficients and
+tensor).  A text of over 6.3 GB would exceed one image; Spark's strings end at 2 GB.  Repeated rows are stored alike, a null doc_id stays null, other columns are
 passed over, empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_map, column
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 UNIT = 192
 #: Payload bytes that one unit of 16 x 16 pixels carries: 4 Y blocks, a Cb and a Cr block, 63 each.
 MCU_BYTES = 6 * 63
 #: Coefficient of byte 0: puts all bytes in the same size category.
 SHIFT = 256
 MAX_SIDE = 4095  # units a side
+#: Pixels that are transformed at once.
+STRIPE = 1 << 18
 
 
 def _zigzag() -> np.ndarray:
@@ -85,9 +88,24 @@ def _scan(components: list[tuple[int, int, int]], first: int, last: int, high: i
     return _segment(0xDA, body)
 
 
-def _bits(values: np.ndarray, width: int) -> np.ndarray:
-    """The lowest `width` bits of each value, highest first."""
-    return ((values[:, None] >> np.arange(width - 1, -1, -1)) & 1).astype(np.uint8)
+#: Values whose codes are packed or unpacked at once: bounds the bits that are held one a byte (a multiple of 8).
+SLICE = 1 << 16
+
+
+def _codes_of(values: np.ndarray) -> bytes:
+    """Entropy-coded scan of one-bit codes 0, each with the eight bits of a value behind it."""
+    out = []
+    for i in range(0, len(values), SLICE):
+        part = values[i : i + SLICE]
+        code = np.zeros((len(part), 9), np.uint8)
+        code[:, 1:] = np.unpackbits(part[:, None], axis=1)
+        out.append(_stuffed(code.ravel()))
+    return b"".join(out)
+
+
+def _number(value: int, width: int) -> np.ndarray:
+    """The lowest `width` bits of a number, highest first."""
+    return np.array([value >> k & 1 for k in range(width - 1, -1, -1)], np.uint8)
 
 
 def _shape(n_units: int) -> tuple[int, int]:
@@ -95,13 +113,6 @@ def _shape(n_units: int) -> tuple[int, int]:
     return wide, -(-n_units // wide)
 
 
-def _y_order(wide: int, high: int) -> np.ndarray:
-    """Scan place of each Y block taken unit by unit: a scan of one component goes row by row."""
-    u = np.arange(wide * high)
-    top = (u // wide) * 2 * (2 * wide) + (u % wide) * 2
-    return (top[:, None] + np.array([0, 1, 2 * wide, 2 * wide + 1])).ravel()
-
-
 QUANT = bytes(np.concatenate([[16], np.full(63, 1)]).astype(np.uint8).tolist())
 
 
@@ -111,9 +122,8 @@ def encode(payload: bytes) -> bytes:
     n = wide * high
     if high > MAX_SIDE:
         raise ValueError("payload exceeds one image")
-    data = np.zeros(n * MCU_BYTES, np.int64)
+    data = np.zeros(n * MCU_BYTES, np.uint8)
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
-    data += SHIFT
     parts = [data[: n * 252].reshape(n * 4, 63), data[n * 252 : n * 315].reshape(n, 63), data[n * 315 :].reshape(n, 63)]
     out = [b"\xff\xd8", _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"), _segment(0xDB, b"\0" + QUANT)]
     out.append(_segment(0xC2, struct.pack(">BHHB", 8, high * 16, wide * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
@@ -121,19 +131,16 @@ def encode(payload: bytes) -> bytes:
     out += [_table(0, 0, b"\x00"), _scan([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 0, 0), _stuffed(np.zeros(n * 6, np.uint8))]
     out.append(_table(1, 0, b"\x08"))
     for k, ac in enumerate(parts, 1):
-        code = np.zeros((ac.size, 9), np.uint8)
-        code[:, 1:] = _bits(ac.ravel() >> 1, 8)
-        code = code.reshape(len(ac), 63, 9)
-        for a, b in ((1, 5), (6, 63)):
-            out += [_scan([(k, 0, 0)], a, b, 0, 1), _stuffed(code[:, a - 1 : b].ravel())]
+        for a, b in ((1, 5), (6, 63)):  # a coefficient without its lowest bit, (byte + SHIFT) >> 1
+            out += [_scan([(k, 0, 0)], a, b, 0, 1), _codes_of((ac[:, a - 1 : b].ravel() >> 1) | np.uint8(SHIFT >> 1))]
     out.append(_table(1, 0, bytes(r << 4 for r in range(15))))
     for k, ac in enumerate(parts, 1):
-        low = (ac & 1).astype(np.uint8)
+        low = ac & 1
         bits, at = [], 0
         while at < len(low):  # end-of-band runs, the correction bits of their blocks behind each
             run = min(len(low) - at, 32767)
             r = run.bit_length() - 1
-            bits += [_bits(np.array([r]), 4)[0], _bits(np.array([run - (1 << r)]), r)[0], low[at : at + run].ravel()]
+            bits += [_number(r, 4), _number(run - (1 << r), r), low[at : at + run].ravel()]
             at += run
         out += [_scan([(k, 0, 0)], 1, 63, 1, 0), _stuffed(np.concatenate(bits))]
     out.append(b"\xff\xd9")
@@ -295,13 +302,17 @@ class Image:
             size = symbol & 15
             if symbol >> 4 or not size:
                 return False
-            bits = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8))
-            step = length + size
-            if not 0 <= len(bits) - n * band * step < 8:
+            raw, step = np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8), length + size
+            if not 0 <= 8 * len(raw) - n * band * step < 8:
                 return False
-            v = bits[: n * band * step].reshape(-1, step)[:, length:] @ (1 << np.arange(size - 1, -1, -1))
-            v = np.where(v >> (size - 1), v, v - (1 << size) + 1)
-            coef[order, first : last + 1] = v.reshape(n, band) << low
+            v = np.empty(n * band, np.int16)
+            weights = (1 << np.arange(size - 1, -1, -1)).astype(np.int32)
+            for i in range(0, len(v), SLICE):
+                m = min(SLICE, len(v) - i)
+                bits = np.unpackbits(raw[i * step // 8 : -(-(i + m) * step // 8)])[: m * step].reshape(m, step)[:, length:]
+                got = np.packbits(bits, axis=1)[:, 0].astype(np.int32) if size == 8 else bits @ weights
+                v[i : i + m] = np.where(got >> (size - 1), got, got - (1 << size) + 1) << low
+            coef[order, first : last + 1] = v.reshape(n, band)
             return True
         old = coef[order, first : last + 1]
         if not old.all():
@@ -383,67 +394,90 @@ class Image:
 
     def payload(self, n: int) -> bytes:
         """The first n bytes that encode() stored."""
-        ac = [self.parts[c]["coef"][:, 1:] for c in sorted(self.parts)]
-        return (np.concatenate([x.ravel() for x in ac])[:n] - SHIFT).astype(np.uint8).tobytes()
+        ac = [(self.parts[c]["coef"][:, 1:] & 255).astype(np.uint8) for c in sorted(self.parts)]  # byte + SHIFT modulo 256
+        return b"".join(x.tobytes() for x in ac)[:n]
 
-    def samples(self, c: int) -> np.ndarray:
+    def samples(self, c: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Samples of a component in the block rows from first up to last."""
         p = self.parts[c]
-        px = (p["coef"] * self.quant[p["q"]]).astype(np.float32) @ IDCT + 128.0
-        return np.clip(px, 0, 255, out=px).reshape(p["by"], p["bx"], 8, 8).transpose(0, 2, 1, 3).reshape(p["by"] * 8, p["bx"] * 8)
+        last = p["by"] if last is None else last
+        px = (p["coef"][first * p["bx"] : last * p["bx"]] * self.quant[p["q"]]).astype(np.float32) @ IDCT + np.float32(128)
+        return np.clip(px, 0, 255, out=px).reshape(last - first, p["bx"], 8, 8).transpose(0, 2, 1, 3).reshape((last - first) * 8, p["bx"] * 8)
 
     def rgb(self) -> np.ndarray:
-        """height x width x 3 bytes at full resolution."""
-        planes = []
-        for c in sorted(self.parts):
-            p, s = self.parts[c], self.samples(c)
-            if p["v"] != self.v:
-                s = s.repeat(self.v // p["v"], 0)
-            if p["h"] != self.h:
-                s = s.repeat(self.h // p["h"], 1)
-            planes.append(s[: self.height, : self.width])
+        """height x width x 3 bytes at full resolution, made stripe by stripe."""
         out = np.empty((self.height, self.width, 3), np.uint8)
-        if len(planes) == 1:
-            out[...] = np.rint(planes[0])[..., None]
-            return out
-        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-        for i, x in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
-            np.clip(x, 0, 255, out=x)
-            out[..., i] = np.rint(x, out=x)
+        tall = 8 * self.v
+        many = max(1, STRIPE // max(1, tall * self.width))
+        for at in range(0, self.my, many):
+            end = min(self.my, at + many)
+            stripe = out[at * tall : end * tall]
+            planes = []
+            for c in sorted(self.parts):
+                p = self.parts[c]
+                s = self.samples(c, at * p["v"], end * p["v"])
+                if p["v"] != self.v:
+                    s = s.repeat(self.v // p["v"], 0)
+                if p["h"] != self.h:
+                    s = s.repeat(self.h // p["h"], 1)
+                planes.append(s[: len(stripe), : self.width])
+            if len(planes) == 1:
+                stripe[...] = np.rint(planes[0])[..., None]
+                continue
+            y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
+            for i, x in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
+                np.clip(x, 0, 255, out=x)
+                stripe[..., i] = np.rint(x, out=x)
         return out
 
 
 def features(rgb: np.ndarray) -> str:
-    """Size, mean of each channel, contrast and a checksum of the tensor."""
+    """Size, mean of each channel, contrast of green and a checksum of the tensor; sums are exact, stripe by stripe."""
     flat = rgb.reshape(-1, 3)
-    mean = flat.mean(0, dtype=np.float64)
-    return f"{rgb.shape[1]}x{rgb.shape[0]}:{mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f}:{float(flat[:, 1].std(dtype=np.float64)):.3f}:{zlib.crc32(rgb):08x}"
+    sums, squares = np.zeros(3, np.int64), 0
+    for i in range(0, len(flat), STRIPE):
+        part = flat[i : i + STRIPE]
+        sums += part.sum(0, dtype=np.int64)
+        squares += int((part[:, 1].astype(np.int64) ** 2).sum())
+    mean = sums / len(flat)
+    contrast = np.sqrt(max(0.0, squares / len(flat) - mean[1] ** 2))
+    return f"{rgb.shape[1]}x{rgb.shape[0]}:{mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f}:{contrast:.3f}:{zlib.crc32(rgb):08x}"
 
 
 def padded(text: bytes) -> bytes:
     return text + b" " * (UNIT * max(1, -(-len(text) // UNIT)) - len(text))
 
 
-def media(docs: DataFrame, tensors: bool = False) -> DataFrame:
-    """Store, read back and describe every row of docs (doc_id, text); with tensors also jpeg, height, width and rgb."""
+def store(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, jpeg) of every row of docs (doc_id, text): the stored form."""
 
-    def one(text: str | None) -> tuple:
-        data = (text or "").encode()
-        payload = padded(data)
-        stored = encode(payload)
-        image = Image(stored)
-        back = image.payload(len(payload))
-        if back != payload:
-            raise ValueError("the stored image does not give its payload back")
-        rgb = image.rgb()
-        return (
-            len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(rgb),
-            *((stored, rgb.shape[0], rgb.shape[1], rgb.tobytes()) if tensors else ()),
-        )
+    def run(batch: pa.RecordBatch) -> dict:
+        data = [t.as_py() or b"" for t in column(batch, "text").cast(pa.binary())]
+        return {"doc_id": column(batch, "doc_id"), "n_bytes": [len(x) for x in data], "jpeg": pa.array([encode(padded(x)) for x in data], pa.binary())}
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + (["jpeg", "height", "width", "rgb"] if tensors else [])
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, jpeg binary")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        rows = [one(t.as_py()) for t in column(batch, "text")]
-        return {"doc_id": column(batch, "doc_id"), **{k: [r[i] for r in rows] for i, k in enumerate(names)}}
 
-    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA + (", jpeg binary, height int, width int, rgb binary" if tensors else ""))
+def load(stored: DataFrame) -> DataFrame:
+    """What the stored images (doc_id, n_bytes, jpeg) hold: their payload, and the full-resolution tensor with its feature."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {k: [] for k in ("payload", "feature", "height", "width", "rgb")}
+        for n, jpeg in zip(column(batch, "n_bytes").to_pylist(), column(batch, "jpeg"), strict=True):
+            image = Image(jpeg.as_py())
+            rgb = image.rgb()
+            for k, v in zip(out, (image.payload(UNIT * max(1, -(-n // UNIT))), features(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes()), strict=True):
+                out[k].append(v)
+        return {k: column(batch, k) for k in ("doc_id", "n_bytes", "jpeg")} | out
+
+    return arrow_map(stored, run, "doc_id long, n_bytes long, jpeg binary, payload binary, feature string, height int, width int, rgb binary")
+
+
+def media(docs: DataFrame, tensors: bool = True) -> DataFrame:
+    """Store, read back and describe every row of docs (doc_id, text); with tensors also height, width and rgb."""
+    data = F.col("payload")
+    return load(store(docs)).select(
+        "doc_id", "n_bytes", F.octet_length(data).cast("long").alias("payload_bytes"), F.sha2(data, 256).alias("payload_sha256"),
+        F.crc32(F.substring(data, -16, 16)).alias("tail_crc32"), F.octet_length("jpeg").cast("long").alias("media_bytes"), F.sha2("jpeg", 256).alias("media_sha256"), "feature",
+        *(("height", "width", "rgb") if tensors else ()),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, media, mixing, packing, quality_crf, quality_rules, secrets_scan, substring, token_rollup, toxicity
@@ -15,13 +15,18 @@ from .common import materialise, read, remainder, shared_dir
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
-    return toxicity.score(docs, lexicon).withColumn("held_out", remainder("doc_id", 4) == 2)
+    return with_held_out(toxicity.score(docs, lexicon), remainder("doc_id", 4) == 2)
 
 
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     field = quality_crf.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return quality_crf.score(docs, field).withColumn("held_out", remainder("doc_id", 5) == 0)
+    return with_held_out(quality_crf.score(docs, field), remainder("doc_id", 5) == 0)
+
+
+def with_held_out(scored: DataFrame, held_out: Column) -> DataFrame:
+    first, *rest = scored.columns
+    return scored.select(first, held_out.alias("held_out"), *rest)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media(read(spark, sf_dir, "documents"))
+    """Every row with its stored form's and payload's digests, and the full-resolution RGB tensor (height, width, rgb)."""
+    return media.media(read(spark, sf_dir, "documents"), tensors=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
