@@ -13,9 +13,14 @@ one slot; nothing is dropped or repeated.  Only totals by source (a dimension, o
 row each) come to the driver; documents are numbered in two steps by source and hash
 bucket, so a source with most of the rows is spread over all tasks.
 
+Blocks have `BLOCK` characters, or more where the whole table would make over
+`MOST_BLOCKS`, which is what the driver and the tasks hold of the schedule.
+
 A null source is a source of its own.  Null and empty texts count one character.
 Repeated rows each get a place.  A null doc_id stays null.  Empty tables give empty
-results.  A source without a given weight weighs 0 and comes after all others.
+results.  A source without a given weight weighs 0 and comes after all others.  Only
+the length of a text matters, so very long ones cost nothing more; one that is longer
+than a block keeps the slot of its first character.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, column, join_checked, materialise, partitions
+from .common import arrow_map, column, columns_of, fresh, join_checked, materialise, partitions
 
 #: Characters of a block.
 BLOCK = 65_536
+#: Blocks of a schedule at most (one number each).
+MOST_BLOCKS = 1 << 22
 #: Power of a source's size that is its weight where no weights are given.
 ALPHA = 0.7
 
@@ -84,7 +91,7 @@ def phases(blocks: list[int], weights: list[float]) -> list[dict]:
 
 def row_key():
     """Hash of a row's doc_id, text and source: rows without an id, or with one id, stand each for itself."""
-    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("source").cast("string"))
+    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), F.col("source").cast("string"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
@@ -104,6 +111,7 @@ def dealt(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
     names = [s for s, _ in totals]
     by_name = {s: i for i, s in enumerate(names)}
     goal = [float(weights.get(s, 0.0)) for s in names] if weights is not None else [float(n) ** alpha for _, n in totals]
+    block = max(block, -(-sum(n for _, n in totals) // MOST_BLOCKS))
     plan = phases([-(-n // block) for _, n in totals], goal)
     # by source, the slot of each block and the first block of each phase
     slots = {i: np.concatenate([p["sources"][i][2] for p in plan if i in p["sources"]]) for i in range(len(names))}
@@ -143,6 +151,7 @@ def places(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs with all columns, dealt and sorted in the order of the mix."""
-    order = places(docs, **options).select(F.col("h").alias("_id"), F.struct("slot", "place").alias("_at"))
-    out = join_checked(docs.withColumn("_id", row_key()), order, "_id").repartitionByRange(partitions(docs.sparkSession), "_at").sortWithinPartitions("_at")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, at = fresh(docs, "mix_key", "mix_at")
+    order = places(docs, **options).select(F.col("h").alias(key), F.struct("slot", "place").alias(at))
+    out = join_checked(docs.withColumn(key, row_key()), order, key).repartitionByRange(partitions(docs.sparkSession), at).sortWithinPartitions(at)
+    return out.select(*columns_of(docs))

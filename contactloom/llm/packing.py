@@ -15,13 +15,16 @@ The plan's size depends on the histogram, not on the number of pieces.  Pieces o
 length are numbered in two steps (counts by bucket, numbers within a bucket), and
 each number finds its sequence and offset in the plan.
 
-With an order of the documents (the mix), pieces of a length are numbered in that
-order, buckets being ranges of it, and sequences are numbered by the mean place of
-their tokens.  Which lengths share a sequence stays the plan's choice.
+With an order of the documents (their order in stored files, which the mix decides),
+pieces of a length are numbered in that order, buckets being ranges of it, and
+sequences are numbered by the mean place of their tokens.  Which lengths share a
+sequence stays the plan's choice.  Without one, buckets are dealt by row, so rows
+without an id, or with one id or one text, spread over them like any others.
 
 Null counts as the empty text: one piece with the end id alone.  Repeated rows are
 packed each on its own.  A null doc_id stays null.  Other columns are passed over.
-Empty tables give empty results.
+Empty tables give empty results.  Very long texts are tokenised whole; a worker holds
+about 40 times the bytes of the longest one.
 """
 
 from __future__ import annotations
@@ -54,26 +57,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: Column | None = None) -> DataFrame:
-    """The pieces of every row of docs (doc_id, text), with the crc32 of their little-endian ids and the row's key (long), if there is one."""
+def stored_order(docs: DataFrame) -> Column:
+    """Place of each row of a table read from Spark's files: the number of its file, then the row in it."""
+    meta = docs.metadataColumn("_metadata")
+    number = F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1)
+    return F.struct(F.when(number == "", F.lit(0)).otherwise(number).cast("long").alias("file"), meta["row_index"].alias("row"))
+
+
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """The pieces of every row of docs (doc_id, text), with the crc32 of their little-endian ids and the row's place (file, row)."""
     path = path or tokenizer_path()
+    order = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")) if order is None else order
 
     def run(batch: pa.RecordBatch) -> dict:
-        doc, out = column(batch, "doc_id").to_pylist(), {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "key")}
-        own_key = column(batch, "key").to_pylist()
+        of, piece, start, length, crc = [], [], [], [], []
         end = np.array([END_ID], np.uint32)
         for rows, ids, bounds in token_ids(column(batch, "text"), path):
             for i in range(rows.stop - rows.start):
-                own = np.concatenate([ids[bounds[i] : bounds[i + 1]], end])
+                own = np.concatenate([ids[bounds[i] : bounds[i + 1]], end]).astype("<u4", copy=False)
                 for k, at in enumerate(range(0, len(own), capacity)):
-                    part = own[at : at + capacity].astype("<u4").tobytes()
-                    crc = zlib.crc32(part)
-                    for name, v in zip(out, (doc[rows.start + i], k, at, len(part) // 4, crc, own_key[rows.start + i]), strict=True):
-                        out[name].append(v)
-        return out
+                    part = own[at : at + capacity]
+                    for v, x in zip((of, piece, start, length, crc), (rows.start + i, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        v.append(x)
+        own_row = pa.array(of, pa.int64())
+        return {**{k: column(batch, k).take(own_row) for k in ("doc_id", "file", "row")}, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
-    got = arrow_map(docs.select("doc_id", "text", (F.lit(0).cast("long") if key is None else key).alias("key")), run, PIECES + ", key long")
-    return got.drop("key") if key is None else got
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order.alias("order")).select("doc_id", "text", "order.file", "order.row")
+    return arrow_map(placed, run, PIECES + ", file long, row long")
 
 
 def knapsack(sizes: np.ndarray, weight: np.ndarray, most: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -217,23 +227,19 @@ def in_order(sequences: DataFrame) -> DataFrame:
     return cut.join(F.broadcast(before), "bucket").select("sequence_id", number.cast("long").alias("new_id"))
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, places: DataFrame | None = None, key: Column | None = None) -> DataFrame:
-    """The pieces of every row of docs with sequence_id and offset; in the order of places (h, slot, place), a written table, by the rows' key, if given."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """The pieces of every row of docs with sequence_id and offset; with an order (a struct of file and row), in that order."""
     spark = docs.sparkSession
     buckets = max(BUCKETS, 2 * partitions(spark))
-    parts = materialise(pieces(docs, path, capacity, None if places is None else key), "pack-pieces")
-    if places is None:
-        # by document, not by content: copies share a length and spread over its buckets
-        parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-        order = ["doc_id", "piece", "ids_crc32"]
+    parts = materialise(pieces(docs, path, capacity, order), "pack-pieces")
+    if order is None:
+        parts = parts.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
+        sort = ["doc_id", "piece", "ids_crc32", "row"]
     else:
-        last = places.agg(F.max("slot")).first()[0] or 0
-        # a slot's fraction goes by place, in units of the largest one
-        unit = (places.agg(F.max("place")).first()[0] or 0) + 1
-        at = (F.col("slot") + F.col("place") / F.lit(unit)).alias("at")
-        parts = materialise(join_checked(parts, places.select(F.col("h").alias("key"), at), "key").drop("key"), "pack-ordered")
-        parts = parts.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("at") / F.lit(last + 1.0) * buckets)).cast("long"))
-        order = ["at", "doc_id", "piece", "ids_crc32"]
+        last = parts.agg(F.max("file"), F.max("row")).first()
+        at = F.col("file") + F.col("row") / F.lit((last[1] or 0) + 1)  # a file's rows lie between its number and the next
+        parts = parts.withColumn("at", at).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("at") / F.lit((last[0] or 0) + 1.0) * buckets)).cast("long"))
+        sort = ["at", "doc_id", "piece", "ids_crc32", "row"]
     counts = materialise(parts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = layout(plan(histogram, capacity))
@@ -243,7 +249,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pla
         by[size] = tuple(np.array([r[i] for r in own], np.int64) for i in range(1, 6))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(counts.select("length", "bucket", before.alias("before")), "pack-offsets")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*sort)) - 1
     numbered = parts.withColumn("within", within)
     numbered = join_checked(numbered, offsets, ["length", "bucket"]).withColumn("number", F.col("within") + F.col("before"))
     ways = spark.sparkContext.broadcast(by)  # bounded by the histogram's fillings
@@ -263,9 +269,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pla
             offset[at] = start[k] + rank % times[k] * size
         return {**{k: column(batch, k) for k in kept}, "sequence_id": sequence, "offset": offset}
 
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["at"] * (places is not None)
-    packed = arrow_map(numbered.select(*kept, "number"), run, PIECES + ", at double" * (places is not None) + ", sequence_id long, offset long")
-    if places is None:
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["at"] * (order is not None)
+    packed = arrow_map(numbered.select(*kept, "number"), run, PIECES + ", at double" * (order is not None) + ", sequence_id long, offset long")
+    if order is None:
         return packed
     packed = materialise(packed, "pack-packed")
     mean = materialise(packed.groupBy("sequence_id").agg((F.sum(F.col("at") * F.col("length")) / F.sum("length")).alias("at")), "pack-means")
