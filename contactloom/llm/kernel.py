@@ -28,7 +28,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 #: Low bytes of a block that belong to a span of so many more bytes.
-_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int
         at = at[size[at] > k] if k else np.flatnonzero(size > 0)
         if not len(at):
             return out
-        block = every[starts[at] + k] & _LOW[np.minimum(size[at] - k, 8)]
+        block = every[starts[at] + k] & LOW[np.minimum(size[at] - k, 8)]
         out[at] = mix((out[at] ^ block) * LANES[lane] + np.uint64(k))
     for i in np.flatnonzero(size > LONG).tolist():
         digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
@@ -91,7 +91,7 @@ def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
             at = at[size[at] > k]
             if not len(at):
                 break
-            low = _LOW[np.minimum(size[at] - k, 8)]
+            low = LOW[np.minimum(size[at] - k, 8)]
             if ((every[starts[at] + k] ^ every[starts[model[at]] + k]) & low).any():
                 same[at[0]] = False
                 break
