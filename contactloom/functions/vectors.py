@@ -48,12 +48,18 @@ def cosine(a: str, b: str) -> Column:
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation; NULL where a side is constant."""
     p, x, y = _zip(a, b)
-    n = F.size(p).cast("double")
-    mx, my = F.try_divide(_sum(p, x), n), F.try_divide(_sum(p, y), n)
-    top = F.aggregate(p, F.lit(0.0), lambda s, v: s + (x(v) - mx) * (y(v) - my))
-    sx = F.aggregate(p, F.lit(0.0), lambda s, v: s + (x(v) - mx) * (x(v) - mx))
-    sy = F.aggregate(p, F.lit(0.0), lambda s, v: s + (y(v) - my) * (y(v) - my))
-    return F.try_divide(top, F.sqrt(sx * sy))
+
+    def centred(q: Column) -> Column:
+        n = F.size(q).cast("double")
+        return F.struct(q.alias("pairs"), F.try_divide(_sum(q, x), n).alias("mx"), F.try_divide(_sum(q, y), n).alias("my"))
+
+    def value(c: Column) -> Column:
+        dot = lambda f, g: F.aggregate(c["pairs"], F.lit(0.0), lambda s, v: s + f(v) * g(v))
+        dx, dy = (lambda v: x(v) - c["mx"]), (lambda v: y(v) - c["my"])
+        return F.try_divide(dot(dx, dy), F.sqrt(dot(dx, dx) * dot(dy, dy)))
+
+    # arrays of one element bind what is computed once: the pairs, then their means
+    return F.transform(F.transform(F.array(p), centred), value)[0]
 
 
 def arctanh(x: Column) -> Column:

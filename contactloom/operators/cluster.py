@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import prepare
+from ..runtime import cut, prepare
 from .metrics import matrix_of, pair_values
 
 #: Rows that first centres are drawn from.
@@ -274,22 +274,58 @@ def impute_all(rows: DataFrame, first: int = 1280, last: int = 10, medians_from:
             if k <= min(n.n, SEED_ROWS):
                 centres = fit(rows, k, kind, [k], 15)
                 members = assign(rows, centres, kind).select("row_id", "cid")
-                rows = impute(rows, centres_frame(spark, centres[0]), members).checkpoint()
+                rows = cut(impute(rows, centres_frame(spark, centres[0]), members))
             k //= 2
     return rows
 
 
+#: Lanczos steps at most, and the residual at which they end.
+STEPS = 200
+RESIDUAL = 1e-9
+
+
 def first_eigenvector(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """(row_id, value) of the eigenvector of the largest eigenvalue of the correlation matrix (i, j, value), sign fixed so that its largest entry is positive.
-
-    The matrix of one chromosome's bins comes to the driver: it is square in bins, at most a few thousand a side."""
-    pdf = values.toPandas()
-    ids = sorted(set(pdf.i) | set(pdf.j))
-    place = {r: k for k, r in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for i, j, v in zip(pdf.i, pdf.j, pdf.value, strict=True):
-        m[place[i], place[j]] = m[place[j], place[i]] = 0.0 if v is None or np.isnan(v) else v
-    v = np.linalg.eigh(m)[1][:, -1] if len(ids) else np.zeros(0)
-    if len(v) and v[np.abs(v).argmax()] < 0:
+    """(row_id, value) of the eigenvector of the largest eigenvalue of the symmetric matrix (i, j, value), sign fixed so that its largest entry is positive.
+
+    Lanczos with full orthogonalisation: the matrix stays a table, each step is one product with a vector, and
+    only vectors (a number for each bin of a chromosome) are on the driver.  Null values count as 0."""
+    spark = rows.sparkSession
+    half = values.select("i", "j", F.when(F.isnan("value"), None).otherwise(F.col("value")).alias("value")).where("value is not null")
+    both = cut(half.union(half.where("i <> j").select("j", "i", "value")))
+    ids = np.array(sorted(r[0] for r in values.select("i").union(values.select("j")).distinct().collect()), np.int64)
+    if not len(ids):
+        return spark.createDataFrame([], "row_id long, value double")
+
+    def times(v: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                s = np.bincount(np.searchsorted(ids, pdf.i), pdf.value * v[np.searchsorted(ids, pdf.j)], len(ids))
+                at = np.flatnonzero(s)
+                yield pd.DataFrame({"i": ids[at], "s": s[at]})
+
+        out = np.zeros(len(ids))
+        for r in both.mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+            out[np.searchsorted(ids, r.i)] = r.s
+        return out
+
+    v = np.random.default_rng(0).normal(size=len(ids))
+    basis, alpha, beta = [v / np.linalg.norm(v)], [], []
+    while True:
+        w = times(basis[-1])
+        alpha.append(float(w @ basis[-1]))
+        q = np.array(basis)
+        for _ in range(2):
+            w -= q.T @ (q @ w)
+        size = float(np.linalg.norm(w))
+        t = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
+        value, vector = np.linalg.eigh(t)
+        scale = max(1.0, abs(value[-1]))
+        if size * abs(vector[-1, -1]) < RESIDUAL * scale or len(basis) >= min(len(ids), STEPS):
+            break
+        beta.append(size)
+        basis.append(w / size)
+    v = q.T @ vector[:, -1]
+    v /= np.linalg.norm(v)
+    if v[np.abs(v).argmax()] < 0:
         v = -v
-    return rows.sparkSession.createDataFrame([(int(r), float(x)) for r, x in zip(ids, v, strict=True)], "row_id long, value double")
+    return spark.createDataFrame([(int(r), float(x)) for r, x in zip(ids, v, strict=True)], "row_id long, value double")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .metrics import majority, unassigned_share
+from ..runtime import cut
+from .metrics import unassigned_share
 from .tracks import greedy
 
 
@@ -37,18 +42,55 @@ def three_way_hubs(a: DataFrame, b: DataFrame, c: DataFrame, k: int) -> DataFram
     return j.join(F.broadcast(table), ["cid", "id2", "id3"]).select("row_id", F.col("hub").alias("cid"))
 
 
-def fill_by_neighbours(rows: DataFrame, hubs: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Rows without a label take the majority of their neighbours, those with the fewest unlabelled neighbours first.
-
-    A round labels all rows whose share of unlabelled neighbours is the lowest of the round; rounds go on
-    until no row left has a labelled neighbour."""
-    labels, parts = hubs, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        open_ = rows.select("row_id").join(labels, "row_id", "left_anti")
-        share = unassigned_share(neighbours.join(open_.withColumnRenamed("row_id", "i"), "i", "left_semi"), labels).where("share < 1")
-        least = share.agg(F.min("share").alias("m")).first().m
-        if least is None:
-            return labels
-        turn = share.where(F.col("share") == least).select("i")
-        new = majority(neighbours.join(turn, "i", "left_semi"), labels).withColumnRenamed("i", "row_id")
-        labels = labels.union(new).coalesce(parts).checkpoint()
+#: Open rows that are labelled in one step; a task holds the links among them.
+CHUNK = 1024
+
+
+def fill_by_neighbours(rows: DataFrame, hubs: DataFrame, neighbours: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows without a label take the majority of their neighbours' labels, one after the other.
+
+    The order is that of the share of neighbours without a label at the outset, then of row_id; rows without
+    neighbours come last.  A row sees the labels of those before it; ties, and no label at all, give the lowest.
+    Rows go in chunks of the order: votes of what is labelled already are counted by join, and only the links
+    within a chunk are followed in order, by one task."""
+    spark = rows.sparkSession
+    neighbours = cut(neighbours)
+    open_ = cut(rows.select("row_id").join(hubs, "row_id", "left_anti"))
+    share = unassigned_share(neighbours.join(open_.withColumnRenamed("row_id", "i"), "i", "left_semi"), hubs)
+    # numbered in two steps: sorted parts, then rows within a part behind those of earlier parts
+    placed = open_.join(share.withColumnRenamed("i", "row_id"), "row_id", "left").select("row_id", F.coalesce("share", F.lit(2.0)).alias("share"))
+    placed = cut(placed.orderBy("share", "row_id").withColumn("part", F.spark_partition_id()))
+    counts = sorted((r.part, r["count"]) for r in placed.groupBy("part").count().collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    if not total:
+        return hubs.select("row_id", "cid")
+    own = F.row_number().over(Window.partitionBy("part").orderBy("share", "row_id"))
+    order = cut(placed.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part").select("row_id", (own - 1 + F.col("before")).alias("number")))
+    labels = cut(hubs.select("row_id", F.col("cid").cast("int").alias("cid")))
+    for first in range(0, total, chunk):
+        mine = cut(order.where((F.col("number") >= first) & (F.col("number") < first + chunk)))
+        links = neighbours.join(F.broadcast(mine.withColumnRenamed("row_id", "i")), "i")
+        votes = links.join(labels.select(F.col("row_id").alias("j"), "cid"), "j").where("cid >= 0").groupBy("number", "cid").agg(F.count(F.lit(1)).alias("n"))
+        within = links.join(F.broadcast(mine.select(F.col("row_id").alias("j"), F.col("number").alias("other"))), "j").where("other < number")
+        todo = votes.select(F.lit(0).alias("kind"), "number", F.col("cid").cast("long").alias("what"), "n").union(within.select(F.lit(1), "number", "other", F.lit(1).cast("long"))).union(mine.select(F.lit(2), "number", "row_id", F.lit(0).cast("long")))
+        labels = cut(labels.union(todo.withColumn("chunk", F.lit(first)).groupBy("chunk").applyInPandas(_in_order, "row_id long, cid int")).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return labels
+
+
+def _in_order(todo: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a chunk of rows (kind 2), from votes (kind 0) and links to rows before (kind 1)."""
+    votes, links, out = defaultdict(Counter), defaultdict(list), {}
+    for kind, number, what, n in todo.loc[todo.kind < 2, ["kind", "number", "what", "n"]].itertuples(index=False):
+        if kind:
+            links[number].append(what)
+        else:
+            votes[number][what] += n
+    ids = dict(todo.loc[todo.kind == 2, ["number", "what"]].itertuples(index=False))
+    for number in sorted(ids):
+        seen = votes[number]
+        seen.update(out[o] for o in links[number])
+        out[number] = min(seen, key=lambda c: (-seen[c], c), default=0)
+    return pd.DataFrame({"row_id": [ids[k] for k in out], "cid": list(out.values())})

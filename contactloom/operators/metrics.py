@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,17 +58,19 @@ def all_pairs(rows: DataFrame, metric: str = "euclidean", strict: bool = False,
     a, b = packed.select(F.col("_b").alias("b1"), F.col("rows").alias("r1")), packed.select(F.col("_b").alias("b2"), F.col("rows").alias("r2"))
     units = a.join(b, F.col("b1") <= F.col("b2"))
 
+    def block_of(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        features = rows.field("features")
+        return rows.field("row_id").to_numpy(), features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(features), -1)
+
     def run(batches):
-        for pdf in batches:
-            for r1, r2 in zip(pdf.r1, pdf.r2, strict=True):
-                i, j = (np.array([x["row_id"] for x in r]) for r in (r1, r2))
-                v = pair_values(matrix_of(pd.Series([x["features"] for x in r1])), matrix_of(pd.Series([x["features"] for x in r2])), metric)
-                keep = i[:, None] < j[None, :] if strict else i[:, None] <= j[None, :]
-                p, q = np.nonzero(keep)
-                value = v[p, q]
-                yield pd.DataFrame({"i": i[p], "j": j[q], "value": [None if np.isnan(t) else float(t) for t in value]})
-
-    return units.repartition("b1", "b2").mapInPandas(run, "i long, j long, value double")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (i, x), (j, y) = (block_of(batch.column(c)[k].values) for c in (0, 1))
+                p, q = np.nonzero(i[:, None] < j[None, :] if strict else i[:, None] <= j[None, :])
+                value = pair_values(x, y, metric)[p, q]
+                yield pa.RecordBatch.from_arrays([pa.array(i[p], pa.int64()), pa.array(j[q], pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value))], names=["i", "j", "value"])
+
+    return units.repartition("b1", "b2").select("r1", "r2").mapInArrow(run, "i long, j long, value double")
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

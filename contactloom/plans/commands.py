@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -12,20 +13,35 @@ from ..operators import cluster, contacts, intervals, matrix, metrics, proto, sc
 from ..runtime import cut
 
 COMPRESSED_BP = 1_600_000
-#: Settings of the preprocessing sweep: (coverage norm, logarithm, column z).
-SETTINGS = tuple(product((True, False), repeat=3))
+#: Settings of the sweep: (raw counts with coverage norm, or the given normalised ones; columns scaled by root weights; logarithm; intra columns appended).
+SETTINGS = tuple(product((True, False), repeat=4))
 
 
 def factor(resolution: int) -> int:
     return max(1, COMPRESSED_BP // resolution)
 
 
-def settings_summary(inter: DataFrame, weights: DataFrame, n_columns: int, settings: tuple = SETTINGS) -> DataFrame:
-    """Cells and their sum under each setting."""
-    out, inter = None, cut(inter)
-    for vc, log, z in settings:
-        one = matrix.preprocess(inter, None, weights, n_columns, vc, log, z).agg(F.count("v").alias("n"), F.sum("v").alias("total"))
-        one = one.select(F.lit(int(vc)).alias("vc"), F.lit(int(log)).alias("log"), F.lit(int(z)).alias("z"), "n", "total")
+def configured(inter: DataFrame, intra: DataFrame, normed: tuple[DataFrame, DataFrame] | None, weights: DataFrame, n_columns: int, settings: tuple = SETTINGS) -> Iterator[tuple[tuple, DataFrame, DataFrame]]:
+    """(setting, cells, weights of their columns) of each setting; column z scores are always taken.
+
+    Settings on normalised counts need `normed`, their inter and intra cells, and are left out without them.
+    Cells are not scaled yet: means take them scaled once, medians twice."""
+    behind = weights.select((F.col("col_id") + n_columns).cast("int").alias("col_id"), "w")
+    for setting in settings:
+        post, _, log, appended = setting
+        source = (inter, intra) if post else normed
+        if source is not None:
+            cells = matrix.preprocess(source[0], source[1] if appended else None, weights, n_columns, post, log)
+            yield setting, cells, weights.unionByName(behind) if appended else weights
+
+
+def settings_summary(inter: DataFrame, intra: DataFrame, normed: tuple[DataFrame, DataFrame] | None, weights: DataFrame, n_columns: int, settings: tuple = SETTINGS) -> DataFrame:
+    """Cells and their sum, as means take them, under each setting."""
+    out, inter, intra = None, cut(inter), cut(intra)
+    for setting, cells, w in configured(inter, intra, normed, weights, n_columns, settings):
+        cells = matrix.scale_by_root_weights(cells, w) if setting[1] else cells
+        one = cells.agg(F.count("v").alias("n"), F.sum("v").alias("total"))
+        one = one.select(*(F.lit(int(v)).alias(k) for k, v in zip(("post", "scaled", "log", "intra"), setting, strict=True)), "n", "total")
         out = one if out is None else out.union(one)
     return out
 
@@ -75,12 +91,12 @@ def compress(table: DataFrame, track: DataFrame, resolution: int, n_columns: int
     return one.join(metrics.all_pairs(rows, "cosine").withColumnRenamed("value", "cosine"), ["i", "j"])
 
 
-def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
+def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, normed: DataFrame | None = None, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
     """Annotate: the best annotation (k, chr_idx, x1, x2, cluster_id) for k from first to past - 1.
 
     Bad bins and translocated pairs are masked, proto clusters found unless a mapping is
-    given, and the matrix is built once; every setting and algorithm gives a candidate,
-    and the candidate with the best variance ratio on odd against even chromosomes stays."""
+    given, and the matrix is built once for the raw counts and once for the normalised
+    ones, if there are any; every setting and algorithm gives a candidate, and the candidate with the best variance ratio on odd against even chromosomes stays."""
     bad = contacts.bad_bins(norm_vec)
     clean = contacts.mask_bad(table, bad)
     if mapping is None:
@@ -89,17 +105,16 @@ def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolutio
     mapping = cut(mapping)
     translocated = contacts.translocations(clean, cutoffs) if cutoffs is not None else None
     n_columns = mapping.select("proto").distinct().count()
-    inter, _ = matrix.build(clean, mapping, translocated)
-    inter = cut(inter)
+    inter, intra = map(cut, matrix.build(clean, mapping, translocated))
+    ready = tuple(map(cut, matrix.build(contacts.mask_bad(normed, bad), mapping, translocated))) if normed is not None else None
     weights = matrix.weights(mapping)
     where = intervals.to_intervals(mapping, chroms, resolution)
     candidates, number = [], 0
-    for vc, log, z in settings:
-        cells = matrix.preprocess(inter, None, weights, n_columns, vc, log, z)
-        rows = cut(matrix.wide(cells))
-        weighted = cut(metrics.root_weighted(rows, weights))
-        for kind, x in (("means", weighted), ("medians", metrics.root_weighted(weighted, weights))):
-            for k, _, members in cluster.sweep(x, first, past, (kind,), restarts=restarts, iterations=iterations, seed=seed):
+    for (_, scaled, _, _), cells, w in configured(inter, intra, ready, weights, n_columns, settings):
+        for kind in ("means", "medians"):
+            cells = cut(matrix.scale_by_root_weights(cells, w) if scaled else cells)
+            rows = cut(matrix.wide(cells))
+            for k, _, members in cluster.sweep(rows, first, past, (kind,), restarts=restarts, iterations=iterations, seed=seed):
                 candidates.append(cluster.to_track(members, where).withColumns({"k": F.lit(k), "candidate": F.lit(number)}))
                 number += 1
     out = candidates[0]

@@ -150,7 +150,7 @@ add("p6_outliers", "chr_idx bin1 bin2 dist|cnt z", lambda r: C.without_outliers(
 add("p7_bad_bins", "chr_idx bin", lambda r: C.bad_bins(r.norm_vec), BAD, "norm_vec")
 GOOD = "SELECT row_id FROM matrix GROUP BY 1 HAVING COUNT(v) > 3 AND COUNT(v) >= {s} * 64"
 add("p8_good_rows", "row_id", lambda r: M.good_rows(r.matrix, 64, 0.94), GOOD.format(s=0.94), "matrix")
-add("p9_good_columns", "row_id col_id|v", lambda r: M.drop_bad_columns(r.matrix.where("row_id < 200"), 200, 0.94), "SELECT * FROM matrix WHERE row_id < 200 AND col_id IN (SELECT col_id FROM matrix WHERE row_id < 200 GROUP BY 1 HAVING COUNT(v) > 3 AND COUNT(v) >= 0.94 * 200)", "matrix")
+add("p9_good_columns", "row_id col_id|v", lambda r: M.drop_bad_columns(r.matrix, r.matrix.select("row_id").distinct().count(), 0.94), "SELECT * FROM matrix WHERE col_id IN (SELECT col_id FROM matrix GROUP BY 1 HAVING COUNT(v) > 3 AND COUNT(v) >= 0.94 * (SELECT COUNT(DISTINCT row_id) FROM matrix))", "matrix")
 add("p10_compact", "chr_idx bin proto row_id", lambda r: M.compact(bin_map(r), bin_map(r).where("row_id % 3 <> 0").select("row_id")), "SELECT chr_idx, bin, proto, ROW_NUMBER() OVER (ORDER BY chr_idx, bin) - 1 AS row_id FROM bin_map WHERE row_id % 3 <> 0", "track_a", labels=LABELS, bin_map=BINMAP)
 add("p11_quick_clean", "row_id", lambda r: M.quick_clean(r.matrix, 64, 0.06), "SELECT row_id FROM matrix GROUP BY 1 HAVING (64 - COUNT(v)) / 64.0 < 0.06", "matrix")
 add("p12_near_diagonal", CELL, lambda r: C.mask_near_diagonal(r.contacts_intra, 5), "SELECT * FROM contacts_intra WHERE chr1 <> chr2 OR ABS(bin1 - bin2) >= 5", "contacts_intra")
@@ -205,7 +205,10 @@ add("j2_both_ends", f"{CELL.split('|')[0]} id1 id2|cnt", lambda r: C.both_ends(r
 add("j3_join_tracks", "chr_idx x1 id1 id2", lambda r: T.join_tracks(r.track_a, r.track_b), f"SELECT chr_idx, x1, a.cluster_id AS id1, b.cluster_id AS id2 FROM {LAST.format(t='track_a')} a JOIN {LAST.format(t='track_b')} b USING (chr_idx, x1) WHERE a.cluster_id >= 0 AND b.cluster_id >= 0", "track_a", "track_b")
 add("j4_common_loci", f"{ROW}||track_id", lambda r: T.common_loci(two_tracks(r), 4 * R, 8), f"SELECT * FROM two WHERE (chr_idx, x1 // {4 * R}) IN (SELECT (chr_idx, x1 // {4 * R}) FROM two GROUP BY chr_idx, x1 // {4 * R} HAVING COUNT(*) = 8)", "track_a", "track_b", two=TWO)
 add("j5_areas", "chr1 chr2 id1 id2 area", lambda r: C.areas(labels(r)), AREA, "track_a", labels=LABELS)
-W64 = "SELECT row_id, LIST(v ORDER BY col_id) AS f FROM matrix WHERE row_id < {n} GROUP BY 1"
+W64 = "SELECT row_id, LIST(v ORDER BY col_id) AS f FROM matrix GROUP BY 1"
+#: The rows that stand for centres, and those that query all rows.
+FIVE = "SELECT * FROM w WHERE row_id < 5"
+EVERY = 50
 PAIR = "SELECT a.row_id AS i, b.row_id AS j, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON a.row_id {op} b.row_id"
 METRIC = {
     "euclidean": "SQRT(64 * SUM((x - y) * (x - y)) / COUNT(x + y))", "manhattan": "64 * SUM(ABS(x - y)) / COUNT(x + y)",
@@ -213,17 +216,17 @@ METRIC = {
 }
 
 
-def rows(r: Relations, n: int = 60) -> DataFrame:
-    return M.wide(r.matrix.where(f"row_id < {n}"))
+def rows(r: Relations) -> DataFrame:
+    return M.wide(r.matrix)
 
 
-def pair_sql(metric: str, op: str, n: int = 60) -> tuple[str, dict]:
-    return f"SELECT i, j, {METRIC[metric]} AS value FROM p GROUP BY i, j", {"w": W64.format(n=n), "p": PAIR.format(op=op)}
+def pair_sql(metric: str, op: str) -> tuple[str, dict]:
+    return f"SELECT i, j, {METRIC[metric]} AS value FROM p GROUP BY i, j", {"w": W64, "p": PAIR.format(op=op)}
 
 
 for _m, _id in (("euclidean", "j6_all_pairs_euclidean"), ("manhattan", "j6_all_pairs_manhattan"), ("cosine", "j6_all_pairs_cosine"), ("correlation", "j6_all_pairs_correlation")):
     _sql, _more = pair_sql(_m, "<=")
-    add(_id, "i j|value", lambda r, m=_m: D.all_pairs(rows(r), m, block=32), _sql, "matrix", **_more)
+    add(_id, "i j|value", lambda r, m=_m: D.all_pairs(rows(r), m, block=64), _sql, "matrix", **_more)
 _sql, _more = pair_sql("cosine", "<")
 add("j7_masked_pairs", "i j|value", lambda r: D.masked_pairs(rows(r), members(r), 3, "cosine"), f"SELECT * FROM ({_sql}) WHERE i IN (SELECT row_id FROM m WHERE cid < 3) AND j IN (SELECT row_id FROM m WHERE cid < 3)", "matrix", m=MEMBERS, **_more)
 
@@ -233,7 +236,7 @@ def centres(r: Relations, n: int = 5) -> DataFrame:
 
 
 TO = "SELECT a.row_id, b.row_id AS cid, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON b.row_id < 5"
-add("j8_to_centres", "row_id cid|euclidean manhattan", lambda r: D.several_metrics(rows(r, 200), centres(r), ("euclidean", "manhattan")), f"SELECT row_id, cid, {METRIC['euclidean']} AS euclidean, {METRIC['manhattan']} AS manhattan FROM t GROUP BY 1, 2", "matrix", w=W64.format(n=200), t=TO)
+add("j8_to_centres", "row_id cid|euclidean manhattan", lambda r: D.several_metrics(rows(r), centres(r), ("euclidean", "manhattan")), f"SELECT row_id, cid, {METRIC['euclidean']} AS euclidean, {METRIC['manhattan']} AS manhattan FROM t GROUP BY 1, 2", "matrix", w=W64, t=TO)
 HALF = "SELECT 64 * 0 + col_id AS col_id, col_id % 5 + 1 AS w FROM (SELECT DISTINCT col_id FROM matrix)"
 
 
@@ -241,8 +244,8 @@ def col_weights(r: Relations) -> DataFrame:
     return r.matrix.select("col_id").distinct().select("col_id", (F.col("col_id") % 5 + 1).cast("long").alias("w"))
 
 
-add("j9_weighted_to_centres", "row_id cid|value", lambda r: D.to_centres(D.root_weighted(rows(r, 200).where("row_id >= 5"), col_weights(r)), D.root_weighted(rows(r, 5), col_weights(r)).select(F.col("row_id").cast("int").alias("cid"), F.col("features").alias("centre"))),
-    f"SELECT row_id, cid, {METRIC['euclidean']} AS value FROM t WHERE row_id >= 5 GROUP BY 1, 2", "matrix", s="SELECT row_id, col_id, v * SQRT(col_id % 5 + 1) AS v FROM matrix", w=W64.format(n=200).replace("FROM matrix", "FROM s"), t=TO)
+add("j9_weighted_to_centres", "row_id cid|value", lambda r: D.to_centres(D.root_weighted(rows(r), col_weights(r)), D.root_weighted(rows(r).where("row_id < 5"), col_weights(r)).select(F.col("row_id").cast("int").alias("cid"), F.col("features").alias("centre"))),
+    f"SELECT row_id, cid, {METRIC['euclidean']} AS value FROM t GROUP BY 1, 2", "matrix", s="SELECT row_id, col_id, v * SQRT(col_id % 5 + 1) AS v FROM matrix", w=W64.replace("FROM matrix", "FROM s"), t=TO)
 NEAR = "SELECT i, j, value FROM pairs WHERE i <> j UNION ALL SELECT j, i, value FROM pairs WHERE i <> j"
 RANK = "SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY value, j) AS k, COUNT(*) OVER (PARTITION BY i) AS n FROM near"
 CUT = "SELECT i, MAX(CASE WHEN k = 1 + 0 * n AND 1 = GREATEST(1, LEAST(FLOOR((n + 1) * 0.1), n)) OR k = GREATEST(1, LEAST(FLOOR((n + 1) * 0.1), n)) THEN value END) AS a, MAX(CASE WHEN k = LEAST(GREATEST(1, LEAST(FLOOR((n + 1) * 0.1), n)) + 1, n) THEN value END) AS b, MAX(CASE WHEN (n + 1) * 0.1 < 1 OR (n + 1) * 0.1 >= n THEN 0 ELSE (n + 1) * 0.1 - FLOOR((n + 1) * 0.1) END) AS s FROM ranked GROUP BY i"
@@ -255,7 +258,7 @@ def knn(r: Relations) -> DataFrame:
 
 
 add("j10_nearest", "i j", knn, "SELECT * FROM nn", "matrix", **KNN)
-add("j11_best_centre", "row_id cid", lambda r: D.best_centre(D.to_centres(rows(r, 200), centres(r), "correlation"), 0.1), f"SELECT row_id, arg_min(cid, -value * 1000000 + cid * 1e-9) AS cid FROM (SELECT row_id, cid, {METRIC['correlation']} AS value FROM t GROUP BY 1, 2) WHERE value > 0.1 GROUP BY 1", "matrix", w=W64.format(n=200), t=TO)
+add("j11_best_centre", "row_id cid", lambda r: D.best_centre(D.to_centres(rows(r), centres(r), "correlation"), 0.1), f"SELECT row_id, arg_min(cid, -value * 1000000 + cid * 1e-9) AS cid FROM (SELECT row_id, cid, {METRIC['correlation']} AS value FROM t GROUP BY 1, 2) WHERE value > 0.1 GROUP BY 1", "matrix", w=W64, t=TO)
 add("j12_upsample", "chr_idx bin cluster_id", lambda r: C.upsample(labels(r), r.contacts.select(F.col("chr1").alias("chr_idx"), (F.col("bin1") * 3 + 1).alias("bin")).distinct(), 3), "SELECT f.chr_idx, f.bin, l.cluster_id FROM (SELECT DISTINCT chr1 AS chr_idx, bin1 * 3 + 1 AS bin FROM contacts) f JOIN labels l ON l.chr_idx = f.chr_idx AND l.bin = f.bin // 3", "contacts", "track_a", labels=LABELS)
 add("j13_without_pairs", CELL, lambda r: C.without_pairs(r.contacts, r.spark.createDataFrame([(3, 1), (2, 2)], "chr1 int, chr2 int")), "SELECT * FROM contacts WHERE NOT (chr1 = 1 AND chr2 = 3) AND NOT (chr1 = 2 AND chr2 = 2)", "contacts")
 add("j14_cluster_track", ROW, lambda r: _cluster().to_track(members(r), I.to_intervals(bin_map(r), r.chroms, R)), f"SELECT chr_idx, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2, cid + 1 AS cluster_id FROM m JOIN bin_map USING (row_id) JOIN chroms USING (chr_idx) WHERE cid >= 0", "track_a", "chroms", labels=LABELS, bin_map=BINMAP, m=MEMBERS)
@@ -335,7 +338,7 @@ add("a22_variance_score", "|score", lambda r: S.variance_score(grid(r)), VAR.for
 add("a23_divergence_score", "|score", lambda r: S.divergence_score(grid(r)), KL.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
 add("a24_score_ratios", "|baseline shuffled ratio|score_type", lambda r: S.ratios(grid(r)), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
 add("a25_geometric_mean", "|geometric_mean|score_type", lambda r: S.geometric_mean(S.ratios(grid(r)).union(S.ratios(grid(r)).withColumn("ratio", F.col("ratio") * 4))), "SELECT score_type, ratio * 2 AS geometric_mean FROM ratios", "contacts", "track_a", **SCHAIN)
-add("a26_wcss", "restart n_clusters|wcss", lambda r: _cluster().within(members(r).where("row_id < 200").withColumns({"restart": F.lit(0), "distance": F.col("row_id") / 100.0}), 3), "SELECT 0 AS restart, SUM(d) / 3 + SUM(CASE WHEN n < 5 THEN 3.4028234663852886e38 ELSE 0 END) AS wcss, COUNT(*) AS n_clusters FROM (SELECT cid, SUM(row_id / 100.0) AS d, COUNT(*) AS n FROM m WHERE row_id < 200 GROUP BY 1)", m=MEMBERS)
+add("a26_wcss", "restart n_clusters|wcss", lambda r: _cluster().within(members(r).withColumns({"restart": F.lit(0), "distance": F.col("row_id") / 100.0}), 3), "SELECT 0 AS restart, SUM(d) / 3 + SUM(CASE WHEN n < 5 THEN 3.4028234663852886e38 ELSE 0 END) AS wcss, COUNT(*) AS n_clusters FROM (SELECT cid, SUM(row_id / 100.0) AS d, COUNT(*) AS n FROM m GROUP BY 1)", m=MEMBERS)
 add("a27_mean_centres", "cid col_id weight|v", lambda r: _cluster().mean_centres(r.matrix, members(r)), "SELECT cid, col_id, AVG(v) AS v, ANY_VALUE(w) AS weight FROM matrix JOIN m USING (row_id) JOIN (SELECT cid, COUNT(*) AS w FROM m GROUP BY 1) USING (cid) GROUP BY 1, 2", "matrix", m=MEMBERS)
 CUTOFF = "SELECT a.chr_idx AS chr1, b.chr_idx AS chr2, 60 + 5 * (a.chr_idx + b.chr_idx) AS cutoff FROM chroms a JOIN chroms b ON a.chr_idx < b.chr_idx"
 add("a28_translocations", "chr1 chr2 hits", lambda r: C.translocations(r.contacts, C.chromosome_pairs(r.chroms, False).withColumn("cutoff", 60 + 5 * (F.col("chr1") + F.col("chr2"))), C.bad_bins(r.norm_vec)),
@@ -359,8 +362,8 @@ add("a37_unassigned_share", "i|share", lambda r: D.unassigned_share(knn(r), memb
 FEATURES = "features"
 
 
-def features(r: Relations, n: int = 200) -> DataFrame:
-    return rows(r, n)
+def features(r: Relations) -> DataFrame:
+    return rows(r)
 
 
 def planted(r: Relations) -> DataFrame:
@@ -385,19 +388,19 @@ STEP = "SELECT row_id, arg_min(cid, value * 1000000 + cid * 1e-9) AS cid, MIN(va
 def one_step(r: Relations) -> DataFrame:
     import numpy as np
 
-    start = D.matrix_of(rows(r, 5).orderBy("row_id").toPandas().features)
+    start = D.matrix_of(rows(r).where("row_id < 5").orderBy("row_id").toPandas().features)
     fill = np.where(np.isnan(start), 0.0, start)
-    return _cluster().assign(rows(r, 200), fill[None])
+    return _cluster().assign(rows(r), fill[None])
 
 
 ZERO = "SELECT row_id, LIST(COALESCE(v, 0) ORDER BY col_id) AS f FROM matrix WHERE row_id < 5 GROUP BY 1"
-add("m1_assignment_step", "row_id cid|distance", one_step, "SELECT * FROM step", "matrix", w=W64.format(n=200), z=ZERO, t="SELECT a.row_id, b.row_id AS cid, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a CROSS JOIN z b", step=STEP)
-add("m3_best_of_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 4, restarts=5, iterations=10)[1])
+add("m1_assignment_step", "row_id cid|distance", one_step, "SELECT * FROM step", "matrix", w=W64, z=ZERO, t="SELECT a.row_id, b.row_id AS cid, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a CROSS JOIN z b", step=STEP)
+add("m3_best_of_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 4)[1])
 
 
 def swept(r: Relations) -> DataFrame:
     out = None
-    for k, kind, m in _cluster().sweep(planted(r), 3, 5, ("means",), restarts=2, iterations=5):
+    for k, kind, m in _cluster().sweep(planted(r), 3, 5):
         one = m.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).withColumns({"k": F.lit(k), "kind": F.lit(kind)})
         out = one if out is None else out.union(one)
     return out
@@ -442,7 +445,7 @@ def _commands():
     return commands
 
 
-add("m14_settings", "vc log z n|total", lambda r: _commands().settings_summary(dense(r), M.weights(bin_map(r)), 16))
+add("m14_settings", "post scaled log intra n|total", lambda r: _commands().settings_summary(*M.build(r.contacts, bin_map(r)), None, M.weights(bin_map(r)), 16))
 add("m15_best_candidate", "candidate|ratio", lambda r: S.run(r.contacts, candidates(r), r.chroms, KINDS, FACTOR, ROUNDS, tracks=("candidate",)).where("score_type = 'variance'").agg(F.max_by("candidate", F.struct("ratio", -F.col("candidate"))).alias("candidate"), F.max("ratio").alias("ratio")))
 
 
@@ -483,28 +486,34 @@ def second_members(r: Relations) -> DataFrame:
     return members(r).withColumn("cid", ((F.col("cid") + F.when(F.col("row_id") % 5 == 0, 1).otherwise(0)) % 4).cast("int"))
 
 
-add("m23_two_way_hubs", "row_id cid", lambda r: _consensus().two_way_hubs(members(r), second_members(r), 3))
-add("m23_fill_by_neighbours", "row_id cid", lambda r: _consensus().fill_by_neighbours(rows(r), _consensus().two_way_hubs(members(r).where("row_id < 60"), second_members(r).where("row_id < 60"), 3), knn(r)))
-add("m24_three_way_hubs", "row_id cid", lambda r: _consensus().three_way_hubs(members(r), second_members(r), members(r), 3))
+HUBS = {
+    "m": MEMBERS, "s2": "SELECT row_id, (cid + CASE WHEN row_id % 5 = 0 THEN 1 ELSE 0 END) % 4 AS id2 FROM m",
+    "t": "SELECT cid AS id1, id2, COUNT(*) AS n FROM m JOIN s2 USING (row_id) GROUP BY 1, 2", **{k: GREEDY[k] for k in ("p1", "p2", "p3")},
+    "hubs": "SELECT id1, id2, 0 AS hub FROM p1 UNION ALL SELECT id1, id2, 1 FROM p2 UNION ALL SELECT id1, id2, 2 FROM p3",
+}
+HUB_ROWS = "SELECT m.row_id, hub AS cid FROM m JOIN s2 USING (row_id) JOIN hubs ON hubs.id1 = m.cid AND hubs.id2 = s2.id2"
+add("m23_two_way_hubs", "row_id cid", lambda r: _consensus().two_way_hubs(members(r), second_members(r), 3), HUB_ROWS, **HUBS)
+add("m23_fill_by_neighbours", "row_id cid", lambda r: _consensus().fill_by_neighbours(rows(r), _consensus().two_way_hubs(members(r), second_members(r), 3), knn(r)))
+add("m24_three_way_hubs", "row_id cid", lambda r: _consensus().three_way_hubs(members(r), second_members(r), members(r), 3), HUB_ROWS, **HUBS)  # the third is the first, so pairs decide
 CENTRES = "SELECT row_id, LIST(v ORDER BY col_id) AS f FROM matrix WHERE row_id < 5 GROUP BY 1"
 
 
 def imputed(r: Relations) -> DataFrame:
-    flat = M.long(_cluster().impute(rows(r, 200), centres(r), members(r).where("row_id < 200 and cid < 5")))
+    flat = M.long(_cluster().impute(rows(r), centres(r), members(r).where("cid < 5")))
     return flat
 
 
-add("m25_impute", "row_id col_id|v", imputed, "SELECT x.row_id, x.col_id, COALESCE(x.v, CASE WHEN c.v > 0 THEN c.v END) AS v FROM matrix x LEFT JOIN (SELECT * FROM m WHERE row_id < 200 AND cid < 5 AND cid IN (SELECT cid FROM m WHERE row_id < 200 AND cid < 5 GROUP BY 1 HAVING COUNT(*) > 10)) g USING (row_id) LEFT JOIN matrix c ON c.row_id = g.cid AND c.col_id = x.col_id WHERE x.row_id < 200", "matrix", m=MEMBERS)
-add("m28_capped_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 3, "means", 2, iterations=5)[1])
+add("m25_impute", "row_id col_id|v", imputed, "SELECT x.row_id, x.col_id, COALESCE(x.v, CASE WHEN c.v > 0 THEN c.v END) AS v FROM matrix x LEFT JOIN (SELECT * FROM m WHERE cid < 5 AND cid IN (SELECT cid FROM m WHERE cid < 5 GROUP BY 1 HAVING COUNT(*) > 10)) g USING (row_id) LEFT JOIN matrix c ON c.row_id = g.cid AND c.col_id = x.col_id", "matrix", m=MEMBERS)
+add("m28_capped_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 3, "medians")[1])
 add("m29_chi_square", "c1 c2|statistic p", lambda r: _cluster().chi_square(centres(r).withColumn("centre", F.transform("centre", lambda x: F.abs(x) * 50))))
-PAIR5 = "SELECT a.row_id AS c1, b.row_id AS c2, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON a.row_id {op} b.row_id"
-add("m30_centre_distances", "c1 c2|distance per_entry", lambda r: _cluster().centre_pairs(centres(r)).select("c1", "c2", vectors.euclidean("a", "b").alias("distance"), (vectors.euclidean("a", "b") / 64).alias("per_entry")), f"SELECT c1, c2, {METRIC['euclidean']} AS distance, {METRIC['euclidean']} / 64 AS per_entry FROM p GROUP BY 1, 2", "matrix", w=W64.format(n=5), p=PAIR5.format(op="<"))
-add("m31_similar_entries", "c1 c2 n_similar", lambda r: _cluster().similar_entries(centres(r)), "SELECT c1, c2, SUM(CASE WHEN (x - y) * (x - y) / NULLIF(ABS(y), 0) < 0.05 THEN 1 ELSE 0 END) AS n_similar FROM p GROUP BY 1, 2", "matrix", w=W64.format(n=5), p=PAIR5.format(op="<"))
-add("m32_centre_correlations", "c1 c2|value", lambda r: _cluster().centre_pairs(centres(r), False).select("c1", "c2", vectors.correlation("a", "b").alias("value")), f"SELECT c1, c2, {METRIC['correlation']} AS value FROM p GROUP BY 1, 2", "matrix", w=W64.format(n=5), p=PAIR5.format(op="<="))
+PAIR5 = "SELECT a.row_id AS c1, b.row_id AS c2, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM five a JOIN five b ON a.row_id {op} b.row_id"
+add("m30_centre_distances", "c1 c2|distance per_entry", lambda r: _cluster().centre_pairs(centres(r)).select("c1", "c2", vectors.euclidean("a", "b").alias("distance"), (vectors.euclidean("a", "b") / 64).alias("per_entry")), f"SELECT c1, c2, {METRIC['euclidean']} AS distance, {METRIC['euclidean']} / 64 AS per_entry FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"))
+add("m31_similar_entries", "c1 c2 n_similar", lambda r: _cluster().similar_entries(centres(r)), "SELECT c1, c2, SUM(CASE WHEN (x - y) * (x - y) / NULLIF(ABS(y), 0) < 0.05 THEN 1 ELSE 0 END) AS n_similar FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"))
+add("m32_centre_correlations", "c1 c2|value", lambda r: _cluster().centre_pairs(centres(r), False).select("c1", "c2", vectors.correlation("a", "b").alias("value")), f"SELECT c1, c2, {METRIC['correlation']} AS value FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<="))
 _sql, _more = pair_sql("cosine", "<=")
 add("m33_similarity_matrix", "i j|value", lambda r: D.mirrored(D.all_pairs(rows(r), "cosine")), f"SELECT i, j, value FROM pairs UNION ALL SELECT j, i, value FROM pairs WHERE i <> j", "matrix", **_more, pairs=_sql)
-add("m34_eigen_types", "row_id|value", lambda r: _cluster().first_eigenvector(rows(r, 20), D.all_pairs(rows(r, 20), "cosine")).select("row_id", F.col("value").cast("float").alias("value")))
-add("m35_append_intra", "row_id col_id|v", lambda r: M.append_intra(r.matrix.where("row_id < 50"), r.matrix.where("row_id < 50 and col_id < 10"), 64), "SELECT * FROM matrix WHERE row_id < 50 UNION ALL SELECT row_id, col_id + 64, v FROM matrix WHERE row_id < 50 AND col_id < 10", "matrix")
+add("m34_eigen_types", "row_id|value", lambda r: _cluster().first_eigenvector(rows(r), D.all_pairs(rows(r), "cosine")).select("row_id", F.col("value").cast("float").alias("value")))
+add("m35_append_intra", "row_id col_id|v", lambda r: M.append_intra(r.matrix, r.matrix.where("col_id < 10"), 64), "SELECT * FROM matrix UNION ALL SELECT row_id, col_id + 64, v FROM matrix WHERE col_id < 10", "matrix")
 
 # -- scalar functions ------------------------------------------------------------------------------------------
 add("f1_log_pseudo", CELL, lambda r: M.log_pseudo(r.contacts.withColumnRenamed("cnt", "v")).withColumnRenamed("v", "cnt"), "SELECT chr1, bin1, chr2, bin2, LN(cnt + 1) AS cnt FROM contacts", "contacts")
@@ -513,27 +522,30 @@ add("f3_log_clean", "row_id col_id|v", lambda r: r.matrix.where("v > -1").withCo
 add("f4_expm1", "row_id col_id|v", lambda r: r.matrix.withColumn("v", scalars.expm1_positive(F.col("v"))), "SELECT row_id, col_id, CASE WHEN EXP(v) - 1 > 0 THEN EXP(v) - 1 ELSE v END AS v FROM matrix", "matrix")
 
 
+QUERIED = f"SELECT a.row_id AS i, b.row_id AS j, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM w a JOIN w b ON b.row_id % {EVERY} = 0"
+
+
 def column_metric(name: str) -> Callable[[Relations], DataFrame]:
     def build(r: Relations) -> DataFrame:
-        x = rows(r, 40)
-        y = x.select(F.col("row_id").alias("j"), F.col("features").alias("g"))
-        return x.withColumnRenamed("row_id", "i").join(F.broadcast(y), F.col("i") <= F.col("j")).select("i", "j", vectors.METRICS[name]("features", "g").alias("value"))
+        """Rows whose id is divisible by EVERY against all rows."""
+        x = rows(r)
+        y = x.where(f"row_id % {EVERY} = 0").select(F.col("row_id").alias("j"), F.col("features").alias("g"))
+        return x.withColumnRenamed("row_id", "i").join(F.broadcast(y)).select("i", "j", vectors.METRICS[name]("features", "g").alias("value"))
 
     return build
 
 
 for _m, _id in (("correlation", "f5_correlation"), ("euclidean", "f6_euclidean"), ("manhattan", "f7_manhattan"), ("cosine", "f8_cosine")):
-    _sql, _more = pair_sql(_m, "<=", 40)
-    add(_id, "i j|value", column_metric(_m), _sql, "matrix", **_more)
+    add(_id, "i j|value", column_metric(_m), pair_sql(_m, "")[0], "matrix", w=W64, p=QUERIED)
 add("f9_arctanh", "row_id col_id|v", lambda r: r.matrix.withColumn("v", vectors.arctanh(F.col("v"))), "SELECT row_id, col_id, 0.5 * (LN(1 + GREATEST(-0.99, LEAST(0.99, v))) - LN(1 - GREATEST(-0.99, LEAST(0.99, v)))) AS v FROM matrix WHERE v IS NOT NULL UNION ALL SELECT row_id, col_id, -2.646652 AS v FROM matrix WHERE FALSE UNION ALL SELECT row_id, col_id, NULL FROM matrix WHERE v IS NULL", "matrix")
 add("f10_distance", "chr1 bin1 bin2 dist", lambda r: C.distance(r.contacts_intra), "SELECT chr_idx AS chr1, bin1, bin2, dist FROM intra", "contacts_intra", intra=INTRA)
 add("f11_clamp", "row_id col_id|v", lambda r: r.matrix.where("v is not null").withColumn("v", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("v")))), "SELECT row_id, col_id, GREATEST(-0.5, LEAST(0.5, v)) AS v FROM matrix WHERE v IS NOT NULL", "matrix")
 add("f12_choose_two", "id1 id2|pairs", lambda r: T.contingency(r.track_a, r.track_b).withColumn("pairs", T.choose_two(F.col("n"))), "SELECT id1, id2, n * (n - 1) / 2.0 AS pairs FROM t", "track_a", "track_b", t=TABLE)
 add("f13_colour", "chr_idx x1||colour", lambda r: r.track_a.withColumn("colour", colours.colour(F.col("cluster_id") + F.expr(f"cast(x1 div {R} as int)"))), f"SELECT chr_idx, x1, {NAMES}[(cluster_id + x1 // {R}) % 20 + 1] AS colour FROM track_a", "track_a")
 add("f15_transpose", "row_id col_id|v", lambda r: M.transpose(r.matrix), "SELECT col_id AS row_id, row_id AS col_id, v FROM matrix", "matrix")
-add("f16_concat", "row_id size", lambda r: rows(r).select("row_id", F.size(F.concat("features", "features")).alias("size")), "SELECT row_id, 128 AS size FROM matrix WHERE row_id < 60 GROUP BY 1", "matrix")
+add("f16_concat", "row_id size", lambda r: rows(r).select("row_id", F.size(F.concat("features", "features")).alias("size")), "SELECT row_id, 128 AS size FROM matrix GROUP BY 1", "matrix")
 add("f17_divide_by_weights", "row_id col_id|v", lambda r: M.divide_by_weights(r.matrix, col_weights(r)), "SELECT row_id, col_id, v / (col_id % 5 + 1) AS v FROM matrix", "matrix")
-add("f18_divide_by_count", "row_id col_id|v", lambda r: M.long(rows(r).select("row_id", vectors.divide_by_count(F.col("features"), F.col("row_id") % 7).alias("features"))), "SELECT row_id, col_id, v / GREATEST(row_id % 7, 1) AS v FROM matrix WHERE row_id < 60", "matrix")
+add("f18_divide_by_count", "row_id col_id|v", lambda r: M.long(rows(r).select("row_id", vectors.divide_by_count(F.col("features"), F.col("row_id") % 7).alias("features"))), "SELECT row_id, col_id, v / GREATEST(row_id % 7, 1) AS v FROM matrix", "matrix")
 add("f19_add_divide", "row_id col_id|v", lambda r: r.matrix.union(r.matrix).groupBy("row_id", "col_id").agg((F.sum("v") / 10).alias("v")), "SELECT row_id, col_id, (v + v) / 10 AS v FROM matrix", "matrix")
 add("f20_min_max", "|low high", lambda r: r.matrix.agg(F.min("v").alias("low"), F.max("v").alias("high")), "SELECT MIN(v) AS low, MAX(v) AS high FROM matrix", "matrix")
 add("f21_float_cells", "row_id col_id|v", lambda r: r.matrix.withColumn("v", F.col("v").cast("float")), "SELECT row_id, col_id, CAST(v AS FLOAT) AS v FROM matrix", "matrix")
@@ -556,13 +568,15 @@ add("o8_distinct_ids", "cluster_id", lambda r: r.track_a.select("cluster_id").di
 add("o9_rounds", "round n", lambda r: blocks(r).groupBy("round").agg(F.count(F.lit(1)).alias("n")), "SELECT round, COUNT(*) AS n FROM blocks GROUP BY 1", "track_a", **chain("blocks"))
 
 # -- extension points and commands -----------------------------------------------------------------------------
-add("u1_metric_registry", "i j|value", column_metric("mean_square"), "SELECT i, j, AVG((x - y) * (x - y)) AS value FROM p GROUP BY i, j", "matrix", w=W64.format(n=40), p=PAIR.format(op="<="))
+add("u1_metric_registry", "i j|value", column_metric("mean_square"), "SELECT i, j, AVG((x - y) * (x - y)) AS value FROM p GROUP BY i, j", "matrix", w=W64, p=QUERIED)
 add("u2_score_registry", "|score|score_type", lambda r: S.SCORES["variance"](grid(r), regional=False).withColumn("score_type", F.lit("variance")), f"SELECT 'variance' AS score_type, score FROM ({VAR.format(over='')})", "contacts", "track_a", **chain("grid"))
 add("u7_per_chromosome", "chr_idx n", lambda r: I.collapse(r.track_a).groupBy("chr_idx").agg(F.count(F.lit(1)).alias("n")), f"SELECT chr_idx, COUNT(*) AS n FROM ({ISLAND}) GROUP BY 1", "track_a")
-add("cmd_compare", "||track1 track2", lambda r: T.pairwise_accuracy(two_tracks(r)), "SELECT * FROM (VALUES ('a', 'a'), ('a', 'b'), ('b', 'a'), ('b', 'b')) t(track1, track2)")
+BOTH_WAYS = "SELECT 'a' AS track1, 'b' AS track2, m AS matched, s AS total FROM taken UNION ALL SELECT 'b', 'a', m, s FROM taken UNION ALL SELECT track1, track2, SUM(n), SUM(n) FROM paired WHERE track1 = track2 GROUP BY 1, 2"
+TAKEN = "SELECT (SELECT SUM(n) FROM (SELECT n FROM p1 UNION ALL SELECT n FROM p2 UNION ALL SELECT n FROM p3 UNION ALL SELECT n FROM p4)) AS m, (SELECT SUM(n) FROM t) AS s"
+add("cmd_compare", "matched total|accuracy|track1 track2", lambda r: T.pairwise_accuracy(two_tracks(r)), f"SELECT *, CAST(matched AS DOUBLE) / total AS accuracy FROM ({BOTH_WAYS})", "track_a", "track_b", two=TWO, one=ONE, paired=PAIRED, t=TABLE, **GREEDY, taken=TAKEN)
 ARI_AB = ARI
 add("cmd_ari", "|ari|track1 track2", lambda r: T.pairwise_ari(two_tracks(r)).where("track1 <> track2"), f"SELECT 'a' AS track1, 'b' AS track2, ari FROM ({ARI}) UNION ALL SELECT 'b', 'a', ari FROM ({ARI})", "track_a", "track_b", t=TABLE)
 add("cmd_cvs", "id1 id2|cv", lambda r: _commands().cvs(r.contacts, r.track_a, R)[0], "SELECT * FROM cv", "contacts", "track_a", **DCHAIN)
-add("cmd_block_scores", "|geometric_mean|track_id score_type", lambda r: _commands().block_scores(r.contacts, two_tracks(r), r.chroms, R, ("ODDS_VS_EVENS", "SPLIT1"), FACTOR)[1])
+add("cmd_block_scores", "|geometric_mean|track_id score_type", lambda r: _commands().block_scores(r.contacts, two_tracks(r), r.chroms, R, compression=FACTOR)[1])
 add("cmd_compress", "i j|l1 cosine", lambda r: _commands().compress(r.contacts, r.track_a, R, n_columns=16))
-add("cmd_annotate", "k chr_idx x1 x2 cluster_id", lambda r: _commands().annotate(r.contacts, r.norm_vec, r.chroms, R, 3, 4, restarts=1, iterations=3, settings=_commands().SETTINGS[:1], mapping=bin_map(r)))
+add("cmd_annotate", "k chr_idx x1 x2 cluster_id", lambda r: _commands().annotate(r.contacts, r.norm_vec, r.chroms, R, 3, 4))

@@ -1,9 +1,11 @@
 """Closed-form and edge cases."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from contactloom.functions import vectors
 from contactloom.operators import cluster, consensus, contacts, intervals, matrix, metrics, scoring, tracks
+from contactloom.plans import commands
 from contactloom.sources import bed
 
 CHROMS = [(1, "chr1", 60_000_000), (2, "chr2", 50_000_000)]
@@ -73,14 +75,80 @@ def test_kmeans_finds_planted_groups(spark):
     assert len({(i % 3, c) for i, c in groups.items()}) == 3
 
 
-def test_every_row_that_labels_reach_is_filled(spark, tmp_path):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
-    n = 53  # a chain: one row a round
-    rows = spark.createDataFrame([(i,) for i in range(n + 1)], "row_id long")  # the last row has no neighbour
+def test_rows_are_filled_in_order(spark):
+    n = 53  # a chain: each row sees the one before it; the last row has no neighbour
+    rows = spark.createDataFrame([(i,) for i in range(n + 1)], "row_id long")
     near = spark.createDataFrame([(i, j) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "i long, j long")
-    got = consensus.fill_by_neighbours(rows, spark.createDataFrame([(0, 2)], "row_id long, cid int"), near)
-    assert {(r.row_id, r.cid) for r in got.collect()} == {(i, 2) for i in range(n)}
+    got = consensus.fill_by_neighbours(rows, spark.createDataFrame([(0, 2)], "row_id long, cid int"), near, chunk=20)
+    assert {(r.row_id, r.cid) for r in got.collect()} == {(i, 2) for i in range(n)} | {(n, 0)}
+
+
+def test_filling_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    n = 90
+    near = {i: sorted(rng.choice(n, int(rng.integers(0, 7)), replace=False).tolist()) for i in range(n)}
+    labels = {i: int(rng.integers(0, 4)) for i in range(n) if rng.random() < 0.3}
+    hubs, links = list(labels.items()), [(i, j) for i, v in near.items() for j in v]
+    order = sorted((i for i in range(n) if i not in labels), key=lambda i: (sum(j not in dict(hubs) for j in near[i]) / len(near[i]) if near[i] else 2, i))
+    for i in order:
+        seen = [labels[j] for j in near[i] if j in labels]
+        labels[i] = min(set(seen), key=lambda c: (-seen.count(c), c), default=0)
+    for chunk in (7, 1024):
+        got = consensus.fill_by_neighbours(spark.range(n).withColumnRenamed("id", "row_id"), spark.createDataFrame(hubs, "row_id long, cid int"), spark.createDataFrame(links, "i long, j long"), chunk)
+        assert {r.row_id: r.cid for r in got.collect()} == labels
+
+
+def test_lloyd_steps_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 5))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    for kind, metric, middle in (("means", "euclidean", np.nanmean), ("medians", "manhattan", np.nanmedian)):
+        centres = cluster.first_centres(rows, 3, [5], kind)[0]
+        for _ in range(4):
+            near = np.nan_to_num(metrics.pair_values(x, centres, metric), nan=np.inf).argmin(1)
+            centres = np.array([[middle(x[near == c, j]) if (~np.isnan(x[near == c, j])).any() else centres[c, j] for j in range(5)] for c in range(3)])
+        assert np.allclose(cluster.fit(rows, 3, kind, [5], 4)[0], centres)
+
+
+def test_first_eigenvector_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    m = np.corrcoef(rng.normal(size=(30, 40)) + rng.normal(size=40) * rng.normal(size=(30, 1)))
+    values = spark.createDataFrame([(100 + i, 100 + j, float(m[i, j])) for i in range(30) for j in range(i, 30)], "i long, j long, value double")
+    got = {r.row_id: r.value for r in cluster.first_eigenvector(values, values).collect()}
+    want = np.linalg.eigh(m)[1][:, -1]
+    want *= np.sign(want[np.abs(want).argmax()])
+    assert np.allclose([got[100 + i] for i in range(30)], want, atol=1e-6)
+
+
+def test_settings_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    inter, intra, w = rng.integers(0, 9, (12, 6)).astype(float), rng.normal(size=(12, 6)), np.array([3, 1, 4, 1, 5, 9])
+    cells = lambda x: spark.createDataFrame([(i, j, float(x[i, j])) for i in range(12) for j in range(6)], "row_id long, col_id int, v double")
+    weights = spark.createDataFrame([(j, int(v)) for j, v in enumerate(w)], "col_id int, w long")
+    seen = 0
+    for (post, scaled, log, appended), got, own in commands.configured(cells(inter), cells(intra), (cells(inter + 1), cells(intra - 1)), weights, 6):
+        x, behind = (inter, intra) if post else (inter + 1, intra - 1)
+        if post:
+            pos = np.where(x > 0, x, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                y = np.where(x > 0, pos / pos.sum(1, keepdims=True) / pos.sum(0), np.nan)
+            y *= pos.sum() / np.nansum(y)
+        else:
+            y = x / w
+        y = np.log(y + 1) if log else y
+        for j in range(6):
+            z = y[y[:, j] > 0, j]
+            y[:, j] = np.where(y[:, j] > 0, np.clip((y[:, j] - z.mean()) / z.std(ddof=1), -3, 3), y[:, j])
+        y, v = (np.hstack([y, behind]), np.hstack([w, w])) if appended else (y, w)
+        if scaled:
+            got, y = matrix.scale_by_root_weights(got, own), y * np.sqrt(v)
+        kept = (~np.isnan(y)).sum(1)
+        want = {(i, j): y[i, j] for i in range(12) for j in range(y.shape[1]) if not np.isnan(y[i, j]) and kept[i] > matrix.MIN_GOOD and kept[i] >= matrix.ROW_SHARE * y.shape[1]}
+        mine = {(r.row_id, r.col_id): r.v for r in got.collect() if r.v is not None}
+        assert mine.keys() == want.keys() and all(abs(mine[k] - want[k]) < 1e-9 for k in want)
+        seen += 1
+    assert seen == 16
 
 
 def test_one_cluster_scores_one(spark):
