@@ -579,4 +579,4 @@ add("cmd_ari", "|ari|track1 track2", lambda r: T.pairwise_ari(two_tracks(r)).whe
 add("cmd_cvs", "id1 id2|cv", lambda r: _commands().cvs(r.contacts, r.track_a, R)[0], "SELECT * FROM cv", "contacts", "track_a", **DCHAIN)
 add("cmd_block_scores", "|geometric_mean|track_id score_type", lambda r: _commands().block_scores(r.contacts, two_tracks(r), r.chroms, R, compression=FACTOR)[1])
 add("cmd_compress", "i j|l1 cosine", lambda r: _commands().compress(r.contacts, r.track_a, R, n_columns=16))
-add("cmd_annotate", "k chr_idx x1 x2 cluster_id", lambda r: _commands().annotate(r.contacts, r.norm_vec, r.chroms, R, 3, 4))
+add("cmd_annotate", "k chr_idx x1 x2 cluster_id", lambda r: _commands().annotate(r.contacts, r.norm_vec, r.chroms, R, 3, 4, restarts=1, iterations=3, mapping=bin_map(r)))
