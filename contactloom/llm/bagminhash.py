@@ -12,10 +12,12 @@ weighted Jaccard similarity.  Processes stop once no slot can get earlier.
 verified on the full multisets: overlap / union >= 0.8.  Texts with equal words
 (128 bits, of two lanes over the bytes) are one node.  Only connections matter, so pairs are compared in turns:
 
-1. in each band's bucket the first member with all others;
+1. every document with the smallest first member of its buckets, so that a group of
+   near copies, which meets in many buckets, has about one comparison for each;
 2. in buckets whose members are not in one component yet: all pairs of different
-   components in buckets of at most `SMALL` members, and in larger ones every member
-   outside the bucket's largest component with a few of that component's members;
+   components in buckets of at most `SMALL` members; in larger ones every member
+   outside the bucket's largest component with `PARTNERS` members of that component,
+   drawn once for all buckets with the same component;
 3. in what is still open, members outside the largest component with all members of
    other components, block by block; a block has at most about `BLOCK` members and
    `BLOCK_BYTES`, and each pair of blocks is a row of its own, dealt by both.
@@ -50,9 +52,9 @@ BANDS = 42
 SLOTS = ROWS * BANDS
 #: Similarity as a fraction, compared in whole numbers.
 SIMILAR = (4, 5)
-#: Members of a bucket whose pairs may be listed; partners drawn for a member of a larger one, by turn; rows of a block.
+#: Members of a bucket whose pairs may be listed; partners drawn for a member of larger ones from a component; rows of a block.
 SMALL = 8
-PARTNERS = (4,)
+PARTNERS = 4
 BLOCK = 64
 BLOCK_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +209,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, rep, n, root, top, m) of buckets with several components; top is the largest one's root, m its members there."""
-    rooted = buckets.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    rooted = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     rooted = materialise(rooted, "near-rooted")
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     tops = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by(F.struct("root", "c"), F.struct("c", -F.col("root"))).alias("t"))
@@ -215,17 +217,19 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(join_checked(rooted, tops, "key"), "near-open")
 
 
-def _pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components: all of small buckets (first turn), drawn ones of large buckets."""
+def _pairs(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components: all of small buckets, drawn ones of large buckets."""
     small = open_.where(f"n <= {SMALL}").select("key", "rep", "root")
     other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
     listed = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and root <> root_b").select("a", "b")
     large = open_.where(f"n > {SMALL}")
-    top = large.where("root = top").select("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("m")).alias("slot"), F.col("rep").alias("y"))
-    draws = F.explode(F.sequence(F.lit(1), F.lit(PARTNERS[turn]))).alias("d")
-    rest = large.where("root <> top").select("key", F.col("rep").alias("x"), "m", draws).select("key", "x", F.pmod(F.xxhash64("x", "d"), F.col("m")).alias("slot"))
-    drawn = rest.join(top, ["key", "slot"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return (listed.union(drawn) if not turn else drawn).distinct()
+    # a member is offered one partner by each bucket, and takes a few of them for each component
+    top = large.where("root = top").select("key", F.pmod(F.xxhash64("rep"), F.col("m")).alias("slot"), F.col("rep").alias("y"))
+    rest = large.where("root <> top").select("key", F.col("rep").alias("x"), "top", F.pmod(F.xxhash64("rep", "key"), F.col("m")).alias("slot"))
+    offered = rest.join(top, ["key", "slot"])
+    taken = F.array(*[F.min_by("y", F.struct(F.xxhash64("x", "y", F.lit(d)), "y")) for d in range(PARTNERS)])
+    drawn = offered.groupBy("x", "top").agg(F.array_distinct(taken).alias("ys")).select("x", F.explode("ys").alias("y"))
+    return listed.union(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def _compare(batch: pa.RecordBatch) -> dict:
@@ -276,6 +280,14 @@ def _blocks(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return materialise(arrow_map(units, _compare, "a long, b long").distinct(), "near-links")
 
 
+def _drawn_links(docs: DataFrame, open_: DataFrame, tested: DataFrame) -> DataFrame:
+    return verified(docs, materialise(_pairs(open_).join(tested, ["a", "b"], "left_anti"), "near-pairs"))
+
+
+def _block_links(docs: DataFrame, open_: DataFrame, tested: DataFrame) -> DataFrame:
+    return _blocks(docs, open_.where(f"n > {SMALL}"))
+
+
 def row_key():
     """Hash of a row's doc_id and text; null counts as the empty text."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
@@ -294,20 +306,14 @@ def marked(docs: DataFrame) -> DataFrame:
     members = reps.select("rep", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("leader <> last").select("key", "leader", "n")
     buckets = materialise(join_checked(members, materialise(shared, "near-shared"), "key"), "near-buckets")
-    tested = materialise(buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    tested = materialise(buckets.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "near-pairs")
     links = verified(docs, tested)
     labels = components(links)
-    for turn in range(len(PARTNERS) + 1):
+    for turn in (_drawn_links, _block_links):
         open_ = _open(buckets, labels)
         if not open_.limit(1).count():
             break
-        if turn < len(PARTNERS):
-            pairs = materialise(_pairs(open_, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-            if not pairs.limit(1).count():
-                continue
-            new, tested = verified(docs, pairs), tested.union(pairs)
-        else:
-            new = _blocks(docs, open_.where(f"n > {SMALL}"))
+        new = turn(docs, open_, tested)
         if new.limit(1).count():
             links = links.union(new)
             labels = components(links)
