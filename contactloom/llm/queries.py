@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, media, mixing, packing, quality_crf, quality_rules, secrets_scan, substring, token_rollup, toxicity
+from . import bagminhash, exact, media, mixing, packing, periodic, quality_crf, quality_rules, resampling, secrets_scan, substring, token_rollup, toxicity
 from .common import materialise, read, remainder, shared_dir
 
 
@@ -74,6 +76,38 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(read(spark, sf_dir, "documents"), tensors=True)
 
 
+def repeating(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's edit: of every tenth document by id the words from some place on are made periodic. Null ids are left as they are."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g, order = h // 10, np.arange(n)
+    a = g % n
+    order[a:] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return order
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(read(spark, sf_dir, "documents"), repeating)
+    by_exponent = """array_sort(runs, (x, y) -> case when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1)
+        when x.start <> y.start then if(x.start < y.start, -1, 1) else if(x.period < y.period, -1, if(x.period = y.period, 0, 1)) end)"""
+    return found.withColumn("top", F.expr(f"try_element_at({by_exponent}, 1)")).selectExpr(
+        "doc_id", "cast(size(runs) as long) as n_runs", "top.start as start", "top.length as length", "top.period as period", "1000 * top.length div top.period as exponent_milli",
+        "sha2(cast(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '') as binary), 256) as runs_sha256",
+        "sha2(cast(collapsed as binary), 256) as collapsed_sha256",
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.verdicts(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is all texts of benchmark."""
+    drawn = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), target_id="item_id")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_crf": op2_quality_crf,
@@ -85,5 +119,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
+}
+ORACLE: dict[str, str] = {
+    "op12_exact_dedup": """
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]', '', 'g')) AS text_sha256, row_number() OVER () AS r FROM documents),
+     g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY text_sha256) AS group_size
+           FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g""",
 }
-ORACLE: dict[str, str] = {}
