@@ -234,12 +234,22 @@ def counted(texts: DataFrame, doc_id: str, name: str) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), math.ceil(size / PART_BYTES))
     dealt = rows.mapInArrow(lambda batches: deal(batches, n), DEALT)
-    return materialise(dealt.groupBy("part").applyInArrow(count_part, COUNTED), name)
+    return materialise(dealt.repartitionById(n, F.col("part")).groupBy("part").applyInArrow(count_part, COUNTED), name)
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of totals for those of a task."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for row in column(batch, "totals"):
+            total += row.values.to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["totals"])
 
 
 def bucket_totals(table: DataFrame) -> np.ndarray:
-    """The total of every bucket: BUCKETS numbers on the driver."""
-    rows = table.where("totals is not null").select(F.posexplode("totals").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
+    """The total of every bucket: BUCKETS numbers on the driver.  Tasks add up before rows are made of the sums."""
+    added = table.where("totals is not null").select("totals").mapInArrow(add_up, "totals array<bigint>")
+    rows = added.select(F.posexplode("totals").alias("bucket", "n")).where("n > 0").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for r in rows.collect():
         out[r.bucket] = r.n
