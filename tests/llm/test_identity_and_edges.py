@@ -210,3 +210,33 @@ def test_very_long_texts(spark, long_text):
     assert mixing.mix(docs).count() == 2 and token_rollup.count_tokens(docs).agg(F.sum("n_words")).first()[0] == n + 1
     row = media.media(docs).where("doc_id = 0").drop("rgb").first()
     assert row.n_bytes == len(long_text) and row.payload_bytes % 192 == 0
+
+
+def colliding_words(n):
+    """Pairs of different 16-letter words with one hash in lane 0: the second block is solved for."""
+    rng, out, lane, odd = np.random.default_rng(4), [], 0, kernel.LANES[0]
+    begin = kernel.mix(np.array([17], np.uint64) * odd)[0]
+    state = lambda block: kernel.mix((begin ^ block) * odd)
+    letters = lambda m: rng.integers(97, 123, (m, 8), np.uint8)
+    while len(out) < n:
+        a, b, tail = letters(50_000), letters(50_000), letters(50_000)
+        other = (state(a.view("<u8")[:, 0]) ^ state(b.view("<u8")[:, 0]) ^ tail.view("<u8")[:, 0]).view(np.uint8).reshape(-1, 8)
+        for i in np.flatnonzero(((other > 32) & (other < 127)).all(1)):
+            out.append(((a[i].tobytes() + tail[i].tobytes()).decode(), (b[i].tobytes() + other[i].tobytes()).decode()))
+    assert lane == 0
+    return out[:n]
+
+
+def test_texts_of_colliding_words_are_not_near_copies(spark):
+    pairs = colliding_words(12)
+    one, two = (" ".join(p[k] for p in pairs) for k in (0, 1))
+    data = np.frombuffer(f"{pairs[0][0]} {pairs[0][1]}".encode(), np.uint8)
+    h = kernel.span_hash(data, np.array([0, 17]), np.array([16, 33]))
+    assert h[0] == h[1] and not set(one.split()) & set(two.split())
+    table = spark.createDataFrame([(1, one), (2, two), (3, one + " more")], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(table).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    members = [{"rep": i, "root": i, "bag": b} for i, b in enumerate(bagminhash.expanded(next(kernel.chunks(pa.array([one, two, one + " more"])))))]
+    kind = pa.list_(pa.struct([("rep", pa.int64()), ("root", pa.int64()), ("bag", pa.binary())]))
+    found = bagminhash._compare(pa.RecordBatch.from_arrays([pa.array([members], kind)] * 2, names=["some", "all"]))
+    assert set(zip(found["a"].tolist(), found["b"].tolist(), strict=True)) == {(0, 2)}
