@@ -128,13 +128,22 @@ def areas(labels: DataFrame) -> DataFrame:
     return a.join(b, F.col("chr1") < F.col("chr2")).select("chr1", "chr2", "id1", "id2", (F.col("n1") * F.col("n2")).alias("area"))
 
 
-def densities(contacts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sum of ln(1 + count) over the area, by chromosome pair i < j and pair of ids; 0 where nothing is seen."""
-    seen = both_ends(positive(contacts).where("chr1 < chr2"), labels).groupBy("chr1", "chr2", "id1", "id2").agg(F.sum(F.log1p("cnt")).alias("s"))
-    all_ = areas(labels).join(seen, ["chr1", "chr2", "id1", "id2"], "left")
+def density_sums(contacts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sum of ln(1 + count) by chromosome pair i < j and pair of ids; sums of parts of the contacts may be added."""
+    return both_ends(positive(contacts).where("chr1 < chr2"), labels).groupBy("chr1", "chr2", "id1", "id2").agg(F.sum(F.log1p("cnt")).alias("s"))
+
+
+def per_area(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sums over the areas of their pairs of ids; 0 where nothing is seen."""
+    all_ = areas(labels).join(sums, ["chr1", "chr2", "id1", "id2"], "left")
     return all_.select("chr1", "chr2", "id1", "id2", F.when(F.col("area") > 0, F.coalesce("s", F.lit(0.0)) / F.col("area")).otherwise(0.0).alias("density"))
 
 
+def densities(contacts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sum of ln(1 + count) over the area, by chromosome pair i < j and pair of ids."""
+    return per_area(density_sums(contacts, labels), labels)
+
+
 def variation(densities: DataFrame, least: int = 3) -> DataFrame:
     """Coefficient of variation of the positive densities of each ordered pair of ids, more than `least` of them."""
     g = densities.where("density > 0").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.stddev_samp("density"), F.avg("density")).alias("cv"))

@@ -5,6 +5,7 @@ come out as long, fractions as double rounded to six places, on both sides."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ from ..operators import matrix as M
 from ..operators import metrics as D
 from ..operators import scoring as S
 from ..operators import tracks as T
-from ..runtime import cut, prepare
-from ..sources import bed, tables
+from ..runtime import cut, prepare, shared_root
+from ..sources import bed, raw_contacts, tables
+from ..streaming import upkeep
 from .fixtures import DUCK, RESOLUTION, oracle, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,8 +97,33 @@ def dense(r: Relations) -> DataFrame:
     return M.build(r.contacts, bin_map(r))[0]
 
 
+def stored(r: Relations, relation: DataFrame, name: str) -> str:
+    """A new folder below the shared one that holds a relation as four files."""
+    folder = f"{shared_root(r.spark)}/{name}-{uuid.uuid4().hex}"
+    relation.repartition(4).write.parquet(f"{folder}/rows")
+    return folder
+
+
+def streamed(r: Relations, relation: DataFrame, build: Callable[[str], upkeep.Upkeep]) -> DataFrame:
+    """A relation's rows as a stream of one file a micro-batch, and the state after it."""
+    folder = stored(r, relation, "stream")
+    kept = build(f"{folder}/state")
+    kept.every = 3  # a snapshot on the way
+    kept.start(r.spark.readStream.schema(relation.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")).awaitTermination()
+    return kept.current()
+
+
+def raw_files(r: Relations) -> DataFrame:
+    """The contacts, exported as raw files and read again."""
+    folder = f"{shared_root(r.spark)}/raw-{uuid.uuid4().hex}"
+    raw_contacts.export(r.contacts.withColumn("resolution", F.lit(R)), r.chroms, folder)
+    return raw_contacts.contacts(r.spark, folder).where(F.col("resolution") == R)
+
+
 # -- sources ---------------------------------------------------------------------------------------------------
 add("s1_contacts", CELL, lambda r: r.contacts, "SELECT * FROM contacts", "contacts")
+add("s1_raw_contacts", CELL, raw_files, "SELECT * FROM contacts", "contacts")
+add("s2_raw_block", CELL, lambda r: tables.block(raw_files(r), 3, 1), "SELECT chr2 AS chr1, bin2 AS bin1, chr1 AS chr2, bin1 AS bin2, cnt FROM contacts WHERE chr1 = 1 AND chr2 = 3", "contacts")
 add("s2_block", CELL, lambda r: tables.block(r.contacts, 1, 3), "SELECT * FROM contacts WHERE chr1 = 1 AND chr2 = 3", "contacts")
 add("s3_normalised", CELL, lambda r: tables.normalised(r.contacts, r.norm_vec.where("bin < 60")),
     "SELECT c.chr1, c.bin1, c.chr2, c.bin2, cnt / (a.value * b.value) AS cnt FROM contacts c JOIN norm_vec a ON a.chr_idx = chr1 AND a.bin = bin1 JOIN norm_vec b ON b.chr_idx = chr2 AND b.bin = bin2 WHERE a.value > 0 AND b.value > 0 AND a.bin < 60 AND b.bin < 60", "contacts", "norm_vec")
@@ -272,6 +299,7 @@ add("j19_track_pairs", "id1 id2 n||track1 track2", lambda r: T.track_pairs(two_t
 
 # -- aggregations ----------------------------------------------------------------------------------------------
 add("a1_scatter_sum", "row_id col_id|v", lambda r: M.inter_sums(r.contacts, bin_map(r)), "SELECT * FROM sums", "contacts", "track_a", **{k: CHAIN[k] for k in ("labels", "bin_map", "ends", "sums")})
+add("a1_streamed", "row_id col_id|v", lambda r: streamed(r, r.contacts, lambda f, m=bin_map(r): upkeep.scatter_sums(r.spark, f, m)), "SELECT * FROM sums", "contacts", "track_a", **{k: CHAIN[k] for k in ("labels", "bin_map", "ends", "sums")})
 
 
 def intra_map(r: Relations) -> DataFrame:
@@ -283,6 +311,7 @@ IMAP = "SELECT chr_idx, bin, bin % 3 + chr_idx * 3 - 3 AS proto, ROW_NUMBER() OV
 IENDS = "SELECT a.row_id, b.proto AS col_id, z FROM zrows z JOIN imap a ON a.chr_idx = z.chr_idx AND a.bin = bin1 JOIN imap b ON b.chr_idx = z.chr_idx AND b.bin = bin2 WHERE ABS(z) < 5 AND cnt > 0 UNION ALL SELECT b.row_id, a.proto, z FROM zrows z JOIN imap a ON a.chr_idx = z.chr_idx AND a.bin = bin1 JOIN imap b ON b.chr_idx = z.chr_idx AND b.bin = bin2 WHERE ABS(z) < 5 AND cnt > 0"
 add("a2_guarded_mean", "row_id col_id|v", lambda r: M.intra_means(r.contacts_intra, intra_map(r)), "SELECT row_id, col_id, AVG(z) AS v FROM iends GROUP BY 1, 2 HAVING COUNT(*) > 10", "contacts_intra", **ZCHAIN, imap=IMAP, iends=IENDS)
 add("a3_distance_counts", "chr_idx dist n", lambda r: C.distance_counts(r.contacts_intra), "SELECT chr_idx, dist, n FROM stats", "contacts_intra", intra=INTRA, stats=STATS)
+add("a3_streamed", "chr_idx dist n", lambda r: streamed(r, r.contacts_intra, lambda f: upkeep.distance_counts(r.spark, f)), "SELECT chr_idx, dist, n FROM stats", "contacts_intra", intra=INTRA, stats=STATS)
 add("a4_distance_stats", "chr_idx dist|mean sd", lambda r: C.distance_stats(r.contacts_intra), "SELECT chr_idx, dist, mean, sd FROM stats", "contacts_intra", intra=INTRA, stats=STATS)
 ZCOL = "SELECT row_id, col_id, CASE WHEN v > 0 THEN GREATEST(-3, LEAST(3, (v - m) / s)) ELSE v END AS v FROM {t} JOIN (SELECT col_id, AVG(v) FILTER (v > 0) AS m, STDDEV_SAMP(v) FILTER (v > 0) AS s FROM {t} GROUP BY 1) USING (col_id)"
 add("a5_column_z", "row_id col_id|v", lambda r: M.column_z(r.matrix), ZCOL.format(t="matrix"), "matrix")
@@ -293,11 +322,13 @@ VC = "SELECT row_id, col_id, v / r / c * (SELECT SUM(v) FROM {t} WHERE v > 0) /
 add("a9_vanilla_coverage", "row_id col_id|v", lambda r: M.vanilla_coverage(r.matrix), VC.format(t="matrix"), "matrix")
 add("a10_weights", "col_id w", lambda r: M.weights(bin_map(r)), "SELECT proto AS col_id, COUNT(*) AS w FROM bin_map GROUP BY 1", "track_a", labels=LABELS, bin_map=BINMAP)
 add("a11_contingency", "id1 id2 n", lambda r: T.contingency(r.track_a, r.track_b), TABLE, "track_a", "track_b")
+add("a11_streamed", "id1 id2 n", lambda r: streamed(r, r.track_a.withColumn("track_id", F.lit("a")).union(r.track_b.withColumn("track_id", F.lit("b"))), lambda f: upkeep.contingency(r.spark, f, "a", "b")), TABLE, "track_a", "track_b")
 add("a12_contingency_by_chromosome", "chr_idx id1 id2 n", lambda r: T.contingency(r.track_a, r.track_b, True), TABLE_CHR, "track_a", "track_b")
 add("a13_marginals", "side id n", lambda r: T.marginals(T.contingency(r.track_a, r.track_b)), "SELECT 1 AS side, id1 AS id, SUM(n) AS n FROM t GROUP BY id1 UNION ALL SELECT 2, id2, SUM(n) FROM t GROUP BY id2 UNION ALL SELECT 0, NULL, SUM(n) FROM t", "track_a", "track_b", t=TABLE)
 add("a14_max_id", "max_id", lambda r: T.max_id(r.track_a), "SELECT MAX(cluster_id) AS max_id FROM track_a", "track_a")
 DCHAIN = {"labels": LABELS, "pairs": BOTH, "area": AREA, "density": DENSITY, "cv": CV}
 add("a15_densities", "chr1 chr2 id1 id2|density", lambda r: C.densities(r.contacts, labels(r)), "SELECT * FROM density", "contacts", "track_a", **DCHAIN)
+add("a15_streamed", "chr1 chr2 id1 id2|density", lambda r: streamed(r, r.contacts, lambda f: upkeep.densities(r.spark, f, labels(r))), "SELECT * FROM density", "contacts", "track_a", **DCHAIN)
 add("a16_variation", "id1 id2|cv", lambda r: C.variation(C.densities(r.contacts, labels(r))), "SELECT * FROM cv", "contacts", "track_a", **DCHAIN)
 add("a17_sd_of_variations", "|sd_cv", lambda r: C.deviation_of_variations(C.variation(C.densities(r.contacts, labels(r)))), "SELECT STDDEV_SAMP(cv) AS sd_cv FROM cv", "contacts", "track_a", **DCHAIN)
 add("a18_dense_ids", "cluster_id dense_id", lambda r: C.dense_ids(r.track_a.withColumn("cluster_id", F.col("cluster_id") * 3 + 1)), "SELECT DISTINCT cluster_id * 3 + 1 AS cluster_id, DENSE_RANK() OVER (ORDER BY cluster_id) - 1 AS dense_id FROM track_a", "track_a")
