@@ -3,11 +3,14 @@
 Contacts between two sets of chromosomes form a matrix whose rows and columns are
 grouped by cluster.  In each round the bins of a cluster are shuffled and cut into
 blocks of `factor`; cells are summed by block.  The mean over rounds of ln(1 + sum)
-is scored against its cluster-pair regions and against one region over all."""
+is scored against its cluster-pair regions and against one region over all.  Maps stay
+sparse: sums, counts and the share of the zero cells come from the cells that are seen
+and from counts of blocks.  The functions on full grids are for maps that are given as such."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +119,61 @@ def divergence_score(cells: DataFrame, regional: bool = True, symmetric: bool =
 SCORES: dict[str, Callable[..., DataFrame]] = {"variance": variance_score, "kl": divergence_score}
 
 
+@dataclass(frozen=True)
+class BlockMap:
+    """A map of blocks without its zero cells: `cells` (keys, brow, bcol, id1, id2, v), and `sizes` (keys, id1, id2, n), the cells of each pair of clusters, zeros among them."""
+
+    cells: DataFrame
+    sizes: DataFrame
+    keys: tuple[str, ...] = ("map_type",)
+
+
+def block_map(blocks: DataFrame, means: DataFrame, keys: tuple[str, ...] = ("map_type",)) -> BlockMap:
+    """The means with the clusters of their blocks; sizes are products of block counts, so pairs of blocks are never listed."""
+    known = blocks.where("round = 0").select(*keys, "side", "block", "cluster_id").distinct()
+    of = lambda side, block, cid: known.where(f"side = '{side}'").select(*keys, F.col("block").alias(block), F.col("cluster_id").alias(cid))
+    count = lambda side, cid, n: known.where(f"side = '{side}'").groupBy(*keys, F.col("cluster_id").alias(cid)).agg(F.count(F.lit(1)).alias(n))
+    cells = means.where("v > 0").join(of("A", "brow", "id1"), [*keys, "brow"]).join(of("B", "bcol", "id2"), [*keys, "bcol"])
+    sizes = count("A", "id1", "n1").join(count("B", "id2", "n2"), list(keys))
+    return BlockMap(cells.select(*keys, "brow", "bcol", "id1", "id2", "v"), sizes.select(*keys, "id1", "id2", (F.col("n1") * F.col("n2")).alias("n")), keys)
+
+
+def _by_region(rows: DataFrame, regional: bool, symmetric: bool) -> DataFrame:
+    """rows with their region (r1, r2): a cluster pair, folded if symmetric, or the whole map."""
+    if not regional:
+        return rows.withColumns({"r1": F.lit(0), "r2": F.lit(0)})
+    a, b = (F.least("id1", "id2"), F.greatest("id1", "id2")) if symmetric else (F.col("id1"), F.col("id2"))
+    return rows.withColumns({"r1": a, "r2": b})
+
+
+def map_regions(m: BlockMap, regional: bool = True, symmetric: bool = False) -> DataFrame:
+    """A21 from the cells that are not zero: (keys, r1, r2, s, n, seen), the sum, the number of all cells and of those that are not zero."""
+    by = [*m.keys, "r1", "r2"]
+    sizes = _by_region(m.sizes, regional, symmetric).groupBy(*by).agg(F.sum("n").alias("n"))
+    seen = _by_region(m.cells, regional, symmetric).groupBy(*by).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("seen"))
+    return sizes.join(seen, by, "left").select(*by, F.coalesce("s", F.lit(0.0)).alias("s"), "n", F.coalesce("seen", F.lit(0)).alias("seen"))
+
+
+def map_scores(m: BlockMap, regional: bool = True, symmetric: bool = False, strict: bool = False) -> DataFrame:
+    """(keys, variance, kl).  A zero cell deviates by its region's mean; it adds nothing to kl, or makes it NULL if strict."""
+    by = [*m.keys, "r1", "r2"]
+    regions = map_regions(m, regional, symmetric).withColumn("mean", F.col("s") / F.col("n"))
+    off = F.col("v") - F.col("mean")
+    parts = _by_region(m.cells, regional, symmetric).join(regions.select(*by, "mean"), by).groupBy(*by).agg(F.sum(off * off).alias("dev"), F.sum(F.col("v") * F.ln(F.col("v") / F.col("mean"))).alias("log"))
+    rows = regions.join(parts, by, "left")
+    zeros = F.col("n") - F.col("seen")
+    variance = F.sum(F.coalesce("dev", F.lit(0.0)) + zeros * F.col("mean") * F.col("mean")) / F.sum("n")
+    kl = F.coalesce(F.try_divide(F.sum("log"), F.sum("s")), F.lit(0.0))
+    return rows.groupBy(*m.keys).agg(variance.alias("variance"), (F.when(F.sum(zeros) == 0, kl) if strict else kl).alias("kl"))
+
+
+def map_ratios(m: BlockMap, symmetric: bool = False) -> DataFrame:
+    """Baseline (one region over the whole map) over shuffled (cluster regions) for every score; NULL where the latter is 0."""
+    named = lambda rows, name: rows.select(*m.keys, F.stack(F.lit(len(SCORES)), *[x for k in SCORES for x in (F.lit(k), F.col(k))]).alias("score_type", name))
+    base, own = named(map_scores(m, regional=False), "baseline"), named(map_scores(m, symmetric=symmetric), "shuffled")
+    return base.join(own, [*m.keys, "score_type"]).select(*m.keys, "score_type", "baseline", "shuffled", F.try_divide("baseline", "shuffled").alias("ratio"))
+
+
 def ratios(cells: DataFrame, symmetric: bool = False, keys: tuple[str, ...] = ("map_type",)) -> DataFrame:
     """Baseline over shuffled for every score; NULL where the latter is 0."""
     out = None
@@ -145,5 +203,5 @@ def run(contacts: DataFrame, bins: DataFrame, chroms: DataFrame, kinds: tuple[st
     """Scores of annotations; tracks, map types and rounds are grouping columns of one job."""
     keys = (*tracks, "map_type")
     blocks = cut(shuffled_blocks(sided_bins(bins, chroms, kinds), factor, rounds, seed, (*keys, "side")))
-    cells = cut(grid(blocks, mean_over_rounds(block_sums(contacts, blocks, keys), rounds, keys), keys))
-    return ratios(cells, keys=keys)
+    m = block_map(blocks, mean_over_rounds(block_sums(contacts, blocks, keys), rounds, keys), keys)
+    return map_ratios(BlockMap(cut(m.cells), cut(m.sizes), keys))

@@ -351,6 +351,11 @@ def blocks(r: Relations) -> DataFrame:
     return S.shuffled_blocks(S.sided_bins(labels(r), r.chroms, KINDS), FACTOR, ROUNDS)
 
 
+def sparse_map(r: Relations) -> S.BlockMap:
+    own = cut(blocks(r))
+    return S.block_map(own, cut(S.mean_over_rounds(S.block_sums(r.contacts, own), ROUNDS)))
+
+
 def grid(r: Relations) -> DataFrame:
     b = blocks(r)
     b = cut(b)
@@ -364,11 +369,11 @@ def chain(last: str) -> dict:
 
 add("a19_block_sums", "round brow bcol|s", lambda r: S.block_sums(r.contacts, blocks(r)), "SELECT * FROM bsums", "contacts", "track_a", **chain("bsums"))
 add("a20_mean_over_rounds", "brow bcol|v", lambda r: S.mean_over_rounds(S.block_sums(r.contacts, blocks(r)), ROUNDS), "SELECT * FROM means", "contacts", "track_a", **chain("means"))
-add("a21_regions", "r1 r2 n|s", lambda r: S.regions(grid(r), True), "SELECT LEAST(id1, id2) AS r1, GREATEST(id1, id2) AS r2, SUM(v) AS s, COUNT(*) AS n FROM grid GROUP BY 1, 2", "contacts", "track_a", **chain("grid"))
-add("a22_variance_score", "|score", lambda r: S.variance_score(grid(r)), VAR.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
-add("a23_divergence_score", "|score", lambda r: S.divergence_score(grid(r)), KL.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
-add("a24_score_ratios", "|baseline shuffled ratio|score_type", lambda r: S.ratios(grid(r)), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
-add("a25_geometric_mean", "|geometric_mean|score_type", lambda r: S.geometric_mean(S.ratios(grid(r)).union(S.ratios(grid(r)).withColumn("ratio", F.col("ratio") * 4))), "SELECT score_type, ratio * 2 AS geometric_mean FROM ratios", "contacts", "track_a", **SCHAIN)
+add("a21_regions", "r1 r2 n|s", lambda r: S.map_regions(sparse_map(r), symmetric=True), "SELECT LEAST(id1, id2) AS r1, GREATEST(id1, id2) AS r2, SUM(v) AS s, COUNT(*) AS n FROM grid GROUP BY 1, 2", "contacts", "track_a", **chain("grid"))
+add("a22_variance_score", "|score", lambda r: S.map_scores(sparse_map(r)).withColumnRenamed("variance", "score"), VAR.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
+add("a23_divergence_score", "|score", lambda r: S.map_scores(sparse_map(r)).withColumnRenamed("kl", "score"), KL.format(over="PARTITION BY id1, id2"), "contacts", "track_a", **chain("grid"))
+add("a24_score_ratios", "|baseline shuffled ratio|score_type", lambda r: S.map_ratios(sparse_map(r)), "SELECT * FROM ratios", "contacts", "track_a", **SCHAIN)
+add("a25_geometric_mean", "|geometric_mean|score_type", lambda r: S.geometric_mean(S.map_ratios(sparse_map(r)).union(S.map_ratios(sparse_map(r)).withColumn("ratio", F.col("ratio") * 4))), "SELECT score_type, ratio * 2 AS geometric_mean FROM ratios", "contacts", "track_a", **SCHAIN)
 add("a26_wcss", "restart n_clusters|wcss", lambda r: _cluster().within(members(r).withColumns({"restart": F.lit(0), "distance": F.col("row_id") / 100.0}), 3), "SELECT 0 AS restart, SUM(d) / 3 + SUM(CASE WHEN n < 5 THEN 3.4028234663852886e38 ELSE 0 END) AS wcss, COUNT(*) AS n_clusters FROM (SELECT cid, SUM(row_id / 100.0) AS d, COUNT(*) AS n FROM m GROUP BY 1)", m=MEMBERS)
 add("a27_mean_centres", "cid col_id weight|v", lambda r: _cluster().mean_centres(r.matrix, members(r)), "SELECT cid, col_id, AVG(v) AS v, ANY_VALUE(w) AS weight FROM matrix JOIN m USING (row_id) JOIN (SELECT cid, COUNT(*) AS w FROM m GROUP BY 1) USING (cid) GROUP BY 1, 2", "matrix", m=MEMBERS)
 CUTOFF = "SELECT a.chr_idx AS chr1, b.chr_idx AS chr2, 60 + 5 * (a.chr_idx + b.chr_idx) AS cutoff FROM chroms a JOIN chroms b ON a.chr_idx < b.chr_idx"
