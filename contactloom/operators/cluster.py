@@ -2,11 +2,11 @@
 
 Each iteration is one pass over the rows: every task assigns its rows to the centres
 (restarts x k arrays, sent along) and gives partial sums, which Spark adds up; only
-the new centres come to the driver.  First centres come from a bounded sample."""
+the new centres come to the driver.  First centres are drawn over all rows in a few passes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 from ..runtime import cut, prepare
 from .metrics import matrix_of, pair_values
 
-#: Rows that first centres are drawn from.
-SEED_ROWS = 2000
+#: Draws of first candidates, and candidates of a draw for each centre.
+TURNS = 3
+OVER = 2
 MAX_ITERATIONS = 200
 RESTARTS = 20
 #: Runs that may fail before the search for valid ones ends.
@@ -31,24 +32,89 @@ def _distance(kind: str) -> str:
     return "euclidean" if kind == "means" else "manhattan"
 
 
+def _uniform(ids: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each row id, the same wherever the row is."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + turn * 7919 & (1 << 64) - 1)
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray, kind: str) -> np.ndarray:
+    """Squared distance of every row to its nearest centre; one that cannot be compared counts 0."""
+    return np.nan_to_num(pair_values(x, centres, _distance(kind)), nan=0.0).min(1) ** 2
+
+
+def _drawn(rows: DataFrame, found: list[np.ndarray], n: int, seeds: list[int], turn: int, kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every restart (ids, features) of n rows drawn without repetition, with weights by their squared distance to what the restart has found.
+
+    A row's key is ln(u) / weight with a uniform u of its own, and the n largest keys are drawn: a task hands on its n best rows, the
+    best of these are the draw.  So one pass does, and at most n rows a restart reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list] = [[] for _ in seeds]
+        for pdf in batches:
+            x, ids = matrix_of(pdf.features), pdf.row_id.to_numpy()
+            for i, seed in enumerate(seeds if len(x) else []):
+                weight = _gaps(x, found[i], kind) if len(found[i]) else np.ones(len(x))
+                key = np.log(_uniform(ids, seed, turn)) / np.maximum(weight, 1e-100)
+                best[i] = sorted([*best[i], *((-key[j], int(ids[j]), x[j]) for j in np.argsort(-key, kind="stable")[:n])], key=lambda r: r[:2])[:n]
+        yield pd.DataFrame([(i, key, row, v.tolist()) for i, own in enumerate(best) for key, row, v in own], columns=["restart", "key", "row_id", "features"])
+
+    kept = rows.select("row_id", "features").mapInPandas(run, "restart int, key double, row_id long, features array<double>")
+    place = F.row_number().over(Window.partitionBy("restart").orderBy("key", "row_id"))
+    got = kept.withColumn("_p", place).where(F.col("_p") <= n).orderBy("restart", "_p").toPandas()
+    width = found[0].shape[1] if len(found[0]) else len(got.features.iloc[0]) if len(got) else 0
+    out = []
+    for i in range(len(seeds)):
+        own = got[got.restart == i]
+        out.append((own.row_id.to_numpy(np.int64), np.array([np.array(f, float) for f in own.features]).reshape(len(own), width)))
+    return out
+
+
 def first_centres(rows: DataFrame, k: int, seeds: list[int], kind: str = "means") -> np.ndarray:
-    """Spread-out first centres of every restart, from at most SEED_ROWS rows in the order of a hash."""
+    """Spread-out first centres of every restart, by oversampling over all rows.
+
+    One row is drawn, then `TURNS` times `OVER` * k rows with weights by squared distance to those drawn before.  Every row gives its
+    weight to the nearest of these candidates, and k of them are picked one after another by weight and squared distance.  Candidates (at most
+    1 + TURNS * OVER * k rows a restart) are all that the driver holds; missing entries of a centre take the mean of the candidates'."""
     prepare(rows.sparkSession)
-    sample = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(SEED_ROWS).toPandas().sort_values("row_id")
-    x = matrix_of(sample.features)
-    if len(x) < k:
-        raise ValueError(f"{len(x)} rows cannot give {k} clusters")
+    known = _drawn(rows, [np.zeros((0, 0))] * len(seeds), 1, seeds, 0, kind)
+    for turn in range(1, TURNS + 1):
+        new = _drawn(rows, [x for _, x in known], OVER * k, seeds, turn, kind)
+        for i, ((ids, x), (more, y)) in enumerate(zip(known, new, strict=True)):
+            fresh = ~np.isin(more, ids)
+            known[i] = np.concatenate([ids, more[fresh]]), np.concatenate([x, y[fresh]])
+    if min(len(ids) for ids, _ in known) < k:
+        raise ValueError(f"{min(len(ids) for ids, _ in known)} rows cannot give {k} clusters")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros(len(ids)) for ids, _ in known]
+        for pdf in batches:
+            x = matrix_of(pdf.features)
+            for i, (_, candidates) in enumerate(known if len(x) else []):
+                d = pair_values(x, candidates, _distance(kind))
+                np.add.at(total[i], np.where(np.isnan(d), np.inf, d).argmin(1), 1)
+        yield pd.DataFrame([(i, c, n) for i, own in enumerate(total) for c, n in enumerate(own.tolist()) if n], columns=["restart", "c", "n"])
+
+    weights = [np.zeros(len(ids)) for ids, _ in known]
+    for r in rows.select("features").mapInPandas(run, "restart int, c int, n double").groupBy("restart", "c").agg(F.sum("n").alias("n")).collect():
+        weights[r.restart][r.c] = r.n
     out = []
-    for seed in seeds:
-        rng = np.random.default_rng(seed)
-        chosen = [int(rng.integers(len(x)))]
-        d = np.full(len(x), np.inf)
+    for seed, (_, x), weight in zip(seeds, known, weights, strict=True):
+        rng, free = np.random.default_rng(seed), np.ones(len(x), bool)
+        d, chosen = np.ones(len(x)), []
         while len(chosen) < k:
-            new = pair_values(x, x[chosen[-1:]], _distance(kind))[:, 0]
-            d = np.minimum(d, np.where(np.isnan(new), 0, new) ** 2)
-            p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
-            chosen.append(int(rng.choice(len(x), p=p)))
-        fill = np.nan_to_num(np.nanmean(x, 0)) if x.size else x
+            p = np.where(free, weight * d, 0)
+            p = p if p.sum() > 0 else free.astype(float)
+            chosen.append(int(rng.choice(len(x), p=p / p.sum())))
+            free[chosen[-1]] = False
+            gap = _gaps(x, x[chosen[-1:]], kind)
+            d = gap if len(chosen) == 1 else np.minimum(d, gap)
+        seen = ~np.isnan(x)
+        fill = np.where(seen, x, 0).sum(0) / np.maximum(seen.sum(0), 1)
         out.append(np.where(np.isnan(x[chosen]), fill, x[chosen]))
     return np.array(out)
 
@@ -109,14 +175,20 @@ def assign(rows: DataFrame, centres: np.ndarray, kind: str = "means") -> DataFra
     return rows.select("row_id", "features").mapInPandas(run, "restart int, row_id long, cid int, distance double")
 
 
-def fit(rows: DataFrame, k: int, kind: str = "means", seeds: list[int] | None = None, iterations: int = MAX_ITERATIONS) -> np.ndarray:
+#: Called after every iteration with its number and the farthest move of a coordinate in each restart.
+Listener = Callable[[int, np.ndarray], None]
+
+
+def fit(rows: DataFrame, k: int, kind: str = "means", seeds: list[int] | None = None, iterations: int = MAX_ITERATIONS, listener: Listener | None = None) -> np.ndarray:
     """M1, M2: centres (restarts x k x width) after Lloyd iterations until nothing moves."""
     centres = first_centres(rows, k, seeds or [0], kind)
-    for _ in range(iterations):
+    for number in range(iterations):
         new = _step_means(rows, centres) if kind == "means" else _step_medians(rows, centres)
-        moved = float(np.abs(new - centres).max()) if new.size else 0.0
+        moved = np.abs(new - centres).reshape(len(new), -1).max(1, initial=0.0)
         centres = new
-        if moved < 1e-9:
+        if listener is not None:
+            listener(number, moved)
+        if moved.max(initial=0.0) < 1e-9:
             break
     return centres
 
@@ -271,7 +343,7 @@ def impute_all(rows: DataFrame, first: int = 1280, last: int = 10, medians_from:
             n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.exists("features", lambda x: x.isNull()), 1).otherwise(0)).alias("m")).first()
             if not n.m:
                 return rows
-            if k <= min(n.n, SEED_ROWS):
+            if k <= n.n:
                 centres = fit(rows, k, kind, [k], 15)
                 members = assign(rows, centres, kind).select("row_id", "cid")
                 rows = cut(impute(rows, centres_frame(spark, centres[0]), members))

@@ -1,6 +1,7 @@
 """Closed-form and edge cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from contactloom.functions import vectors
@@ -75,6 +76,45 @@ def test_kmeans_finds_planted_groups(spark):
     assert len({(i % 3, c) for i, c in groups.items()}) == 3
 
 
+def test_first_centres_come_from_all_rows(spark):
+    rng = np.random.default_rng(12)
+    place = np.array([[0, 0], [5000, 0], [0, 5000], [5000, 5000]])
+    x = np.concatenate([p + rng.normal(size=(n, 2)) for p, n in zip(place, (3000, 3000, 30, 3), strict=True)])
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>").repartition(7)
+    for kind in ("means", "medians"):
+        centres = cluster.first_centres(rows, 4, [1, 2, 3], kind)
+        assert centres.shape == (3, 4, 2)
+        for own in centres:  # the smallest group has three of 6033 rows
+            assert {int(np.abs(place - c).sum(1).argmin()) for c in own} == {0, 1, 2, 3}
+        again = cluster.first_centres(rows.repartition(3), 4, [1, 2, 3], kind)
+        assert np.array_equal(centres, again)
+    few = spark.createDataFrame([(i, [1.0, None]) for i in range(5)], "row_id long, features array<double>")
+    assert cluster.first_centres(few, 5, [1])[0].tolist() == [[1.0, 0.0]] * 5
+    with pytest.raises(ValueError, match="5 rows cannot give 6"):
+        cluster.first_centres(few, 6, [1])
+
+
+def test_lloyd_calls_its_listener(spark):
+    rows = spark.createDataFrame([(i, [float(10 * (i % 3)), float(i % 2)]) for i in range(60)], "row_id long, features array<double>")
+    seen = []
+    cluster.fit(rows, 3, seeds=[1, 2], listener=lambda number, moved: seen.append((number, moved)))
+    assert [n for n, _ in seen] == list(range(len(seen))) and all(m.shape == (2,) for _, m in seen)
+    assert seen[0][1].max() > 0 and seen[-1][1].max() < 1e-9
+
+
+def test_all_missing_entries_are_imputed(spark):
+    rng = np.random.default_rng(13)
+    group = np.arange(90) % 3
+    x = np.array([[1.0, 8, 3, 6], [7, 2, 9, 1], [4, 4, 1, 9]])[group] + rng.random((90, 4)) / 10
+    gone = rng.random(x.shape) < 0.15
+    gone[:6] = False
+    rows = spark.createDataFrame([(i, [None if g else float(v) for v, g in zip(r, m, strict=True)]) for i, (r, m) in enumerate(zip(x, gone, strict=True))], "row_id long, features array<double>")
+    got = {r.row_id: r.features for r in cluster.impute_all(rows, first=1280, last=3, medians_from=12).collect()}  # k is halved until the rows can give it
+    assert len(got) == 90 and not any(v is None for f in got.values() for v in f)
+    assert all(abs(got[i][j] - x[i, j]) < 0.2 for i in range(90) for j in range(4))
+    assert all(got[i][j] == x[i, j] for i in range(90) for j in range(4) if not gone[i, j])
+
+
 def test_rows_are_filled_in_order(spark):
     n = 53  # a chain: each row sees the one before it; the last row has no neighbour
     rows = spark.createDataFrame([(i,) for i in range(n + 1)], "row_id long")
