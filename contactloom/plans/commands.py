@@ -91,12 +91,11 @@ def compress(table: DataFrame, track: DataFrame, resolution: int, n_columns: int
     return one.join(metrics.all_pairs(rows, "cosine").withColumnRenamed("value", "cosine"), ["i", "j"])
 
 
-def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, normed: DataFrame | None = None, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
-    """Annotate: the best annotation (k, chr_idx, x1, x2, cluster_id) for k from first to past - 1.
+def feature_rows(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, *, normed: DataFrame | None = None, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None) -> tuple[DataFrame, Iterator[tuple[tuple, str, DataFrame]]]:
+    """The intervals of the matrix's rows, and (setting, kind, rows) of every feature matrix that is clustered.
 
     Bad bins and translocated pairs are masked, proto clusters found unless a mapping is
-    given, and the matrix is built once for the raw counts and once for the normalised
-    ones, if there are any; every setting and algorithm gives a candidate, and the candidate with the best variance ratio on odd against even chromosomes stays."""
+    given, and the matrix is built once for the raw counts and once for the normalised ones, if there are any."""
     bad = contacts.bad_bins(norm_vec)
     clean = contacts.mask_bad(table, bad)
     if mapping is None:
@@ -107,16 +106,41 @@ def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolutio
     n_columns = mapping.select("proto").distinct().count()
     inter, intra = map(cut, matrix.build(clean, mapping, translocated))
     ready = tuple(map(cut, matrix.build(contacts.mask_bad(normed, bad), mapping, translocated))) if normed is not None else None
-    weights = matrix.weights(mapping)
-    where = intervals.to_intervals(mapping, chroms, resolution)
-    candidates, number = [], 0
-    for (_, scaled, _, _), cells, w in configured(inter, intra, ready, weights, n_columns, settings):
-        for kind in ("means", "medians"):
-            cells = cut(matrix.scale_by_root_weights(cells, w) if scaled else cells)
-            rows = cut(matrix.wide(cells))
-            for k, _, members in cluster.sweep(rows, first, past, (kind,), restarts=restarts, iterations=iterations, seed=seed):
-                candidates.append(cluster.to_track(members, where).withColumns({"k": F.lit(k), "candidate": F.lit(number)}))
-                number += 1
+
+    def each() -> Iterator[tuple[tuple, str, DataFrame]]:
+        for setting, cells, w in configured(inter, intra, ready, matrix.weights(mapping), n_columns, settings):
+            for kind in ("means", "medians"):
+                if setting[1]:
+                    cells = matrix.scale_by_root_weights(cells, w)
+                cells = cut(cells)
+                yield setting, kind, cut(matrix.wide(cells))
+
+    return intervals.to_intervals(mapping, chroms, resolution), each()
+
+
+def setting_name(setting: tuple) -> str:
+    """A setting as a file stem."""
+    return "_".join(name for name, on in zip(("raw", "scaled", "log", "intra"), setting, strict=True) if on) or "plain"
+
+
+def eigen_tracks(*args: DataFrame, settings: tuple = SETTINGS, **options) -> Iterator[tuple[str, DataFrame]]:
+    """(name, track of values) of the first eigenvector of the rows' correlations, for every feature matrix: once, and again where medians take the columns scaled twice."""
+    where, each = feature_rows(*args, settings=settings, **options)
+    for setting, kind, rows in each:
+        if kind == "means" or setting[1]:
+            vector = cluster.first_eigenvector(rows, metrics.all_pairs(rows, "correlation"))
+            yield setting_name(setting) + ("_twice" if kind == "medians" else ""), cluster.values_on_intervals(vector, where)
+
+
+def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, normed: DataFrame | None = None, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
+    """Annotate: the best annotation (k, chr_idx, x1, x2, cluster_id) for k from first to past - 1.
+
+    Every setting and algorithm (see feature_rows) gives a candidate, and the candidate with the best variance ratio on odd against even chromosomes stays."""
+    where, each = feature_rows(table, norm_vec, chroms, resolution, normed=normed, settings=settings, mapping=mapping, cutoffs=cutoffs)
+    candidates = []
+    for _, kind, rows in each:
+        for k, _, members in cluster.sweep(rows, first, past, (kind,), restarts=restarts, iterations=iterations, seed=seed):
+            candidates.append(cluster.to_track(members, where).withColumns({"k": F.lit(k), "candidate": F.lit(len(candidates))}))
     out = candidates[0]
     for c in candidates[1:]:
         out = out.union(c)

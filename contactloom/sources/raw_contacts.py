@@ -98,6 +98,16 @@ def files_of(paths: str) -> list[str]:
     return out
 
 
+def is_raw(path: str) -> bool:
+    """Whether the path's first file begins as a raw contact file does."""
+    files = files_of(path)
+    if not files:
+        return False
+    system, inner = opened(files[0])
+    with system.open_input_file(inner) as handle:
+        return handle.read(len(MAGIC)) == MAGIC
+
+
 def header(handle: pa.NativeFile) -> Header:
     c = Cursor(handle, 0)
     if c.take(4) != MAGIC:
