@@ -21,8 +21,8 @@ broadcast only below a counted bound.
 
 Null counts as no words.  Texts under 20 words lose nothing.  Rows with the same
 doc_id and text are one document and are treated alike; different texts under one
-doc_id are ordered as one document by start.  A null doc_id sorts before all
-others.  Other columns are passed over.  Empty tables give empty results.  Very long
+doc_id are ordered as one document by start.  Rows without a doc_id sort before all
+others; each of their texts is a document of its own, ordered by the text's hash.  Other columns are passed over.  Empty tables give empty results.  Very long
 texts are read whole; a worker holds about 60 times the bytes of the longest one.
 """
 
@@ -54,8 +54,15 @@ NO_ID = np.iinfo(np.int64).min
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, id): id orders documents and names their answers.  A row without doc_id is a document by its text,
+    and has an id made of the text's hash among the lowest quarter of numbers."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
+
+
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    return column(batch, "doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    return column(batch, "id").to_numpy(zero_copy_only=False)
 
 
 def covered(runs: np.ndarray, n: int, ahead: int) -> np.ndarray:
@@ -321,16 +328,14 @@ def _answer(dealt: DataFrame, step: str, buckets: int) -> DataFrame:
 
 
 def _with_answer(docs: DataFrame, answer: DataFrame, how: str) -> DataFrame:
-    """docs (doc_id, text) joined to its answers."""
-    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    """docs (doc_id, text, id) joined to its answers."""
     size = answer.agg(F.sum(F.length("runs") + 16)).first()[0] or 0
-    return keyed.join(F.broadcast(answer) if size <= ANSWER_BYTES else answer.hint("merge"), "id", how).select("doc_id", "text", "runs")
+    return docs.join(F.broadcast(answer) if size <= ANSWER_BYTES else answer.hint("merge"), "id", how).select("doc_id", "text", "id", "runs")
 
 
 def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Word numbers at which a repeated window starts: (id, runs), to be read by runs_of()."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    spark, docs = docs.sparkSession, identified(docs)
     if not buckets:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(partitions(spark), size // BUCKET_BYTES)
@@ -341,8 +346,7 @@ def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row of docs: words, removed words and the digest (and text, if asked) of what is kept."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    joined = _with_answer(docs, repeats(docs), "left")
+    joined = _with_answer(identified(docs), repeats(docs), "left")
 
     def run(batch: pa.RecordBatch) -> dict:
         runs, n_words, n_removed, digest, kept_text = column(batch, "runs").to_pylist(), [], [], [], []

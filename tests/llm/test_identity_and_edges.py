@@ -240,3 +240,18 @@ def test_texts_of_colliding_words_are_not_near_copies(spark):
     kind = pa.list_(pa.struct([("rep", pa.int64()), ("root", pa.int64()), ("bag", pa.binary())]))
     found = bagminhash._compare(pa.RecordBatch.from_arrays([pa.array([members], kind)] * 2, names=["some", "all"]))
     assert set(zip(found["a"].tolist(), found["b"].tolist(), strict=True)) == {(0, 2)}
+
+
+def test_rows_without_an_id_are_documents_of_their_own_in_substring_dedup(spark):
+    passage = " ".join(f"p{j}" for j in range(25))
+    own = lambda i: " ".join(f"x{i}y{j}" for j in range(6))
+    rows = [(None, f"{own(i)} {passage} {own(i)}z") for i in range(400)] + [(None, f"{own(0)} {passage} {own(0)}z"), (None, None), (None, ""), (4, f"{passage} {own('a')}"), (np.iinfo(np.int64).min, own("b"))]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), with_text=True).collect()
+    assert len(got) == len(rows)
+    free = [r for r in got if r.doc_id is None]
+    whole = [r for r in free if passage in r.kept_text]
+    # one text keeps the passage; it may be the one that stands twice
+    assert len({r.kept_text for r in whole}) == 1 and all(r.n_removed == 0 for r in whole)
+    assert all(r.n_removed == 25 for r in free if r.n_words and r not in whole)
+    assert [r.n_removed for r in got if r.doc_id is not None] == [25, 0] or [r.n_removed for r in got if r.doc_id is not None] == [0, 25]
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id is not None} == {4: 25, np.iinfo(np.int64).min: 0}
