@@ -20,6 +20,9 @@ from .metrics import matrix_of, pair_values
 #: Draws of first candidates, and candidates of a draw for each centre.
 TURNS = 3
 OVER = 2
+#: Parts of an interval that medians are sought in, and numbers that a task may hold for it.
+BINS = 16
+NUMBERS = 8_000_000
 MAX_ITERATIONS = 200
 RESTARTS = 20
 #: Runs that may fail before the search for valid ones ends.
@@ -154,12 +157,93 @@ def _step_means(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
     return new
 
 
-def _step_medians(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
-    new = centres.copy()
-    cells = assign(rows, centres, "medians").join(rows, "row_id").select("restart", "cid", F.posexplode("features").alias("j", "v")).where("v is not null")
-    for r in cells.groupBy("restart", "cid", "j").agg(F.percentile("v", F.lit(0.5)).alias("v")).collect():
-        new[r.restart, r.cid, r.j] = r.v
-    return new
+def _counts(rows: DataFrame, centres: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of values, and least and greatest ones, in BINS equal parts of the intervals [low, high] of (restart, cid, column, rank)."""
+    r, k, w = centres.shape
+    shape = (k, w, 2, BINS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat = r, k * w * 2 * BINS
+        n, least, most = np.zeros(flat), np.full(flat, np.inf), np.full(flat, -np.inf)
+        for pdf in batches:
+            x = matrix_of(pdf.features)
+            for i in range(r if len(x) else 0):
+                cid, _ = _closest(x, centres[i], "medians")
+                for rank in (0, 1):
+                    a, b = low[i, cid, :, rank], high[i, cid, :, rank]
+                    row, j = np.nonzero((x >= a) & (x <= b))
+                    v, a, b = x[row, j], a[row, j], b[row, j]
+                    part = np.minimum((np.divide(v - a, b - a, out=np.zeros(len(v)), where=b > a) * BINS).astype(int), BINS - 1)
+                    at = ((cid[row] * w + j) * 2 + rank) * BINS + part
+                    n[i] += np.bincount(at, minlength=n.shape[1])
+                    np.minimum.at(least[i], at, v)
+                    np.maximum.at(most[i], at, v)
+        own = lambda z, i, c: z[i].reshape(k, -1)[c]
+        out = [(i, c, *(own(z, i, c) for z in (n, least, most))) for i in range(r) for c in range(k) if own(n, i, c).any()]
+        yield pd.DataFrame(out, columns=["restart", "cid", "n", "least", "most"])
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n, least, most = (np.array(part[c].tolist()) for c in ("n", "least", "most"))
+        return pd.DataFrame([(*key, n.sum(0), least.min(0), most.max(0))], columns=["restart", "cid", "n", "least", "most"])
+
+    kind = "restart int, cid int, n array<double>, least array<double>, most array<double>"
+    got = rows.select("features").mapInPandas(run, kind).groupBy("restart", "cid").applyInPandas(add, kind).toPandas()
+    n, least, most = np.zeros((r, *shape)), np.full((r, *shape), np.inf), np.full((r, *shape), -np.inf)
+    for i, c, *parts in got.itertuples(index=False):
+        n[i, c], least[i, c], most[i, c] = (np.asarray(p, float).reshape(shape[1:]) for p in parts)
+    return n, least, most
+
+
+def _medians(rows: DataFrame, centres: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Exact medians by restart, cluster and column, by narrowing the intervals that hold the two middle values.
+
+    A pass counts the values of each interval in parts and gives the ends of each part, so the next interval begins and ends with values
+    that are there; it ends where a part holds two values or one repeated value.  No cell is shuffled."""
+    r, k, w = centres.shape
+    low, high = (np.broadcast_to(e[None, None, :, None], (r, k, w, 2)).copy() for e in bounds)
+    found = np.full((r, k, w, 2), np.nan)
+    rank, open_ = None, np.ones((r, k, w, 2), bool)
+    while open_.any():
+        n, least, most = _counts(rows, centres, np.where(open_, low, np.inf), high)
+        if rank is None:
+            total = n.sum(-1)[..., 0]
+            rank = np.stack([(total - 1) // 2, total // 2], -1)
+            open_ &= (total > 0)[..., None]
+        ends = np.cumsum(n, -1)
+        part = np.minimum((ends <= rank[..., None]).sum(-1), BINS - 1)[..., None]
+        pick = lambda z: np.take_along_axis(z, part, -1)[..., 0]
+        size, first, last = pick(n), pick(least), pick(most)
+        rank = np.where(open_, rank - (pick(ends) - size), rank)
+        done = open_ & ((size <= 2) | (first == last))
+        found[done] = np.where(rank == 0, first, last)[done]
+        open_ &= ~done
+        low, high = np.where(open_, first, low), np.where(open_, last, high)
+    middle = found.mean(-1)
+    return np.where(np.isnan(middle), centres, middle)
+
+
+def _bounds(rows: DataFrame, width: int) -> np.ndarray:
+    """Least and greatest value of every column; an interval without values where there are none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = np.full(width, np.inf), np.full(width, -np.inf)
+        for pdf in batches:
+            x = matrix_of(pdf.features)
+            if len(x):
+                low, high = np.fmin(low, np.fmin.reduce(x)), np.fmax(high, np.fmax.reduce(x))
+        yield pd.DataFrame({"j": np.arange(width), "low": low, "high": high})
+
+    out = np.stack([np.full(width, np.inf), np.full(width, -np.inf)])
+    for r in rows.select("features").mapInPandas(run, "j int, low double, high double").groupBy("j").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        out[:, r.j] = r.low, r.high
+    return out
+
+
+def _step_medians(rows: DataFrame, centres: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Restarts go together as long as a task's counts stay within NUMBERS."""
+    r, k, w = centres.shape
+    some = max(1, NUMBERS // max(1, k * w * 6 * BINS))
+    return np.concatenate([_medians(rows, centres[i : i + some], bounds) for i in range(0, r, some)])
 
 
 def assign(rows: DataFrame, centres: np.ndarray, kind: str = "means") -> DataFrame:
@@ -182,13 +266,17 @@ Listener = Callable[[int, np.ndarray], None]
 def fit(rows: DataFrame, k: int, kind: str = "means", seeds: list[int] | None = None, iterations: int = MAX_ITERATIONS, listener: Listener | None = None) -> np.ndarray:
     """M1, M2: centres (restarts x k x width) after Lloyd iterations until nothing moves."""
     centres = first_centres(rows, k, seeds or [0], kind)
+    bounds = _bounds(rows, centres.shape[2]) if kind == "medians" else None
+    live = np.ones(len(centres), bool)  # a restart whose centres did not move stays as it is
     for number in range(iterations):
-        new = _step_means(rows, centres) if kind == "means" else _step_medians(rows, centres)
+        new = centres.copy()
+        new[live] = _step_means(rows, centres[live]) if kind == "means" else _step_medians(rows, centres[live], bounds)
         moved = np.abs(new - centres).reshape(len(new), -1).max(1, initial=0.0)
         centres = new
         if listener is not None:
             listener(number, moved)
-        if moved.max(initial=0.0) < 1e-9:
+        live = moved >= 1e-9
+        if not live.any():
             break
     return centres
 

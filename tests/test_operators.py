@@ -94,6 +94,24 @@ def test_first_centres_come_from_all_rows(spark):
         cluster.first_centres(few, 6, [1])
 
 
+def test_medians_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = np.column_stack([rng.normal(size=400), rng.integers(0, 3, 400), np.zeros(400), np.exp(rng.normal(size=400) * 9), np.full(400, np.nan), np.where(rng.random(400) < 0.7, 5.0, rng.normal(size=400))])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>").repartition(5)
+    centres = np.array([[[c * 0.7 - 1, c, 0, 10.0**c, 0, 5] for c in range(4)], [[9e9] * 6] * 4])  # the second restart has empty groups
+    bounds = cluster._bounds(rows, 6)
+    for numbers in (8_000_000, 1):  # together and one restart at a time
+        monkeypatch.setattr(cluster, "NUMBERS", numbers)
+        got = cluster._step_medians(rows, centres, bounds)
+        for i in range(2):
+            near = np.nan_to_num(metrics.pair_values(x, centres[i], "manhattan"), nan=np.inf).argmin(1)
+            for c in range(4):
+                for j in range(6):
+                    own = x[near == c, j][~np.isnan(x[near == c, j])]
+                    assert got[i, c, j] == (np.median(own) if len(own) else centres[i, c, j])
+
+
 def test_lloyd_calls_its_listener(spark):
     rows = spark.createDataFrame([(i, [float(10 * (i % 3)), float(i % 2)]) for i in range(60)], "row_id long, features array<double>")
     seen = []
