@@ -9,7 +9,7 @@ the earliest point of each slot: two slots agree with the probability of the
 weighted Jaccard similarity.  Processes stop once no slot can get earlier.
 
 `ROWS` slots make a band; documents that share a band are candidates.  Links are
-verified on the full multisets, by 128 bits of a shingle: overlap / union >= 0.8.  Texts with equal words
+verified on the full multisets of shingle hashes, 64 bits made of two lanes: overlap / union >= 0.8.  Texts with equal words
 (128 bits, of two lanes over the bytes) are one node.  Only connections matter, so pairs are compared in turns:
 
 1. every document with the smallest first member of its buckets, so that a group of
@@ -61,8 +61,10 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "key long, doc_id long, h1 long, h2 long, bands array<long>"
 
 
-def bag(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, shingle hash, count and second hash of every distinct shingle of a chunk, by row: shingles are equal if both lanes are."""
+def bag(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle hash and count of every distinct shingle of a chunk, by row.
+
+    The hash is made of both lanes, so words that meet in one of them do not make shingles meet."""
     bounds = c.bounds
     n_words = np.diff(bounds)
     row = np.repeat(np.arange(c.n), n_words)[window_places(bounds, SHINGLE)]
@@ -71,12 +73,13 @@ def bag(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     for lane in (0, 1):
         h = c.hashes(lane)
         lanes.append(np.concatenate([windows(h, bounds, SHINGLE, lane)[1], sequence_hash(h, bounds, lane)[short]]))
-    order = np.lexsort((lanes[1], lanes[0], row))
-    row, one, two = row[order], lanes[0][order], lanes[1][order]
+    shingle = mix(lanes[0] * GOLDEN + mix(lanes[1]))
+    order = np.lexsort((shingle, row))
+    row, shingle = row[order], shingle[order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    new[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
     at = np.flatnonzero(new)
-    return row[at], one[at], np.diff(np.append(at, len(row))), two[at]
+    return row[at], shingle[at], np.diff(np.append(at, len(row)))
 
 
 def signatures(row: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -130,21 +133,16 @@ def band_keys(names: np.ndarray) -> np.ndarray:
 
 
 def expanded(c: Chunk) -> list[bytes]:
-    """Each row's multiset as a sorted set of 128-bit elements: the i-th copy of a shingle is an element of its own."""
-    row, shingle, count, second = bag(c)
+    """Each row's multiset as a sorted set: the i-th copy of a shingle is an element of its own."""
+    row, shingle, count = bag(c)
     which = np.repeat(np.arange(len(row)), count)
-    copy = (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * GOLDEN
-    one, two = mix(shingle[which] + copy), mix(second[which] ^ copy)
-    order = np.lexsort((two, one, row[which]))
-    element, edge = np.column_stack([one, two])[order], np.searchsorted(row[which][order], np.arange(c.n + 1))
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    element = mix(shingle[which] + copy.astype(np.uint64) * GOLDEN)
+    order = np.lexsort((element, row[which]))
+    element, edge = element[order], np.searchsorted(row[which][order], np.arange(c.n + 1))
     return [element[edge[i] : edge[i + 1]].tobytes() for i in range(c.n)]
 
 
-def elements(bag_: bytes) -> np.ndarray:
-    """The elements of a stored multiset, a row of two numbers each."""
-    return np.frombuffer(bag_, np.uint64).reshape(-1, 2)
-
-
 def _sketch(batch: pa.RecordBatch) -> dict:
     h1, h2, keys, lengths = [], [], [], []
     for c in chunks(column(batch, "text")):
@@ -152,7 +150,7 @@ def _sketch(batch: pa.RecordBatch) -> dict:
         h1.append(sequence_hash(h, bounds).view(np.int64))
         h2.append(sequence_hash(c.hashes(1), bounds, 1).view(np.int64))
         wordy = np.diff(bounds) > 0
-        names = signatures(*bag(c)[:3], c.n)
+        names = signatures(*bag(c), c.n)
         keys.append(band_keys(names)[wordy].view(np.int64).ravel())
         lengths.append(np.where(wordy, BANDS, 0))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1)
@@ -169,13 +167,13 @@ def _verify(batch: pa.RecordBatch) -> dict:
     a, b = column(batch, "bag_a"), column(batch, "bag_b")
     ok = []
     for x, y in zip(a, b, strict=True):
-        p, q = elements(x.as_py()), elements(y.as_py())
+        p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
         if min(len(p), len(q)) * SIMILAR[1] < SIMILAR[0] * max(len(p), len(q)):
             ok.append(False)
             continue
         both = np.concatenate([p, q])
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        shared = int((both[1:] == both[:-1]).all(1).sum())
+        both.sort(kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
         ok.append(shared * SIMILAR[1] >= SIMILAR[0] * (len(both) - shared))
     mask = pa.array(ok, pa.bool_())
     return {"a": column(batch, "a").filter(mask), "b": column(batch, "b").filter(mask)}
@@ -243,19 +241,18 @@ def _compare(batch: pa.RecordBatch) -> dict:
     a, b = [], []
     for left, right in zip(column(batch, "some"), column(batch, "all"), strict=True):
         x, y = left.as_py(), right.as_py()
-        bags = [[elements(v["bag"]) for v in side] for side in (x, y)]
+        bags = [[np.frombuffer(v["bag"], np.uint64) for v in side] for side in (x, y)]
         size = [np.array([len(v) for v in side]) for side in bags]
         owner = [np.repeat(np.arange(len(n)), n) for n in size]
-        flat = [np.concatenate(side) if side else np.zeros((0, 2), np.uint64) for side in bags]
-        order = np.argsort(flat[1][:, 0], kind="stable")
-        keys, second, of = flat[1][order, 0], flat[1][order, 1], owner[1][order]
-        low, high = np.searchsorted(keys, flat[0][:, 0], "left"), np.searchsorted(keys, flat[0][:, 0], "right")
+        flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in bags]
+        order = np.argsort(flat[1], kind="stable")
+        keys, of = flat[1][order], owner[1][order]
+        low, high = np.searchsorted(keys, flat[0], "left"), np.searchsorted(keys, flat[0], "right")
         shared = np.zeros((len(x), len(y)), np.int64)
         for i in range(len(x)):  # one member against the block
             mine = owner[0] == i
             n = (high - low)[mine]
             at = np.repeat(low[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = at[second[at] == np.repeat(flat[0][mine, 1], n)]
             shared[i] = np.bincount(of[at], minlength=len(y))
         union = size[0][:, None] + size[1][None, :] - shared
         root = [np.array([v["root"] for v in side]) for side in (x, y)]
