@@ -11,35 +11,26 @@ from pyspark.sql.window import Window
 
 from ..runtime import cut
 from .metrics import unassigned_share
-from .tracks import greedy
-
-
-def two_way_table(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows by pair of ids."""
-    return a.join(b.withColumnRenamed("cid", "id2"), "row_id").groupBy(F.col("cid").alias("id1"), "id2").agg(F.count(F.lit(1)).alias("n"))
+from .tracks import greedy_cells
 
 
 def two_way_hubs(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """Rows of the k largest cells that share no id; (row_id, cid). The table has k x k rows."""
-    cells = [(r.id1, r.id2, r.n) for r in two_way_table(a, b).collect()]
-    hubs = [(i, j, c) for c, (i, j, _) in enumerate(greedy(cells)[:k])]
-    table = a.sparkSession.createDataFrame(hubs, "cid int, id2 int, hub int")
-    return a.join(b.withColumnRenamed("cid", "id2"), "row_id").join(F.broadcast(table), ["cid", "id2"]).select("row_id", F.col("hub").alias("cid"))
+    """Rows of the k largest cells that share no id; (row_id, cid)."""
+    return _hub_rows(a.withColumnRenamed("cid", "id1").join(b.withColumnRenamed("cid", "id2"), "row_id"), ("id1", "id2"), k)
 
 
 def three_way_hubs(a: DataFrame, b: DataFrame, c: DataFrame, k: int) -> DataFrame:
     """The same over triples of ids; ties go to the lowest ids."""
-    j = a.join(b.withColumnRenamed("cid", "id2"), "row_id").join(c.withColumnRenamed("cid", "id3"), "row_id")
-    used: tuple[set, set, set] = (set(), set(), set())
-    hubs = []
-    for r in sorted(j.groupBy("cid", "id2", "id3").count().collect(), key=lambda r: (-r["count"], r.cid, r.id2, r.id3)):
-        ids = (r.cid, r.id2, r.id3)
-        if len(hubs) < k and not any(i in u for i, u in zip(ids, used, strict=True)):
-            hubs.append((*ids, len(hubs)))
-            for i, u in zip(ids, used, strict=True):
-                u.add(i)
-    table = a.sparkSession.createDataFrame(hubs, "cid int, id2 int, id3 int, hub int")
-    return j.join(F.broadcast(table), ["cid", "id2", "id3"]).select("row_id", F.col("hub").alias("cid"))
+    both = a.withColumnRenamed("cid", "id1").join(b.withColumnRenamed("cid", "id2"), "row_id")
+    return _hub_rows(both.join(c.withColumnRenamed("cid", "id3"), "row_id"), ("id1", "id2", "id3"), k)
+
+
+def _hub_rows(rows: DataFrame, ids: tuple[str, ...], k: int) -> DataFrame:
+    """Rows of the first k greedily taken tuples of ids, numbered in their order.  Only these k are brought to the driver."""
+    cells = greedy_cells(rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")), ids=ids)
+    first = cells.orderBy(F.desc("n"), *ids).limit(k).collect()
+    hubs = rows.sparkSession.createDataFrame([(*[r[i] for i in ids], hub) for hub, r in enumerate(first)], ", ".join(f"{i} long" for i in ids) + ", hub int")
+    return rows.join(F.broadcast(hubs), list(ids)).select("row_id", F.col("hub").alias("cid"))
 
 
 #: Open rows that are labelled in one step; a task holds the links among them.

@@ -5,15 +5,17 @@ each pair of blocks is one unit of work, and a unit is one numpy computation."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import METRICS
-from ..runtime import prepare
+from ..runtime import cut, prepare
 
 #: Rows of a block.
 BLOCK = 256
@@ -49,28 +51,37 @@ def pair_values(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
+def _units(rows: DataFrame, block: int, *more: str) -> DataFrame:
+    """(r1, r2): all pairs of blocks, each with its rows (row_id, features, more) in order."""
+    packed = rows.withColumn("_b", F.floor(F.col("row_id") / block)).groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("row_id", "features", *more))).alias("rows"))
+    a, b = packed.select(F.col("_b").alias("b1"), F.col("rows").alias("r1")), packed.select(F.col("_b").alias("b2"), F.col("rows").alias("r2"))
+    return a.join(b, F.col("b1") <= F.col("b2")).repartition("b1", "b2").select("r1", "r2")
+
+
+def _sides(batch: pa.RecordBatch, k: int) -> list[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
+    """Row ids, features and all fields of both blocks of unit k."""
+    out = []
+    for rows in (batch.column(c)[k].values for c in (0, 1)):
+        features = rows.field("features")
+        out.append((rows.field("row_id").to_numpy(), features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(features), -1), rows))
+    return out
+
+
 def all_pairs(rows: DataFrame, metric: str = "euclidean", strict: bool = False, block: int = BLOCK) -> DataFrame:
     """(i, j, value) for i <= j (or i < j). Every value is wanted, so the result is quadratic by nature; memory is two blocks a task."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     prepare(rows.sparkSession)
-    packed = rows.withColumn("_b", F.floor(F.col("row_id") / block)).groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("row_id", "features"))).alias("rows"))
-    a, b = packed.select(F.col("_b").alias("b1"), F.col("rows").alias("r1")), packed.select(F.col("_b").alias("b2"), F.col("rows").alias("r2"))
-    units = a.join(b, F.col("b1") <= F.col("b2"))
-
-    def block_of(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        features = rows.field("features")
-        return rows.field("row_id").to_numpy(), features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(features), -1)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                (i, x), (j, y) = (block_of(batch.column(c)[k].values) for c in (0, 1))
+                (i, x, _), (j, y, _) = _sides(batch, k)
                 p, q = np.nonzero(i[:, None] < j[None, :] if strict else i[:, None] <= j[None, :])
                 value = pair_values(x, y, metric)[p, q]
                 yield pa.RecordBatch.from_arrays([pa.array(i[p], pa.int64()), pa.array(j[q], pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value))], names=["i", "j", "value"])
 
-    return units.repartition("b1", "b2").select("r1", "r2").mapInArrow(run, "i long, j long, value double")
+    return _units(rows, block).mapInArrow(run, "i long, j long, value double")
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -105,17 +116,85 @@ def best_centre(values: DataFrame, above: float = 0.3) -> DataFrame:
     return values.where(F.col("value") > above).groupBy("row_id").agg(F.max_by("cid", F.struct("value", -F.col("cid"))).alias("cid"))
 
 
+def _between(n: Column, percent: float) -> tuple[Column, Column, Column]:
+    """The places (from 1) of the two of n ordered values that a percentile lies between by the estimator at place (n + 1) p, and its share of the way."""
+    place = (n + 1) * percent / 100
+    low = F.greatest(F.lit(1), F.least(F.floor(place), n))
+    return low, F.least(low + 1, n), F.when((place < 1) | (place >= n), 0.0).otherwise(place - F.floor(place))
+
+
+def _below_percentile(found: DataFrame, percent: float) -> DataFrame:
+    """(i, j) of the rows (i, j, value, _n) whose value is below the percentile of the _n values of i, of which at least the lowest ones are here."""
+    w = Window.partitionBy("i")
+    low, high, share = _between(F.col("_n"), percent)
+    ranked = found.withColumn("_k", F.row_number().over(w.orderBy("value", "j")))
+    ends = ranked.withColumn("_a", F.max(F.when(F.col("_k") == low, F.col("value"))).over(w)).withColumn("_b", F.max(F.when(F.col("_k") == high, F.col("value"))).over(w))
+    return ends.where(F.col("value") < F.col("_a") + share * (F.col("_b") - F.col("_a"))).select("i", "j")
+
+
 def nearest(pairs: DataFrame, percent: float = 2.0) -> DataFrame:
-    """Neighbours nearer than the row's percentile of distances, by the estimator at place (n + 1) p; a row is not its own neighbour."""
+    """J10 of given pairs: neighbours nearer than the row's percentile of distances; a row is not its own neighbour.  Sorts all values of a row; from rows, use nearest_rows."""
     both = mirrored(pairs.where("i <> j")).where("value is not null")
-    w = Window.partitionBy("i")
-    ranked = both.withColumn("_k", F.row_number().over(w.orderBy("value", "j"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    place = (F.col("_n") + 1) * percent / 100
-    low = F.greatest(F.lit(1), F.least(F.floor(place), F.col("_n")))
-    high = F.least(low + 1, F.col("_n"))
-    share = F.when(place < 1, 0.0).when(place >= F.col("_n"), 0.0).otherwise(place - F.floor(place))
-    cut = ranked.groupBy("i").agg(F.max(F.when(F.col("_k") == low, F.col("value"))).alias("_a"), F.max(F.when(F.col("_k") == high, F.col("value"))).alias("_b"), F.max(share).alias("_s"))
-    return both.join(cut.select("i", (F.col("_a") + F.col("_s") * (F.col("_b") - F.col("_a"))).alias("_cut")), "i").where("value < _cut").select("i", "j")
+    return _below_percentile(both.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("i"))), percent)
+
+
+#: Low bits of a distance that its bin leaves out: 8 binary digits behind the leading one remain, 256 bins to a doubling.
+BIN_BITS = 44
+
+
+def value_bins(values: np.ndarray) -> np.ndarray:
+    """Bins in the order of the values: their leading bits, of which negative ones are turned round."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits) >> BIN_BITS
+
+
+def _both_ways(batch: pa.RecordBatch, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StructArray]]:
+    """Of unit k, seen from the rows of either block: places of the rows, their ids, the ids of the others, distances, and the block's fields."""
+    (i, x, one), (j, y, two) = _sides(batch, k)
+    p, q = np.nonzero(i[:, None] < j[None, :])
+    value = pair_values(x, y, metric)[p, q]
+    known = ~np.isnan(value)
+    p, q, value = p[known], q[known], value[known]
+    yield p, i[p], j[q], value, one
+    yield q, j[q], i[p], value, two
+
+
+def nearest_rows(rows: DataFrame, metric: str = "euclidean", percent: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """(i, j) of neighbours nearer than row i's percentile of its distances, from rows (row_id, features), as nearest(all_pairs(rows)).
+
+    All distances are computed twice, and most of them are never passed on.  The first pass counts each row's distances by bin; bins are in
+    the order of the values and need no range.  The counts tell how many distances a row has and the bin of the higher of the two values that its
+    percentile lies between.  The second pass hands on the distances up to that bin, and one bin more, as another machine may differ in a last bit.
+    Only these, about the percentage asked for, are shuffled and sorted.  Missing distances do not count; a row without any has no neighbour."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    prepare(rows.sparkSession)
+    none = int(value_bins(np.array([-np.inf]))[0]) - 2
+
+    def count(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for place, ids, _, value, _ in _both_ways(batch, k, metric):
+                    bins = value_bins(value)
+                    order = np.lexsort((bins, place))
+                    fresh = np.flatnonzero(np.r_[True, (np.diff(place[order]) != 0) | (np.diff(bins[order]) != 0)][: len(order)])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[order][fresh], pa.int64()), pa.array(bins[order][fresh], pa.int64()), pa.array(np.diff(np.r_[fresh, len(order)]), pa.int64())], names=["row_id", "bin", "n"])
+
+    counts = _units(rows, block).mapInArrow(count, "row_id long, bin long, n long").groupBy("row_id", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("row_id")
+    reached = counts.withColumn("_to", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("n").over(w))
+    last = cut(reached.where(F.col("_to") >= _between(F.col("_n"), percent)[1]).groupBy("row_id").agg(F.min("bin").alias("_last"), F.first("_n").alias("_n")))
+    bounded = rows.join(last, "row_id", "left").select("row_id", "features", F.coalesce("_last", F.lit(none)).alias("_last"))
+
+    def pick(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for place, ids, others, value, fields in _both_ways(batch, k, metric):
+                    near = value_bins(value) <= fields.field("_last").to_numpy()[place] + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[near], pa.int64()), pa.array(others[near], pa.int64()), pa.array(value[near], pa.float64())], names=["i", "j", "value"])
+
+    found = _units(bounded, block, "_last").mapInArrow(pick, "i long, j long, value double")
+    return _below_percentile(found.join(last.select(F.col("row_id").alias("i"), "_n"), "i"), percent)
 
 
 def common_neighbours(one: DataFrame, two: DataFrame) -> DataFrame:

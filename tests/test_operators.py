@@ -215,3 +215,75 @@ def test_one_cluster_scores_one(spark):
     chroms = spark.createDataFrame(CHROMS, "chr_idx int, name string, length long")
     for r in scoring.run(c, bins, chroms, ("ODDS_VS_EVENS",), 4, 3).collect():
         assert abs(r.ratio - 1) < 1e-9
+
+
+def chosen(cells):
+    """Cells one by one, the largest first, none that shares an id with one before."""
+    out = []
+    for *ids, n in sorted(cells, key=lambda c: (-c[-1], c[:-1])):
+        if n > 0 and not any(a == b for o in out for a, b in zip(o, ids)):
+            out.append((*ids, n))
+    return out
+
+
+def test_greedy_rounds_equal_the_choice_one_by_one(spark):
+    rng = np.random.default_rng(12)
+    tables = {
+        0: [(i, j, int(rng.integers(0, 5))) for i in range(9) for j in range(7)],  # many ties
+        1: [(i, j, 3) for i in range(5) for j in range(6)],  # nothing but ties: a chain of rounds
+        2: [(i, j, 1000 - 10 * i - j) for i in range(6) for j in range(6) if rng.random() < 0.6],
+        3: [(0, 0, 0), (1, 1, -2)],
+        4: [(-1, 7, 4), (2, 7, 4), (2, 8, 4)],
+    }
+    rows = spark.createDataFrame([(g, *c) for g, t in tables.items() for c in t], "g int, id1 int, id2 int, n long")
+    got = tracks.greedy_cells(rows, ("g",)).collect()
+    want = {g: chosen(t) for g, t in tables.items()}
+    assert {(r.g, r.id1, r.id2, r.n) for r in got} == {(g, *c) for g, t in want.items() for c in t} and len(got) == sum(map(len, want.values()))
+    shares = {r.g: (r.matched, r.total, r.accuracy) for r in tracks.accuracy(rows, ("g",)).collect()}
+    assert shares[3] == (0, -2, 0.0) and all(shares[g][:2] == (sum(c[-1] for c in want[g]), sum(c[-1] for c in tables[g])) for g in tables)
+    alone = tracks.accuracy(rows.where("g = 0").drop("g")).first()
+    assert (alone.matched, alone.total) == shares[0][:2]
+    assert tracks.accuracy(rows.where("g = 9").drop("g")).count() == 0
+
+
+def test_hubs_of_three_assignments_equal_the_choice_one_by_one(spark):
+    rng = np.random.default_rng(13)
+    ids = [tuple(int(v) for v in rng.integers(0, 4, 3)) for _ in range(300)]
+    one, two, three = (spark.createDataFrame([(i, t[s]) for i, t in enumerate(ids)], "row_id long, cid int") for s in range(3))
+    hubs = {c[:3]: h for h, c in enumerate(chosen([(*t, ids.count(t)) for t in set(ids)])[:3])}
+    assert {(r.row_id, r.cid) for r in consensus.three_way_hubs(one, two, three, 3).collect()} == {(i, hubs[t]) for i, t in enumerate(ids) if t in hubs}
+    pairs = [t[:2] for t in ids]
+    hubs = {c[:2]: h for h, c in enumerate(chosen([(*t, pairs.count(t)) for t in set(pairs)])[:3])}
+    assert {(r.row_id, r.cid) for r in consensus.two_way_hubs(one, two, 3).collect()} == {(i, hubs[t]) for i, t in enumerate(pairs) if t in hubs}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "correlation"])
+@pytest.mark.parametrize("percent", [0.5, 7.0, 100.0])
+def test_neighbours_of_rows_equal_brute_force(spark, metric, percent):
+    rng = np.random.default_rng(14)
+    x = rng.integers(-2, 3, size=(70, 6)).astype(float)  # repeated rows and equal distances
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5] = np.nan  # nothing to compare
+    rows = spark.createDataFrame([(3 * i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    blocks = [x[s : s + 6] for s in range(0, 70, 6)]  # by blocks of 18 ids, as the operator computes them
+    values = np.vstack([np.hstack([metrics.pair_values(a, b, metric) if p <= q else metrics.pair_values(b, a, metric).T for q, b in enumerate(blocks)]) for p, a in enumerate(blocks)])
+    upper = np.triu(values, 1)
+    values = upper + upper.T
+    np.fill_diagonal(values, np.nan)
+    want = set()
+    for i in range(70):
+        v = np.sort(values[i][~np.isnan(values[i])])
+        if len(v):
+            place = (len(v) + 1) * percent / 100
+            low = max(1, min(int(place), len(v)))
+            share = 0 if place < 1 or place >= len(v) else place - int(place)
+            cut = v[low - 1] + share * (v[min(low + 1, len(v)) - 1] - v[low - 1])
+            want |= {(3 * i, 3 * j) for j in range(70) if values[i, j] < cut}
+    assert {(r.i, r.j) for r in metrics.nearest_rows(rows, metric, percent, 18).collect()} == want
+    assert {(r.i, r.j) for r in metrics.nearest(metrics.all_pairs(rows, metric, block=18), percent).collect()} == want
+    assert metrics.nearest_rows(rows.limit(0), metric, percent).count() == 0
+
+
+def test_bins_keep_the_order_of_values():
+    v = np.sort(np.r_[-np.inf, -1e300, -1.0, -1e-300, -0.0, 0.0, 1e-300, np.random.default_rng(1).normal(size=200), 1e300, np.inf])
+    assert (np.diff(metrics.value_bins(v)) >= 0).all() and metrics.value_bins(np.array([-0.0]))[0] == metrics.value_bins(np.array([0.0]))[0]
