@@ -365,7 +365,7 @@ def similar_entries(centres: DataFrame, limit: float = 0.05) -> DataFrame:
 
 
 def chi_square(centres: DataFrame) -> DataFrame:
-    """Pearson statistic of each ordered pair of centres over the first half of the vector, observed rounded, expected rescaled to its total; p by the regularised gamma function."""
+    """Pearson statistic of each ordered pair of centres, a centre with itself included, over the first half of the vector, observed rounded, expected rescaled to its total; p by the regularised gamma function."""
     import math
 
     def upper_gamma(a: float, x: float) -> float:

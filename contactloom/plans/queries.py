@@ -555,6 +555,9 @@ def imputed(r: Relations) -> DataFrame:
 add("m25_impute", "row_id col_id|v", imputed, "SELECT x.row_id, x.col_id, COALESCE(x.v, CASE WHEN c.v > 0 THEN c.v END) AS v FROM matrix x LEFT JOIN (SELECT * FROM m WHERE cid < 5 AND cid IN (SELECT cid FROM m WHERE cid < 5 GROUP BY 1 HAVING COUNT(*) > 10)) g USING (row_id) LEFT JOIN matrix c ON c.row_id = g.cid AND c.col_id = x.col_id", "matrix", m=MEMBERS)
 add("m28_capped_restarts", "row_id cid", lambda r: _cluster().best_of(planted(r), 3, "medians")[1])
 add("m29_chi_square", "c1 c2|statistic p", lambda r: _cluster().chi_square(centres(r).withColumn("centre", F.transform("centre", lambda x: F.abs(x) * 50))))
+OBSERVED = "SELECT a.row_id AS c1, b.row_id AS c2, ROUND_EVEN(ABS(a.v) * 50, 0) AS o, ABS(b.v) * 50 AS e FROM matrix a JOIN matrix b USING (col_id) WHERE a.row_id < 5 AND b.row_id < 5 AND col_id < 32"
+add("m29_statistic", "c1 c2|statistic", lambda r: _cluster().chi_square(centres(r).withColumn("centre", F.transform("centre", lambda x: F.abs(x) * 50))),
+    "SELECT c1, c2, SUM((o - e * s) * (o - e * s) / (e * s)) AS statistic FROM (SELECT *, SUM(o) OVER (PARTITION BY c1, c2) / SUM(e) OVER (PARTITION BY c1, c2) AS s FROM observed WHERE o >= 0 AND e > 0) GROUP BY 1, 2", "matrix", observed=OBSERVED)
 PAIR5 = "SELECT a.row_id AS c1, b.row_id AS c2, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM five a JOIN five b ON a.row_id {op} b.row_id"
 add("m30_centre_distances", "c1 c2|distance per_entry", lambda r: _cluster().centre_pairs(centres(r)).select("c1", "c2", vectors.euclidean("a", "b").alias("distance"), (vectors.euclidean("a", "b") / 64).alias("per_entry")), f"SELECT c1, c2, {METRIC['euclidean']} AS distance, {METRIC['euclidean']} / 64 AS per_entry FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"))
 add("m31_similar_entries", "c1 c2 n_similar", lambda r: _cluster().similar_entries(centres(r)), "SELECT c1, c2, SUM(CASE WHEN (x - y) * (x - y) / NULLIF(ABS(y), 0) < 0.05 THEN 1 ELSE 0 END) AS n_similar FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"))

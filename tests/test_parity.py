@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 NAMES = (
     "s3_normalised", "s11_bed_track", "k1_bed9", "p2_label_ids", "p5_valid_distances", "p7_bad_bins", "p13_bad_rows_columns", "i1_split", "i2_collapse", "i6_to_bins", "j3_join_tracks",
     "j4_common_loci", "s1_raw_contacts", "s2_raw_block", "s8_chromosomes", "a1_streamed", "a3_streamed", "a11_streamed", "a15_streamed", "m20_block_scores", "a15_densities", "j6_all_pairs_cosine", "j11_best_centre", "a2_guarded_mean", "a5_column_z", "a9_vanilla_coverage", "a13_marginals", "a16_variation", "a24_score_ratios", "a29_accuracy",
-    "a30_ari", "m9_global_rows", "m11_matrix_build", "m17_shuffled_index", "m18_partitions", "f5_correlation", "f9_arctanh", "o6_common_neighbours", "j10_nearest", "a34_majority", "m23_two_way_hubs", "m24_three_way_hubs", "cmd_compare",
+    "a30_ari", "m9_global_rows", "m11_matrix_build", "m17_shuffled_index", "m18_partitions", "f5_correlation", "f9_arctanh", "o6_common_neighbours", "j10_nearest", "a34_majority", "m23_two_way_hubs", "m24_three_way_hubs", "m29_statistic", "cmd_compare",
 )
 
 
