@@ -1,6 +1,6 @@
 """Exports of results: arrays, text matrices, heat maps and reports.
 
-Heat maps and .npy files are driver-side and meant for small matrices; `most` bounds what they collect."""
+Heat maps are drawn by the driver and meant for small matrices; `most` bounds what they collect."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.colours import blend
 from ..operators.cluster import centre_pairs, chi_square, similar_entries
+from . import array_file
 
 #: Cells that an export to the driver may hold.
 MOST = 4_000_000
@@ -34,9 +35,9 @@ def dense(cells: DataFrame, most: int = MOST) -> np.ndarray:
     return out
 
 
-def save_array(cells: DataFrame, path: str, most: int = MOST) -> None:
-    """K4: .npy file of a small matrix."""
-    np.save(path, dense(cells, most))
+def save_array(cells: DataFrame, path: str) -> tuple[int, int]:
+    """K4: .npy file of a matrix of any size, written by tasks; its shape."""
+    return array_file.save(cells, path)
 
 
 def text_matrix(rows: DataFrame) -> DataFrame:
