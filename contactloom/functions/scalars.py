@@ -32,6 +32,6 @@ def unordered_key(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
 
 
-def file_stem(prefix: str, vc: bool, log: bool, z: bool, kind: str, k: int) -> str:
+def file_stem(prefix: str, vc: bool, log: bool, z: bool, kind: str, k: Column) -> Column:
     """name of a clustering by its settings."""
-    return "_".join([prefix, "vc" if vc else "weights", *(["log"] if log else []), *(["z"] if z else []), kind, f"k{k}"])
+    return F.concat(F.lit("_".join([prefix, "vc" if vc else "weights", *(["log"] if log else []), *(["z"] if z else []), kind, "k"])), k.cast("string"))

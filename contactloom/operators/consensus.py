@@ -7,9 +7,8 @@ from collections import Counter, defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..runtime import cut
+from ..runtime import cut, numbered
 from .metrics import unassigned_share
 from .tracks import greedy_cells
 
@@ -48,18 +47,11 @@ def fill_by_neighbours(rows: DataFrame, hubs: DataFrame, neighbours: DataFrame,
     neighbours = cut(neighbours)
     open_ = cut(rows.select("row_id").join(hubs, "row_id", "left_anti"))
     share = unassigned_share(neighbours.join(open_.withColumnRenamed("row_id", "i"), "i", "left_semi"), hubs)
-    # numbered in two steps: sorted parts, then rows within a part behind those of earlier parts
     placed = open_.join(share.withColumnRenamed("i", "row_id"), "row_id", "left").select("row_id", F.coalesce("share", F.lit(2.0)).alias("share"))
-    placed = cut(placed.orderBy("share", "row_id").withColumn("part", F.spark_partition_id()))
-    counts = sorted((r.part, r["count"]) for r in placed.groupBy("part").count().collect())
-    before, total = [], 0
-    for part, n in counts:
-        before.append((part, total))
-        total += n
+    order = cut(numbered(placed, "share", "row_id", name="number", first=0).select("row_id", "number"))
+    total = order.count()
     if not total:
         return hubs.select("row_id", "cid")
-    own = F.row_number().over(Window.partitionBy("part").orderBy("share", "row_id"))
-    order = cut(placed.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part").select("row_id", (own - 1 + F.col("before")).alias("number")))
     labels = cut(hubs.select("row_id", F.col("cid").cast("int").alias("cid")))
     for first in range(0, total, chunk):
         mine = cut(order.where((F.col("number") >= first) & (F.col("number") < first + chunk)))

@@ -25,6 +25,11 @@ def far(contacts: DataFrame, resolution: int) -> DataFrame:
     return positive(contacts).where("chr1 = chr2").where(F.abs(F.col("bin1") - F.col("bin2")) > FAR_BP // resolution)
 
 
+def by_pair(contacts: DataFrame) -> DataFrame:
+    """Sum and number of contacts of each chromosome pair."""
+    return contacts.groupBy("chr1", "chr2").agg(F.sum("cnt").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
 def distance(contacts: DataFrame) -> DataFrame:
     """intra contacts with their distance in bins."""
     return contacts.where("chr1 = chr2").withColumn("dist", F.abs(F.col("bin1") - F.col("bin2")))

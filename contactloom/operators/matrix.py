@@ -221,6 +221,34 @@ def long(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", F.posexplode("features").alias("col_id", "v"))
 
 
+def clamp(cells: DataFrame, low: float, high: float) -> DataFrame:
+    """values within [low, high]; masked cells stay masked."""
+    return cells.withColumn("v", F.when(F.col("v").isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col("v")))))
+
+
+def concat(left: DataFrame, right: DataFrame) -> DataFrame:
+    """F16: the features of two matrices side by side, for rows that both have."""
+    return left.join(right.select("row_id", F.col("features").alias("_g")), "row_id").select("row_id", F.concat("features", "_g").alias("features"))
+
+
+def combined(parts: list[DataFrame], divisor: float = 1.0) -> DataFrame:
+    """element-wise sum of matrices over a divisor; cells that are masked or absent in all of them are NULL or absent."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("row_id", "col_id").agg(F.try_divide(F.sum("v"), F.lit(divisor)).alias("v"))
+
+
+def extremes(cells: DataFrame) -> DataFrame:
+    """least and greatest value."""
+    return cells.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def as_floats(cells: DataFrame) -> DataFrame:
+    """values in single precision."""
+    return cells.withColumn("v", F.col("v").cast("float"))
+
+
 def preprocess(inter: DataFrame, intra: DataFrame | None, col_weights: DataFrame, n_columns: int, vc: bool = True, log: bool = False, z: bool = True) -> DataFrame:
     """VC norm or division by weights, optional logarithm, column z, intra columns appended, rows with few good cells dropped."""
     out = vanilla_coverage(inter) if vc else divide_by_weights(inter, col_weights)

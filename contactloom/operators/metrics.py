@@ -197,6 +197,11 @@ def nearest_rows(rows: DataFrame, metric: str = "euclidean", percent: float = 2.
     return _below_percentile(found.join(last.select(F.col("row_id").alias("i"), "_n"), "i"), percent)
 
 
+def others(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """Ids of the rows that are no members."""
+    return cells.select("row_id").distinct().join(members.select("row_id"), "row_id", "left_anti")
+
+
 def common_neighbours(one: DataFrame, two: DataFrame) -> DataFrame:
     """Neighbours by both metrics."""
     return one.intersect(two)

@@ -185,6 +185,11 @@ def ratios(cells: DataFrame, symmetric: bool = False, keys: tuple[str, ...] = ("
     return out
 
 
+def best_candidates(scores: DataFrame, *by: str) -> DataFrame:
+    """(by, candidate, ratio): the candidate with the largest variance ratio; ties go to the first one."""
+    return scores.where("score_type = 'variance'").groupBy(*by).agg(F.max_by("candidate", F.struct("ratio", -F.col("candidate"))).alias("candidate"), F.max("ratio").alias("ratio"))
+
+
 def geometric_mean(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Over map types, by score type."""
     return scores.where("ratio > 0").groupBy(*keys, "score_type").agg(F.exp(F.avg(F.ln("ratio"))).alias("geometric_mean"))

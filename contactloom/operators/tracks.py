@@ -39,6 +39,16 @@ def marginals(table: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("_g1") == 0, 1).when(F.col("_g2") == 0, 2).otherwise(0).alias("side"), F.coalesce("id1", "id2").alias("id"), "n")
 
 
+def top_cell(table: DataFrame) -> DataFrame:
+    """The cell with most loci; ties go to smaller ids."""
+    return table.orderBy(F.desc("n"), "id1", "id2").limit(1)
+
+
+def ids(track: DataFrame) -> DataFrame:
+    """The ids that occur."""
+    return track.select("cluster_id").distinct()
+
+
 def max_id(track: DataFrame) -> DataFrame:
     """A14."""
     return track.agg(F.max("cluster_id").alias("max_id"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import cluster, contacts, intervals, matrix, metrics, proto, scoring, tracks
-from ..runtime import cut
+from ..runtime import AT_ONCE, cut, side_by_side
 
 COMPRESSED_BP = 1_600_000
 #: Settings of the sweep: (raw counts with coverage norm, or the given normalised ones; columns scaled by root weights; logarithm; intra columns appended).
@@ -27,12 +27,16 @@ def configured(inter: DataFrame, intra: DataFrame, normed: tuple[DataFrame, Data
     Settings on normalised counts need `normed`, their inter and intra cells, and are left out without them.
     Cells are not scaled yet: means take them scaled once, medians twice."""
     behind = weights.select((F.col("col_id") + n_columns).cast("int").alias("col_id"), "w")
-    for setting in settings:
+
+    def build(setting: tuple) -> tuple[tuple, DataFrame, DataFrame] | None:
         post, _, log, appended = setting
         source = (inter, intra) if post else normed
-        if source is not None:
-            cells = matrix.preprocess(source[0], source[1] if appended else None, weights, n_columns, post, log)
-            yield setting, cells, weights.unionByName(behind) if appended else weights
+        if source is None:
+            return None
+        cells = matrix.preprocess(source[0], source[1] if appended else None, weights, n_columns, post, log)
+        return setting, cells, weights.unionByName(behind) if appended else weights
+
+    return filter(None, side_by_side(weights.sparkSession, build, settings))
 
 
 def settings_summary(inter: DataFrame, intra: DataFrame, normed: tuple[DataFrame, DataFrame] | None, weights: DataFrame, n_columns: int, settings: tuple = SETTINGS) -> DataFrame:
@@ -107,15 +111,17 @@ def feature_rows(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resol
     inter, intra = map(cut, matrix.build(clean, mapping, translocated))
     ready = tuple(map(cut, matrix.build(contacts.mask_bad(normed, bad), mapping, translocated))) if normed is not None else None
 
-    def each() -> Iterator[tuple[tuple, str, DataFrame]]:
-        for setting, cells, w in configured(inter, intra, ready, matrix.weights(mapping), n_columns, settings):
-            for kind in ("means", "medians"):
-                if setting[1]:
-                    cells = matrix.scale_by_root_weights(cells, w)
-                cells = cut(cells)
-                yield setting, kind, cut(matrix.wide(cells))
+    def wide(one: tuple[tuple, DataFrame, DataFrame]) -> list[tuple[tuple, str, DataFrame]]:
+        (setting, cells, w), out = one, []
+        for kind in ("means", "medians"):
+            if setting[1]:
+                cells = matrix.scale_by_root_weights(cells, w)
+            cells = cut(cells)
+            out.append((setting, kind, cut(matrix.wide(cells))))
+        return out
 
-    return intervals.to_intervals(mapping, chroms, resolution), each()
+    each = side_by_side(table.sparkSession, wide, configured(inter, intra, ready, matrix.weights(mapping), n_columns, settings))
+    return intervals.to_intervals(mapping, chroms, resolution), chain.from_iterable(each)
 
 
 def setting_name(setting: tuple) -> str:
@@ -132,21 +138,25 @@ def eigen_tracks(*args: DataFrame, settings: tuple = SETTINGS, **options) -> Ite
             yield setting_name(setting) + ("_twice" if kind == "medians" else ""), cluster.values_on_intervals(vector, where)
 
 
-def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, normed: DataFrame | None = None, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871) -> DataFrame:
+def annotate(table: DataFrame, norm_vec: DataFrame, chroms: DataFrame, resolution: int, first: int, past: int, *, normed: DataFrame | None = None, restarts: int = cluster.RESTARTS, iterations: int = cluster.MAX_ITERATIONS, settings: tuple = SETTINGS, mapping: DataFrame | None = None, cutoffs: DataFrame | None = None, seed: int = 22871, at_once: int = AT_ONCE) -> DataFrame:
     """Annotate: the best annotation (k, chr_idx, x1, x2, cluster_id) for k from first to past - 1.
 
+    Clusterings of different settings, algorithms and k do not depend on each other; `at_once` of them run side by side, so that
+    the small jobs of one fill the cluster while another waits for its driver.  The result does not depend on it.
     Every setting and algorithm (see feature_rows) gives a candidate, and the candidate with the best variance ratio on odd against even chromosomes stays."""
     where, each = feature_rows(table, norm_vec, chroms, resolution, normed=normed, settings=settings, mapping=mapping, cutoffs=cutoffs)
-    candidates = []
-    for _, kind, rows in each:
-        for k, _, members in cluster.sweep(rows, first, past, (kind,), restarts=restarts, iterations=iterations, seed=seed):
-            candidates.append(cluster.to_track(members, where).withColumns({"k": F.lit(k), "candidate": F.lit(len(candidates))}))
-    out = candidates[0]
-    for c in candidates[1:]:
-        out = out.union(c)
+
+    def clustered(job: tuple[int, str, DataFrame]) -> tuple[int, DataFrame]:
+        k, kind, rows = job
+        return k, cut(cluster.best_of(rows, k, kind, restarts, seed, iterations)[1])
+
+    out, jobs = None, ((k, kind, rows) for _, kind, rows in each for k in range(first, past))
+    for candidate, (k, members) in enumerate(side_by_side(table.sparkSession, clustered, jobs, at_once)):
+        one = cluster.to_track(members, where).withColumns({"k": F.lit(k), "candidate": F.lit(candidate)})
+        out = one if out is None else out.union(one)
     out = cut(out)
     bins = out.select("k", "candidate", "chr_idx", F.expr(f"cast(x1 div {resolution} as int)").alias("bin"), "cluster_id")
     scores = scoring.run(table, bins, chroms, ("ODDS_VS_EVENS",), min(factor(resolution), 2) if resolution >= COMPRESSED_BP else factor(resolution), seed=0, tracks=("k", "candidate"))
-    best = scores.where("score_type = 'variance'").groupBy("k").agg(F.max_by("candidate", F.struct("ratio", -F.col("candidate"))).alias("candidate"))
+    best = scoring.best_candidates(scores, "k").select("k", "candidate")
     kept = out.join(F.broadcast(best), ["k", "candidate"]).select("k", "chr_idx", "x1", "x2", "cluster_id")
     return intervals.collapse(kept, ("k",))

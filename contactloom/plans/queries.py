@@ -19,8 +19,8 @@ from ..operators import matrix as M
 from ..operators import metrics as D
 from ..operators import scoring as S
 from ..operators import tracks as T
-from ..runtime import cut, prepare, shared_root
-from ..sources import bed, raw_contacts, tables
+from ..runtime import cut, numbered, prepare, shared_root
+from ..sources import array_file, bed, exports, raw_contacts, tables
 from ..streaming import upkeep
 from .fixtures import DUCK, RESOLUTION, oracle, relation
 
@@ -219,7 +219,7 @@ add("i2_collapse", ROW, lambda r: I.collapse(r.track_a), ISLAND, "track_a")
 add("i3_clip", ROW, lambda r: I.clip(r.track_a.withColumn("x2", F.col("x2") + 500_000), r.chroms), "SELECT chr_idx, x1, LEAST(x2 + 500000, length) AS x2, cluster_id FROM track_a JOIN chroms USING (chr_idx)", "track_a", "chroms")
 add("i4_deduplicate", f"{ROW} line_no", lambda r: I.deduplicate(two_tracks(r).withColumn("line_no", F.when(F.col("track_id") == "a", F.col("x1")).otherwise(F.col("x2") + 1 - F.col("chr_idx") * 400000)).drop("track_id")),
     "SELECT chr_idx, x1, x2, arg_min(cluster_id, line_no) AS cluster_id, MIN(line_no) AS line_no FROM (SELECT *, x1 AS line_no FROM track_a UNION ALL SELECT *, x2 + 1 - chr_idx * 400000 FROM track_b) GROUP BY 1, 2, 3", "track_a", "track_b")
-add("i5_order", f"{ROW} place", lambda r: I.ordered(r.track_a).withColumn("place", F.row_number().over(Window.orderBy("chr_idx", "x1", "x2"))), "SELECT *, ROW_NUMBER() OVER (ORDER BY chr_idx, x1, x2) AS place FROM track_a", "track_a")
+add("i5_order", f"{ROW} place", lambda r: numbered(r.track_a, "chr_idx", "x1", "x2"), "SELECT *, ROW_NUMBER() OVER (ORDER BY chr_idx, x1, x2) AS place FROM track_a", "track_a")
 add("i6_to_bins", f"{ROW} bin", lambda r: I.to_bins(r.wide_track, 400_000), "SELECT *, UNNEST(range(x1 // 400000, x2 // 400000)) AS bin FROM wide_track", "wide_track")
 add("i7_to_intervals", "chr_idx bin x1 x2", lambda r: I.to_intervals(labels(r), r.chroms, R), f"SELECT chr_idx, bin, bin * {R} AS x1, LEAST(bin * {R} + {R}, length) AS x2 FROM labels JOIN chroms USING (chr_idx)", "track_a", "chroms", labels=LABELS)
 add("i8_relabel", f"{ROW}||cluster_name", lambda r: I.relabel(r.track_a, r.spark.createDataFrame([(0, 7, "X"), (2, 9, "Y")], "cluster_id int, new_id int, new_name string")), "SELECT chr_idx, x1, x2, CASE cluster_id WHEN 0 THEN 7 WHEN 2 THEN 9 ELSE cluster_id END AS cluster_id, CASE cluster_id WHEN 0 THEN 'X' WHEN 2 THEN 'Y' ELSE CAST(cluster_id AS VARCHAR) END AS cluster_name FROM track_a", "track_a")
@@ -391,7 +391,7 @@ add("a33_array_stats", "row_id|missing maximum mean", lambda r: M.wide(r.matrix)
 VOTE = "SELECT i, cid, COUNT(*) AS n FROM nn JOIN m ON m.row_id = j GROUP BY 1, 2"
 add("a34_majority", "i cid", lambda r: D.majority(knn(r), members(r)), "SELECT i, arg_min(cid, cid - 1000 * n) AS cid FROM vote GROUP BY 1", "matrix", **KNN, m=MEMBERS, vote=VOTE)
 add("a35_max_off_diagonal", "|value", lambda r: D.all_pairs(rows(r), "euclidean", strict=True).agg(F.max("value").alias("value")), "SELECT MAX(value) AS value FROM pairs WHERE i < j", "matrix", **{k: KNN[k] for k in ("w", "p", "pairs")})
-add("a36_partial_aggregation", "chr1 chr2 n|s", lambda r: r.contacts.groupBy("chr1", "chr2").agg(F.sum("cnt").alias("s"), F.count(F.lit(1)).alias("n")), "SELECT chr1, chr2, SUM(cnt) AS s, COUNT(*) AS n FROM contacts GROUP BY 1, 2", "contacts")
+add("a36_partial_aggregation", "chr1 chr2 n|s", lambda r: C.by_pair(r.contacts), "SELECT chr1, chr2, SUM(cnt) AS s, COUNT(*) AS n FROM contacts GROUP BY 1, 2", "contacts")
 add("a37_unassigned_share", "i|share", lambda r: D.unassigned_share(knn(r), members(r).where("cid > 1")), "SELECT i, AVG(CASE WHEN cid > 1 THEN 0.0 ELSE 1.0 END) AS share FROM nn JOIN m ON m.row_id = j GROUP BY 1", "matrix", **KNN, m=MEMBERS)
 
 # -- matrix and clustering -------------------------------------------------------------------------------------
@@ -482,7 +482,7 @@ def _commands():
 
 
 add("m14_settings", "post scaled log intra n|total", lambda r: _commands().settings_summary(*M.build(r.contacts, bin_map(r)), None, M.weights(bin_map(r)), 16))
-add("m15_best_candidate", "candidate|ratio", lambda r: S.run(r.contacts, candidates(r), r.chroms, KINDS, FACTOR, ROUNDS, tracks=("candidate",)).where("score_type = 'variance'").agg(F.max_by("candidate", F.struct("ratio", -F.col("candidate"))).alias("candidate"), F.max("ratio").alias("ratio")))
+add("m15_best_candidate", "candidate|ratio", lambda r: S.best_candidates(S.run(r.contacts, candidates(r), r.chroms, KINDS, FACTOR, ROUNDS, tracks=("candidate",))))
 
 
 def candidates(r: Relations) -> DataFrame:
@@ -559,6 +559,11 @@ OBSERVED = "SELECT a.row_id AS c1, b.row_id AS c2, ROUND_EVEN(ABS(a.v) * 50, 0)
 add("m29_statistic", "c1 c2|statistic", lambda r: _cluster().chi_square(centres(r).withColumn("centre", F.transform("centre", lambda x: F.abs(x) * 50))),
     "SELECT c1, c2, SUM((o - e * s) * (o - e * s) / (e * s)) AS statistic FROM (SELECT *, SUM(o) OVER (PARTITION BY c1, c2) / SUM(e) OVER (PARTITION BY c1, c2) AS s FROM observed WHERE o >= 0 AND e > 0) GROUP BY 1, 2", "matrix", observed=OBSERVED)
 PAIR5 = "SELECT a.row_id AS c1, b.row_id AS c2, UNNEST(a.f) AS x, UNNEST(b.f) AS y FROM five a JOIN five b ON a.row_id {op} b.row_id"
+SCALED = "SELECT c1, c2, ABS(x) * 50 AS x, ABS(y) * 50 AS y FROM p"
+PAIRED_STATISTICS = "SELECT c1, c2, SUM((o - e * s) * (o - e * s) / (e * s)) AS statistic FROM (SELECT *, SUM(o) OVER (PARTITION BY c1, c2) / SUM(e) OVER (PARTITION BY c1, c2) AS s FROM observed WHERE o >= 0 AND e > 0) GROUP BY 1, 2"
+add("k9_cluster_statistics", "c1 c2 n1 n2 n_similar|distance statistic", lambda r: exports.cluster_statistics(members(r), centres(r).withColumn("centre", F.transform("centre", lambda x: F.abs(x) * 50))),
+    f"SELECT c1, c2, a.n AS n1, b.n AS n2, n_similar, distance, statistic FROM (SELECT c1, c2, {METRIC['euclidean']} AS distance, SUM(CASE WHEN (x - y) * (x - y) / NULLIF(ABS(y), 0) < 0.05 THEN 1 ELSE 0 END) AS n_similar FROM scaled GROUP BY 1, 2) JOIN ({PAIRED_STATISTICS}) USING (c1, c2) LEFT JOIN sizes a ON a.cid = c1 LEFT JOIN sizes b ON b.cid = c2",
+    "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"), scaled=SCALED, observed=OBSERVED, m=MEMBERS, sizes="SELECT cid, COUNT(*) AS n FROM m GROUP BY 1")
 add("m30_centre_distances", "c1 c2|distance per_entry", lambda r: _cluster().centre_pairs(centres(r)).select("c1", "c2", vectors.euclidean("a", "b").alias("distance"), (vectors.euclidean("a", "b") / 64).alias("per_entry")), f"SELECT c1, c2, {METRIC['euclidean']} AS distance, {METRIC['euclidean']} / 64 AS per_entry FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"))
 add("m31_similar_entries", "c1 c2 n_similar", lambda r: _cluster().similar_entries(centres(r)), "SELECT c1, c2, SUM(CASE WHEN (x - y) * (x - y) / NULLIF(ABS(y), 0) < 0.05 THEN 1 ELSE 0 END) AS n_similar FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<"))
 add("m32_centre_correlations", "c1 c2|value", lambda r: _cluster().centre_pairs(centres(r), False).select("c1", "c2", vectors.correlation("a", "b").alias("value")), f"SELECT c1, c2, {METRIC['correlation']} AS value FROM p GROUP BY 1, 2", "matrix", w=W64, five=FIVE, p=PAIR5.format(op="<="))
@@ -591,34 +596,53 @@ for _m, _id in (("correlation", "f5_correlation"), ("euclidean", "f6_euclidean")
     add(_id, "i j|value", column_metric(_m), pair_sql(_m, "")[0], "matrix", w=W64, p=QUERIED)
 add("f9_arctanh", "row_id col_id|v", lambda r: r.matrix.withColumn("v", vectors.arctanh(F.col("v"))), "SELECT row_id, col_id, 0.5 * (LN(1 + GREATEST(-0.99, LEAST(0.99, v))) - LN(1 - GREATEST(-0.99, LEAST(0.99, v)))) AS v FROM matrix WHERE v IS NOT NULL UNION ALL SELECT row_id, col_id, -2.646652 AS v FROM matrix WHERE FALSE UNION ALL SELECT row_id, col_id, NULL FROM matrix WHERE v IS NULL", "matrix")
 add("f10_distance", "chr1 bin1 bin2 dist", lambda r: C.distance(r.contacts_intra), "SELECT chr_idx AS chr1, bin1, bin2, dist FROM intra", "contacts_intra", intra=INTRA)
-add("f11_clamp", "row_id col_id|v", lambda r: r.matrix.where("v is not null").withColumn("v", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("v")))), "SELECT row_id, col_id, GREATEST(-0.5, LEAST(0.5, v)) AS v FROM matrix WHERE v IS NOT NULL", "matrix")
+add("f11_clamp", "row_id col_id|v", lambda r: M.clamp(r.matrix, -0.5, 0.5), "SELECT row_id, col_id, CASE WHEN v IS NOT NULL THEN GREATEST(-0.5, LEAST(0.5, v)) END AS v FROM matrix", "matrix")
 add("f12_choose_two", "id1 id2|pairs", lambda r: T.contingency(r.track_a, r.track_b).withColumn("pairs", T.choose_two(F.col("n"))), "SELECT id1, id2, n * (n - 1) / 2.0 AS pairs FROM t", "track_a", "track_b", t=TABLE)
 add("f13_colour", "chr_idx x1||colour", lambda r: r.track_a.withColumn("colour", colours.colour(F.col("cluster_id") + F.expr(f"cast(x1 div {R} as int)"))), f"SELECT chr_idx, x1, {NAMES}[(cluster_id + x1 // {R}) % 20 + 1] AS colour FROM track_a", "track_a")
 add("f15_transpose", "row_id col_id|v", lambda r: M.transpose(r.matrix), "SELECT col_id AS row_id, row_id AS col_id, v FROM matrix", "matrix")
-add("f16_concat", "row_id size", lambda r: rows(r).select("row_id", F.size(F.concat("features", "features")).alias("size")), "SELECT row_id, 128 AS size FROM matrix GROUP BY 1", "matrix")
+add("f16_concat", "row_id col_id|v", lambda r: M.long(M.concat(rows(r), rows(r))), "SELECT * FROM matrix UNION ALL SELECT row_id, col_id + 64, v FROM matrix", "matrix")
 add("f17_divide_by_weights", "row_id col_id|v", lambda r: M.divide_by_weights(r.matrix, col_weights(r)), "SELECT row_id, col_id, v / (col_id % 5 + 1) AS v FROM matrix", "matrix")
 add("f18_divide_by_count", "row_id col_id|v", lambda r: M.long(rows(r).select("row_id", vectors.divide_by_count(F.col("features"), F.col("row_id") % 7).alias("features"))), "SELECT row_id, col_id, v / GREATEST(row_id % 7, 1) AS v FROM matrix", "matrix")
-add("f19_add_divide", "row_id col_id|v", lambda r: r.matrix.union(r.matrix).groupBy("row_id", "col_id").agg((F.sum("v") / 10).alias("v")), "SELECT row_id, col_id, (v + v) / 10 AS v FROM matrix", "matrix")
-add("f20_min_max", "|low high", lambda r: r.matrix.agg(F.min("v").alias("low"), F.max("v").alias("high")), "SELECT MIN(v) AS low, MAX(v) AS high FROM matrix", "matrix")
-add("f21_float_cells", "row_id col_id|v", lambda r: r.matrix.withColumn("v", F.col("v").cast("float")), "SELECT row_id, col_id, CAST(v AS FLOAT) AS v FROM matrix", "matrix")
-add("f23_strings", "line_no||label name", lambda r: bed.fields(r.bed).select("line_no", F.lower("cluster_name").alias("label"), F.regexp_replace("name", "^chr", "").alias("name")), "SELECT line_no, LOWER(cluster_name) AS label, regexp_replace(name, '^chr', '') AS name FROM fields", "bed", fields=FIELDS)
+add("f19_add_divide", "row_id col_id|v", lambda r: M.combined([r.matrix, r.matrix], 10), "SELECT row_id, col_id, (v + v) / 10 AS v FROM matrix", "matrix")
+add("f20_min_max", "|low high", lambda r: M.extremes(r.matrix), "SELECT MIN(v) AS low, MAX(v) AS high FROM matrix", "matrix")
+add("f21_float_cells", "row_id col_id|v", lambda r: M.as_floats(r.matrix), "SELECT row_id, col_id, CAST(v AS FLOAT) AS v FROM matrix", "matrix")
+add("f23_strings", "line_no||label name", lambda r: bed.plain(bed.fields(r.bed)), "SELECT line_no, LOWER(cluster_name) AS label, regexp_replace(name, '^chr', '') AS name FROM fields", "bed", fields=FIELDS)
 add("f24_unordered_key", "lo hi n", lambda r: T.contingency(r.track_a, r.track_b).groupBy(scalars.unordered_key(F.col("id1"), F.col("id2")).alias("k")).agg(F.sum("n").alias("n")).select("k.lo", "k.hi", "n"), "SELECT LEAST(id1, id2) AS lo, GREATEST(id1, id2) AS hi, SUM(n) AS n FROM t GROUP BY 1, 2", "track_a", "track_b", t=TABLE)
-add("f25_file_stems", "k||stem", lambda r: r.spark.createDataFrame([(k, scalars.file_stem("x", True, False, True, "means", k)) for k in range(2, 5)], "k int, stem string"), "SELECT k, CONCAT('x_vc_z_means_k', k) AS stem FROM range(2, 5) t(k)")
+add("f25_file_stems", "k||stem", lambda r: T.ids(r.track_a).select((F.col("cluster_id") + 2).alias("k")).withColumn("stem", scalars.file_stem("x", True, False, True, "means", F.col("k"))), "SELECT DISTINCT cluster_id + 2 AS k, CONCAT('x_vc_z_means_k', cluster_id + 2) AS stem FROM track_a", "track_a")
 add("f26_bins", "chr_idx n", lambda r: r.chroms.withColumn("n", scalars.bins(F.col("length"), 7_000_000)), "SELECT chr_idx, length // 7000000 + 1 AS n FROM chroms", "chroms")
 
 # -- sorts, limits, sets ---------------------------------------------------------------------------------------
 add("o1_sorted_intervals", f"{ROW} place", lambda r: I.ordered(r.wide_track).withColumn("place", F.row_number().over(Window.partitionBy("chr_idx").orderBy("x1", "x2"))), "SELECT *, ROW_NUMBER() OVER (PARTITION BY chr_idx ORDER BY x1, x2) AS place FROM wide_track", "wide_track")
-add("o2_by_unassigned", "i place", lambda r: D.unassigned_share(knn(r), members(r).where("cid > 1")).withColumn("place", F.row_number().over(Window.orderBy(F.round("share", 9), "i"))), "SELECT i, ROW_NUMBER() OVER (ORDER BY ROUND(share, 9), i) AS place FROM (SELECT i, AVG(CASE WHEN cid > 1 THEN 0.0 ELSE 1.0 END) AS share FROM nn JOIN m ON m.row_id = j GROUP BY 1)", "matrix", **KNN, m=MEMBERS)
+add("o2_by_unassigned", "i place", lambda r: numbered(D.unassigned_share(knn(r), members(r).where("cid > 1")).withColumn("share", F.round("share", 9)), "share", "i"), "SELECT i, ROW_NUMBER() OVER (ORDER BY ROUND(share, 9), i) AS place FROM (SELECT i, AVG(CASE WHEN cid > 1 THEN 0.0 ELSE 1.0 END) AS share FROM nn JOIN m ON m.row_id = j GROUP BY 1)", "matrix", **KNN, m=MEMBERS)
 add("o3_descending", "chr_idx bin place", lambda r: C.bad_bins(r.norm_vec).withColumn("place", F.row_number().over(Window.partitionBy("chr_idx").orderBy(F.desc("bin")))), f"SELECT chr_idx, bin, ROW_NUMBER() OVER (PARTITION BY chr_idx ORDER BY bin DESC) AS place FROM bad", "norm_vec", bad=BAD)
-add("o4_top_cell", "id1 id2 n", lambda r: T.contingency(r.track_a, r.track_b).orderBy(F.desc("n"), "id1", "id2").limit(1), "SELECT * FROM t ORDER BY n DESC, id1, id2 LIMIT 1", "track_a", "track_b", t=TABLE)
+add("o4_top_cell", "id1 id2 n", lambda r: T.top_cell(T.contingency(r.track_a, r.track_b)), "SELECT * FROM t ORDER BY n DESC, id1, id2 LIMIT 1", "track_a", "track_b", t=TABLE)
 add("o5_union_bad", "chr_idx bin", lambda r: C.union_bad(C.bad_bins(r.norm_vec), r.norm_vec.where("value < 500")), f"SELECT chr_idx, bin FROM bad UNION SELECT chr_idx, bin FROM norm_vec WHERE value < 500", "norm_vec", bad=BAD)
 _sql2, _more2 = pair_sql("manhattan", "<=")
 add("o6_common_neighbours", "i j", lambda r: D.common_neighbours(knn(r), D.nearest_rows(rows(r), "manhattan", 10.0, 64)),
     "SELECT i, j FROM nn INTERSECT SELECT i, j FROM nn2", "matrix", **KNN, pairs2=_sql2, near2=NEAR.replace("pairs", "pairs2"), ranked2=RANK.replace("near", "near2"), cut2=CUT.replace("ranked", "ranked2"), nn2="SELECT near2.i, near2.j FROM near2 JOIN cut2 USING (i) WHERE value < a + s * (b - a)")
-add("o7_except", "row_id", lambda r: r.matrix.select("row_id").distinct().exceptAll(members(r).where("cid = 1").select("row_id")), "SELECT DISTINCT row_id FROM matrix EXCEPT SELECT row_id FROM m WHERE cid = 1", "matrix", m=MEMBERS)
-add("o8_distinct_ids", "cluster_id", lambda r: r.track_a.select("cluster_id").distinct(), "SELECT DISTINCT cluster_id FROM track_a", "track_a")
+add("o7_except", "row_id", lambda r: D.others(r.matrix, members(r).where("cid = 1")), "SELECT DISTINCT row_id FROM matrix EXCEPT SELECT row_id FROM m WHERE cid = 1", "matrix", m=MEMBERS)
+add("o8_distinct_ids", "cluster_id", lambda r: T.ids(r.track_a), "SELECT DISTINCT cluster_id FROM track_a", "track_a")
 add("o9_rounds", "round n", lambda r: blocks(r).groupBy("round").agg(F.count(F.lit(1)).alias("n")), "SELECT round, COUNT(*) AS n FROM blocks GROUP BY 1", "track_a", **chain("blocks"))
 
+# -- arrays and text -------------------------------------------------------------------------------------------
+def array_cells(r: Relations) -> DataFrame:
+    """The matrix, written as one .npy file and read again."""
+    path = f"{shared_root(r.spark)}/matrix-{uuid.uuid4().hex}.npy"
+    exports.save_array(r.matrix, path)
+    return array_file.load(r.spark, path)
+
+
+def text_rows(r: Relations) -> DataFrame:
+    """Masked values and sum of every line of the text matrix, written and read again."""
+    folder = f"{shared_root(r.spark)}/text-{uuid.uuid4().hex}"
+    exports.text_matrix(rows(r)).write.text(folder)
+    values = F.transform(F.split("value", " "), lambda x: F.when(x != "NaN", x.cast("double")))
+    return r.spark.read.text(folder).select(F.size(F.filter(values, lambda x: x.isNull())).alias("masked"), F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("total"))
+
+
+add("k4_array", "row_id col_id|v", array_cells, "SELECT * FROM matrix", "matrix")
+add("k5_text_rows", "masked|total", text_rows, "SELECT 64 - COUNT(v) AS masked, SUM(v) AS total FROM matrix GROUP BY row_id", "matrix")
+
 # -- extension points and commands -----------------------------------------------------------------------------
 add("u1_metric_registry", "i j|value", column_metric("mean_square"), "SELECT i, j, AVG((x - y) * (x - y)) AS value FROM p GROUP BY i, j", "matrix", w=W64, p=QUERIED)
 add("u2_score_registry", "|score|score_type", lambda r: S.SCORES["variance"](grid(r), regional=False).withColumn("score_type", F.lit("variance")), f"SELECT 'variance' AS score_type, score FROM ({VAR.format(over='')})", "contacts", "track_a", **chain("grid"))

@@ -19,6 +19,11 @@ def fields(lines: DataFrame) -> DataFrame:
     return out.select("line_no", F.col("f")[0].alias("name"), F.col("f")[1].cast("int").alias("x1"), F.col("f")[2].cast("int").alias("x2"), F.upper(F.col("f")[3]).alias("cluster_name"))
 
 
+def plain(rows: DataFrame) -> DataFrame:
+    """labels in lower case and chromosome names without their prefix."""
+    return rows.select("line_no", F.lower("cluster_name").alias("label"), F.regexp_replace("name", "^chr", "").alias("name"))
+
+
 def label_ids(rows: DataFrame) -> DataFrame:
     """Labels by order of first appearance; unknown chromosomes count, since labels come first. One row for each label."""
     first = rows.groupBy("cluster_name").agg(F.min("line_no").alias("_l"))
@@ -28,7 +33,7 @@ def label_ids(rows: DataFrame) -> DataFrame:
 def parse(lines: DataFrame, chroms: DataFrame) -> DataFrame:
     """A track from lines (line_no, value)."""
     rows = fields(lines)
-    known = rows.join(F.broadcast(label_ids(rows)), "cluster_name").join(F.broadcast(chroms), "name")
+    known = rows.join(label_ids(rows), "cluster_name").join(F.broadcast(chroms), "name")
     track = clip(known.select("line_no", "chr_idx", "x1", "x2", "cluster_id", "cluster_name"), chroms)
     return deduplicate(track).drop("line_no")
 
