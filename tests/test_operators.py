@@ -287,3 +287,32 @@ def test_neighbours_of_rows_equal_brute_force(spark, metric, percent):
 def test_bins_keep_the_order_of_values():
     v = np.sort(np.r_[-np.inf, -1e300, -1.0, -1e-300, -0.0, 0.0, 1e-300, np.random.default_rng(1).normal(size=200), 1e300, np.inf])
     assert (np.diff(metrics.value_bins(v)) >= 0).all() and metrics.value_bins(np.array([-0.0]))[0] == metrics.value_bins(np.array([0.0]))[0]
+
+
+@pytest.mark.parametrize("n, block", [(700, 256), (23, 4)])
+def test_all_pairs_shuffle_and_store_rows_not_pairs(spark, n, block):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(n, 8))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[3], x[n - 1] = np.nan, x[0]
+    ids = rng.permutation(n) * 5 - 40
+    rows = spark.createDataFrame([(int(i), [None if np.isnan(v) else float(v) for v in r]) for i, r in zip(ids, x, strict=True)] + [(None, [1.0] * 8)], "row_id long, features array<double>")
+    pairs = metrics.all_pairs(rows, "euclidean", block=block)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    at, value = {int(i): p for p, i in enumerate(ids)}, metrics.pair_values(x, x, "euclidean")
+    got = pairs.collect()
+    assert len(got) == n * (n + 1) // 2 == len({(r.i, r.j) for r in got}) and all(r.i <= r.j for r in got)
+    assert all((r.value is None) == bool(np.isnan(value[at[r.i], at[r.j]])) and (r.value is None or abs(r.value - value[at[r.i], at[r.j]]) < 1e-9) for r in got)
+    both = metrics.mirrored(pairs)
+    assert both._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 1 and both.count() == n * n
+    np.fill_diagonal(value, np.nan)
+    assert abs(metrics.largest(rows, "euclidean", block).first().value - np.nanmax(value)) < 1e-9
+    assert metrics.largest(rows.limit(0)).first().value is None
+
+
+def test_copies_have_no_distance():
+    x = np.random.default_rng(32).normal(size=(40, 64)) * 1e4
+    y = x + 1e-3
+    assert (np.diag(metrics.pair_values(x, x.copy(), "euclidean")) == 0).all()
+    assert np.allclose(np.diag(metrics.pair_values(x, y, "euclidean")), np.sqrt(((x - y) ** 2).sum(1)), rtol=1e-12)
