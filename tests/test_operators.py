@@ -316,3 +316,25 @@ def test_copies_have_no_distance():
     y = x + 1e-3
     assert (np.diag(metrics.pair_values(x, x.copy(), "euclidean")) == 0).all()
     assert np.allclose(np.diag(metrics.pair_values(x, y, "euclidean")), np.sqrt(((x - y) ** 2).sum(1)), rtol=1e-12)
+
+
+def test_neighbours_and_votes_shuffle_no_pairs(spark):
+    rng = np.random.default_rng(33)
+    n = 1500
+    x = rng.normal(size=(n, 4))
+    x[:400] = x[0]  # one large group of copies
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(0, n, 2)], "row_id long, cid int")
+    found = metrics.Nearest(rows, ("euclidean", 10.0), ("manhattan", 20.0), block=64, labels=labels)
+    plan = found.pairs()._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    near = True
+    for metric, percent in (("euclidean", 10), ("manhattan", 20)):
+        value = metrics.pair_values(x, x, metric)
+        np.fill_diagonal(value, np.nan)
+        place = n * percent / 100  # of n - 1 others
+        v = np.sort(value, 1)[:, int(place) - 1 : int(place) + 1]
+        near &= value < (v[:, 0] + (place - int(place)) * (v[:, 1] - v[:, 0]))[:, None]
+    assert {(r.i, r.j) for r in found.pairs().collect()} == set(zip(*(z.tolist() for z in np.nonzero(near)), strict=True))
+    cid = np.where(np.arange(n) % 2 == 0, np.arange(n) % 3, -1)
+    assert {(r.i, r.cid): r.n for r in found.votes().collect()} == {(i, c): int(k) for i in range(n) for c, k in zip(*np.unique(cid[near[i]], return_counts=True), strict=True)}
