@@ -338,3 +338,20 @@ def test_neighbours_and_votes_shuffle_no_pairs(spark):
     assert {(r.i, r.j) for r in found.pairs().collect()} == set(zip(*(z.tolist() for z in np.nonzero(near)), strict=True))
     cid = np.where(np.arange(n) % 2 == 0, np.arange(n) % 3, -1)
     assert {(r.i, r.cid): r.n for r in found.votes().collect()} == {(i, c): int(k) for i in range(n) for c, k in zip(*np.unique(cid[near[i]], return_counts=True), strict=True)}
+
+
+@pytest.mark.parametrize("metric", ["correlation", "euclidean", "mean_square", "manhattan", "cosine"])
+def test_rows_against_queries_go_by_blocks_and_equal_column_metrics(spark, metric):
+    rng = np.random.default_rng(34)
+    x = rng.normal(size=(90, 7)) * 1e-7
+    x[30:60] = x[30:60] * 1e7 + 3e5  # small values, and large ones far from 0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[7], x[8], x[50] = np.nan, 4.0, x[51]
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    found = metrics.against(rows, rows.where("row_id % 5 = 0"), metric, 16)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.i, r.j): r.value for r in found.collect()}
+    other = rows.where("row_id % 5 = 0").select(F.col("row_id").alias("j"), F.col("features").alias("g"))
+    want = {(r.row_id, r.j): r.v for r in rows.crossJoin(other).select("row_id", "j", vectors.METRICS[metric]("features", "g").alias("v")).collect()}
+    assert got.keys() == want.keys() and len(got) == 90 * 18
+    assert all(got[k] is None if want[k] is None else got[k] is not None and abs(got[k] - want[k]) <= 1e-6 * max(1, abs(want[k])) for k in got)
