@@ -355,3 +355,20 @@ def test_rows_against_queries_go_by_blocks_and_equal_column_metrics(spark, metri
     want = {(r.row_id, r.j): r.v for r in rows.crossJoin(other).select("row_id", "j", vectors.METRICS[metric]("features", "g").alias("v")).collect()}
     assert got.keys() == want.keys() and len(got) == 90 * 18
     assert all(got[k] is None if want[k] is None else got[k] is not None and abs(got[k] - want[k]) <= 1e-6 * max(1, abs(want[k])) for k in got)
+
+
+@pytest.mark.parametrize("metric", ["correlation", "cosine"])
+def test_first_eigenvector_of_rows_stores_no_pairs(spark, metric, monkeypatch):
+    stored = []
+    keep = metrics.cut
+    for module in (cluster, metrics):
+        monkeypatch.setattr(module, "cut", lambda df: stored.append(keep(df)) or stored[-1])
+    rng = np.random.default_rng(35)
+    x = rng.normal(size=(600, 9)) + rng.normal(size=9) * rng.normal(size=(600, 1))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = spark.createDataFrame([(7 * i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    got = {r.row_id: r.value for r in cluster.first_eigenvector_of(rows, metric).collect()}
+    want = np.linalg.eigh(np.nan_to_num(metrics.pair_values(x, x, metric)))[1][:, -1]
+    want *= np.sign(want[np.abs(want).argmax()])
+    assert np.allclose([got[7 * i] for i in range(600)], want, atol=1e-7)
+    assert all(df.count() <= 600 for df in stored)
