@@ -78,3 +78,12 @@ def test_chi_square_equals_closed_forms(spark):
             e = e * o.sum() / e.sum()
             want = ((o - e) ** 2 / e).sum()
             assert math.isclose(statistic, want, rel_tol=1e-9) and math.isclose(p, survival(want, len(e) - 1), rel_tol=1e-8, abs_tol=1e-12)
+
+
+def test_restarts_run_on_all_cores(spark, monkeypatch):
+    parts = []
+    fit = cluster.fit
+    monkeypatch.setattr(cluster, "fit", lambda rows, *more: parts.append(rows.rdd.getNumPartitions()) or fit(rows, *more))
+    x = np.random.default_rng(24).normal(size=(2000, 2)) + 20 * (np.arange(2000) % 2)[:, None]
+    members = cluster.best_of(frame(spark, x).coalesce(1), 2, restarts=2, iterations=3)[1]
+    assert parts == [spark.sparkContext.defaultParallelism] and len({(r.row_id % 2, r.cid) for r in members.collect()}) == 2
