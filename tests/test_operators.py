@@ -372,3 +372,21 @@ def test_first_eigenvector_of_rows_stores_no_pairs(spark, metric, monkeypatch):
     want *= np.sign(want[np.abs(want).argmax()])
     assert np.allclose([got[7 * i] for i in range(600)], want, atol=1e-7)
     assert all(df.count() <= 600 for df in stored)
+
+
+@pytest.mark.parametrize("metric", ["correlation", "cosine"])
+def test_first_eigenvector_of_few_patterns_meets_no_pairs(spark, metric, monkeypatch):
+    rng = np.random.default_rng(36)
+    x = rng.normal(size=(300, 9)) * 10.0 ** rng.integers(-3, 4, (300, 1)) + rng.normal(size=9) * rng.normal(size=(300, 1))
+    for i in range(300):
+        x[i, [(i % 7), (i % 7 + 3) % 9]] = np.nan
+    x[5], x[6, 1:], x[12, 4:], x[13, :7], x[20] = np.nan, np.nan, np.nan, np.nan, np.where(np.isnan(x[20]), np.nan, 4.0)  # nothing shared, one column, no spread
+    rows = spark.createDataFrame([(7 * i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    want = np.linalg.eigh(np.nan_to_num(metrics.pair_values(x, x, metric)))[1][:, -1]
+    want *= np.sign(want[np.abs(want).argmax()])
+    same = lambda got: np.allclose([got[7 * i] for i in range(300)], want, atol=1e-7)
+    monkeypatch.setattr(cluster, "SUMS", 50)  # too many patterns: by blocks
+    assert same({r.row_id: r.value for r in cluster.first_eigenvector_of(rows, metric).collect()})
+    monkeypatch.undo()
+    monkeypatch.delattr(cluster, "Blocks")  # products by patterns make no pairs of blocks
+    assert same({r.row_id: r.value for r in cluster.first_eigenvector_of(rows, metric).collect()})
