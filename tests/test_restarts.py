@@ -87,3 +87,41 @@ def test_restarts_run_on_all_cores(spark, monkeypatch):
     x = np.random.default_rng(24).normal(size=(2000, 2)) + 20 * (np.arange(2000) % 2)[:, None]
     members = cluster.best_of(frame(spark, x).coalesce(1), 2, restarts=2, iterations=3)[1]
     assert parts == [spark.sparkContext.defaultParallelism] and len({(r.row_id % 2, r.cid) for r in members.collect()}) == 2
+
+
+def test_medians_take_one_pass_a_step(spark, monkeypatch):
+    rng = np.random.default_rng(25)
+    x = np.repeat([[0.0] * 3, [2.0] * 3], 300, axis=0) + rng.normal(size=(600, 3))
+    x[:, 2] = np.round(x[:, 2])  # many equal values
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows, passes, steps = frame(spark, x).repartition(4).cache(), [], []
+    count, step = cluster._parted, cluster._step_medians
+    monkeypatch.setattr(cluster, "_parted", lambda *args: passes.append(len(args[1])) or count(*args))
+    monkeypatch.setattr(cluster, "_step_medians", lambda *args: steps.append(args[1]) or step(*args))
+    monkeypatch.delattr(cluster, "_counts")  # no narrowing where few values are about the medians
+    got = cluster.fit(rows, 2, "medians", [3, 4])
+    assert len(steps) > 2 and len(passes) < 2 * len(steps) - 1  # the first step looks twice, later ones where centres move far
+    assert len(cluster._step_medians(rows, got, cluster._edges(rows, cluster._bounds(rows, 3), 2))) == 2
+    monkeypatch.undo()
+    bounds = cluster._bounds(rows, 3)
+    edges, wanted = cluster._edges(rows, bounds, 2), cluster._step_medians(rows, got, bounds)
+    assert edges.shape[1] == 3 and np.array_equal(edges[[0, -1]], bounds) and (np.diff(edges, axis=0) >= 0).all()
+    for gathered in (cluster.GATHERED, 0):  # by values in parts, and by narrowing
+        monkeypatch.setattr(cluster, "GATHERED", gathered)
+        assert np.array_equal(cluster._step_medians(rows, got, edges), wanted)
+    for own, centres in zip(wanted, got, strict=True):
+        near = np.nan_to_num(metrics.pair_values(x, centres, "manhattan"), nan=np.inf).argmin(1)
+        assert np.array_equal(own, [np.nanmedian(x[near == c], 0) for c in (0, 1)])
+
+
+def test_partial_sums_of_means_are_the_same_by_driver_and_spark(spark, monkeypatch):
+    rng = np.random.default_rng(26)
+    x = rng.normal(size=(200, 3))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows, centres = frame(spark, x).repartition(4).cache(), rng.normal(size=(2, 3, 3))
+    want = cluster._step_means(rows, centres, 4)
+    monkeypatch.setattr(cluster, "NUMBERS", 1)
+    assert np.allclose(cluster._step_means(rows, centres, 4), want, rtol=1e-13)
+    for own, start in zip(want, centres, strict=True):
+        near = np.nan_to_num(metrics.pair_values(x, start, "euclidean"), nan=np.inf).argmin(1)
+        assert np.allclose(own, [np.nanmean(x[near == c], 0) for c in range(3)])
