@@ -125,3 +125,12 @@ def test_partial_sums_of_means_are_the_same_by_driver_and_spark(spark, monkeypat
     for own, start in zip(want, centres, strict=True):
         near = np.nan_to_num(metrics.pair_values(x, start, "euclidean"), nan=np.inf).argmin(1)
         assert np.allclose(own, [np.nanmean(x[near == c], 0) for c in range(3)])
+
+
+def test_sweep_takes_one_job_a_step_of_means(spark):
+    rows, centres = frame(spark, np.random.default_rng(27).normal(size=(300, 2))).repartition(4).cache(), np.zeros((2, 3, 2))
+    rows.count()
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    cluster._step_means(rows, centres, 4)
+    assert len(tracker.getJobIdsForGroup(None)) == before + 1  # no shuffle of the sums
