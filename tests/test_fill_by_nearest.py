@@ -84,3 +84,41 @@ def test_values_near_limits_are_computed_pair_by_pair(metric):
     limit = np.median(value, 1)
     noisy = value * (1 + 1e-11)  # as if of another block
     assert ((metrics.settled(noisy, x, x[::-1].copy(), metric, limit, limit) < limit[:, None]) == (own < limit[:, None])).all()
+
+
+def test_manhattan_by_larger_values_equals_differences(spark):
+    rng = np.random.default_rng(38)
+    x = rng.normal(size=(70, 9)) * 10.0 ** rng.integers(-4, 5, (70, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:20] = x[:20] * 1e-7 + 4e6  # nearly all cancels
+    x[3], x[4], x[50] = np.nan, x[5], x[51]
+    n = (~np.isnan(x[:, None] - x)).sum(2)
+    with np.errstate(invalid="ignore"):
+        want = np.where(n > 0, 9 * np.nansum(np.abs(x[:, None] - x), 2) / n, np.nan)
+    got = metrics.pair_values(x, x, "manhattan")
+    assert np.array_equal(np.isnan(got), np.isnan(want)) and np.allclose(got, want, rtol=1e-8, atol=0, equal_nan=True)
+    assert (np.diag(got)[n.diagonal() > 0] == 0).all() and got[4, 5] == got[50, 51] == 0
+    p, q = np.divmod(np.arange(4900), 70)
+    assert np.allclose(metrics.values_of(x[p], x[q], "manhattan"), want.ravel(), rtol=1e-12, atol=0, equal_nan=True)
+    limit = np.nanmedian(np.where(n > 0, want, np.nan)[5:50], 1)  # values near a limit are the same in any blocks
+    assert np.array_equal(metrics.nearer(x[5:50], x, "manhattan", limit), np.concatenate([metrics.nearer(x[5:50], x[s : s + 7], "manhattan", limit) for s in range(0, 70, 7)], 1))
+    x[60, 2] = np.inf
+    assert metrics.pair_values(x[60:61], x[61:], "manhattan")[0].tolist() == [np.inf if not np.isnan(v) else metrics.pair_values(x[60:61], x[61:], "manhattan")[0, k] for k, v in enumerate(x[61:, 2])]
+
+
+def test_neighbours_by_two_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(39)
+    x = np.round(rng.normal(size=(150, 5)), 1)  # many equal distances
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    got = {(r.i, r.j) for r in metrics.Nearest(rows, ("euclidean", 10.0), ("manhattan", 20.0), block=16).pairs().collect()}
+    one, two = ({(r.i, r.j) for r in metrics.nearest_rows(rows, m, p, 16).collect()} for m, p in (("euclidean", 10.0), ("manhattan", 20.0)))
+    assert got == one & two and got
+    value = metrics.values_of(np.repeat(x, 150, 0), np.tile(x, (150, 1)), "manhattan").reshape(150, 150)
+    np.fill_diagonal(value, np.nan)
+    for i in range(150):
+        own = np.sort(value[i][~np.isnan(value[i])])
+        place = (len(own) + 1) * 0.2
+        k = int(place)
+        limit = own[k - 1] + (place - k) * (own[k] - own[k - 1])
+        assert {j for j in range(150) if value[i, j] < limit} == {j for a, j in two if a == i}
