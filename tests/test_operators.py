@@ -390,3 +390,16 @@ def test_first_eigenvector_of_few_patterns_meets_no_pairs(spark, metric, monkeyp
     monkeypatch.undo()
     monkeypatch.delattr(cluster, "Blocks")  # products by patterns make no pairs of blocks
     assert same({r.row_id: r.value for r in cluster.first_eigenvector_of(rows, metric).collect()})
+
+
+def test_eigen_types_meet_no_pairs(spark, monkeypatch):
+    from contactloom.plans import queries
+
+    monkeypatch.delattr(cluster, "Blocks")
+    path = "/root/testdata/sf0.001"
+    got = {r.row_id: r.value for r in queries.QUERIES["m34_eigen_types"](spark, path).collect()}
+    pdf = queries.rows(queries.Relations(spark, path)).orderBy("row_id").toPandas()
+    x = metrics.matrix_of(pdf.features)
+    want = np.linalg.eigh(np.nan_to_num(metrics.pair_values(x, x, "cosine")))[1][:, -1]
+    want *= np.sign(want[np.abs(want).argmax()])
+    assert np.isnan(x).any() and len(got) == len(x) and np.allclose([got[i] for i in pdf.row_id], want, atol=2e-6)
